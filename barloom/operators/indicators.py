@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -45,9 +45,19 @@ class Series:
     """Functions along one order within each group."""
 
     def __init__(self, by: str | tuple[str, ...] = "code", order: str | tuple[str, ...] = "dt"):
-        self.w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*([order] if isinstance(order, str) else order))
-        self.so_far = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        self.all = self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        self.by, self.order = [by] if isinstance(by, str) else by, [order] if isinstance(order, str) else order
+
+    @property
+    def w(self) -> WindowSpec:
+        return Window.partitionBy(*self.by).orderBy(*self.order)
+
+    @property
+    def so_far(self) -> WindowSpec:
+        return self.w.rowsBetween(Window.unboundedPreceding, 0)
+
+    @property
+    def all(self) -> WindowSpec:
+        return self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def last(self, n: int):
         return self.w.rowsBetween(1 - n, 0)
