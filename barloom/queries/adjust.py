@@ -12,8 +12,16 @@ from ..plans.views import bars, dividends, factors, minutes, oracle
 from .registry import lag, query, recursion, rnd, roll, rsql, shown, shown_sql
 
 C = F.col
-AT = F.lit("1996-06-28").cast("date")
-N = C("code").cast("int")
+
+
+def at_day():
+    return F.lit("1996-06-28").cast("date")
+
+
+def number():
+    return C("code").cast("int")
+
+
 CTES = {
     "anch": "SELECT code, arg_max(adj_factor, dt) AS latest, arg_min(adj_factor, dt) AS earliest FROM factors GROUP BY code",
     "adj": "SELECT b.*, f.adj_factor, a.latest, a.earliest, " + ", ".join(f"b.{c} * f.adj_factor / a.{s} AS {c}_{n}" for c in a.PRICES for s, n in (("latest", "front"), ("earliest", "back"))) + " FROM bars b LEFT JOIN factors f ON f.code = b.code AND f.dt = b.dt LEFT JOIN anch a ON a.code = b.code",
@@ -113,7 +121,7 @@ REV_SQL = "SELECT o.code, o.dt::VARCHAR AS dt, CASE WHEN b.f IS NULL THEN 'new'
 def a12(spark, sf):
     f = factors(spark, sf)
     seen = f.withColumn("adj_factor", C("adj_factor") + F.when(F.day("dt") == 7, 0.001).otherwise(0.0))
-    return shown(a.revisions(seen, f.where(F.day("dt") != 9), AT), "status", "relative")
+    return shown(a.revisions(seen, f.where(F.day("dt") != 9), at_day()), "status", "relative")
 
 
 @query("A13_versions", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql('v')} AS adj_factor, n AS revision_no FROM (SELECT code, dt, adj_factor + CASE WHEN day(dt) % 3 = 0 THEN 0.01 ELSE 0 END + CASE WHEN day(dt) % 5 = 0 THEN 0.02 ELSE 0 END AS v, (day(dt) % 3 = 0)::INTEGER + (day(dt) % 5 = 0)::INTEGER AS n FROM factors)", "factors"))
@@ -182,7 +190,7 @@ def a20(spark, sf):
 @query("A21_raw_coverage", oracle("SELECT code, count(*) AS stored, count(f) AS covered, CASE WHEN count(f) = count(*) THEN 'full' ELSE 'partial' END AS coverage, count(*) FILTER (abs(f - close) > 1e-6) AS disagree FROM (SELECT *, CASE WHEN k % 59 <> 0 OR code::INTEGER % 2 = 0 THEN close + CASE WHEN k % 53 = 0 THEN 0.001 ELSE 0 END END AS f FROM bars) GROUP BY code", "bars"))
 def a21(spark, sf):
     b = bars(spark, sf)
-    new = b.where((C("k") % 59 != 0) | (N % 2 == 0)).select("code", "dt", (C("close") + F.when(C("k") % 53 == 0, 0.001).otherwise(0.0)).alias("f"))
+    new = b.where((C("k") % 59 != 0) | (number() % 2 == 0)).select("code", "dt", (C("close") + F.when(C("k") % 53 == 0, 0.001).otherwise(0.0)).alias("f"))
     joined = b.join(new, ["code", "dt"], "left")
     return joined.groupBy("code").agg(F.count("*").alias("stored"), F.count("f").alias("covered"), F.when(F.count("f") == F.count("*"), "full").otherwise("partial").alias("coverage"), F.count_if(F.abs(C("f") - C("close")) > 1e-6).alias("disagree"))
 
@@ -207,13 +215,13 @@ HELD_SQL = "SELECT d.*, 1000.0::DOUBLE + code::INTEGER AS shares, 10.0::DOUBLE A
 @query("A24_dividend_on_holdings", oracle(f"SELECT code, ex_day::VARCHAR AS ex_day, {rsql('shares * cash * 0.8')} AS credit, shares + round(shares * stock) AS shares, {rsql('greatest(cost - cash * 0.8, 0) * shares / (shares + round(shares * stock))')} AS cost FROM h", "dividends", h=HELD_SQL))
 def a24(spark, sf):
     d = dividends(spark, sf)
-    held = d.select("code", "ex_day", (F.lit(1000.0) + N).alias("shares"), F.lit(10.0).alias("cost"))
+    held = d.select("code", "ex_day", (F.lit(1000.0) + number()).alias("shares"), F.lit(10.0).alias("cost"))
     return a.holdings_after(held, d.select("code", "ex_day", "cash", "stock")).select("code", C("ex_day").cast("string").alias("ex_day"), rnd("credit").alias("credit"), "shares", rnd("cost").alias("cost"))
 
 
 @query("A25_fund_dividend", oracle(f"SELECT code, {rsql('sum((1000 + code::INTEGER) * cash * 0.8)')} AS credit, count(*) AS n FROM dividends WHERE proc = 'implemented' GROUP BY code", "dividends"))
 def a25(spark, sf):
-    return dividends(spark, sf).where("proc = 'implemented'").groupBy("code").agg(rnd(F.sum((1000 + N) * C("cash") * 0.8)).alias("credit"), F.count("*").alias("n"))
+    return dividends(spark, sf).where("proc = 'implemented'").groupBy("code").agg(rnd(F.sum((1000 + number()) * C("cash") * 0.8)).alias("credit"), F.count("*").alias("n"))
 
 
 SPLIT_SQL = f"SELECT *, round(ratio * 2) / 2 AS snap FROM (SELECT code, dt, {lag('close')} / nullif(pre, 0) AS ratio FROM (SELECT *, CASE WHEN k % 11 = 0 THEN {lag('close')} / 2 WHEN k % 13 = 0 THEN {lag('close')} / 1.05 WHEN k % 17 = 0 THEN {lag('close')} * 2 ELSE {lag('close')} END AS pre FROM bars)) WHERE ratio IS NOT NULL"

@@ -13,8 +13,14 @@ from .registry import query, rnd, rsql, shown, shown_sql
 
 C = F.col
 AT = "1996-06-28"
-DAY = F.lit(AT).cast("date")
-N = C("code").cast("int")
+
+
+def at_day():
+    return F.lit(AT).cast("date")
+
+
+def number():
+    return C("code").cast("int")
 
 
 def front(spark, sf):
@@ -30,7 +36,7 @@ VIEWED = "CASE WHEN max((close_front IS NOT NULL)::INTEGER) OVER (PARTITION BY c
 
 @query("P1_last_n_bars", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql(VIEWED)} AS close FROM (SELECT * FROM f WHERE dt <= DATE '{AT}' QUALIFY row_number() OVER (PARTITION BY code ORDER BY dt DESC) <= 70)", "bars", "factors", f=FRONT_SQL))
 def p1(spark, sf):
-    return shown(pit.price_view(pit.last_bars(front(spark, sf), 70, DAY), "pre"), "close")
+    return shown(pit.price_view(pit.last_bars(front(spark, sf), 70, at_day()), "pre"), "close")
 
 
 @query("P2_last_n_one_code", oracle(shown_sql("(SELECT * FROM bars WHERE code = '000007' ORDER BY dt DESC LIMIT 20)", "close"), "bars"))
@@ -48,7 +54,7 @@ SNAP_SQL = f"SELECT code, dt, close, volume, NULL::DOUBLE AS circ_mv, 'bars' AS
 
 @query("P4_snapshot", oracle(shown_sql("s", "close", "volume", "circ_mv", '="table"', digits=4), "bars", "valuation", s=SNAP_SQL))
 def p4(spark, sf):
-    return shown(pit.snapshot({"bars": bars(spark, sf), "valuation": valuation(spark, sf)}, DAY, ["code", "dt", "close", "volume", "circ_mv"]), "close", "volume", "circ_mv", "table", digits=4)
+    return shown(pit.snapshot({"bars": bars(spark, sf), "valuation": valuation(spark, sf)}, at_day(), ["code", "dt", "close", "volume", "circ_mv"]), "close", "volume", "circ_mv", "table", digits=4)
 
 
 @query("P5_multi_day_snapshot", oracle(f"SELECT dt::VARCHAR AS dt, count(*) AS n, {rsql('sum(amount)', 2)} AS amount FROM bars WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' GROUP BY dt", "bars"))
@@ -81,7 +87,7 @@ def p9(spark, sf):
 
 @query("P10_latest_valuation", oracle(shown_sql(f"(SELECT * FROM valuation WHERE dt <= DATE '{AT}' QUALIFY row_number() OVER (PARTITION BY code ORDER BY dt DESC) = 1)", "pe_ttm", "pb"), "valuation"))
 def p10(spark, sf):
-    return shown(pit.last_bars(valuation(spark, sf), 1, DAY), "pe_ttm", "pb")
+    return shown(pit.last_bars(valuation(spark, sf), 1, at_day()), "pe_ttm", "pb")
 
 
 SHARES_SQL = "SELECT code, dt AS ann_day, date_trunc('month', dt)::DATE AS end_day, pb AS shares FROM valuation"
@@ -93,12 +99,12 @@ def shares(spark, sf):
 
 @query("P11_monthly_share", oracle(f"SELECT code, end_day::VARCHAR AS end_day, ann_day::VARCHAR AS ann_day, shares FROM s WHERE end_day <= DATE '{AT}' QUALIFY row_number() OVER (PARTITION BY code ORDER BY end_day DESC, ann_day DESC) = 1", "valuation", s=SHARES_SQL))
 def p11(spark, sf):
-    return shown(latest(shares(spark, sf).where(C("end_day") <= DAY), "code", F.desc("end_day"), F.desc("ann_day")), "shares", keys=("code", "end_day", "ann_day"))
+    return shown(latest(shares(spark, sf).where(C("end_day") <= at_day()), "code", F.desc("end_day"), F.desc("ann_day")), "shares", keys=("code", "end_day", "ann_day"))
 
 
 @query("P12_share_as_announced", oracle(f"SELECT code, end_day::VARCHAR AS end_day, ann_day::VARCHAR AS ann_day, shares FROM s WHERE ann_day <= DATE '{AT}' QUALIFY row_number() OVER (PARTITION BY code ORDER BY ann_day DESC, end_day DESC) = 1", "valuation", s=SHARES_SQL))
 def p12(spark, sf):
-    return shown(latest(shares(spark, sf).where(C("ann_day") <= DAY), "code", F.desc("ann_day"), F.desc("end_day")), "shares", keys=("code", "end_day", "ann_day"))
+    return shown(latest(shares(spark, sf).where(C("ann_day") <= at_day()), "code", F.desc("ann_day"), F.desc("end_day")), "shares", keys=("code", "end_day", "ann_day"))
 
 
 VALUED_SQL = f"""SELECT v.code, v.circ_mv / 1e8 AS cap, coalesce(s.shares, v.circ_mv / nullif(b.close, 0)) AS floats, v.pb FROM (SELECT * FROM valuation WHERE dt <= DATE '{AT}' QUALIFY row_number() OVER (PARTITION BY code ORDER BY dt DESC) = 1) v
@@ -107,9 +113,9 @@ VALUED_SQL = f"""SELECT v.code, v.circ_mv / 1e8 AS cap, coalesce(s.shares, v.cir
 
 
 def valued(spark, sf):
-    v = pit.last_bars(valuation(spark, sf), 1, DAY)
-    b = pit.last_bars(bars(spark, sf), 1, DAY).select("code", "close")
-    s = v.where(N % 2 == 0).select("code", C("pb").alias("shares"))
+    v = pit.last_bars(valuation(spark, sf), 1, at_day())
+    b = pit.last_bars(bars(spark, sf), 1, at_day()).select("code", "close")
+    s = v.where(number() % 2 == 0).select("code", C("pb").alias("shares"))
     return v.join(b, "code", "left").join(s, "code", "left").select("code", (C("circ_mv") / 1e8).alias("cap"), F.coalesce("shares", F.try_divide("circ_mv", "close")).alias("floats"), "pb")
 
 
@@ -127,14 +133,14 @@ def p14(spark, sf):
 @query("P15_preload_valuation", oracle(f"SELECT code, {rsql('coalesce(d.pe_ttm, m.pe)')} AS pe, d.pe_ttm IS NOT NULL AS daily FROM (SELECT code, pe_ttm FROM valuation WHERE dt = DATE '{AT}') d FULL JOIN (SELECT code, arg_max(pe_ttm, dt) AS pe FROM valuation WHERE dt <= DATE '{AT}' - 30 GROUP BY 1) m USING (code)", "valuation"))
 def p15(spark, sf):
     v = valuation(spark, sf)
-    daily = v.where(C("dt") == DAY).select("code", "pe_ttm")
-    monthly = v.where(C("dt") <= F.date_sub(DAY, 30)).groupBy("code").agg(F.max_by("pe_ttm", "dt").alias("pe"))
+    daily = v.where(C("dt") == at_day()).select("code", "pe_ttm")
+    monthly = v.where(C("dt") <= F.date_sub(at_day(), 30)).groupBy("code").agg(F.max_by("pe_ttm", "dt").alias("pe"))
     return daily.join(monthly, "code", "full").select("code", rnd(F.coalesce("pe_ttm", "pe")).alias("pe"), C("pe_ttm").isNotNull().alias("daily"))
 
 
 @query("P16_fin_indicator", oracle(f"SELECT code, end_day::VARCHAR AS end_day, ann_day::VARCHAR AS ann_day, shares FROM s WHERE ann_day <= DATE '{AT}' AND year(ann_day) BETWEEN 1995 AND 1996 AND month(end_day) IN (3, 6, 9, 12)", "valuation", s=SHARES_SQL))
 def p16(spark, sf):
-    got = shares(spark, sf).where((C("ann_day") <= DAY) & F.year("ann_day").between(1995, 1996) & F.month("end_day").isin(3, 6, 9, 12))
+    got = shares(spark, sf).where((C("ann_day") <= at_day()) & F.year("ann_day").between(1995, 1996) & F.month("end_day").isin(3, 6, 9, 12))
     return shown(got, "shares", keys=("code", "end_day", "ann_day"))
 
 
@@ -157,7 +163,7 @@ LISTED_SQL = """SELECT code, list_day::VARCHAR AS list_day, source FROM (SELECT
 
 @query("P19_listing_dates", oracle(LISTED_SQL, "bars", "valuation"))
 def p19(spark, sf):
-    got = pit.listing_dates([("valuation", valuation(spark, sf).where(N % 3 == 0)), ("bars", bars(spark, sf))])
+    got = pit.listing_dates([("valuation", valuation(spark, sf).where(number() % 3 == 0)), ("bars", bars(spark, sf))])
     return got.select("code", C("list_day").cast("string").alias("list_day"), "source")
 
 
@@ -169,19 +175,19 @@ def p20(spark, sf):
 
 @query("P21_index_members", oracle(f"SELECT m.index_code, m.code, {rsql('m.weight')} AS weight FROM index_members m JOIN (SELECT index_code, max(month) AS month FROM index_meta WHERE status = 'complete' AND month <= DATE '{AT}' GROUP BY 1) l USING (index_code, month)", "index_members", "index_meta"))
 def p21(spark, sf):
-    return pit.index_members_at(index_members(spark, sf), index_meta(spark, sf), DAY).select("index_code", "code", rnd("weight").alias("weight"))
+    return pit.index_members_at(index_members(spark, sf), index_meta(spark, sf), at_day()).select("index_code", "code", rnd("weight").alias("weight"))
 
 
 @query("P22_traded_last_day", oracle(f"SELECT DISTINCT code FROM bars WHERE dt = (SELECT max(dt) FROM bars WHERE dt <= DATE '{AT}')", "bars"))
 def p22(spark, sf):
-    b = bars(spark, sf).where(C("dt") <= DAY).select("code", "dt")
+    b = bars(spark, sf).where(C("dt") <= at_day()).select("code", "dt")
     return b.join(F.broadcast(b.agg(F.max("dt").alias("dt"))), "dt").select("code").distinct()
 
 
 @query("P23_fund_universe", oracle(f"SELECT lpad(p_partkey::VARCHAR, 6, '0') AS code, p_type AS kind FROM part WHERE p_type NOT LIKE '%COPPER%' AND lpad(p_partkey::VARCHAR, 6, '0') IN (SELECT code FROM bars WHERE dt <= DATE '{AT}')", "bars"))
 def p23(spark, sf):
     part = table(spark, sf, "part").select(F.lpad(C("p_partkey").cast("string"), 6, "0").alias("code"), C("p_type").alias("kind")).where(~C("kind").contains("COPPER"))
-    return part.join(bars(spark, sf).where(C("dt") <= DAY), "code", "left_semi")
+    return part.join(bars(spark, sf).where(C("dt") <= at_day()), "code", "left_semi")
 
 
 @query("P24_active_list", oracle("SELECT code, dt::VARCHAR AS dt, volume FROM bars WHERE dt = (SELECT max(dt) FROM bars WHERE k % 3 = 0) AND regexp_matches(code, '^0000[0-5]') AND volume > 0", "bars"))
@@ -202,7 +208,7 @@ STATUS_SQL = f"""SELECT c.code, coalesce(s.st, false) AS st, coalesce(b.volume =
 
 def statuses(spark, sf):
     codes = table(spark, sf, "supplier").select(F.lpad(C("s_suppkey").cast("string"), 6, "0").alias("code"))
-    return pit.status_at(codes, bars(spark, sf), status_events(spark, sf), DAY)
+    return pit.status_at(codes, bars(spark, sf), status_events(spark, sf), at_day())
 
 
 @query("P26_status_at", oracle(STATUS_SQL, "bars", "status_events"))
@@ -217,19 +223,19 @@ def p27(spark, sf):
 
 @query("P28_industry_at", oracle(f"SELECT code, max(industry) AS industry, count(*) AS n FROM membership WHERE code < '000300' AND from_day <= DATE '{AT}' AND (to_day IS NULL OR to_day >= DATE '{AT}') GROUP BY code", "membership"))
 def p28(spark, sf):
-    return member_at(membership(spark, sf).where("code < '000300'"), DAY).groupBy("code").agg(F.max("industry").alias("industry"), F.count("*").alias("n"))
+    return member_at(membership(spark, sf).where("code < '000300'"), at_day()).groupBy("code").agg(F.max("industry").alias("industry"), F.count("*").alias("n"))
 
 
 @query("P29_trade_days", oracle(f"SELECT dt::VARCHAR AS day, row_number() OVER (ORDER BY dt DESC) AS back FROM (SELECT DISTINCT dt FROM bars WHERE dt <= DATE '{AT}') QUALIFY back <= 30", "bars"))
 def p29(spark, sf):
-    days = pit.trade_days(bars(spark, sf)).where(C("day") <= DAY).orderBy(F.desc("day")).limit(30)
+    days = pit.trade_days(bars(spark, sf)).where(C("day") <= at_day()).orderBy(F.desc("day")).limit(30)
     return days.select(C("day").cast("string").alias("day"), F.row_number().over(Window.orderBy(F.desc("day"))).alias("back"))
 
 
 @query("P30_calendar", oracle(f"SELECT bool_or(dt = DATE '{AT}') AS is_open, min(CASE WHEN dt > DATE '{AT}' THEN dt END)::VARCHAR AS next_day, max(CASE WHEN dt < DATE '{AT}' THEN dt END)::VARCHAR AS previous_day, count(DISTINCT dt) = max(dt) - min(dt) + 1 AS complete FROM bars", "bars"))
 def p30(spark, sf):
     d = C("dt")
-    return bars(spark, sf).agg(F.bool_or(d == DAY).alias("is_open"), F.min(F.when(d > DAY, d)).cast("string").alias("next_day"), F.max(F.when(d < DAY, d)).cast("string").alias("previous_day"), (F.count_distinct(d) == F.datediff(F.max(d), F.min(d)) + 1).alias("complete"))
+    return bars(spark, sf).agg(F.bool_or(d == at_day()).alias("is_open"), F.min(F.when(d > at_day(), d)).cast("string").alias("next_day"), F.max(F.when(d < at_day(), d)).cast("string").alias("previous_day"), (F.count_distinct(d) == F.datediff(F.max(d), F.min(d)) + 1).alias("complete"))
 
 
 EXPECT_SQL = "SELECT dt, unnest(list_concat([570], range(571, 691), range(781, 901))) AS minute FROM (SELECT DISTINCT make_timestamp(time_ms * 1000)::DATE AS dt FROM minutes)"
@@ -253,14 +259,14 @@ def p32(spark, sf):
 
 @query("P33_no_halt_days", oracle(f"SELECT code, count(*) AS n FROM (SELECT code, volume FROM bars WHERE dt <= DATE '{AT}' QUALIFY row_number() OVER (PARTITION BY code ORDER BY dt DESC) <= 10) GROUP BY code HAVING count(*) = 10 AND min(volume) >= 10", "bars"))
 def p33(spark, sf):
-    got = pit.last_bars(bars(spark, sf), 10, DAY).groupBy("code").agg(F.count("*").alias("n"), F.min("volume").alias("least"))
+    got = pit.last_bars(bars(spark, sf), 10, at_day()).groupBy("code").agg(F.count("*").alias("n"), F.min("volume").alias("least"))
     return got.where("n = 10 AND least >= 10").select("code", "n")
 
 
 @query("P34_listing_age", oracle(f"SELECT code, min(dt)::VARCHAR AS list_day, count(*) AS bars_since FROM bars WHERE dt <= DATE '{AT}' GROUP BY code HAVING min(dt) < DATE '{AT}' - 365 AND count(*) > 60", "bars"))
 def p34(spark, sf):
-    got = bars(spark, sf).where(C("dt") <= DAY).groupBy("code").agg(F.min("dt").alias("d"), F.count("*").alias("bars_since"))
-    return got.where((C("d") < F.date_sub(DAY, 365)) & (C("bars_since") > 60)).select("code", C("d").cast("string").alias("list_day"), "bars_since")
+    got = bars(spark, sf).where(C("dt") <= at_day()).groupBy("code").agg(F.min("dt").alias("d"), F.count("*").alias("bars_since"))
+    return got.where((C("d") < F.date_sub(at_day(), 365)) & (C("bars_since") > 60)).select("code", C("d").cast("string").alias("list_day"), "bars_since")
 
 
 @query("P35_smallest_caps", oracle(f"SELECT dt::VARCHAR AS dt, code, {rsql('circ_mv', 2)} AS circ_mv FROM valuation WHERE dt >= DATE '1998-01-01' QUALIFY row_number() OVER (PARTITION BY dt ORDER BY circ_mv, code) <= 3", "valuation"))
