@@ -1,14 +1,17 @@
 """Operator 5, toxicity: cumulative-link ordinal regression.
 
 Severity has four grades.  Clean texts have grade 0; the toxic texts of the
-training sample are graded 1 to 3 by thirds of how dense the words are that
-mark toxic texts.  The regression gives P(grade >= j) = logistic(w.x - t_j)
+training sample are graded 1 to 3 by thirds of how many of the features that
+mark toxic texts they have.  The regression gives P(grade >= j) = logistic(w.x - t_j)
 with one weight vector shared by the ordered thresholds t_1 < t_2 < t_3, and
 the expected severity is the sum of the three probabilities.
 
-Features of a text are its distinct words (A-Z and others lower-cased, signs
-at either end removed) and the five-letter beginnings of longer words, hashed;
-those that tell toxic from clean texts apart by a z-test are kept.  At most
+Features of a text are its distinct words (lower-cased, signs at either end
+removed) and the beginnings of longer words, hashed; kept are those that a
+z-test finds more often in toxic texts and that are rare in clean ones, so a
+clean text has next to none; their weights are not negative.  Near copies
+would make any of their words look telling, so of training texts with the same
+least hash over their three-word sequences one is learned.  At most
 ``TRAIN_ROWS`` labelled rows of each class are learned; all rows are scored.
 
 Defined results: null texts count as empty and have no features.  Without
@@ -33,8 +36,10 @@ BUCKETS = 1 << 18
 TRAIN_ROWS = 4000
 GRADES = 3
 LEAST_Z = 5.0
-LEAST_TEXTS = 3
-BEGINNING = 5
+LEAST_TEXTS = 4
+#: A feature's share of clean texts over its share of toxic ones is at most this.
+MOST_CLEAN = 0.05
+BEGINNINGS = (4, 5, 6)
 SIGNS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
@@ -49,8 +54,14 @@ def distinct_words(text: str) -> set[str]:
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    """The word itself, and its beginning if it is longer than that."""
-    return (_hash(word),) if len(word) <= BEGINNING else (_hash(word), _hash("^" + word[:BEGINNING]))
+    """The word itself, and those of its beginnings that are shorter."""
+    return (_hash(word), *[_hash("^" + word[:n]) for n in BEGINNINGS if len(word) > n])
+
+
+def least_hash(text: str) -> int:
+    """The least CRC-32 of a text's three-word sequences; near copies mostly share it."""
+    words = text.lower().split()
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))), default=0)
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
@@ -64,7 +75,7 @@ class OrdinalRegression:
         self.weights: dict[int, float] = {}
         self.thresholds = np.array([1.0, 2.0, 3.0])
 
-    def fit(self, rows: list[np.ndarray], distinct: np.ndarray, toxic: np.ndarray, steps: int = 400, rate: float = 0.3, l2: float = 1e-3) -> OrdinalRegression:
+    def fit(self, rows: list[np.ndarray], toxic: np.ndarray, steps: int = 600, rate: float = 0.5, l2: float = 1e-5) -> OrdinalRegression:
         sizes = np.array([len(r) for r in rows])
         flat, row_of = np.concatenate(rows) if len(rows) else np.zeros(0, int), np.repeat(np.arange(len(rows)), sizes)
         pairs = np.unique(np.stack([row_of, flat]), axis=1)
@@ -73,12 +84,12 @@ class OrdinalRegression:
         n_bad, n_good = toxic.sum(), (~toxic).sum()
         rate_all = (bad + good) / len(toxic)
         z = (bad / n_bad - good / n_good) / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-9) * (1 / n_bad + 1 / n_good))
-        chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (bad + good >= LEAST_TEXTS))
+        chosen = np.flatnonzero((z >= LEAST_Z) & (bad >= LEAST_TEXTS) & (good / n_good <= MOST_CLEAN * bad / n_bad))
         place = np.full(BUCKETS, -1)
         place[chosen] = np.arange(len(chosen))
         held = place[flat] >= 0
         at, row = place[flat[held]], row_of[held]
-        marks = np.bincount(row, z[chosen[at]] > 0, len(rows)) / np.maximum(distinct, 1)
+        marks = np.bincount(row, minlength=len(rows))
         grade = np.zeros(len(rows), int)
         cuts = np.quantile(marks[toxic], [1 / 3, 2 / 3])
         grade[toxic] = 1 + np.searchsorted(cuts, marks[toxic], side="left")
@@ -101,7 +112,7 @@ class OrdinalRegression:
             dt = np.array([d_theta.sum(), *[d_theta[j:].sum() * np.exp(t[j]) for j in range(1, GRADES)]])
             gw += dw * dw
             gt += dt * dt
-            w += rate * dw / np.sqrt(gw)
+            w = np.maximum(0.0, w + rate * dw / np.sqrt(gw))
             t += rate * dt / np.sqrt(gt)
         self.thresholds = t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
         self.weights = dict(zip(chosen.tolist(), w.tolist(), strict=True))
@@ -133,16 +144,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
     some = known.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= rows).drop("place")
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
 
-    @F.pandas_udf("struct<n:int,ids:array<int>>")
+    @F.pandas_udf("struct<n:int,least:long,ids:array<int>>")
     def sparse(batch: pd.Series) -> pd.DataFrame:
         sets = [distinct_words(t) for t in batch]
-        return pd.DataFrame({"n": [len(s) for s in sets], "ids": [[f for w in s for f in word_features(w)] for s in sets]})
+        return pd.DataFrame({"n": [len(s) for s in sets], "least": [least_hash(t) for t in batch], "ids": [[f for w in s for f in word_features(w)] for s in sets]})
 
-    got = texts.select("doc_id", "toxic", sparse("text").alias("f")).select("doc_id", "toxic", "f.n", "f.ids").toPandas().sort_values(["doc_id", "n"])
+    got = texts.select("doc_id", "toxic", sparse("text").alias("f")).select("doc_id", "toxic", "f.n", "f.least", "f.ids").toPandas()
+    got = got.sort_values(["doc_id", "n"]).drop_duplicates("least")
     toxic = got["toxic"].to_numpy() > 0
     if not toxic.any() or toxic.all():
         return None
-    return OrdinalRegression().fit([np.array(x, np.int64) for x in got["ids"]], got["n"].to_numpy(), toxic)
+    return OrdinalRegression().fit([np.array(x, np.int64) for x in got["ids"]], toxic)
 
 
 def grade_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
