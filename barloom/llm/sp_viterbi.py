@@ -35,7 +35,7 @@ MARK = "▁"
 #: Stands for a space mark in the text itself; no text that Spark holds has it.
 LITERAL_MARK = "\ud800"
 UNKNOWN = 10.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -44,6 +44,23 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def words(text: str) -> list[str]:
+    """The text's words; a word begins with one space less than stand before it, the text's begin counting as one."""
+    if not text:
+        return []
+    parts = text.split(" ")
+    if "" not in parts:
+        return parts
+    out, spaces = [], 0
+    for p in parts:
+        if p:
+            out.append(" " * spaces + p)
+            spaces = 0
+        else:
+            spaces += 1
+    return [*out, " " * (spaces - 1)] if spaces else out
+
+
 class PieceModel:
     """Automaton, scores and byte pieces of a model file."""
 
@@ -74,30 +91,30 @@ class PieceModel:
                     worst = min(worst, score)
         self.automaton.make_automaton()
         self.skip = worst - UNKNOWN
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def segment(self, word: str) -> list[int]:
         """Ids of the best segmentation of normalised text."""
         n, skip, singles = len(word), self.skip, self.singles
-        best, back = [0.0] + [float("-inf")] * n, [(-1, 0)] * (n + 1)
-        done = 0
-
-        def open_up(to: int) -> None:
-            for p in range(done + 1, to + 1):
-                if word[p - 1] not in singles:
-                    best[p], back[p] = best[p - 1] + skip, (-1, 1)
-
-        for end, (i, size, score) in self.automaton.iter(word):
-            if end >= done:
-                open_up(end + 1)
-                done = end + 1
-            total = best[end + 1 - size] + score
-            if total > best[end + 1]:
-                best[end + 1], back[end + 1] = total, (i, size)
-        open_up(n)
+        best, back = [0.0] + [float("-inf")] * n, [(-1, 1, skip)] * (n + 1)
+        if singles.issuperset(word):  # every position is reached by a piece
+            for end, match in self.automaton.iter(word):
+                total = best[end + 1 - match[1]] + match[2]
+                if total > best[end + 1]:
+                    best[end + 1], back[end + 1] = total, match
+        else:
+            done = 0
+            for end, match in [*self.automaton.iter(word), (n - 1, None)]:
+                while done <= end:  # positions up to here may also be reached by skipping a character
+                    done += 1
+                    if word[done - 1] not in singles:
+                        best[done] = best[done - 1] + skip
+                if match and best[end + 1 - match[1]] + match[2] > best[end + 1]:
+                    best[end + 1], back[end + 1] = best[end + 1 - match[1]] + match[2], match
         out, at = [], n
         while at:
-            i, size = back[at]
+            i, size, _ = back[at]
             if i >= 0:
                 out.append(i)
             else:
@@ -106,51 +123,58 @@ class PieceModel:
             at -= size
         return out[::-1]
 
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """The young generation of remembered words, with all that is wanted.
+
+        When it is full it becomes the old one, so frequent words stay and
+        memory is bounded.
+        """
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        new = wanted.difference(self.young)
+        for w in new & self.old.keys():
+            self.young[w] = self.old[w]
+        for w in new.difference(self.old):
+            bare = w.lstrip(" ")
+            self.young[w] = array("i", self.segment(MARK * (1 + len(w) - len(bare)) + bare.replace(MARK, LITERAL_MARK))).tobytes()
+        return self.young
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit bytes."""
+        cut = [words(t) for t in texts]
+        known = self._learn(set().union(*cut))
+        return [b"".join(map(known.__getitem__, part)) for part in cut]
+
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit bytes."""
-        if not text:
-            return b""
-        if MARK in text:
-            text = text.replace(MARK, LITERAL_MARK)
-        known, out = self.known, []
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        parts = text.split(" ")
-        if "" in parts:
-            merged, marks = [], MARK
-            for p in parts:
-                if p:
-                    merged.append(marks + p)
-                    marks = MARK
-                else:
-                    marks += MARK
-            words = merged + ([marks[1:]] if len(marks) > 1 else [])
-        else:
-            words = [MARK + p for p in parts]
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = array("i", self.segment(word)).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         text = self.text
         return b"".join([text[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+_MODELS: dict[str, PieceModel] = {}
+
+
+def piece_model(path: str) -> PieceModel:
+    """This worker's model, which later tasks use again with the words it remembers."""
+    if path not in _MODELS:
+        _MODELS[path] = PieceModel(path)
+    return _MODELS[path]
+
+
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, n_chars, n_pieces, ids, ids_crc32, round_trip) of whole texts."""
     path = model or model_path()
     schema = "doc_id long, n_chars long, n_pieces long, ids array<int>, ids_crc32 long, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(path)
+        pieces = piece_model(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
                 texts = some.column("text").to_pylist()
-                made = [pieces.encode(t) for t in texts]
+                made = pieces.encode_all(texts)
                 ids = [np.frombuffer(m, "<i4") for m in made]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 same = [pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
@@ -170,7 +194,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     path = model or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(path)
+        pieces = piece_model(path)
         for batch in batches:
             texts = [pieces.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
