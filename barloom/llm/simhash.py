@@ -39,6 +39,8 @@ SEED = 42
 MOST_BITS = 3
 BUCKET = 2048
 CUTS = 4
+#: Fingerprints of the set of words for finding near copies.
+WORD_PRINTS = 4
 MAX_ROUNDS = 60
 LOW_HALF = 0xFFFFFFFF
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -208,11 +210,60 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents without near-duplicates of smaller id, with their own columns.
+def word_fingerprints(raw: bytes, count: int = WORD_PRINTS) -> list[int]:
+    """Signed fingerprints of a text's set of words, each from hashes of its own."""
+    words = set(raw.lower().split())
+    if not words:
+        return [0] * count
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(w, SEED) for w in words], np.uint64)
+    out = []
+    for k in range(count):
+        z = hashes * np.uint64(2 * k + 1)
+        for _ in range(2):
+            z ^= z >> np.uint64(32)
+            z *= np.uint64(0xD6E8FEB86659FD93)
+        columns = (z ^ (z >> np.uint64(32))).view(np.uint8).reshape(-1, 8)
+        ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS_OF_BYTE for i in range(8)])
+        out.append(int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True))
+    return out
+
+
+def similar_documents(docs: DataFrame, count: int = WORD_PRINTS) -> DataFrame:
+    """(node, root) over document ids: near copies with the smallest id of their group, for documents that are not it.
+
+    Documents are linked where any of ``count`` fingerprints of their sets of
+    words differ in at most three bits.  One changed word changes one member
+    of the set but five of the five-word shingles, so texts whose shingles
+    have a similarity of 0.8 or more mostly agree within three bits, which one
+    fingerprint of shingles does not give.
+    """
 
-    Of exact repetitions of an id, all rows stay or go together.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [word_fingerprints(t or b"", count) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    prints = materialise(rows.mapInArrow(run, "doc_id long, fps array<long>"), "wordprints")
+    edges = None
+    for k in range(count):
+        own = prints.select("doc_id", F.col("fps")[k].alias("fp"))
+        nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        near = links(nodes.select("fp"))
+        ends = near.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
+        between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
+        equal = own.join(nodes, "fp").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+        found = materialise(between.unionByName(equal).distinct(), "links")
+        edges = found if edges is None else edges.unionByName(found)
+    return components(edges.distinct())
+
+
+def keep_one(docs: DataFrame, count: int = WORD_PRINTS) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id, with its own columns.
+
+    Of exact repetitions of an id all rows stay or go together; rows without an id stay.
     """
-    name = spare_name(docs, "keep")
-    judged = near_duplicates(docs, size).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(judged, F.col("doc_id").cast("long") == F.col(name), "left_semi")
+    name = spare_name(docs, "copy")
+    copies = similar_documents(docs, count).select(F.col("node").alias(name))
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -1,0 +1,396 @@
+"""Each operator against a brute-force version, and on odd input: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+import hashlib
+import io
+import itertools
+import re
+import wave
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from barloom.llm import bsi_topk, media_wav, mixing, pii_sanitise, quality_fm, queries, simhash, sp_viterbi, token_orc, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", None, " ", "one", "two words", "a b c d e f", "a b c d e f", "x" * 5000, "word " * 3000, "É ñ ß 字 ▁ \x00 \n\t", "don't  stop", " lead", "trail "]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(ODD)] + [(3, "one", None, None, 3), (None, "one", "en", "s", 3)]
+    return spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit(9), "fp": F.lit("x"), "spans": F.lit(1), "number": F.lit(1), "topic": F.lit("t"), "p": F.lit(0)})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# 1
+
+
+def test_urls_by_rule_and_list(spark):
+    urls = ["https://A.Example.COM/en/71?x", "http://www.example.com/en/8", "https://x.net/de/1", "http://a.example.net/de/8#y", None, "nonsense", "http://spam-farm.example.org", "http://spam-farm.example.org", "ftp://org/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, queries.RULES, F.col("host").rlike(queries.LISTED_HOSTS)).collect()}
+    assert [(got[i].rule, got[i].verdict) for i in range(9)] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), (None, "allow"), (None, "allow"), (None, "block"), (None, "block"), ("org/es/", "block")]
+    assert got[0].host == "a.example.com" and got[0].path == "/en/71" and got[4].host == "" and got[6].path == ""
+    assert rows(url_filter.filter_urls(pages.limit(0), queries.RULES, F.lit(True))) == []
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    keys = spark.range(30000).select(F.concat(F.lit("k"), "id").alias("key"), (F.xxhash64("id") % 10 == 0).alias("listed"))
+    cascade = url_filter.build_cascade(keys, 64, first_rate=0.25)
+    assert cascade.agg(F.max("level")).first()[0] >= 2
+    for budget in (32 << 20, 2000):  # one pass, and many
+        out = url_filter.listed_by_cascade(keys.withColumn("h1", F.lit(0)), F.col("key"), cascade, 64, "answer", budget)
+        assert out.where("answer <> listed").count() == 0 and out.count() == 30000
+
+
+# 2
+
+
+def brute_top(vectors, k):
+    ids, v = [i for i, _ in vectors], np.array([np.floor(64 * np.array(x, float)) for _, x in vectors], np.int64)
+    out = []
+    for a in range(len(ids)):
+        if ids[a] % 20 == 0:
+            scores = sorted((-int(v[a] @ v[b]), ids[b]) for b in range(len(ids)) if b != a)
+            out += [(ids[a], n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block,chunk", [(1 << 16, 256), (64, 3)])
+def test_top_k_equals_brute_force(spark, monkeypatch, block, chunk):
+    rng = np.random.default_rng(1)
+    vectors = [(i, rng.normal(0, 0.2, 9).astype(np.float32).tolist()) for i in range(300)]
+    vectors += [(i, vectors[5][1]) for i in range(300, 340)]  # ties
+    bad = [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (None, [1.0]), (1060, [float("inf")])]
+    df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    monkeypatch.setattr(bsi_topk.build_index, "__defaults__", (block,))
+    monkeypatch.setattr(bsi_topk.query_chunks, "__defaults__", (chunk,))
+    assert sorted(rows(bsi_topk.top_k(df, F.col("vec_id") % 20 == 0))) == brute_top(vectors, 20)
+
+
+def test_top_k_small_and_repeated(spark):
+    df = spark.createDataFrame([(20, [1.0, 2.0]), (20, [1.0, 2.0]), (7, [0.5]), (9, [])], "vec_id long, embedding array<double>")
+    got = sorted(rows(bsi_topk.top_k(df, F.col("vec_id") % 20 == 0)))
+    assert got == sorted(2 * [(20, 1, 20, 64 * 64 * 5), (20, 2, 7, 32 * 64), (20, 3, 9, 0)])
+    assert rows(bsi_topk.top_k(df.limit(0), F.lit(True))) == []
+
+
+# 3
+
+
+def test_mixing_meets_its_targets(spark, odd, empty):
+    made = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 9)).alias("source"))
+    targets = {"source": mixing.Target(temper=0.5), "lang": mixing.Target({"en": 0.5, "de": 0.5})}
+    got = mixing.mix(made.withColumn("topic", F.lit(1)), targets, 0.3, 12)
+    share = {r.lang: r.n for r in got.groupBy("lang").agg((F.sum(F.col("tokens") * F.col("probability")) / 80000).alias("n")).collect()}
+    assert abs(share["en"] - 0.15) < 1e-3 and abs(share["de"] - 0.15) < 1e-3
+    assert abs(got.where("sampled").count() / 20000 - 0.3) < 0.02
+    assert mixing.sample(made, targets, 0.3, 12).columns == made.columns
+    assert mixing.sample(made, targets, 0.3, 12).count() == got.where("sampled").count()
+    assert mixing.mix(odd, queries.TARGETS).count() == odd.count() and rows(mixing.mix(empty, queries.TARGETS)) == []
+    assert mixing.sample(odd, queries.TARGETS).columns == odd.columns
+
+
+def test_mixing_in_one_partition_equals_distributed(spark, sf, monkeypatch):
+    one = sorted(rows(queries.op3_mixing(spark, sf)))
+    monkeypatch.setattr(mixing, "ONE_PARTITION_CELLS", 0)
+    monkeypatch.setattr(queries, "ITERATIONS", 10)
+    assert sorted(rows(queries.op3_mixing(spark, sf))) == one
+
+
+# 4
+
+
+def test_machine_scores_by_the_identity():
+    m = quality_fm.FactorisationMachine(50, 4)
+    m.bias, m.w = 0.1, np.random.default_rng(2).normal(size=50).astype(np.float32)
+    ids, x = np.array([3, 7, 9, 1]), np.array([1.0, 0.5, 2.0, 1.0], np.float32)
+    pairs = sum(float(m.v[a] @ m.v[b]) * xa * xb for (a, xa), (b, xb) in itertools.combinations(list(zip(ids, x, strict=True))[:3], 2))
+    due = 0.1 + float(m.w[ids[:3]] @ x[:3]) + pairs
+    assert abs(m.margin(ids, x, np.array([0, 3, 4]))[0][0] - due) < 1e-4
+
+
+def test_quality_held_out(spark, odd, empty):
+    got = queries.op4_quality_fm(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
+    right = [r.predicted == r.quality for r in got]
+    assert len(right) > 500 and np.mean(right) > 0.97
+    labels = spark.createDataFrame([(0, 1, 0), (4, 0, 1), (5, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
+    assert quality_fm.classify(odd, labels).where("score between 0 and 1").count() == odd.count()
+    assert quality_fm.classify(odd, labels.limit(0)).where("score = 1 and predicted = 1").count() == odd.count()
+    assert rows(quality_fm.classify(empty, labels)) == []
+    kept = quality_fm.keep_good(odd, labels.limit(0))
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    held = {r.doc_id: r.held_out for r in quality_fm.classify(odd, labels).collect() if r.doc_id is not None}
+    assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in held.items())
+
+
+# 5
+
+
+def test_toxicity_grades(spark, odd, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.grade_toxicity(docs, labels).withColumnRenamed("toxic", "flag").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
+    assert np.mean([r.flag for r in toxic]) > 0.9 and np.mean([r.flag for r in clean]) < 0.03
+    assert all(0 <= r.severity <= 3 and r.severity >= r.p_toxic for r in got)
+    few = spark.createDataFrame([(0, 1, 0), (4, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.grade_toxicity(odd, few).count() == odd.count()
+    assert toxicity.grade_toxicity(odd, few.limit(0)).where("severity = 0 and not toxic").count() == odd.count()
+    assert rows(toxicity.grade_toxicity(empty, few)) == []
+
+
+# 6
+
+
+def brute_print(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute_components(prints):
+    label = list(range(len(prints)))
+    for a, b in itertools.combinations(range(len(prints)), 2):
+        if bin(prints[a] ^ prints[b]).count("1") <= 3:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+    return label
+
+
+def test_fingerprints_and_components(spark, odd, empty, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    ids = sorted(texts)
+    prints = [brute_print(texts[i]) for i in ids]
+    assert [got[i].fingerprint for i in ids] == [f"{p:016x}" for p in prints]
+    assert [got[i].component_id for i in ids] == [ids[x] for x in brute_components(prints)]
+    assert simhash.near_duplicates(odd).count() == odd.count() and rows(simhash.near_duplicates(empty)) == []
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {0, 3, 4}
+
+
+def linked(spark, fps):
+    edges = simhash.links(spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long"))
+    return {(int(np.int64(r.a).astype(np.uint64)), int(np.int64(r.b).astype(np.uint64))) for r in edges.collect()}
+
+
+@pytest.mark.parametrize("bucket", [2048, 4])
+def test_links_join_what_is_connected(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(bucket)
+    fps = {int(x) for x in rng.integers(0, 2**64, 40, np.uint64)}
+    for base in list(fps)[:8]:
+        for _ in range(12):
+            base ^= sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), False))
+            fps.add(base)
+    fps = sorted(fps)
+    pairs = linked(spark, fps)
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in pairs)
+    label = {f: f for f in fps}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        label[max(root(a), root(b))] = min(root(a), root(b))
+    due = brute_components(fps)
+    assert [root(f) for f in fps] == [root(fps[x]) for x in due] and len({root(f) for f in fps}) == len(set(due))
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i + 1, i) for i in range(60)] + [(200 + i, 100) for i in range(1, 50)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 61)}, **{200 + i: 100 for i in range(1, 50)}}
+
+
+# 7
+
+
+def test_tokens_round_trip(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    t, before = Tokenizer.from_file(token_orc.tokenizer_path()), 0
+    got = token_orc.store_tokens(odd).collect()
+    order = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.text or ""))
+    got = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [r.doc_id for r in order]
+    for r, due in zip(got, order, strict=True):
+        ids = t.encode(due.text or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        before += len(ids)
+    assert rows(token_orc.store_tokens(empty)) == []
+
+
+def test_pieces_give_the_whole_texts_ids():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(" \n\tab1!'é\x1c　"), rng.integers(0, 25))) for _ in range(3000)]
+    encode, t = token_orc.Encoder(token_orc.tokenizer_path()), Tokenizer.from_file(token_orc.tokenizer_path())
+    assert encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids + [2], "<i4").tobytes() for x in texts]
+
+
+def test_token_files_find_documents(spark, sf):
+    path = token_orc.fresh_path(spark, "orc-test")
+    token_orc.write_tokens(spark.read.parquet(f"{sf}/documents.parquet"), path, token_orc.tokenizer_path())
+    assert {r.doc_id for r in token_orc.tokens_of(spark, path, [3, 77]).collect()} == {3, 77}
+
+
+# 8
+
+
+def test_media_round_trip(spark, odd, empty):
+    got = sorted(media_wav.fingerprint_media(media_wav.to_media(odd)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_bytes))
+    texts = sorted(odd.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, len((r.text or "").encode())))
+    for r, due in zip(got, texts, strict=True):
+        raw = (due.text or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", ""))
+            w.writeframes(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
+    same = [r for r in got if r.doc_id in (5, 6)]
+    assert same[0].hash == same[1].hash and same[0].time == same[1].time
+    assert rows(media_wav.to_media(empty)) == []
+
+
+def test_peaks_find_a_tone():
+    t = np.arange(4000)
+    tone = (128 + 50 * np.sin(2 * np.pi * 40 / 256 * t)).astype(np.uint8).tobytes()
+    assert (media_wav.band_peaks(tone)[0][:, 2] == 40).all()
+    assert len(media_wav.peak_pairs(b"\x80" * 4000)[0]) == 0
+
+
+# 9
+
+
+def brute_best(m, text):
+    if not text:
+        return 0.0
+    s = "▁" + text.replace("▁", sp_viterbi.LITERAL_MARK).replace(" ", "▁")
+    best = [0.0] + [float("-inf")] * len(s)
+    for e in range(1, len(s) + 1):
+        options = [best[b] + m.scores[s[b:e]] for b in range(max(0, e - 16), e) if s[b:e] in m.scores]
+        if s[e - 1] not in m.singles:
+            options.append(best[e - 1] + m.skip)
+        best[e] = max(options)
+    return best[-1]
+
+
+def score_of(m, ids):
+    total, at, bytes_ = 0.0, 0, set(m.bytes.values())
+    while at < len(ids):
+        if ids[at] in bytes_:
+            lead = m.text[ids[at]][0]
+            total, at = total + m.skip, at + (1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4)
+        else:
+            total, at = total + m.scores[m.text[ids[at]].decode().replace(" ", "▁")], at + 1
+    return total
+
+
+def test_segmentation_is_best_and_reversible(spark, odd, empty):
+    m, rng = sp_viterbi.PieceModel(sp_viterbi.model_path()), np.random.default_rng(4)
+    texts = [t for t in ODD if t and len(t) < 3000] + ["".join(rng.choice(list("  \nabtheing1!é▁字😀"), rng.integers(1, 25))) for _ in range(400)]
+    for t in texts:
+        ids = np.frombuffer(m.encode(t), "<i4").tolist()
+        assert m.decode(ids) == t and abs(score_of(m, ids) - brute_best(m, t)) < 1e-6
+    made = sp_viterbi.encode(odd)
+    assert made.where("not round_trip").count() == 0 and made.count() == odd.count()
+    assert {(r.doc_id, r.text) for r in sp_viterbi.decode(made).collect()} == {(r.doc_id, r.text or "") for r in odd.collect()}
+    assert rows(sp_viterbi.encode(empty)) == []
+
+
+# 10
+
+
+def brute_spans(text):
+    def kept(kind, pattern, ok):
+        return [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if ok(m.group())]
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    out = kept("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True)
+    out += kept("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split(".")))
+    out += kept("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(digits(s)) <= 19 and luhn(digits(s)))
+    out += kept("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(digits(s)) <= 15)
+    return sorted(out, key=lambda s: (s[1], pii_sanitise.KINDS.index(s[0])))
+
+
+def test_base_spans_equal_the_plain_patterns(spark, sf):
+    rng = np.random.default_rng(5)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts += ["".join(rng.choice(list("0123456789..  --++()@@ab"), rng.integers(0, 60))) for _ in range(6000)]
+    texts += ["a@b.c@d.e", "@x.y", "a@b", "x@y..z", "1.2.3.4.5.6.7.8", "001.002.003.0004", "+1 (578) 555-6437 4918187128635271", "9" * 6000, "a" * 20000, "4111 1111 1111 1111"]
+    assert all(pii_sanitise.base_spans(t) == brute_spans(t) for t in texts)
+
+
+def test_terms_that_reveal_an_entity(spark, odd, empty):
+    rng = np.random.default_rng(6)
+    common = ["the", "and", "for", "with", "that", "from", "this", "they"]
+    filler = lambda n: " ".join(rng.choice(common, n))
+    texts = [f"{filler(9)} Zaphod mail zb@x.org {filler(9)}" for _ in range(4)] + [f"{filler(9)} mail q{i}@x.org {filler(9)}" for i in range(30)] + [filler(20) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in pii_sanitise.detect(docs).collect()}
+    assert [got[i].n_term for i in range(5)] == [1, 1, 1, 1, 0] and all(got[i].n_email == 1 for i in range(34))
+    at = texts[0].index("Zaphod")
+    mail = texts[0].index("zb@")
+    assert got[0].spans == f"term:{at}:{at + 6},email:{mail}:{mail + 8}"
+    assert got[0].base_sha256 == hashlib.sha256(f"email:{mail}:{mail + 8}".encode()).hexdigest()
+    clean = {r.doc_id: r for r in pii_sanitise.sanitise(docs).collect()}
+    assert "Zaphod" not in clean[0].text and "<EMAIL>" in clean[0].text and clean[40].text == texts[40] and clean[0].n_chars == len(clean[0].text)
+    assert pii_sanitise.detect(odd).count() == odd.count() and rows(pii_sanitise.detect(empty)) == []
+    same = pii_sanitise.sanitise(odd)
+    assert same.columns == odd.columns and sorted(map(str, rows(same))) == sorted(map(str, rows(odd)))
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    n = docs.count()
+    for name, stage in p.STAGES:
+        docs = stage(spark, docs, sf)
+        if name != "sentencepiece":
+            docs = p.materialise(docs, "test")
+            assert docs.columns == columns
+        assert 0 < docs.count() <= n
+        n = docs.count()
+    assert docs.where("not round_trip").count() == 0
+    assert queries.pipeline(spark, sf).count() == n
+
+
+def test_pipeline_stages_on_odd_input(spark, odd, empty, sf):
+    import corpus_pipeline as p
+
+    for _, stage in p.STAGES:
+        assert stage(spark, odd, sf).count() <= odd.count()
+        assert stage(spark, empty, sf).count() == 0
