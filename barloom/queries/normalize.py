@@ -9,7 +9,7 @@ from ..operators.indicators import S
 from ..operators.joins import latest
 from ..operators.pit import in_session
 from ..plans.views import bars, membership, minutes, oracle, table, trades
-from .registry import W, lag, query, rsql, shown, shown_sql, steps
+from .registry import W, lag, query, rnd, rsql, shown, shown_sql, steps
 
 C = F.col
 FORMS = "CASE k % 3 WHEN 0 THEN code || '.SH' WHEN 1 THEN 'sh.' || code ELSE 'x' || code END"
@@ -20,10 +20,10 @@ def forms():
     return F.when(k == 0, F.concat("code", F.lit(".SH"))).when(k == 1, F.concat(F.lit("sh."), "code")).otherwise(F.concat(F.lit("x"), "code"))
 
 
-@query("N1_column_map", oracle(shown_sql("bars", "=close AS last_price", "=amount AS money", "=volume").replace("close AS", "round(close + 3e-8, 6) AS"), "bars"))
+@query("N1_column_map", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql('close')} AS last_price, amount AS money, volume FROM bars", "bars"))
 def n1(spark, sf):
     got = n.map_columns(bars(spark, sf), {"close": "last_price"}, {"money": "amount"})
-    return got.select("code", C("dt").cast("string").alias("dt"), F.round(C("last_price") + 3e-8, 6).alias("last_price"), "money", "volume")
+    return got.select("code", C("dt").cast("string").alias("dt"), rnd("last_price").alias("last_price"), "money", "volume")
 
 
 @query("N2_normalize_code", oracle(f"SELECT f AS form, coalesce(nullif(regexp_extract(f, '^(\\d{{6}})\\.(?:SH|SZ|BJ|SI)$', 1), ''), nullif(regexp_extract(f, '(\\d{{6}})', 1), '')) AS raw, count(*) AS n FROM (SELECT {FORMS} AS f FROM bars) GROUP BY 1, 2", "bars"))

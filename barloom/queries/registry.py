@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def off_tie(digits: int) -> float:
     """A shift that moves exact binary ties (as in 1/32) off the rounding boundary, where engines differ."""
-    return 0.03 * 10.0**-digits
+    return 0.0317263547 * 10.0**-digits
 
 
 def rnd(value: Column | str, digits: int = 6) -> Column:
