@@ -33,7 +33,7 @@ from .shared import text_or_empty
 from .words import CACHE_WORDS
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2500
 GRADES = 3
 LEAST_Z = 5.0
 LEAST_TEXTS = 4
@@ -76,11 +76,10 @@ class OrdinalRegression:
         self.thresholds = np.array([1.0, 2.0, 3.0])
 
     def fit(self, rows: list[np.ndarray], toxic: np.ndarray, steps: int = 600, rate: float = 0.5, l2: float = 1e-5) -> OrdinalRegression:
-        sizes = np.array([len(r) for r in rows])
-        flat, row_of = np.concatenate(rows) if len(rows) else np.zeros(0, int), np.repeat(np.arange(len(rows)), sizes)
-        pairs = np.unique(np.stack([row_of, flat]), axis=1)
-        bad = np.bincount(pairs[1], toxic[pairs[0]], BUCKETS)
-        good = np.bincount(pairs[1], ~toxic[pairs[0]], BUCKETS)
+        flat = np.concatenate(rows).astype(np.int32) if len(rows) else np.zeros(0, np.int32)
+        row_of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        of_toxic = toxic[row_of]
+        bad, good = np.bincount(flat[of_toxic], minlength=BUCKETS), np.bincount(flat[~of_toxic], minlength=BUCKETS)
         n_bad, n_good = toxic.sum(), (~toxic).sum()
         rate_all = (bad + good) / len(toxic)
         z = (bad / n_bad - good / n_good) / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-9) * (1 / n_bad + 1 / n_good))
@@ -147,14 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
     @F.pandas_udf("struct<n:int,least:long,ids:array<int>>")
     def sparse(batch: pd.Series) -> pd.DataFrame:
         sets = [distinct_words(t) for t in batch]
-        return pd.DataFrame({"n": [len(s) for s in sets], "least": [least_hash(t) for t in batch], "ids": [[f for w in s for f in word_features(w)] for s in sets]})
+        return pd.DataFrame({"n": [len(s) for s in sets], "least": [least_hash(t) for t in batch], "ids": [sorted({f for w in s for f in word_features(w)}) for s in sets]})
 
     got = texts.select("doc_id", "toxic", sparse("text").alias("f")).select("doc_id", "toxic", "f.n", "f.least", "f.ids").toPandas()
     got = got.sort_values(["doc_id", "n"]).drop_duplicates("least")
     toxic = got["toxic"].to_numpy() > 0
     if not toxic.any() or toxic.all():
         return None
-    return OrdinalRegression().fit([np.array(x, np.int64) for x in got["ids"]], toxic)
+    return OrdinalRegression().fit(got["ids"].tolist(), toxic)
 
 
 def grade_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
