@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,8 +107,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> pd.DataFrame:
-    """At most ``rows`` labelled texts that are not held out, in an order given by a hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> pa.Table:
+    """Features of at most ``rows`` labelled texts that are not held out, chosen by a hash of the id, in order of the id."""
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
     some = wanted.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
@@ -120,18 +121,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         cut = lambda a: [a[s:e] for s, e in zip(starts[:-1], starts[1:], strict=True)]
         return pd.DataFrame({"ids": cut(ids), "x": cut(x)})
 
-    return one.select("doc_id", "label", sparse("text").alias("f")).select("doc_id", "label", "f.ids", "f.x").toPandas().sort_values("doc_id")
+    return one.select("doc_id", "label", sparse("text").alias("f")).select("doc_id", "label", "f.ids", "f.x").orderBy("doc_id").toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FactorisationMachine | None:
     """A machine fitted on the bounded sample, None if there are no labels."""
     got = labelled_sample(docs, labels, "quality", rows)
-    if got.empty:
+    if not got.num_rows:
         return None
-    sizes = got["ids"].map(len).to_numpy()
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    lists, x = got["ids"].combine_chunks(), got["x"].combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
     y = (got["label"].to_numpy() > 0).astype(np.float32)
-    return FactorisationMachine().fit(np.concatenate(got["ids"].to_list()), np.concatenate(got["x"].to_list()), starts, y)
+    ids, x = lists.flatten().to_numpy(), x.flatten().to_numpy()
+    del got, lists
+    return FactorisationMachine().fit(ids, x, starts, y)
 
 
 def scorer(docs: DataFrame, model: FactorisationMachine | None):
