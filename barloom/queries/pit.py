@@ -150,11 +150,11 @@ def p17(spark, sf):
     return shown(got.orderBy(C("dt"), C("code").asc_nulls_last()), "status")
 
 
-@query("P18_corporate_actions", oracle(f"SELECT code, ex_day::VARCHAR AS ex_day, {rsql('coalesce(CASE WHEN cash > 0.05 THEN cash END, stock)')} AS amount FROM dividends WHERE ex_day = DATE '1994-06-10'", "dividends"))
+@query("P18_corporate_actions", oracle(f"SELECT code, ex_day::VARCHAR AS ex_day, {rsql('coalesce(CASE WHEN cash > 0.05 THEN cash END, stock)')} AS amount FROM dividends WHERE ex_day = DATE '1995-06-12'", "dividends"))
 def p18(spark, sf):
     from ..plans.views import dividends
 
-    got = dividends(spark, sf).where("ex_day = '1994-06-10'").withColumn("amount", F.coalesce(F.when(C("cash") > 0.05, C("cash")), C("stock")))
+    got = dividends(spark, sf).where("ex_day = '1995-06-12'").withColumn("amount", F.coalesce(F.when(C("cash") > 0.05, C("cash")), C("stock")))
     return shown(got, "amount", keys=("code", "ex_day"))
 
 
