@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import fresh_path, text_or_empty
 
 END_ID = 2
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 ROW_STRIDE = 1000
 ROWS = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
@@ -44,63 +46,139 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A space that white space or the end follows; texts without any are cut at every space.
+_ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+
+
 def pieces(text: str) -> list[str]:
-    """The text cut before each space that no white space follows."""
+    """What the text begins with up to the first cut, then the pieces behind the cuts without their leading space.
+
+    Cuts are before each space that no white space follows.
+    """
     parts = text.split(" ")
-    if all(p and not p[0].isspace() for p in parts[1:]):
-        return parts[:1] + [" " + p for p in parts[1:]] if parts[0] else [" " + p for p in parts[1:]]
     out = [parts[0]]
     for p in parts[1:]:
         if p and not p[0].isspace():
-            out.append(" " + p)
+            out.append(p)
         else:
             out[-1] += " " + p
-    return [p for p in out if p]
+    return out
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, with the end id appended."""
+    """Ids of texts as little-endian 32-bit bytes, with the end id appended.
+
+    Two generations of pieces are remembered: when the young one is full it
+    becomes the old one, so frequent pieces stay and memory is bounded.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.end = np.array([end_id], "<i4").tobytes()
+        self.signs = {c: array("i", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # byte-level: one character of a token is one byte
+            self.sizes[i] = len(token)
+
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """The young generation, with all that is wanted (pieces without their leading space)."""
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        new = wanted.difference(self.young)
+        for p in new & self.old.keys():
+            self.young[p] = self.old[p]
+        unknown = new.difference(self.old)
+        # the tokenizer cuts between a letter and a last sign, so these follow from the piece without it
+        signed = {p for p in unknown if p[-1] in self.signs and p[-2:-1].isalpha()}
+        plain = list((unknown - signed) | {p[:-1] for p in signed}.difference(self.young))
+        for i in range(0, len(plain), 4096):
+            self._encode(plain[i : i + 4096])
+        for p in signed:
+            self.young[p] = self.young[p[:-1]] + self.signs[p[-1]]
+        return self.young
+
+    def _encode(self, some: list[str]) -> None:
+        """Ids of pieces, encoded as one text; the bytes that each id stands for tell where a piece ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + p for p in some])], add_special_tokens=False)[0].ids, "<i4")
+        due = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])
+        ends = np.cumsum(self.sizes[ids])
+        cut = np.searchsorted(ends, due) + 1
+        if ends[-1] != due[-1] or (ends[cut - 1] != due).any():
+            raise ValueError("the tokenizer joins pieces across words")
+        data = ids.tobytes()
+        self.young.update(zip(some, [data[a:b] for a, b in zip([0, *(4 * cut[:-1]).tolist()], (4 * cut).tolist(), strict=True)], strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each text has, with the end id.
+
+        Arrow cuts the texts and numbers the distinct pieces; only these are
+        looked up, and their ids are gathered for all places at once.
+        """
+        texts, odd = texts.cast(pa.large_string()), pc.match_substring_regex(texts, _ODD_SPACE)
+        cut = pc.split_pattern(texts, " ")
+        if pc.any(odd).as_py():
+            own = pa.array([pieces(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], cut.type)
+            cut = pc.if_else(odd, own, cut)
+        counts = cut.value_lengths().to_numpy().astype(np.int64)
+        numbers = cut.flatten().dictionary_encode()
+        distinct = numbers.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ends = np.cumsum(counts)
+        first = ends - counts
+        at = numbers.indices.to_numpy().astype(np.int64)
+        begun = self.tokenizer.encode_batch_fast([distinct[i] for i in at[first]], add_special_tokens=False)
+        inner = np.ones(len(at), bool)
+        inner[first] = False
+        used = np.zeros(len(distinct), bool)
+        used[at[inner]] = True  # a text's first piece has no space before it and is none of these
+        known = self._learn({p for p, u in zip(distinct, used.tolist(), strict=True) if u})
+        data = [known[p] if u else b"" for p, u in zip(distinct, used.tolist(), strict=True)]
+        data += [array("i", x.ids).tobytes() for x in begun]
+        data.append(self.end)
+        at[first] = len(distinct) + np.arange(len(first))
+        places = np.full(len(at) + len(first), len(data) - 1)
+        places[np.arange(len(at)) + np.repeat(np.arange(len(first)), counts)] = at
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(data), "<i4")
+        taken = sizes[places]
+        gather = np.repeat(starts[places] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
+        return ids[gather], np.add.reduceat(taken, first + np.arange(len(first))) if len(first) else counts
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        new = list({p for part in cut for p in part if p not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for piece, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(made.ids, "<i4").tobytes()
-        return [b"".join([known[p] for p in part]) + self.end for part in cut]
+        ids, sizes = self.encode(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def _lists(data: list[bytes]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
+def encoder(path: str, end_id: int) -> Encoder:
+    """This worker's encoder, which later tasks use again."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode whole texts and write them in ascending order of id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(tokenizer, end_id).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                data = encode(some.column("text").to_pylist())
-                n = np.array([len(d) // 4 for d in data], np.int64)
-                starts = before + np.concatenate([[0], np.cumsum(n)[:-1]])
-                before += int(n.sum())
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                ids, n = encode(some.column("text"))
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), _lists(data)], names=["doc_id", "part", "before", "n_tokens", "ids"]
+                    [some.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), pa.array(n), lists], names=["doc_id", "part", "before", "n_tokens", "ids"]
                 )
+                before += int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
