@@ -39,8 +39,13 @@ SEED = 42
 MOST_BITS = 3
 BUCKET = 2048
 CUTS = 4
-#: Fingerprints of the set of words for finding near copies.
-WORD_PRINTS = 4
+#: Words of a shingle by which near copies are found.
+NEAR_WORDS = 5
+#: How many sets under one shingle are compared with all others in the first round.
+PIVOTS = 8
+#: Texts read, and shingles kept, to put common shingles last.
+SAMPLE_TEXTS = 20_000
+MOST_COMMON = 20_000
 MAX_ROUNDS = 60
 LOW_HALF = 0xFFFFFFFF
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -210,60 +215,176 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(raw: bytes, count: int = WORD_PRINTS) -> list[int]:
-    """Signed fingerprints of a text's set of words, each from hashes of its own."""
-    words = set(raw.lower().split())
+def shingle_set(raw: bytes, size: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles; a shorter text is one shingle, a wordless one has none."""
+    words = raw.lower().split()
     if not words:
-        return [0] * count
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(w, SEED) for w in words], np.uint64)
-    out = []
-    for k in range(count):
-        z = hashes * np.uint64(2 * k + 1)
-        for _ in range(2):
-            z ^= z >> np.uint64(32)
-            z *= np.uint64(0xD6E8FEB86659FD93)
-        columns = (z ^ (z >> np.uint64(32))).view(np.uint8).reshape(-1, 8)
-        ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS_OF_BYTE for i in range(8)])
-        out.append(int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True))
-    return out
-
-
-def similar_documents(docs: DataFrame, count: int = WORD_PRINTS) -> DataFrame:
-    """(node, root) over document ids: near copies with the smallest id of their group, for documents that are not it.
+    size = min(size, len(words))
+    z = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        z = (z ^ hashes[k : len(words) - size + 1 + k]) * np.uint64(0xD6E8FEB86659FD93)
+        z ^= z >> np.uint64(32)
+    return np.unique(z)
+
 
-    Documents are linked where any of ``count`` fingerprints of their sets of
-    words differ in at most three bits.  One changed word changes one member
-    of the set but five of the five-word shingles, so texts whose shingles
-    have a similarity of 0.8 or more mostly agree within three bits, which one
-    fingerprint of shingles does not give.
+def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in one order for all texts, as many as two sets of similarity 0.8 must share one of.
+
+    Shingles in ``hot`` (ascending) come last, by their ``rank``.
     """
+    n = len(shingles)
+    place = np.zeros(n, np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+        place = np.where(hot[at] == shingles, rank[at] + 1, 0)
+    return shingles[np.argsort(place, kind="stable")][: n - (4 * n + 4) // 5 + 1 if n else 0]
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several texts of a sample, ascending, and their ranks, the most common last.
+
+    They only set the order of shingles, so the sample changes the work and not the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64))], names=["shingle"])
+
+    share = max(1, rows.count() // SAMPLE_TEXTS)
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, "shingle long")
+    counts = some.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 3")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    hot = found.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], (len(hot) - np.arange(len(hot)))[order]
+
+
+def _overlap(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets have a similarity of 0.8 or more; of prefixes, those whose sets may have it.
+
+    Sets that share s shingles share, of prefixes longer by k than what is left
+    without s, at least k; and beyond the last shared one no more than what follows it.
+    """
+    for batch in batches:
+        keep = []
+        for one, two, n, m in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b", "n_a", "n_b")), strict=True):
+            x, y, least = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), (4 * (n + m) + 8) // 9
+            if whole:
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= least)
+                continue
+            _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            needed = min(len(x) - (n - least), len(y) - (m - least))
+            keep.append(len(at) > 0 and len(at) >= needed and len(at) + min(n - at.max(), m - to.max()) - 1 >= least)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
+    """The pairs (a, b) that ``sets`` (key, n, shingles), whole or prefixes, do not rule out; on shared storage."""
+    of = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}"))
+    return materialise(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _overlap(batches, whole), "a long, b long"), "pairs")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set keys that are similar, by the sets of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [word_fingerprints(t or b"", count) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            made = [shingle_set(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            keys = pa.array([_key(x) for x in made], pa.int64())
+            sizes = pa.array([len(x) for x in made], pa.int32())
+            yield pa.RecordBatch.from_arrays([keys, sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"])
+
+    ends = materialise(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "ends")
+    ids = materialise(nodes.join(ends, "key").select(F.col("least").alias("doc_id")).distinct(), "ends")
+    texts = rows.join(ids, "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(run, "key long, n int, shingles binary").join(ends, "key", "left_semi").dropDuplicates(["key"])
+    return compared(pairs, materialise(sets, "sets"), True)
+
+
+def _key(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """(node, root) over document ids: near copies with the smallest id of their group, for documents that are not it.
 
+    Documents are linked where the sets of their five-word shingles have a
+    Jaccard similarity of 0.8 or more.  In an order of all shingles, two such
+    sets share one of their first n - ceil(0.8 n) + 1; they meet under it, and
+    each pair that meets is compared in full unless its sizes or the places
+    of the shingle rule it out.  Equal sets are folded first.
+
+    Of the sets under a shingle the first ``PIVOTS`` are compared with all; where
+    this leaves unconnected ones, the next are, ever more of them, with those
+    that nothing links to them yet, until all have had their turn.
+    """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    prints = materialise(rows.mapInArrow(run, "doc_id long, fps array<long>"), "wordprints")
-    edges = None
-    for k in range(count):
-        own = prints.select("doc_id", F.col("fps")[k].alias("fp"))
-        nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-        near = links(nodes.select("fp"))
-        ends = near.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
-        between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
-        equal = own.join(nodes, "fp").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-        found = materialise(between.unionByName(equal).distinct(), "links")
+    hot, rank = common_shingles(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            first = [prefix(x, hot, rank).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary())],
+                names=["doc_id", "key", "n", "shingles"],
+            )
+
+    made = materialise(rows.mapInArrow(run, "doc_id long, key long, n int, shingles binary"), "shingles")
+    nodes = materialise(made.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
+    prefixes = materialise(made.join(nodes, "key").where("doc_id = least").select("key", "n", "shingles").dropDuplicates(["key"]), "prefixes")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in parts], np.int64)
+            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]])
+            own = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("key", "n")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], names=["key", "n", "at", "shingle"])
+
+    spread = prefixes.mapInArrow(explode, "key long, n int, at int, shingle long")
+    by = Window.partitionBy("shingle")
+    met = spread.withColumns({"size": F.count("*").over(by), "turn": F.row_number().over(by.orderBy("key"))}).where("size > 1")
+    met = materialise(met, "met")
+
+    edges = tried = None
+    done, until = 0, PIVOTS
+    while True:
+        left = met.where(F.col("size") > done + 1)
+        if done:
+            left = left.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        else:
+            left = left.withColumn("root", F.col("key"))
+        pivots = left.where((F.col("turn") > done) & (F.col("turn") <= until))
+        one, two = pivots.alias("x"), left.alias("y")
+        shared = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
+        able = (F.col("x.turn") < F.col("y.turn")) & (F.col("x.root") != F.col("y.root")) & (9 * shared >= 4 * (F.col("x.n") + F.col("y.n")))
+        able = able & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
+        pairs = one.join(two, F.col("x.shingle") == F.col("y.shingle")).where(able).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = verified(compared(pairs, prefixes, False), rows, nodes)
         edges = found if edges is None else edges.unionByName(found)
-    return components(edges.distinct())
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if met.where(F.col("size") > until + 1).isEmpty():
+            break
+        labels = components(edges).select(F.col("node").alias("key"), "root")
+        done, until = until, until * 8
+
+    ends = edges.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
+    between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
+    equal = made.join(nodes, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    return components(between.unionByName(equal).distinct())
 
 
-def keep_one(docs: DataFrame, count: int = WORD_PRINTS) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id, with its own columns.
 
     Of exact repetitions of an id all rows stay or go together; rows without an id stay.
     """
     name = spare_name(docs, "copy")
-    copies = similar_documents(docs, count).select(F.col("node").alias(name))
+    copies = similar_documents(docs).select(F.col("node").alias(name))
     return docs.join(copies, F.col("doc_id").cast("long") == F.col(name), "left_anti")

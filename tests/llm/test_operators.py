@@ -226,6 +226,41 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{200 + i: 100 for i in range(1, 50)}}
 
 
+def brute_copies(texts):
+    """The smallest index of each text's group by Jaccard similarity of five-word shingles."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("pivots,common", [(8, 20_000), (1, 0)])
+def test_near_copies_are_those_of_similar_shingles(spark, monkeypatch, pivots, common):
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
+    monkeypatch.setattr(simhash, "MOST_COMMON", common)
+    rng = np.random.default_rng(7)
+    texts = ["a b c d e f g h", "h g f e d c b a", "a a b b c d e f g h", "", " ", "x y", "y x", "x  Y"]
+    for size in (12, 60, 200):  # copies with more and more changed words, and a shared passage
+        base = [f"w{i}" for i in rng.integers(0, 400, size)]
+        for changes in [0, 0] + list(range(1, 14)):
+            words = list(base)
+            for at in rng.choice(size, min(size, changes), False):
+                words[at] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+        texts += [" ".join(base[: size // 2] + [f"own{i}x{j}" for j in range(size)]) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    due = brute_copies(texts)
+    got = {r.node: r.root for r in simhash.similar_documents(docs).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == due
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(due))
+
+
 # 7
 
 
