@@ -12,9 +12,9 @@ Queries are a stated set (``is_query``).  They meet the blocks chunk by chunk,
 each meeting returns at most k rows per query, and a window over these picks
 the final k.  Nothing is broadcast or collected.
 
-Defined results: vectors that are null or hold a null, a NaN, an infinity or a
-component above 2**18 in size (whose scores would not fit a long) take no
-part, nor do rows whose id is null.  Shorter vectors count as padded with
+Defined results: vectors that are null or hold a null, a NaN or an infinity take
+no part, nor do rows whose id is null.  A vector whose scores might not fit a
+long (scaled squares that add up to 2**62 or more) is refused with an error.  Shorter vectors count as padded with
 zeros, so an empty vector scores 0 with all.  A repeated row is a candidate of
 its own: only the query's own row is left out.  An empty table gives no rows.
 """
@@ -30,17 +30,21 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-LARGEST = float(1 << 18)
+#: Half of what a long holds; no score is larger than the largest sum of squares.
+MOST_SQUARES = float(1 << 62)
 BLOCK_ROWS = 1 << 16
 CHUNK_QUERIES = 256
-INDEX = "block int, n int, dims int, ids binary, low array<int>, bits array<int>, slices binary"
+INDEX = "block int, n int, dims int, ids binary, low array<bigint>, bits array<int>, slices binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(vec_id, v): valid rows with v = floor(scale * x), x as double."""
     v = F.col(vector_col)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) > LARGEST))
-    ints = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    whole = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(float(scale)) * x.cast("double"), 2))
+    message = F.concat(F.lit("scores of vector "), F.col(id_col).cast("string"), F.lit(" may not fit a long"))
+    ints = F.when(squares < MOST_SQUARES, whole).otherwise(F.raise_error(message).cast("array<bigint>"))
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"))
 
 
@@ -156,8 +160,9 @@ class Block:
             among = among.copy()
             among[own >> 6] &= ~np.uint64(1 << (own & 63))
         at = top_rows(sums, among, k)
-        scores = np.full(len(at), base, np.int64)
-        for p, s in enumerate(sums):
+        # the score fits a long, so base and slices may wrap around
+        scores = np.full(len(at), (base + (1 << 63)) % (1 << 64) - (1 << 63), np.int64)
+        for p, s in enumerate(sums[:64]):
             scores += ((s[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << p
         return at, scores
 

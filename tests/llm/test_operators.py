@@ -84,6 +84,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, chunk):
     assert sorted(rows(bsi_topk.top_k(df, F.col("vec_id") % 20 == 0))) == brute_top(vectors, 20)
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, (rng.normal(0, 1, 768) * 10.0 ** rng.integers(0, 6)).tolist()) for i in range(60)]
+    vectors += [(60, [-1e6] * 768), (61, [1e6] * 768)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(rows(bsi_topk.top_k(df, F.col("vec_id") % 20 == 0))) == brute_top(vectors, 20)
+    with pytest.raises(Exception, match="may not fit a long"):
+        bsi_topk.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], df.schema), F.col("vec_id") == 0).collect()
+
+
 def test_top_k_small_and_repeated(spark):
     df = spark.createDataFrame([(20, [1.0, 2.0]), (20, [1.0, 2.0]), (7, [0.5]), (9, [])], "vec_id long, embedding array<double>")
     got = sorted(rows(bsi_topk.top_k(df, F.col("vec_id") % 20 == 0)))
