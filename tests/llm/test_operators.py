@@ -331,6 +331,15 @@ def test_peaks_find_a_tone():
     assert len(media_wav.peak_pairs(b"\x80" * 4000)[0]) == 0
 
 
+def test_short_payloads_and_last_samples_count():
+    rng = np.random.default_rng(9)
+    for units in range(1, 9):
+        one = bytes(rng.integers(97, 123, 64 * units, np.uint8))
+        two = one[:-32] + bytes(rng.integers(97, 123, 32, np.uint8))
+        assert len(media_wav.peak_pairs(one)[0]) > 0
+        assert [x.tolist() for x in media_wav.peak_pairs(one)] != [x.tolist() for x in media_wav.peak_pairs(two)]
+
+
 # 9
 
 
