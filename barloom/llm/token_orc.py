@@ -8,19 +8,22 @@ stripes in parallel and skip those that cannot hold an id.  Each row also
 holds its file part and the number of ids before it in that part; readers add
 the parts' totals (one row per write task) to know where each document starts.
 
-Encoding cuts a text before each single space that a non-space follows.  The
-tokenizer's pattern always has a boundary there, so the pieces' ids, which the
-tokenizers library gives and a bounded cache remembers, put together are those
-of the whole text.
+Encoding cuts a text before each space or line end that no white space
+follows.  The tokenizer's pattern always has a boundary there, and between a
+letter and signs behind it, so the pieces' ids, which the tokenizers library
+gives and a bounded cache remembers, put together are those of the whole text.
 
 Defined results: a null text is empty and gives the end id alone.  Rows with
-the same id follow in order of their text; a null id comes first.  An empty
-table gives files without rows.
+the same id follow in order of a hash of their text and may lie in several
+tasks; a null id comes first.  Very long texts are encoded whole.  Other
+columns are not read, whatever their names.  An empty table gives files
+without rows.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,7 +38,11 @@ from pyspark.sql import functions as F
 from .shared import fresh_path, text_or_empty
 
 END_ID = 2
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
+#: Longer pieces are not remembered.
+CACHE_LENGTH = 48
+#: Texts of about so many bytes are encoded at once.
+SLICE_BYTES = 6 << 20
 ROW_STRIDE = 1000
 ROWS = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
@@ -46,27 +53,42 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: A space that white space or the end follows; texts without any are cut at every space.
-_ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+#: White space as the tokenizer's pattern has it, but for line ends.
+_WHITE = r" \t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Pieces that a plain cut gives where white space follows white space, or stands at either end of a text.
+_ODD = rf"^([{_WHITE}]|\n[{_WHITE}\n]|\n?$)"
 
 
 def pieces(text: str) -> list[str]:
-    """What the text begins with up to the first cut, then the pieces behind the cuts without their leading space.
+    """The pieces of a text, led by a piece for its beginning.
 
-    Cuts are before each space that no white space follows.
+    Cuts are before each space or line end that no white space follows.  A
+    piece loses the space that it begins with, but keeps a line end; the text
+    itself begins as if behind a line end.  Where a text begins with white
+    space (or is empty), what stands before the first cut is behind two line
+    ends, of which neither belongs to it.
     """
-    parts = text.split(" ")
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out
+    parts = [m.group() for m in _CUT.finditer(text)]
+    first = ["\n\n" + parts[0] if parts[0][0].isspace() else "\n" + parts[0]] if parts else ["\n\n"]
+    return first + [p[1:] if p[0] == " " else p for p in parts[1:]]
+
+
+#: From one cut to the next.
+_CUT = re.compile(r"[\s\S](?:(?![ \n]\S)[\s\S])*")
+#: Words of letters alone, which the tokenizer's pattern never cuts, and signs that it always cuts from a letter before them.
+_LETTERS = re.compile(r"\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_SIGNS = ".,;:!?\"()[]{}<>*#$%&|-_/\\"
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, then from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, with the end id appended.
+    """Ids of texts as little-endian 32-bit integers, with the end id appended.
 
     Two generations of pieces are remembered: when the young one is full it
     becomes the old one, so frequent pieces stay and memory is bounded.
@@ -79,81 +101,150 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.end = np.array([end_id], "<i4").tobytes()
-        self.signs = {c: array("i", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
+        self.tails: dict[str, bytes] = {}
+        self.end_id = end_id
+        self.line_end = self._whole(["\n"])[0]
+        if len(self.line_end) != 4:
+            raise ValueError("the tokenizer has no id of its own for a line end")
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # byte-level: one character of a token is one byte
             self.sizes[i] = len(token)
-
-    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """The young generation, with all that is wanted (pieces without their leading space)."""
+        self.bytes = {i: c for i, c in enumerate(byte_letters())}
+        self.space, self.model = self.bytes[32], self.tokenizer.model
+        probes = ["Tition", "\nTition", "çouier", "\nÉéê"]
+        self.direct = [self._letters(p) for p in probes] == self._whole([p if p[0] == "\n" else " " + p for p in probes])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, piece: str) -> bytes:
+        """Ids of a word of letters, straight from the tokenizer's model."""
+        before, text = (self.line_end, piece[1:]) if piece[0] == "\n" else (b"", self.space + piece)
+        if not piece.isascii():
+            text = text.replace(self.space, " ").encode().decode("latin-1").translate(self.bytes)
+        return before + array("i", [x.id for x in self.model.tokenize(text)]).tobytes()
+
+    def _learn(self, wanted: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        new = wanted.difference(self.young)
-        for p in new & self.old.keys():
-            self.young[p] = self.old[p]
-        unknown = new.difference(self.old)
-        # the tokenizer cuts between a letter and a last sign, so these follow from the piece without it
-        signed = {p for p in unknown if p[-1] in self.signs and p[-2:-1].isalpha()}
-        plain = list((unknown - signed) | {p[:-1] for p in signed}.difference(self.young))
-        for i in range(0, len(plain), 4096):
-            self._encode(plain[i : i + 4096])
-        for p in signed:
-            self.young[p] = self.young[p[:-1]] + self.signs[p[-1]]
-        return self.young
-
-    def _encode(self, some: list[str]) -> None:
+        young, old = self.young, self.old
+        made = list(map(young.get, wanted))
+        slow: dict[str, list[tuple[int, bytes]]] = {}
+        for i in [i for i, known in enumerate(made) if known is None]:
+            p = wanted[i]
+            known = old.get(p)
+            if known is None:
+                base, tail = p.rstrip(_SIGNS), b""
+                if len(base) < len(p) and base[-1:].isalpha():
+                    tail = self._tail(p[len(base) :])
+                else:
+                    base = p
+                known = young.get(base) or old.get(base)
+                if known is None and self.direct and _LETTERS.fullmatch(base):
+                    known = young[base] = self._letters(base)
+                if known is None:
+                    slow.setdefault(base, []).append((i, tail))
+                    continue
+                known += tail
+            made[i] = known
+            if len(p) <= CACHE_LENGTH:
+                young[p] = known
+        plain = list(slow)
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            for base, known in zip(some, self._encode(some), strict=True):
+                for i, tail in slow[base]:
+                    made[i] = known + tail
+                    if len(wanted[i]) <= CACHE_LENGTH:
+                        young[wanted[i]] = made[i]
+        return made
+
+    def _tail(self, signs: str) -> bytes:
+        """Ids of signs behind a letter."""
+        known = self.tails.get(signs)
+        if known is None:
+            if len(self.tails) > CACHE_PIECES:
+                self.tails.clear()
+            known = self._whole([signs])[0]
+            if len(signs) <= CACHE_LENGTH:
+                self.tails[signs] = known
+        return known
+
+    def _encode(self, some: list[str]) -> list[bytes]:
         """Ids of pieces, encoded as one text; the bytes that each id stands for tell where a piece ends."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + p for p in some])], add_special_tokens=False)[0].ids, "<i4")
-        due = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])
+        if starts := {p for p in some if p.startswith("\n\n")}:
+            known = {p: self.line_end + ids for p, ids in zip(starts, self._whole([p[2:] for p in starts]), strict=True)}
+            rest = [p for p in some if p not in known]
+            known.update(zip(rest, self._encode(rest), strict=True))
+            return [known[p] for p in some]
+        whole = [p if p[:1] == "\n" else " " + p for p in some]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(whole)], add_special_tokens=False)[0].ids, "<i4")
+        due = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in whole])
         ends = np.cumsum(self.sizes[ids])
         cut = np.searchsorted(ends, due) + 1
-        if ends[-1] != due[-1] or (ends[cut - 1] != due).any():
-            raise ValueError("the tokenizer joins pieces across words")
+        if len(due) and (not len(ends) or ends[-1] != due[-1] or (ends[np.minimum(cut, len(ends)) - 1] != due).any()):
+            return self._whole(whole)  # an id reaches over the end of a piece
         data = ids.tobytes()
-        self.young.update(zip(some, [data[a:b] for a, b in zip([0, *(4 * cut[:-1]).tolist()], (4 * cut).tolist(), strict=True)], strict=True))
+        return [data[a:b] for a, b in zip([0, *(4 * cut[:-1]).tolist()], (4 * cut).tolist(), strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has, with the end id.
 
         Arrow cuts the texts and numbers the distinct pieces; only these are
-        looked up, and their ids are gathered for all places at once.
+        looked up, and their ids are taken for all places at once.
         """
-        texts, odd = texts.cast(pa.large_string()), pc.match_substring_regex(texts, _ODD_SPACE)
-        cut = pc.split_pattern(texts, " ")
-        if pc.any(odd).as_py():
-            own = pa.array([pieces(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], cut.type)
-            cut = pc.if_else(odd, own, cut)
+        if not len(texts):
+            return np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        texts = texts.cast(pa.large_string())
+        begun = pc.binary_join_element_wise(pa.scalar("\n", texts.type), texts, pa.scalar("", texts.type))
+        cut = pc.split_pattern(pc.replace_substring(begun, "\n", " \n"), " ")
         counts = cut.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(counts) - counts  # each text's first piece is empty
         numbers = cut.flatten().dictionary_encode()
-        distinct = numbers.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ends = np.cumsum(counts)
-        first = ends - counts
-        at = numbers.indices.to_numpy().astype(np.int64)
-        begun = self.tokenizer.encode_batch_fast([distinct[i] for i in at[first]], add_special_tokens=False)
-        inner = np.ones(len(at), bool)
-        inner[first] = False
-        used = np.zeros(len(distinct), bool)
-        used[at[inner]] = True  # a text's first piece has no space before it and is none of these
-        known = self._learn({p for p, u in zip(distinct, used.tolist(), strict=True) if u})
-        data = [known[p] if u else b"" for p, u in zip(distinct, used.tolist(), strict=True)]
-        data += [array("i", x.ids).tobytes() for x in begun]
-        data.append(self.end)
-        at[first] = len(distinct) + np.arange(len(first))
-        places = np.full(len(at) + len(first), len(data) - 1)
-        places[np.arange(len(at)) + np.repeat(np.arange(len(first)), counts)] = at
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(data), "<i4")
-        taken = sizes[places]
-        gather = np.repeat(starts[places] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
-        return ids[gather], np.add.reduceat(taken, first + np.arange(len(first))) if len(first) else counts
+        strange = pc.match_substring_regex(numbers.dictionary, _ODD).to_numpy(zero_copy_only=False)
+        places = numbers.indices.to_numpy()
+        if strange.any():
+            flags = strange[places]
+            flags[first] = False
+            odd = np.logical_or.reduceat(flags, first)
+            if odd.any():
+                own = pa.array([["", *pieces(t)] if o else None for t, o in zip(texts.to_pylist(), odd.tolist(), strict=True)], cut.type)
+                cut = pc.if_else(pa.array(odd), own, cut)
+                counts = cut.value_lengths().to_numpy().astype(np.int64)
+                first = np.cumsum(counts) - counts
+                numbers = cut.flatten().dictionary_encode()
+                places = numbers.indices.to_numpy()
+        distinct = numbers.dictionary.to_pylist()
+        empty = distinct.index("")
+        distinct[empty] = "\n"
+        known = self._learn(distinct)
+        known[empty] = b""
+        ends = np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)
+        each = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(np.frombuffer(b"".join(known), "<i4")))
+        taken = each.take(numbers.indices)
+        ids = np.append(taken.flatten().to_numpy(), np.int32(self.end_id))
+        offsets = taken.offsets.to_numpy()
+        starts = offsets[first] - offsets[0]
+        ids[starts] = self.end_id  # the line end that a text begins with stands where the text before it ends
+        return ids[1:], np.diff(np.append(starts, len(ids) - 1))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         ids, sizes = self.encode(pa.array(texts, pa.string()))
         return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of one column; a larger value is a slice of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -170,8 +261,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(tokenizer, end_id).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch, "text", SLICE_BYTES):
                 ids, n = encode(some.column("text"))
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
@@ -180,8 +270,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 )
                 before += int(ends[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     writer = ordered.mapInArrow(run, ROWS).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     writer.option("orc.row.index.stride", str(ROW_STRIDE)).option("compression", "zstd").orc(path)
 

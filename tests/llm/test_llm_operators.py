@@ -293,7 +293,8 @@ def test_pieces_give_the_whole_texts_ids():
     from tokenizers import Tokenizer
 
     rng = np.random.default_rng(3)
-    texts = ["".join(rng.choice(list(" \n\tab1!'é\x1c　"), rng.integers(0, 25))) for _ in range(3000)]
+    texts = ["".join(rng.choice([*" \n\tab1!'é\x1c　.$ñZ字", "\n\n", "<|endoftext|>"], rng.integers(0, 25))) for _ in range(6000)]
+    texts += [" ".join(rng.choice(["the", "Été.", "a$$$", "x\ny", "don't.", "'s", "e\u0301", "\n", "4,5", "ß<|endoftext|>"], 30)) for _ in range(500)] + ["", "z" * 5000]
     encode, t = token_orc.Encoder(token_orc.tokenizer_path()), Tokenizer.from_file(token_orc.tokenizer_path())
     assert encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids + [2], "<i4").tobytes() for x in texts]
 
