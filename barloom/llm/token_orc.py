@@ -66,7 +66,7 @@ def pieces(text: str) -> list[str]:
     piece loses the space that it begins with, but keeps a line end; the text
     itself begins as if behind a line end.  Where a text begins with white
     space (or is empty), what stands before the first cut is behind two line
-    ends, of which neither belongs to it.
+    ends, of which neither belongs to it; so is a text that is not cut.
     """
     parts = [m.group() for m in _CUT.finditer(text)]
     first = ["\n\n" + parts[0] if parts[0][0].isspace() else "\n" + parts[0]] if parts else ["\n\n"]
@@ -103,6 +103,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.end_id = end_id
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end = self._whole(["\n"])[0]
         if len(self.line_end) != 4:
             raise ValueError("the tokenizer has no id of its own for a line end")
@@ -137,7 +138,7 @@ class Encoder:
             known = old.get(p)
             if known is None:
                 base, tail = p.rstrip(_SIGNS), b""
-                if len(base) < len(p) and base[-1:].isalpha():
+                if len(base) < len(p) and base[-1:].isalpha() and p[:2] != "\n\n":
                     tail = self._tail(p[len(base) :])
                 else:
                     base = p
@@ -203,19 +204,17 @@ class Encoder:
         counts = cut.value_lengths().to_numpy().astype(np.int64)
         first = np.cumsum(counts) - counts  # each text's first piece is empty
         numbers = cut.flatten().dictionary_encode()
-        strange = pc.match_substring_regex(numbers.dictionary, _ODD).to_numpy(zero_copy_only=False)
-        places = numbers.indices.to_numpy()
-        if strange.any():
-            flags = strange[places]
-            flags[first] = False
-            odd = np.logical_or.reduceat(flags, first)
-            if odd.any():
-                own = pa.array([["", *pieces(t)] if o else None for t, o in zip(texts.to_pylist(), odd.tolist(), strict=True)], cut.type)
-                cut = pc.if_else(pa.array(odd), own, cut)
-                counts = cut.value_lengths().to_numpy().astype(np.int64)
-                first = np.cumsum(counts) - counts
-                numbers = cut.flatten().dictionary_encode()
-                places = numbers.indices.to_numpy()
+        strange = pc.match_substring_regex(numbers.dictionary, _ODD).to_numpy(zero_copy_only=False)[numbers.indices.to_numpy()]
+        strange[first] = False
+        odd, whole = np.logical_or.reduceat(strange, first), np.zeros(len(texts), bool)
+        for token in self.added:  # found in a text before all else, so such texts are not cut
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if odd.any() or whole.any():
+            own = [["", "\n\n" + texts[i].as_py()] if w else ["", *pieces(texts[i].as_py())] if o else None for i, (o, w) in enumerate(zip(odd.tolist(), whole.tolist(), strict=True))]
+            cut = pc.if_else(pa.array(odd | whole), pa.array(own, cut.type), cut)
+            counts = cut.value_lengths().to_numpy().astype(np.int64)
+            first = np.cumsum(counts) - counts
+            numbers = cut.flatten().dictionary_encode()
         distinct = numbers.dictionary.to_pylist()
         empty = distinct.index("")
         distinct[empty] = "\n"
