@@ -8,9 +8,12 @@ complement of a slice.  The sum is again bit-sliced, and the top rows are
 selected from the most significant slice downward; rows that tie at the
 boundary are taken by the smallest id.
 
-Queries are a stated set (``is_query``).  They meet the blocks chunk by chunk,
-each meeting returns at most k rows per query, and a window over these picks
-the final k.  Nothing is broadcast or collected.
+Queries are a stated set (``is_query``).  A block stays in its task, and the
+queries, which are small, stream past it; each meeting returns at most k rows
+per query, and a window over these picks the final k.  Where there are fewer
+blocks than tasks could run, each is held by several that share the queries,
+so the index is never copied more often than that.  Nothing is broadcast or
+collected.
 
 Defined results: vectors that are null or hold a null, a NaN or an infinity take
 no part, nor do rows whose id is null.  A vector whose scores might not fit a
@@ -22,9 +25,11 @@ its own: only the query's own row is left out.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +37,8 @@ from .shared import materialise
 
 #: Half of what a long holds; no score is larger than the largest sum of squares.
 MOST_SQUARES = float(1 << 62)
-BLOCK_ROWS = 1 << 16
-CHUNK_QUERIES = 256
+#: A block's integers, 8 bytes each, take at most this (one row at least).
+BLOCK_BYTES = 32 << 20
 INDEX = "block int, n int, dims int, ids binary, low array<bigint>, bits array<int>, slices binary"
 
 
@@ -172,48 +177,59 @@ def numbered_rows(rows: DataFrame) -> DataFrame:
     return materialise(rows.withColumn("pos", F.monotonically_increasing_id()), "bsi-rows")
 
 
-def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Bit-sliced blocks of all numbered rows, on shared storage."""
-    blocks = max(1, -(-rows.count() // block_rows))
+def build_index(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """Bit-sliced blocks of all numbered rows, on shared storage, and how many there are at most."""
+    n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n // max(1, block_bytes // (8 * max(1, dims)))))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "pos"), F.lit(blocks)).cast("int"))
-    return materialise(dealt.groupBy("block").applyInPandas(slice_block, INDEX), "bsi")
+    return materialise(dealt.groupBy("block").applyInPandas(slice_block, INDEX), "bsi"), blocks
 
 
-def query_chunks(rows: DataFrame, is_query: Column, chunk_queries: int = CHUNK_QUERIES) -> tuple[DataFrame, int]:
-    """Queries packed into rows of about chunk_queries, and how many such rows there are at most."""
-    asked = rows.where(is_query)
-    chunks = max(1, -(-asked.count() // chunk_queries))
-    packed = asked.groupBy(F.pmod(F.xxhash64("vec_id", "pos"), F.lit(chunks)).cast("int").alias("chunk")).agg(
-        F.collect_list(F.struct("vec_id", "pos", "v")).alias("queries")
-    )
-    return packed, chunks
+FOUND = "query_id long, query_pos long, vec_id long, pos long, score long"
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def searcher(k: int):
+    """A function from rows that begin with a block and go on with queries to each query's best k of the block."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = ids = where = number = None
+        for batch in batches:
+            out = []
+            is_block, numbers = batch.column("n").is_valid().to_pylist(), batch.column("block").to_pylist()
+            for i, new in enumerate(is_block):
+                if new:
+                    number = numbers[i]
+                    row = {c: batch.column(c)[i].as_py() for c in ("n", "low", "bits", "slices", "ids")}
+                    block, ids = Block(row["n"], row["low"], row["bits"], row["slices"]), np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
+                    where = {int(p): j for j, p in enumerate(ids[:, 1])}
+                elif numbers[i] == number:  # a block that no row fell to is not there
+                    pos = batch.column("query_pos")[i].as_py()
+                    at, scores = block.search(np.array(batch.column("v")[i].as_py(), np.int64), where.get(pos, -1), k)
+                    own = np.broadcast_to(np.array([batch.column("query_id")[i].as_py(), pos], np.int64), (len(at), 2))
+                    out.append(np.concatenate([own, ids[at], scores[:, None]], axis=1))
+            made = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in made.T], names=["query_id", "query_pos", "vec_id", "pos", "score"])
+
+    return search
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each query's k highest inner products: query_id, rank, vec_id, score.
 
     ``is_query`` is an expression over vec_id.
     """
     rows = numbered_rows(quantised(vectors, id_col, vector_col, scale))
-    index = build_index(rows)
-    chunks, n_chunks = query_chunks(rows, is_query)
-    n_blocks = index.agg(F.coalesce(F.max("block") + 1, F.lit(1))).first()[0]
-    left = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    right = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    meetings = left.join(right, ["block", "chunk"])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in pdf.itertuples():
-            block = Block(row.n, row.low, row.bits, row.slices)
-            ids = np.frombuffer(row.ids, np.int64).reshape(-1, 2)
-            where = {int(p): i for i, p in enumerate(ids[:, 1])}
-            for q in row.queries:
-                at, scores = block.search(np.array(q["v"], np.int64), where.get(q["pos"], -1), k)
-                out.append(pd.DataFrame({"query_id": q["vec_id"], "query_pos": q["pos"], "vec_id": ids[at, 0], "pos": ids[at, 1], "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "query_pos", "vec_id", "pos", "score")})
-
-    found = meetings.groupBy("block", "chunk").applyInPandas(search, "query_id long, query_pos long, vec_id long, pos long, score long")
+    index, blocks = build_index(rows, block_bytes)
+    lanes = max(1, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+    lane = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    held = index.withColumn("lane", lane(lanes)).withColumns({"query_id": none("long"), "query_pos": none("long"), "v": none("array<bigint>")})
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("pos").alias("query_pos"), "v", lane(blocks).alias("block"), F.pmod(F.xxhash64("pos"), F.lit(lanes)).cast("int").alias("lane"))
+    asked = asked.withColumns({f.name: none(f.dataType) for f in index.schema if f.name != "block"})
+    columns = ["block", "lane", "n", "low", "bits", "slices", "ids", "query_id", "query_pos", "v"]
+    met = held.select(*columns).unionByName(asked.select(*columns)).repartition(blocks * lanes, "block", "lane")
+    ready = met.sortWithinPartitions("block", "lane", F.col("n").isNull())
+    found = ready.mapInArrow(searcher(k), FOUND)
     best = Window.partitionBy("query_id", "query_pos").orderBy(F.desc("score"), "vec_id", "pos")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
