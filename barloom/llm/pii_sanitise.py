@@ -1,26 +1,34 @@
 """Operator 10, PII: information-theoretic sanitisation.
 
 Base detectors find e-mail addresses, IP numbers, card numbers and phone
-numbers.  Each distinct value is a protected entity.  Terms near a mention
-(``NEAR`` terms to either side) may reveal it as well: with the documents that
-hold the entity, the term, and both near each other counted over the whole
-corpus, a term discloses the share
+numbers.  Each distinct value is a protected entity.  The terms of the
+documents that hold it may reveal it as well: with the documents that hold
+the entity, the term, and both counted over the whole corpus, a term
+discloses the share
 
     log2(c(e,t) N / (c(e) c(t))) / log2(N / c(e))
 
 of the entity's information.  Where two or more documents bear it out, terms
 that disclose at least ``GENERALISE`` are generalised, and those that disclose
-at least ``REMOVE`` are removed, wherever they stand near the entity.
-
-A term is a run of letters, digits and non-ASCII characters, A-Z lower-cased.
-Counts are aggregated before any join, so one frequent entity or term costs no
-more than any other; the corpus is read once for mentions and once for the
-frequency of terms.
-
-Defined results: a null text counts as empty and has no spans.  An entity that
-every document holds carries no information and discloses nothing.  Repeated
-rows count as documents of their own and each get a row.  Base spans always
-stay, also where they overlap.  An empty table gives no rows.
+at least ``REMOVE`` are removed, wherever they stand in a document that holds
+the entity.  An entity of less than ``LEAST_BITS`` of information (one that a
+sixteenth of all documents or more hold) identifies no one, so its terms stay.
+
+A term is a run of letters, digits and non-ASCII characters of any length,
+A-Z lower-cased.  The share is reached by terms of at most
+c(e) (N / c(e))^(1 - GENERALISE) documents only, so others are left out before
+pairs are counted.  Entities of the same documents are counted as one.  As
+two documents at least hold both, each pair occurs in another one than the
+entity's document with most terms; so pairs come from the other documents,
+and that one is only asked for them.  A document of many entities and terms
+is therefore not multiplied out for entities that it alone is large for.
+
+Defined results: a null text counts as empty and has no spans.  Repeated
+rows and equal texts count as documents of their own and each get a row.
+Base spans always stay, also where they overlap; terms that touch one are no
+terms.  Very long texts are scanned whole.  An empty table gives no rows.
+``sanitise`` keeps all columns, whatever their names; rows without spans are
+left as they are, null texts too.
 """
 
 from __future__ import annotations
@@ -34,12 +42,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, spare_name, text_or_empty
+from .shared import keyed_join, materialise, slices, spare_name, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR = 4
-LEAST_TERM = 3
 LEAST_DOCS = 2
+LEAST_BITS = 4.0
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -54,7 +61,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: What is between terms: ASCII but letters and digits.
 BETWEEN = r"[\x00-/:-@\[-`{-\x7f]+"
 _TERM = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
-_TERM_BEFORE = 80 * NEAR
+SLICE_BYTES = 4 << 20
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -91,38 +98,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _terms_before(text: str, start: int, wanted: int) -> list[tuple[int, int]]:
-    """The last terms that end before ``start``; the stretch searched grows until they are found."""
-    width = _TERM_BEFORE
-    while True:
-        low = max(0, start - width)
-        found = [m.span() for m in _TERM.finditer(text, low, start)]
-        if low and found and found[0][0] == low:
-            found = found[1:]  # it may begin before the stretch
-        if len(found) >= wanted or not low:
-            return found[-wanted:]
-        width *= 8
-
-
-def near_terms(text: str, spans: list[tuple[str, int, int]], wanted: int = NEAR) -> list[tuple[str, str, int, int, bool]]:
-    """(entity, term, start, end, first of this entity and term here) for terms near mentions, outside all base spans."""
-    covered = [(a, b) for _, a, b in spans]
-    out, seen, places = [], set(), set()
-    for kind, a, b in spans:
-        entity = f"{kind}:{text[a:b].translate(_LOWER)}"
-        near = _terms_before(text, a, wanted)
-        for m in _TERM.finditer(text, b):
-            if m.start() > b or m.start() == b:
-                near.append(m.span())
-            if len(near) >= 2 * wanted or m.end() - b > 100_000:
-                break
-        for s, e in near:
-            if e - s < LEAST_TERM or e - s > 64 or (entity, s) in places or any(s < y and x < e for x, y in covered if x < e and y > s):
-                continue
-            places.add((entity, s))
-            term = text[s:e].translate(_LOWER)
-            out.append((entity, term, s, e, (entity, term) not in seen))
-            seen.add((entity, term))
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms that no base span touches, in order; one sweep over both."""
+    lower, out, at, until = text.translate(_LOWER), [], 0, 0
+    for m in _TERM.finditer(text):
+        start, end = m.span()
+        while at < len(spans) and spans[at][1] < end:  # spans come in order of their start
+            until = max(until, spans[at][2])
+            at += 1
+        if until <= start:
+            out.append((lower[start:end], start, end))
     return out
 
 
@@ -130,60 +115,95 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_NEARBY = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first", pa.bool_())])
+def _lists(rows: list[list[tuple]], names: tuple[str, ...], kind: pa.DataType) -> pa.Array:
+    """Lists of (kind, long, long) as Arrow lists of structs."""
+    flat = [x for row in rows for x in row]
+    parts = list(zip(*flat, strict=True)) if flat else [(), (), ()]
+    ends = [0]
+    for row in rows:
+        ends.append(ends[-1] + len(row))
+    values = pa.StructArray.from_arrays([pa.array(p, t) for p, t in zip(parts, (kind, pa.int64(), pa.int64()), strict=True)], names=list(names))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(number, doc_id, base, base_sha256, near) of every document, on shared storage."""
+    """(number, doc_id, base, base_sha256, entities, terms) of every document; terms of those with entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [base_spans(t) for t in batch.column("text").to_pylist()]
-            near = [near_terms(t, s) if s else [] for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
-            named = lambda rows, names: [[dict(zip(names, r, strict=True)) for r in x] for x in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("number"), batch.column("doc_id"), pa.array(named(spans, ("kind", "start", "end")), pa.list_(_SPAN)), pa.array([digest(s) for s in spans]),
-                    pa.array(named(near, ("entity", "term", "start", "end", "first")), pa.list_(_NEARBY)),
-                ],
-                names=["number", "doc_id", "base", "base_sha256", "near"],
-            )
-
-    schema = "number long, doc_id long, base array<struct<kind:string,start:bigint,end:bigint>>, base_sha256 string, near array<struct<entity:string,term:string,start:bigint,end:bigint,first:boolean>>"
-    return docs.mapInArrow(run, schema)
+            for some in slices(batch, "text", SLICE_BYTES):
+                texts = some.column("text").to_pylist()
+                spans = [base_spans(t) for t in texts]
+                entities = [sorted({f"{k}:{t[a:b].translate(_LOWER)}" for k, a, b in s}) for t, s in zip(texts, spans, strict=True)]
+                terms = [terms_outside(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("number"), some.column("doc_id"), _lists(spans, ("kind", "start", "end"), pa.string()), pa.array([digest(s) for s in spans], pa.string()),
+                        pa.array(entities, pa.list_(pa.string())), _lists(terms, ("term", "start", "end"), pa.string()),
+                    ],
+                    names=["number", "doc_id", "base", "base_sha256", "entities", "terms"],
+                )
+
+    places = "array<struct<{}:string,start:bigint,end:bigint>>"
+    return docs.mapInArrow(run, f"number long, doc_id long, base {places.format('kind')}, base_sha256 string, entities array<string>, terms {places.format('term')}")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """(term, in_docs): how many documents hold a term, over all documents."""
     lower = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     terms = F.array_distinct(F.split(lower, BETWEEN))
-    return docs.select(F.explode(terms).alias("term")).where(F.length("term") >= LEAST_TERM).groupBy("term").agg(F.count("*").alias("in_docs"))
+    return docs.select(F.explode(terms).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("in_docs"))
+
 
+def protected(found: DataFrame, n_docs: int) -> DataFrame:
+    """(number, e1, e2, of_entity, most): the classes of entities that a document holds, and of how many documents a telling term is at most.
 
-def disclosing(docs: DataFrame, mentions: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term, disclosure) of the pairs that disclose at least GENERALISE."""
-    first = mentions.where("first")
-    pairs = first.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_DOCS)
-    entities = mentions.select("entity", "number").groupBy("entity").agg(F.count_distinct("number").alias("of_entity"))
-    terms = term_frequencies(docs).join(pairs.select("term").distinct(), "term")
-    counted = pairs.join(entities, "entity").join(terms, "term")
+    Entities of the same documents are one class, named by two hashes of these.
+    """
+    held = found.where(F.size("entities") > 0).select("number", F.explode("entities").alias("entity"))
+    name = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("number")))
+    entities = held.groupBy("entity").agg(F.count("*").alias("of_entity"), name(1).alias("e1"), name(2).alias("e2"))
+    share = F.lit(float(n_docs)) / F.col("of_entity")
+    entities = entities.where((F.col("of_entity") >= LEAST_DOCS) & (F.log2(share) >= LEAST_BITS)).withColumn("most", F.col("of_entity") * F.pow(share, F.lit(1 - GENERALISE)) * (1 + 1e-9))
+    met = keyed_join(held, materialise(entities, "entities"), ["entity"], "number")
+    return materialise(met.select("number", "e1", "e2", "of_entity", "most").distinct(), "entities")
+
+
+def disclosing(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
+    """(number, term, disclosure): the terms of a document that disclose at least GENERALISE of one of its entities."""
+    classes = protected(found, n_docs)
+    most = classes.groupBy("number").agg(F.max("most").alias("most"))
+    own = found.join(most, "number").select("number", "most", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
+    own = materialise(own, "terms")
+    rare = term_frequencies(docs).where(F.col("in_docs") >= LEAST_DOCS).join(own.groupBy("term").agg(F.max("most").alias("most")), "term")
+    rare = materialise(rare.where(F.col("in_docs") <= F.col("most")).select("term", "in_docs"), "terms")
+    telling = materialise(keyed_join(own, rare, ["term"], "number").where(F.col("in_docs") <= F.col("most")).select("number", "term", "in_docs"), "terms")
+
+    sized = materialise(classes.join(telling.groupBy("number").agg(F.count("*").alias("n_terms")), "number"), "entities")
+    largest = materialise(sized.groupBy("e1", "e2").agg(F.max_by("number", F.struct("n_terms", "number")).alias("largest")), "entities")
+    others = keyed_join(sized, largest, ["e1", "e2"], "number").where(F.col("number") != F.col("largest"))
+    pairs = materialise(others.join(telling, "number").where(F.col("in_docs") <= F.col("most")).select("number", "e1", "e2", "term", "in_docs", "of_entity", "largest"), "pairs")
+    counted = pairs.groupBy("e1", "e2", "term").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("in_docs", "of_entity", "largest")])
+    there = telling.select(F.col("number").alias("largest"), "term", F.lit(True).alias("there"))
+    counted = counted.join(there, ["largest", "term"], "left").withColumn("both", F.col("n") + F.when(F.col("there"), 1).otherwise(0))
     n = F.lit(float(n_docs))
-    information = F.log2(n / F.col("of_entity"))
-    shared = F.log2(F.col("both") * n / (F.col("of_entity") * F.col("in_docs")))
-    share = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
-    return counted.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    share = F.log2(F.col("both") * n / (F.col("of_entity") * F.col("in_docs"))) / F.log2(n / F.col("of_entity"))
+    strong = counted.where(F.col("both") >= LEAST_DOCS).withColumn("disclosure", share).where(F.col("disclosure") >= GENERALISE)
+    strong = materialise(strong.select("e1", "e2", "term", "disclosure", "largest", "there"), "strong")
+
+    hits = keyed_join(pairs.select("number", "e1", "e2", "term"), strong.select("e1", "e2", "term", "disclosure"), ["e1", "e2", "term"], "number").select("number", "term", "disclosure")
+    hits = hits.unionByName(strong.where("there").select(F.col("largest").alias("number"), "term", "disclosure"))
+    return hits.groupBy("number", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(docs: DataFrame, numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The scan of all documents, and (number, terms) of those with disclosing terms."""
     found = materialise(scan(numbered), "pii")
-    mentions = found.where(F.size("near") > 0).select("number", F.explode("near").alias("m")).select("number", "m.*")
-    strong = disclosing(docs.select(text_or_empty().alias("text")), mentions, found.count())
-    hits = mentions.join(strong, ["entity", "term"])
-    spans = hits.groupBy("number", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    grouped = spans.groupBy("number").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
-    return found, grouped
+    strong = disclosing(docs.select(text_or_empty().alias("text")), found, found.count())
+    places = found.where(F.size("entities") > 0).select("number", F.explode("terms").alias("t")).select("number", "t.*")
+    hits = places.join(strong, ["number", "term"])
+    grouped = hits.groupBy("number").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
+    return found.drop("entities", "terms"), grouped
 
 
 def number_rows(docs: DataFrame) -> DataFrame:
@@ -203,7 +223,7 @@ def spans_text(base: Column, terms: Column) -> Column:
 def detect(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     found, grouped = find(docs, number_rows(docs))
-    joined = found.drop("near").join(grouped, "number", "left")
+    joined = found.join(grouped, "number", "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n_term = F.when(F.col("terms").isNull(), 0).otherwise(F.size("terms")).cast("long")
     return joined.select("doc_id", *[count(k) for k in KINDS[:4]], "base_sha256", spans_text(F.col("base"), F.col("terms")).alias("spans"), n_term.alias("n_term"))
@@ -232,6 +252,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     whole = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
     numbered = whole.select(F.col(number).alias("number"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     found, grouped = find(numbered, numbered)
+    grouped = materialise(grouped, "pii")
     marked = found.where(F.size("base") > 0).join(grouped, "number", "left").select(F.col("number").alias(number), F.struct("base", "terms").alias(spans))
 
     @F.pandas_udf("string")

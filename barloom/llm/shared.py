@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +16,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Only a local session (tests on one machine) may name none; there a
+    temporary folder is made and set.  A cluster without one is refused, as
+    its executors would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,11 +41,54 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage so that costly stages run once, and survives the loss of
     executors, as the files are on shared storage.
     """
-    path = fresh_path(df.sparkSession, name)
+    return stored(df, fresh_path(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` has written and that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A side of a join is broadcast up to so many rows.
+BROADCAST_ROWS = 50_000
+SALTS = 8
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row for each key at most and is on shared storage.
+
+    A small ``keyed`` is broadcast.  Else both sides get a salt, so that a key
+    that many rows have is dealt to several tasks by the column ``spread``.
+    """
+    if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), keys)
+    return salted_join(rows, keyed, keys, spread)
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Inner join with ``keyed``, which has one row for each key at most; the rows of a key are dealt to several tasks."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    dealt = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(dealt, [*keys, "__salt"]).drop("__salt")
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of one column; a larger value is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def text_or_empty(column: str = "text") -> Column:
     """The whole text, null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, text_or_empty
+from .shared import fresh_path, slices, text_or_empty
 
 END_ID = 2
 CACHE_PIECES = 400_000
@@ -234,16 +234,6 @@ class Encoder:
         return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` bytes of one column; a larger value is a slice of its own."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield batch.slice(at, until - at)
-        at = until
-
-
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
