@@ -14,9 +14,12 @@ would make any of their words look telling, so of training texts with the same
 least hash over their three-word sequences one is learned.  At most
 ``TRAIN_ROWS`` labelled rows of each class are learned; all rows are scored.
 
-Defined results: null texts count as empty and have no features.  Without
-toxic or without clean labels nothing can be learned: severity 0.0 for all
-rows.  Equal texts get equal results.  An empty table gives no rows.
+Defined results: null texts count as empty and have no features.  Very long
+texts are scored whole.  Of several texts under one labelled id one is
+learned.  Null labels and null ids are not learned; rows without an id are
+scored.  Without toxic or without clean labels nothing can be learned:
+severity 0.0 for all rows.  Equal texts get equal results.  Other columns are
+not read, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_or_empty
@@ -139,9 +142,10 @@ class OrdinalRegression:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalRegression | None:
     """A regression fitted on at most ``rows`` labelled texts of each class."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    in_order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = known.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= rows).drop("place")
+    first = lambda kind: known.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = first(F.col("toxic") > 0).unionByName(first(F.col("toxic") <= 0))
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
     @F.pandas_udf("struct<n:int,least:long,ids:array<int>>")
     def sparse(batch: pd.Series) -> pd.DataFrame:
