@@ -17,8 +17,10 @@ one link fewer than members), never all pairs, and connected components follow
 by alternating large-star and small-star steps on shared storage.
 
 Defined results: a null or wordless text has the fingerprint zero and is linked
-like any other.  Repeated rows each get a row.  Null ids are never chosen as a
-component's id unless the component has no other.  An empty table gives no rows.
+like any other; very long texts are read whole.  Repeated rows each get a row.
+Null ids are never chosen as a component's id unless the component has no
+other.  Other columns are not read, whatever their names; ``keep_one`` returns
+them all.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, spare_name, text_or_empty
+from .shared import fresh_path, materialise, remove, salted_join, slices, spare_name, stored, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -46,7 +48,8 @@ PIVOTS = 8
 #: Texts read, and shingles kept, to put common shingles last.
 SAMPLE_TEXTS = 20_000
 MOST_COMMON = 20_000
-MAX_ROUNDS = 60
+#: Texts of about so many bytes are worked on at once.
+SLICE_BYTES = 4 << 20
 LOW_HALF = 0xFFFFFFFF
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -75,8 +78,9 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t or b"", size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            for some in slices(batch, "text", SLICE_BYTES):
+                made = np.array([fingerprint(t or b"", size) for t in some.column("text").cast(pa.large_binary()).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return materialise(rows.mapInArrow(run, "doc_id long, fp long"), "simhash")
@@ -131,14 +135,16 @@ def _sized(rows: DataFrame, both_sides: bool) -> DataFrame:
     """Rows of buckets that can hold a link, with the bucket's size.
 
     Of a variant with bit j left out only pairs that differ in j matter,
-    but for j = 0, which also serves equal halves.
+    but for j = 0, which also serves equal halves.  Sizes are aggregated and
+    joined (a join is dealt anew where one bucket is large; a window is not).
     """
-    by = Window.partitionBy("bucket")
-    out = rows.withColumn("size", F.count("*").over(by))
+    counts = [F.count("*").alias("size")]
     if both_sides:
-        out = out.withColumn("sides", F.max("side").over(by) - F.min("side").over(by))
-        out = out.where((F.col("bit") == 0) | (F.col("sides") > 0))
-    return out.where(F.col("size") > 1)
+        counts += [(F.max("side") - F.min("side")).alias("sides"), F.min("bit").alias("least")]
+    sizes = rows.groupBy("bucket").agg(*counts).where(F.col("size") > 1)
+    if both_sides:
+        sizes = sizes.where((F.col("least") == 0) | (F.col("sides") > 0)).drop("sides", "least")
+    return rows.join(sizes, "bucket")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -185,23 +191,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges stay the same.
     Every step replaces neighbours by a minimum found with a partial
-    aggregate, so a hub's rows are never held by one task.
+    aggregate, and a hub's rows are dealt to several tasks.  Only the last
+    round's edges stay on shared storage.
     """
-    edges = materialise(edges.select("a", "b"), "edges")
-    before = None
-    for _ in range(MAX_ROUNDS):
+    spark = edges.sparkSession
+    path = fresh_path(spark, "edges")
+    edges, before = stored(edges.select("a", "b"), path), None
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted_join(both, least, ["a"], "b").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
+        small = salted_join(large, down, ["a"], "b")
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialise(moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, path = path, fresh_path(spark, "edges")
+        edges = stored(moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), path)
+        remove(spark, last)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -251,8 +260,9 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64))], names=["shingle"])
+            for some in slices(batch, "text", SLICE_BYTES):
+                made = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64))], names=["shingle"])
 
     share = max(1, rows.count() // SAMPLE_TEXTS)
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, "shingle long")
@@ -293,10 +303,11 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            keys = pa.array([_key(x) for x in made], pa.int64())
-            sizes = pa.array([len(x) for x in made], pa.int32())
-            yield pa.RecordBatch.from_arrays([keys, sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"])
+            for some in slices(batch, "text", SLICE_BYTES):
+                made = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
+                keys = pa.array([_key(x) for x in made], pa.int64())
+                sizes = pa.array([len(x) for x in made], pa.int32())
+                yield pa.RecordBatch.from_arrays([keys, sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"])
 
     ends = materialise(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "ends")
     ids = materialise(nodes.join(ends, "key").select(F.col("least").alias("doc_id")).distinct(), "ends")
@@ -327,24 +338,26 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            first = [prefix(x, hot, rank).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary())],
-                names=["doc_id", "key", "n", "shingles"],
-            )
+            for some in slices(batch, "text", SLICE_BYTES):
+                sets = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
+                first = [prefix(x, hot, rank).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary())],
+                    names=["doc_id", "key", "n", "shingles"],
+                )
 
     made = materialise(rows.mapInArrow(run, "doc_id long, key long, n int, shingles binary"), "shingles")
     nodes = materialise(made.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
     prefixes = materialise(made.join(nodes, "key").where("doc_id = least").select("key", "n", "shingles").dropDuplicates(["key"]), "prefixes")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-            sizes = np.array([len(x) for x in parts], np.int64)
-            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]])
-            own = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("key", "n")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], names=["key", "n", "at", "shingle"])
+        for whole in batches:
+            for batch in slices(whole, "shingles", SLICE_BYTES):
+                parts = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+                sizes = np.array([len(x) for x in parts], np.int64)
+                at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]])
+                own = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("key", "n")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], names=["key", "n", "at", "shingle"])
 
     spread = prefixes.mapInArrow(explode, "key long, n int, at int, shingle long")
     by = Window.partitionBy("shingle")
