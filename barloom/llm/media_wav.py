@@ -1,8 +1,9 @@
 """Operator 8, media columns: WAV samples and spectral-peak fingerprints.
 
 A text's UTF-8 bytes, filled up with zero bytes to a positive multiple of 64,
-are stored as 8-bit mono samples of a WAV file in a binary column.  The wave
-module reads the samples back.  A short-time Fourier transform (Hann window),
+are stored as 8-bit mono samples of a WAV file in a binary column of a table on
+shared storage.  What follows reads that table: the wave module gives the
+samples back.  A short-time Fourier transform (Hann window),
 with half a frame of silence at both ends so that every sample counts and the
 shortest payload has five frames, gives in each frame the strongest bin of some frequency bands; those that top
 the same band in both neighbouring frames are peaks.  Each peak is paired with
@@ -12,7 +13,8 @@ an array of (time, hash), where the hash holds both bins and the time between.
 Defined results: a null text is empty and is stored as 64 zero bytes.  Silence
 (a spectrum of zeros) has no peaks.  Equal texts give equal values.  Long texts
 are transformed in blocks of frames, so memory follows the samples, not the
-spectrum.  An empty table gives no rows.
+spectrum.  Repeated rows each get a row.  Other columns are not read, whatever
+their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import materialise, slices, text_or_empty
 
 UNIT = 64
 RATE = 8000
@@ -39,6 +41,8 @@ BINS = 256
 BANDS = ((2, 12), (12, 32), (32, 64), (64, 129))
 AHEAD = 3
 BLOCK_FRAMES = 4096
+#: Values of about so many bytes are worked on at once.
+SLICE_BYTES = 2 << 20
 MEDIA = "doc_id long, n_bytes long, media binary"
 
 
@@ -108,8 +112,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, "text", SLICE_BYTES):
                 raw = some.column("text").cast(pa.large_binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([to_wav(padded(r)) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -122,8 +125,7 @@ def fingerprint_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, "media", SLICE_BYTES):
                 files = some.column("media").to_pylist()
                 payloads = [from_wav(f) for f in files]
                 pairs = [peak_pairs(p) for p in payloads]
@@ -138,3 +140,8 @@ def fingerprint_media(media: DataFrame) -> DataFrame:
                 )
 
     return media.mapInArrow(run, schema)
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """The table of ``to_media`` on shared storage, read back from it."""
+    return materialise(to_media(docs), "media")

@@ -32,7 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES, F.col("host").rlike(LISTED_HOSTS))
+    pages = table(spark, sf_dir, "pages")
+    listed = url_filter.parsed_urls(pages).where(F.col("host").rlike(LISTED_HOSTS)).select(F.concat("host", "path").alias("key"))
+    return url_filter.filter_urls(pages, RULES, listed)
 
 
 def op2_bsi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +62,13 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = media_wav.fingerprint_media(media_wav.to_media(table(spark, sf_dir, "documents")))
+    made = media_wav.fingerprint_media(media_wav.store_media(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(":", F.size("time"), F.md5(F.concat(F.array_join("time", ","), F.lit(";"), F.array_join("hash", ","))))
-    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "time", "hash")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_viterbi.encode(table(spark, sf_dir, "documents")).drop("ids")
+    return sp_viterbi.encode(table(spark, sf_dir, "documents"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

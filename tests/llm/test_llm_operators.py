@@ -52,11 +52,28 @@ def test_urls_by_rule_and_list(spark):
 
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(30000).select(F.concat(F.lit("k"), "id").alias("key"), (F.xxhash64("id") % 10 == 0).alias("listed"))
-    cascade = url_filter.build_cascade(keys, 64, first_rate=0.25)
-    assert cascade.agg(F.max("level")).first()[0] >= 2
-    for budget in (32 << 20, 2000):  # one pass, and many
-        out = url_filter.listed_by_cascade(keys.withColumn("h1", F.lit(0)), F.col("key"), cascade, 64, "answer", budget)
-        assert out.where("answer <> listed").count() == 0 and out.count() == 30000
+    table = keys.where("listed").select("key").unionByName(spark.createDataFrame([("not in the corpus",), (None,)], "key string"))
+    for listed in (F.col("listed"), table):
+        cascade = url_filter.build_cascade(keys, listed, 64, first_rate=0.25)
+        assert cascade.agg(F.max("level")).first()[0] >= 2
+        for most in (32 << 20, 0):  # broadcast, and dealt by shard
+            rows_ = keys.unionByName(keys.where("key = 'k7' or key = 'k8'")).withColumns({"h1": F.lit(0), "row": F.lit("r"), "shard": F.lit(1.5)})
+            out = url_filter.listed_by_cascade(rows_, F.col("key"), cascade, 64, "answer", most)
+            assert out.where("answer <> listed").count() == 0 and out.count() == 30002 and out.columns == [*rows_.columns, "answer"]
+
+
+def test_keys_that_share_hashes_are_refused(spark, monkeypatch):
+    first = lambda key: (F.xxhash64(F.substring(key, 1, 1)), F.xxhash64(F.lit("second"), F.substring(key, 1, 1)), F.xxhash64(F.lit("third"), key))
+    monkeypatch.setattr(url_filter, "key_hashes", first)
+    keys = spark.createDataFrame([("a1", True), ("a2", False), ("b", True)], "key string, listed boolean")
+    with pytest.raises(Exception, match="share both hashes"):
+        url_filter.build_cascade(keys, F.col("listed"), 4)
+
+
+def test_hashes_are_independent(spark):
+    h1, h2, h3 = url_filter.key_hashes(F.lit("key"))
+    got = spark.range(1).select(h1.alias("a"), h2.alias("b"), F.xxhash64(F.lit("key"), F.lit("second")).alias("c"), h3.alias("d")).first()
+    assert len({got.a, got.b, got.c, got.d}) == 4
 
 
 # 2
@@ -72,16 +89,14 @@ def brute_top(vectors, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,chunk", [(1 << 16, 256), (64, 3)])
-def test_top_k_equals_brute_force(spark, monkeypatch, block, chunk):
+@pytest.mark.parametrize("block", [32 << 20, 64 * 9 * 8, 1])
+def test_top_k_equals_brute_force(spark, block):
     rng = np.random.default_rng(1)
     vectors = [(i, rng.normal(0, 0.2, 9).astype(np.float32).tolist()) for i in range(300)]
     vectors += [(i, vectors[5][1]) for i in range(300, 340)]  # ties
     bad = [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (None, [1.0]), (1060, [float("inf")])]
     df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    monkeypatch.setattr(bsi_topk.build_index, "__defaults__", (block,))
-    monkeypatch.setattr(bsi_topk.query_chunks, "__defaults__", (chunk,))
-    assert sorted(rows(bsi_topk.top_k(df, F.col("vec_id") % 20 == 0))) == brute_top(vectors, 20)
+    assert sorted(rows(bsi_topk.top_k(df, F.col("vec_id") % 20 == 0, block_bytes=block))) == brute_top(vectors, 20)
 
 
 def test_top_k_of_large_components(spark):
@@ -165,6 +180,47 @@ def test_toxicity_grades(spark, odd, empty):
     assert rows(toxicity.grade_toxicity(empty, few)) == []
 
 
+def test_toxicity_equals_its_formula(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "train", lambda *_: model)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert model.weights and min(model.weights.values()) >= 0 and (np.diff(model.thresholds) > 0).all()
+    for r in toxicity.grade_toxicity(docs, labels).collect():
+        names = set()
+        margin = 0.0
+        for raw in (texts[r.doc_id] or "").lower().split():
+            w = raw.strip(toxicity.SIGNS)
+            if w and w not in names:
+                names.add(w)
+                margin += sum(model.weights.get(zlib.crc32(f.encode()) % toxicity.BUCKETS, 0.0) for f in [w] + ["^" + w[:n] for n in (4, 5, 6) if len(w) > n])
+        p = [1.0] + [float(1 / (1 + np.exp(-min(30.0, max(-30.0, margin - t))))) for t in model.thresholds] + [0.0]
+        each = [a - b for a, b in itertools.pairwise(p)]
+        assert abs(r.severity - sum(p[1:4])) < 1e-9 and abs(r.p_toxic - p[1]) < 1e-9 and r.toxic == (p[1] >= 0.5) and each[r.grade] >= max(each) - 1e-9
+
+
+def test_ordinal_fit_climbs_to_the_best_likelihood():
+    rng = np.random.default_rng(12)
+    toxic = np.arange(400) < 200
+    texts = [np.array(sorted(set(rng.integers(1000, 9000, 20).tolist()) | ({int(x) for x in rng.integers(0, 12, 6)} if t else set()))) for t in toxic]
+    m = toxicity.OrdinalRegression().fit(texts, toxic)
+    eta = np.array([sum(m.weights.get(int(f), 0.0) for f in t) for t in texts])
+    assert ((m.at_least(eta)[:, 0] >= 0.5) == toxic).mean() > 0.99 and set(m.weights) <= set(range(12))
+
+
+def test_repeated_labelled_ids_are_learned_once(spark):
+    docs = spark.createDataFrame([(i % 2, f"bad{j} w{j}" if i % 2 else f"fine w{j}") for i in range(2) for j in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = toxicity.OrdinalRegression.fit
+    toxicity.OrdinalRegression.fit = lambda self, rows, toxic, *a: seen.append(len(rows)) or fit(self, rows, toxic, *a)
+    try:
+        toxicity.train(docs, labels)
+    finally:
+        toxicity.OrdinalRegression.fit = fit
+    assert seen == [2]
+
+
 # 6
 
 
@@ -309,7 +365,7 @@ def test_token_files_find_documents(spark, sf):
 
 
 def test_media_round_trip(spark, odd, empty):
-    got = sorted(media_wav.fingerprint_media(media_wav.to_media(odd)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_bytes))
+    got = sorted(media_wav.fingerprint_media(media_wav.store_media(odd)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_bytes))
     texts = sorted(odd.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, len((r.text or "").encode())))
     for r, due in zip(got, texts, strict=True):
         raw = (due.text or "").encode()
@@ -325,6 +381,29 @@ def test_media_round_trip(spark, odd, empty):
     assert rows(media_wav.to_media(empty)) == []
 
 
+def brute_pairs(payload):
+    """The pairs by a plain Fourier transform of each frame."""
+    x = np.concatenate([np.zeros(24), np.frombuffer(payload, np.uint8).astype(float) - 128, np.zeros(24 + -len(payload) % 16)])
+    spectra = [np.abs(np.fft.rfft(x[a : a + 48] * np.hanning(48), 256)) ** 2 for a in range(0, len(x) - 47, 16)]
+    bands = [(2, 12), (12, 32), (32, 64), (64, 129)]
+    top = [[(int(np.argmax(s[a:b])) + a, s[a:b].max()) for a, b in bands] for s in spectra]
+    power = lambda t, i: top[t][i][1] if 0 <= t < len(top) else -1
+    peak = lambda t, i: power(t, i) > 1e-3 and power(t, i) > power(t - 1, i) and power(t, i) >= power(t + 1, i)
+    out = []
+    for t in range(len(top)):
+        for step in (1, 2, 3):
+            if t + step < len(top):
+                out += [(t, top[t][i][0] << 16 | top[t + step][j][0] << 8 | step) for i in range(4) for j in range(4) if peak(t, i) and peak(t + step, j)]
+    return sorted(out)
+
+
+def test_pairs_equal_a_plain_transform():
+    rng = np.random.default_rng(10)
+    for n in (64, 128, 640, 6400):
+        payload = bytes(rng.integers(60, 123, n, np.uint8))
+        assert list(zip(*map(np.ndarray.tolist, media_wav.peak_pairs(payload)), strict=True)) == brute_pairs(payload)
+
+
 def test_peaks_find_a_tone():
     t = np.arange(4000)
     tone = (128 + 50 * np.sin(2 * np.pi * 40 / 256 * t)).astype(np.uint8).tobytes()
@@ -423,6 +502,58 @@ def test_terms_that_reveal_an_entity(spark, odd, empty):
     assert same.columns == odd.columns and sorted(map(str, rows(same))) == sorted(map(str, rows(odd)))
 
 
+def brute_terms(texts):
+    """All spans of each text, by counting every pair of entity and term."""
+    base = [brute_spans(t) for t in texts]
+    terms = [[m for m in re.finditer(r"[^\x00-/:-@\[-`{-\x7f]+", t)] for t in texts]
+    lower = lambda x: re.sub("[A-Z]", lambda m: m.group().lower(), x)
+    free = [[m for m in ms if not any(m.start() < b and a < m.end() for _, a, b in s)] for ms, s in zip(terms, base, strict=True)]
+    ents = [{f"{k}:{lower(t[a:b])}" for k, a, b in s} for t, s in zip(texts, base, strict=True)]
+    all_, own = [{lower(m.group()) for m in ms} for ms in terms], [{lower(m.group()) for m in ms} for ms in free]
+    n, out = len(texts), []
+    for i, t in enumerate(texts):
+        spans = list(base[i])
+        for m in free[i]:
+            best = 0.0
+            for e in ents[i]:
+                ce, ct = sum(e in x for x in ents), sum(lower(m.group()) in x for x in all_)
+                both = sum(e in x and lower(m.group()) in y for x, y in zip(ents, own, strict=True))
+                if both >= 2 and np.log2(n / ce) >= pii_sanitise.LEAST_BITS:
+                    best = max(best, np.log2(both * n / (ce * ct)) / np.log2(n / ce))
+            if best >= pii_sanitise.GENERALISE:
+                spans.append(("term", m.start(), m.end()))
+        out.append(",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], pii_sanitise.KINDS.index(s[0]), s[2]))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_term_spans_equal_brute_force(spark, monkeypatch, broadcast):
+    from barloom.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(240):
+        words = [f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(3, 30)) if x < 500]
+        for who in rng.choice(25, rng.integers(0, 4) if rng.random() < 0.4 else 0, False):
+            words += [f"p{who}@x.org", f"Name{who}", *([f"near{who}x{int(rng.integers(3))}"] if rng.random() < 0.7 else [])]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:20] + [" ".join(f"p{w}@x.org Name{w} city{w}" for w in range(25)), "名 p1@x.org", "名 p1@x.org q", "a1 4111111111111111 ÀB", "ÀB 4111111111111111 a1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii_sanitise.detect(docs).collect()}
+    due = brute_terms(texts)
+    assert [got[i] for i in range(len(texts))] == due and sum("term" in x for x in due) > 30
+
+
+def test_a_long_list_of_mentions_takes_one_sweep():
+    import time
+
+    text = " ".join(f"Name{i} n{i}@x.org" for i in range(8000))
+    began = time.process_time()
+    assert len(pii_sanitise.terms_outside(text, pii_sanitise.base_spans(text))) == 8000 and time.process_time() - began < 2
+
+
 # pipeline
 
 
