@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +66,39 @@ def limit_up(pct: float) -> Column:
     return F.col("close") >= F.round(S.ref("close") * (1 + pct), 2)
 
 
-def covariance(returns: DataFrame) -> DataFrame:
-    """Sample covariance of each pair of codes over the days both have: code_a <= code_b."""
-    a = returns.select("dt", F.col("code").alias("code_a"), F.col("r").alias("ra"))
-    b = returns.select("dt", F.col("code").alias("code_b"), F.col("r").alias("rb"))
-    return a.join(b, "dt").where("code_a <= code_b").groupBy("code_a", "code_b").agg(F.covar_samp("ra", "rb").alias("cov"), F.count("*").alias("n"))
+def trimmed(returns: DataFrame) -> DataFrame:
+    """(code, v, mean): each code's latest returns in order of the day, as many as the shortest series has."""
+    least = returns.groupBy("code").agg(F.count("r").alias("n")).agg(F.min("n")).first()[0] or 0
+    last = Window.partitionBy("code").orderBy(F.desc("dt"))
+    kept = returns.where(F.col("r").isNotNull()).withColumn("_i", F.row_number().over(last)).where(F.col("_i") <= least)
+    series = kept.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("_i"), "r"))), lambda x: x["r"]).alias("v"))
+    return series.withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"))
+
+
+def covariance(returns: DataFrame, block: int = 128) -> DataFrame:
+    """Mean returns and sample covariance of each pair of codes (code_a <= code_b) over the trimmed series.
+
+    Codes are dealt to blocks; each pair of blocks meets in one task, which
+    multiplies the two matrices.  A series is bounded by the trading days.
+    """
+    series = trimmed(returns)
+    blocks = max(1, -(-returns.select("code").distinct().count() // block))
+    placed = series.withColumn("own", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("code")
+        x = np.stack(pdf["v"]) - pdf["mean"].to_numpy()[:, None]
+        one, two = (np.flatnonzero(pdf["own"].to_numpy() == k) for k in key)
+        i, j = (a.ravel() for a in np.meshgrid(one, two, indexing="ij"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = (x[one] @ x[two].T).ravel() / np.float64(x.shape[1] - 1)
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        code, mean = pdf["code"].to_numpy(), pdf["mean"].to_numpy()
+        out = pd.DataFrame({"code_a": code[i], "code_b": code[j], "mean_a": mean[i], "mean_b": mean[j], "cov": cov, "n": x.shape[1]})
+        return out.drop_duplicates(["code_a", "code_b"]) if key[0] == key[1] else out
+
+    return dealt.groupBy("first", "second").applyInPandas(run, "code_a string, code_b string, mean_a double, mean_b double, cov double, n long")
 
 
 def month_ends(bars: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -62,11 +62,20 @@ def trade_cost(price: Column, volume: Column, action: Column, day: Column, slip:
 
 
 def round_trips(trades: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The k-th sell of a code with its k-th buy; order tells the sequence within a day."""
-    w = Window.partitionBy("code", "action").orderBy("dt", *order)
-    numbered = trades.withColumn("k", F.row_number().over(w))
-    buys = numbered.where("action = 'buy'").select("code", "k", F.col("dt").alias("buy_day"), F.col("price").alias("buy_price"))
-    sells = numbered.where("action = 'sell'").select("code", "k", F.col("dt").alias("sell_day"), F.col("price").alias("sell_price"), "volume")
+    """Each sell with its code's earliest buy that is open then; order tells the sequence within a day.
+
+    A sell that no open buy precedes is left out.  The sells left out so far
+    are as many as the running balance of buys and sells has ever been below
+    zero, so a sell's place among the others is the number of its buy.
+    """
+    w = Window.partitionBy("code").orderBy("dt", *order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    buy = F.col("action") == "buy"
+    rows = trades.where(F.col("action").isin("buy", "sell")).withColumns({"open": F.sum(F.when(buy, 1).otherwise(-1)).over(so_far), "k": F.sum(buy.cast("long")).over(so_far), "nth": F.sum((~buy).cast("long")).over(so_far)})
+    rows = rows.withColumn("missed", F.greatest(F.lit(0), -F.min("open").over(so_far)))
+    rows = rows.withColumn("met", F.col("missed") == F.coalesce(F.lag("missed").over(w), F.lit(0)))
+    buys = rows.where(buy).select("code", "k", F.col("dt").alias("buy_day"), F.col("price").alias("buy_price"))
+    sells = rows.where(~buy & F.col("met")).select("code", (F.col("nth") - F.col("missed")).alias("k"), F.col("dt").alias("sell_day"), F.col("price").alias("sell_price"), "volume")
     return buys.join(sells, ["code", "k"]).withColumn("profit", (F.col("sell_price") - F.col("buy_price")) * F.col("volume"))
 
 
@@ -77,22 +86,34 @@ def trade_statistics(profits: DataFrame, profit: str = "profit") -> DataFrame:
 
 
 def cost_position_wins(trades: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Per code: sells, and sells above the moving average cost.  Grouped pandas, as the cost is stateful along one code's trades."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dt", *order], kind="stable")
-        held = cost = 0.0
-        sells = wins = 0
-        for action, price, volume in zip(pdf["action"], pdf["price"], pdf["volume"], strict=True):
-            if action == "buy":
-                cost = (cost * held + price * volume) / (held + volume) if held + volume else 0.0
-                held += volume
-            elif held > 0:
-                sells, wins = sells + 1, wins + (price > cost)
-                held = max(0.0, held - volume)
-        return pd.DataFrame({"code": [pdf["code"].iloc[0]], "sells": [sells], "wins": [wins]})
-
-    return trades.select("code", "dt", "action", "price", "volume", *order).groupBy("code").applyInPandas(run, "code string, sells long, wins long")
+    """Per code: sells, and sells above the moving average cost.
+
+    The cost is stateful along a code's trades, which come in order, batch by
+    batch; only the position and the counts are carried on, so a code may have
+    any number of trades.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, held, cost, sells, wins, any_ = None, 0.0, 0.0, 0, 0, False
+        for pdf in batches:
+            done = []
+            for c, action, price, volume in zip(pdf["code"], pdf["action"], pdf["price"], pdf["volume"], strict=True):
+                if c != code or not any_:
+                    if any_:
+                        done.append((code, sells, wins))
+                    code, held, cost, sells, wins, any_ = c, 0.0, 0.0, 0, 0, True
+                if action == "buy":
+                    cost = (cost * held + price * volume) / (held + volume) if held + volume else 0.0
+                    held += volume
+                elif held > 0:
+                    sells, wins = sells + 1, wins + (price > cost)
+                    held = max(0.0, held - volume)
+            yield pd.DataFrame(done, columns=["code", "sells", "wins"])
+        if any_:
+            yield pd.DataFrame([(code, sells, wins)], columns=["code", "sells", "wins"])
+
+    rows = trades.select("code", "dt", "action", "price", "volume", *order).repartition("code").sortWithinPartitions("code", "dt", *order)
+    return rows.select("code", "action", "price", "volume").mapInPandas(run, "code string, sells long, wins long")
 
 
 def monthly(curved: DataFrame) -> DataFrame:

@@ -156,8 +156,8 @@ SQL = {
 NEEDS = {"factors": ["bars"], "index_meta": ["index_members"], "per_day": ["bars"], "nav": ["per_day"], "broken": ["bars"], "dirty_bars": ["broken"]}
 
 
-def oracle(body: str, *views: str, recursive: bool = False, **ctes: str) -> str:
-    """DuckDB SQL: the views with what they need, then further CTEs in order, then the body."""
+def oracle(body: str, *views: str, recursive: bool = False, hold: tuple[str, ...] = (), **ctes: str) -> str:
+    """DuckDB SQL: the views with what they need, then further CTEs in order (those in ``hold`` are computed once), then the body."""
     wanted: list[str] = []
 
     def add(name: str) -> None:
@@ -168,5 +168,5 @@ def oracle(body: str, *views: str, recursive: bool = False, **ctes: str) -> str:
 
     for v in views:
         add(v)
-    parts = [f"{v} AS MATERIALIZED ({SQL[v]})" for v in wanted] + [f"{n} AS ({s})" for n, s in ctes.items()]
+    parts = [f"{v} AS MATERIALIZED ({SQL[v]})" for v in wanted] + [f"{n} AS {'MATERIALIZED ' if n in hold else ''}({s})" for n, s in ctes.items()]
     return ("WITH " + ("RECURSIVE " if recursive else "") + ", ".join(parts) + " " if parts else "") + body

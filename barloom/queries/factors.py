@@ -91,10 +91,16 @@ def f16(spark, sf):
     return b.where("vol IS NOT NULL").groupBy("code", "last").agg(F.avg((C("vol") < C("last")).cast("int")).alias("p")).select("code", rnd("last").alias("vol"), rnd("p").alias("percentile"))
 
 
-@query("F17_covariance", oracle(f"WITH x AS (SELECT * FROM s1 WHERE r IS NOT NULL AND code < '000012') SELECT a.code AS code_a, b.code AS code_b, {rsql('covar_samp(a.r, b.r)')} AS cov, count(*) AS n FROM x a JOIN x b ON a.dt = b.dt AND a.code <= b.code GROUP BY 1, 2".replace("WITH x AS (", "SELECT * FROM (WITH x AS (") + ")", "bars", **steps("bars", {"r": f"ln(close / {lag('close')})"})))
+F17 = {
+    **steps("bars", {"r": f"ln(close / {lag('close')})"}),
+    "x": "SELECT code, r, i FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS i, count(*) OVER (PARTITION BY code) AS own FROM s1 WHERE r IS NOT NULL) WHERE i <= (SELECT min(n) FROM (SELECT count(*) AS n FROM s1 WHERE r IS NOT NULL GROUP BY code))",
+}
+
+
+@query("F17_covariance", oracle(f"SELECT a.code AS code_a, b.code AS code_b, {rsql('avg(a.r)')} AS mean_a, {rsql('avg(b.r)')} AS mean_b, {rsql('covar_samp(a.r, b.r)')} AS cov, count(*) AS n FROM x a JOIN x b ON a.i = b.i AND a.code <= b.code GROUP BY 1, 2", "bars", hold=("x",), **F17))
 def f17(spark, sf):
-    r = bars(spark, sf).withColumn("r", F.ln(C("close") / S.ref("close"))).where("r IS NOT NULL AND code < '000012'")
-    return shown(f.covariance(r.select("code", "dt", "r")), "cov", "n", keys=("code_a", "code_b"))
+    r = bars(spark, sf).withColumn("r", F.ln(C("close") / S.ref("close"))).where("r IS NOT NULL")
+    return shown(f.covariance(r.select("code", "dt", "r")), "mean_a", "mean_b", "cov", "n", keys=("code_a", "code_b"))
 
 
 @query("F18_vol_regime", oracle(f"SELECT code, month::VARCHAR AS month, {rsql('vol', 4)} AS vol, CASE WHEN (SELECT avg((h.vol <= m.vol)::INTEGER) FROM mv h WHERE h.code = m.code AND h.month <= m.month AND h.month > m.month - INTERVAL 12 MONTH) > 0.8 THEN 'reversal' ELSE 'momentum' END AS regime FROM mv m", "bars", **steps("bars", {"r": f"close / {lag('close')} - 1"}), mv="SELECT code, date_trunc('month', dt)::DATE AS month, stddev_samp(r) * sqrt(252) AS vol FROM s1 GROUP BY 1, 2 HAVING count(r) > 1"))

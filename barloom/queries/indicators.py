@@ -103,6 +103,36 @@ series("I33_dsma", lambda p: rec.dsma(p["close"].to_numpy(), 20), ("dsma",))
 series("I34_sumbarsfast", lambda p: rec.bars_to_sum(p["volume"].to_numpy(), 500.0), ("n",), kind="long")
 series("K29_sar", lambda p: rec.parabolic(p["high"].to_numpy(), p["low"].to_numpy()), ("sar",))
 series("K30_tdx_sar", lambda p: rec.parabolic_bounded(p["high"].to_numpy(), p["low"].to_numpy()), ("sar",))
+SAR_SQL = {
+    "b": f"""SELECT *, row_number() OVER ({W}) AS rn, max(high) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS top, min(low) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS bottom,
+        lag(high) OVER ({W}) AS h1, lag(high, 2) OVER ({W}) AS h2 FROM bars""",
+    "r": """SELECT code, dt, rn, NULL::BOOLEAN AS up, true AS fresh, 0.0::DOUBLE AS speed, NULL::DOUBLE AS sar FROM b WHERE rn = 1 UNION ALL
+        SELECT code, dt, rn, u <> turned, coalesce(turned, true), s, y FROM (SELECT *, CASE WHEN u THEN low < y ELSE high > y END AS turned FROM (
+        SELECT *, CASE WHEN rn < 11 THEN NULL WHEN f THEN CASE WHEN u THEN bottom ELSE top END ELSE sar + s * (CASE WHEN u THEN top ELSE bottom END - sar) END AS y FROM (
+        SELECT *, CASE WHEN f THEN 0.02::DOUBLE WHEN (u AND high > top) OR (NOT u AND low < bottom) THEN least(speed + 0.02::DOUBLE, 0.2::DOUBLE) ELSE speed END AS s FROM (
+        SELECT b.*, r.speed, r.sar, CASE WHEN b.rn = 11 THEN b.h1 > b.h2 ELSE r.up END AS u, b.rn <= 11 OR r.fresh AS f FROM r JOIN b ON b.code = r.code AND b.rn = r.rn + 1))))""",
+}
+ORACLES["K29_sar"] = oracle(shown_sql("r", "sar"), "bars", recursive=True, **SAR_SQL)
+TDX_SQL = {
+    "b": f"SELECT *, row_number() OVER ({W}) AS rn, lag(high) OVER ({W}) AS h1, lag(low) OVER ({W}) AS l1 FROM bars",
+    "r": """SELECT code, dt, rn, true AS up, 0.02::DOUBLE AS speed, high AS ext, low AS sar FROM b WHERE rn = 1 UNION ALL
+        SELECT code, dt, rn, up <> turned, CASE WHEN turned THEN 0.02::DOUBLE ELSE s END, CASE WHEN NOT turned THEN e WHEN up THEN low ELSE high END,
+        CASE WHEN NOT turned THEN y WHEN NOT up THEN least(low, l1) WHEN h1 = e THEN e ELSE e + 0.02::DOUBLE * (low - e) END FROM (
+        SELECT *, CASE WHEN up THEN low < y ELSE high > y END AS turned FROM (SELECT *, CASE WHEN up THEN greatest(sar, least(sar + s * (e - sar), low, l1)) ELSE least(sar, greatest(sar + s * (e - sar), high, h1)) END AS y FROM (
+        SELECT b.*, r.up, r.sar, CASE WHEN r.up THEN greatest(r.ext, b.high) ELSE least(r.ext, b.low) END AS e,
+        CASE WHEN (r.up AND b.high > r.ext) OR (NOT r.up AND b.low < r.ext) THEN least(r.speed + 0.02::DOUBLE, 0.2::DOUBLE) ELSE r.speed END AS s FROM r JOIN b ON b.code = r.code AND b.rn = r.rn + 1)))""",
+}
+ORACLES["K30_tdx_sar"] = oracle(shown_sql("r", "sar"), "bars", recursive=True, **TDX_SQL)
+TURN = "(1.414::DOUBLE * 2 * pi() / 20)"
+C2, C3 = f"(2 * exp(-{TURN}) * cos({TURN}))", f"(-exp(-2 * {TURN}))"
+DSMA_SQL = {
+    "z": f"SELECT *, row_number() OVER ({W}) AS rn, coalesce(close - lag(close, 2) OVER ({W}), 0) AS z FROM bars",
+    "b": f"SELECT *, (z + coalesce(lag(z) OVER ({W}), 0)) / 2 AS p FROM z",
+    "r": f"SELECT code, dt, rn, (1 - {C2} - {C3}) * p AS f, 0.0::DOUBLE AS g FROM b WHERE rn = 1 UNION ALL SELECT b.code, b.dt, b.rn, (1 - {C2} - {C3}) * b.p + {C2} * r.f + {C3} * r.g, r.f FROM r JOIN b ON b.code = r.code AND b.rn = r.rn + 1",
+    "w": f"SELECT b.code, b.dt, b.rn, b.close, coalesce(CASE WHEN b.rn >= 20 THEN abs(f / nullif(sqrt(avg(f * f) OVER (PARTITION BY b.code ORDER BY b.rn ROWS 19 PRECEDING)), 0)) * 5 / 20 END, 1) AS a FROM b JOIN r ON r.code = b.code AND r.rn = b.rn",
+    "q": "SELECT code, dt, rn, close AS dsma FROM w WHERE rn = 1 UNION ALL SELECT w.code, w.dt, w.rn, w.a * w.close + (1 - w.a) * q.dsma FROM q JOIN w ON w.code = q.code AND w.rn = q.rn + 1",
+}
+ORACLES["I33_dsma"] = oracle(shown_sql("q", "dsma"), "bars", recursive=True, hold=("b", "w"), **DSMA_SQL)
 RANGE_SQL = f"""SELECT code, dt::VARCHAR AS dt, CASE WHEN ph IS NULL THEN 0 ELSE rn - 1 - ph END AS top, CASE WHEN pl IS NULL THEN 0 ELSE rn - 1 - pl END AS low_ FROM (
     SELECT b.code, b.dt, b.rn, (SELECT max(p.rn) FROM b p WHERE p.code = b.code AND p.rn < b.rn AND p.high >= b.high) AS ph, (SELECT max(p.rn) FROM b p WHERE p.code = b.code AND p.rn < b.rn AND p.low <= b.low) AS pl FROM b)"""
 SUMBARS_SQL = """SELECT b.code, b.dt::VARCHAR AS dt, coalesce(b.rn - max(p.rn) + 1, 0) AS n FROM b LEFT JOIN b p ON p.code = b.code AND p.rn <= b.rn AND b.run - p.run + p.volume >= 500 GROUP BY ALL, b.rn"""

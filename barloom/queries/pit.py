@@ -144,9 +144,9 @@ def p16(spark, sf):
     return shown(got, "shares", keys=("code", "end_day", "ann_day"))
 
 
-@query("P17_strategy_events", oracle("SELECT code, dt::VARCHAR AS dt, status FROM status_events WHERE status = 'ST' AND dt BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND code < '000050' ORDER BY dt, code", "status_events"))
+@query("P17_strategy_events", oracle("SELECT code, dt::VARCHAR AS dt, status FROM status_events WHERE status = 'ST' AND dt BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' ORDER BY dt, code", "status_events"))
 def p17(spark, sf):
-    got = status_events(spark, sf).where("status = 'ST' AND dt BETWEEN '1996-01-01' AND '1997-12-31' AND code < '000050'")
+    got = status_events(spark, sf).where("status = 'ST' AND dt BETWEEN '1996-01-01' AND '1997-12-31'")
     return shown(got.orderBy(C("dt"), C("code").asc_nulls_last()), "status")
 
 
@@ -221,9 +221,9 @@ def p27(spark, sf):
     return pit.filter_by_status(statuses(spark, sf)).select("code")
 
 
-@query("P28_industry_at", oracle(f"SELECT code, max(industry) AS industry, count(*) AS n FROM membership WHERE code < '000300' AND from_day <= DATE '{AT}' AND (to_day IS NULL OR to_day >= DATE '{AT}') GROUP BY code", "membership"))
+@query("P28_industry_at", oracle(f"SELECT code, max(industry) AS industry, count(*) AS n, count(*) > 1 AS ambiguous FROM membership WHERE from_day <= DATE '{AT}' AND (to_day IS NULL OR to_day >= DATE '{AT}') GROUP BY code", "membership"))
 def p28(spark, sf):
-    return member_at(membership(spark, sf).where("code < '000300'"), at_day()).groupBy("code").agg(F.max("industry").alias("industry"), F.count("*").alias("n"))
+    return member_at(membership(spark, sf), at_day()).groupBy("code").agg(F.max("industry").alias("industry"), F.count("*").alias("n"), (F.count("*") > 1).alias("ambiguous"))
 
 
 @query("P29_trade_days", oracle(f"SELECT dt::VARCHAR AS day, row_number() OVER (ORDER BY dt DESC) AS back FROM (SELECT DISTINCT dt FROM bars WHERE dt <= DATE '{AT}') QUALIFY back <= 30", "bars"))

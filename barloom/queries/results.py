@@ -44,28 +44,39 @@ m("M6_beta_alpha", "beta", "alpha", sql={"alpha": "annual - (0.03 + beta * (annu
 m("M7_information", "information", "win_rate", sql={"information": "excess / nullif(excess_sd, 0) * sqrt(250.0)"})
 
 TIES = ", ".join(TIE)
-NUM = f"SELECT *, row_number() OVER (PARTITION BY code, action ORDER BY dt, {TIES}) AS k FROM t"
-T1 = "SELECT * FROM trades WHERE l_partkey % 3 = 0"
-TRIPS = "SELECT b.code, b.k, b.dt AS buy_day, s.dt AS sell_day, (s.price - b.price) * s.volume AS profit FROM n b JOIN n s ON b.code = s.code AND b.k = s.k AND b.action = 'buy' AND s.action = 'sell'"
-UNIQUE = "SELECT DISTINCT * FROM trades"
+SO_FAR = f"OVER (PARTITION BY code ORDER BY dt, {TIES} ROWS UNBOUNDED PRECEDING)"
+TRIPS = {
+    "t": "SELECT DISTINCT * FROM trades",
+    "s": f"SELECT *, sum(CASE WHEN action = 'buy' THEN 1 ELSE -1 END) {SO_FAR} AS open, sum((action = 'buy')::INTEGER) {SO_FAR} AS buys, sum((action = 'sell')::INTEGER) {SO_FAR} AS sells FROM t",
+    "u": f"SELECT *, greatest(0, -min(open) {SO_FAR}) AS missed FROM s",
+    "n": f"SELECT *, missed > coalesce(lag(missed) OVER (PARTITION BY code ORDER BY dt, {TIES}), 0) AS lost FROM u",
+    "p": "SELECT code, k::BIGINT AS k, b.dt AS buy_day, s.dt AS sell_day, (s.price - b.price) * s.volume AS profit FROM (SELECT *, buys AS k FROM n WHERE action = 'buy') b JOIN (SELECT *, sells - missed AS k FROM n WHERE action = 'sell' AND NOT lost) s USING (code, k)",
+}
+HOLD = ("t", "n")
+COST_SQL = {
+    "b": f"SELECT *, row_number() OVER (PARTITION BY code ORDER BY dt, {TIES}) AS rn FROM t",
+    "r": """SELECT code, rn, CASE WHEN action = 'buy' THEN volume ELSE 0 END::DOUBLE AS held, CASE WHEN action = 'buy' THEN price ELSE 0 END::DOUBLE AS cost, 0 AS sells, 0 AS wins FROM b WHERE rn = 1 UNION ALL
+        SELECT b.code, b.rn, CASE WHEN b.action = 'buy' THEN held + b.volume ELSE greatest(0, held - b.volume) END, CASE WHEN b.action = 'buy' THEN (cost * held + b.price * b.volume) / (held + b.volume) ELSE cost END,
+        sells + (b.action = 'sell' AND held > 0)::INTEGER, wins + (b.action = 'sell' AND held > 0 AND b.price > cost)::INTEGER FROM r JOIN b ON b.code = r.code AND b.rn = r.rn + 1""",
+}
 
 
 def distinct_trades(spark, sf):
     return trades(spark, sf).distinct()
 
 
-@query("M8_trade_statistics", oracle(f"SELECT count(*) AS n, count(*) FILTER (profit > 0) AS wins, count(*) FILTER (profit < 0) AS losses, {rsql('sum(CASE WHEN profit > 0 THEN profit ELSE 0 END) / nullif(sum(CASE WHEN profit < 0 THEN -profit ELSE 0 END), 0)')} AS profit_factor FROM p", "trades", t=UNIQUE, n=NUM, p=TRIPS))
+@query("M8_trade_statistics", oracle(f"SELECT count(*) AS n, count(*) FILTER (profit > 0) AS wins, count(*) FILTER (profit < 0) AS losses, {rsql('sum(CASE WHEN profit > 0 THEN profit ELSE 0 END) / nullif(sum(CASE WHEN profit < 0 THEN -profit ELSE 0 END), 0)')} AS profit_factor FROM p", "trades", hold=HOLD, **TRIPS))
 def m8(spark, sf):
     return r.trade_statistics(r.round_trips(distinct_trades(spark, sf), ORDER)).select("n", "wins", "losses", rnd("profit_factor").alias("profit_factor"))
 
 
-@query("M9_round_trips", oracle(f"SELECT code, k, buy_day::VARCHAR AS buy_day, sell_day::VARCHAR AS sell_day, {rsql('profit', 2)} AS profit FROM p", "trades", t=UNIQUE, n=NUM, p=TRIPS))
+@query("M9_round_trips", oracle(f"SELECT code, k, buy_day::VARCHAR AS buy_day, sell_day::VARCHAR AS sell_day, {rsql('profit', 2)} AS profit FROM p", "trades", hold=HOLD, **TRIPS))
 def m9(spark, sf):
     got = r.round_trips(distinct_trades(spark, sf), ORDER)
     return got.select("code", "k", C("buy_day").cast("string").alias("buy_day"), C("sell_day").cast("string").alias("sell_day"), rnd("profit", 2).alias("profit"))
 
 
-@query("M10_cost_wins")
+@query("M10_cost_wins", oracle("SELECT code, arg_max(sells, rn)::BIGINT AS sells, arg_max(wins, rn)::BIGINT AS wins FROM r GROUP BY code", "trades", recursive=True, hold=("t", "b"), t=TRIPS["t"], **COST_SQL))
 def m10(spark, sf):
     return r.cost_position_wins(distinct_trades(spark, sf), ORDER)
 

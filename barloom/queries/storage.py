@@ -56,10 +56,10 @@ def s4(spark, sf):
     return out.select("code", C("event_date").cast("string").alias("event_date"), "status", C("effective").cast("string").alias("effective"))
 
 
-@query("S5_log_lines", oracle("SELECT dt::VARCHAR AS day, code FROM bars WHERE volume > 45", "bars"))
+@query("S5_log_lines", oracle("SELECT dt::VARCHAR AS day, code FROM bars", "bars"))
 def s5(spark, sf):
     path = s.shared_path(spark, "log")
-    per_day = bars(spark, sf).where("volume > 45").groupBy("dt").agg(F.array_join(F.transform(F.collect_list("code"), lambda c: F.concat(F.lit("'"), c, F.lit(".XSHG'"))), ", ").alias("l"))
+    per_day = bars(spark, sf).groupBy("dt").agg(F.array_join(F.transform(F.collect_list("code"), lambda c: F.concat(F.lit("'"), c, F.lit(".XSHG'"))), ", ").alias("l"))
     per_day.select(F.concat(C("dt").cast("string"), F.lit(" 09:31 INFO buy_stocks:["), "l", F.lit("]")).alias("value")).write.text(path)
     return s.extract_log(spark.read.text(path))
 
@@ -162,11 +162,11 @@ def s17(spark, sf):
     return shown(got.orderBy("code", "dt"), "adj_factor")
 
 
-@query("S18_research_signals", oracle("SELECT lpad(code::INTEGER::VARCHAR, 6, '0') AS code, dt::VARCHAR AS day, CASE WHEN k % 4 = 0 THEN 'buy' ELSE 'add' END AS rating FROM bars WHERE k % 4 IN (0, 1) AND volume > 40", "bars"))
+@query("S18_research_signals", oracle("SELECT lpad(code::INTEGER::VARCHAR, 6, '0') AS code, dt::VARCHAR AS day, CASE WHEN k % 4 = 0 THEN 'buy' ELSE 'add' END AS rating FROM bars WHERE k % 4 IN (0, 1)", "bars"))
 def s18(spark, sf):
     path = s.shared_path(spark, "signals")
     rating = F.when(C("k") % 4 == 0, "buy").when(C("k") % 4 == 1, "add").otherwise("hold")
-    bars(spark, sf).where("volume > 40").select(C("code").cast("int").alias("code"), F.concat(C("dt").cast("string"), F.lit(" 08:00:00")).alias("time"), rating.alias("rating")).write.option("header", "true").csv(path)
+    bars(spark, sf).select(C("code").cast("int").alias("code"), F.concat(C("dt").cast("string"), F.lit(" 08:00:00")).alias("time"), rating.alias("rating")).write.option("header", "true").csv(path)
     got = spark.read.option("header", "true").csv(path).where(C("rating").isin("buy", "add"))
     return got.select(F.lpad("code", 6, "0").alias("code"), F.split("time", " ")[0].alias("day"), "rating")
 
@@ -200,8 +200,9 @@ def t1(spark, sf):
 
 @query("T2_two_pass", oracle(f"SELECT b.code, b.dt::VARCHAR AS dt, {rsql('b.close * a.f')} AS close FROM bars b JOIN (SELECT code, arg_max(adj_factor, dt) AS f FROM factors GROUP BY 1) a USING (code)", "bars", "factors"))
 def t2(spark, sf):
-    anchor = spark.read.parquet(shards(spark, sf, factors)).groupBy("code").agg(F.max_by("adj_factor", "dt").alias("f"))
-    return shown(spark.read.parquet(shards(spark, sf)).join(anchor, "code").withColumn("close", C("close") * C("f")), "close")
+    out = s.shared_path(spark, "adjusted")
+    t.two_pass(spark, shards(spark, sf, factors), shards(spark, sf), out, s.shared_path(spark, "adjusted-state"))
+    return shown(spark.read.parquet(f"{out}/rows"), "close")
 
 
 MARKS = "SELECT code, max(time) AS real, max(time) + (code::INTEGER % 3 - 1) * 86400000 AS mark FROM bars GROUP BY code"
@@ -250,9 +251,9 @@ def t8(spark, sf):
     return shown(t.read_table(spark, streamed(spark, sf, runs=2), ["code", "dt"], "copy"), "close")
 
 
-@query("T9_revisions", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql('v')} AS value, n AS revision_no FROM (SELECT code, dt, adj_factor + CASE WHEN day(dt) % 3 = 0 THEN 0.01 ELSE 0 END AS v, (day(dt) % 3 = 0)::INTEGER AS n FROM factors WHERE code < '000004')", "factors"))
+@query("T9_revisions", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql('v')} AS value, n AS revision_no FROM (SELECT code, dt, adj_factor + CASE WHEN day(dt) % 3 = 0 THEN 0.01 ELSE 0 END AS v, (day(dt) % 3 = 0)::INTEGER AS n FROM factors)", "factors"))
 def t9(spark, sf):
-    f = factors(spark, sf).where("code < '000004'").select("code", C("dt").cast("string").alias("dt"), C("adj_factor").alias("value"), F.lit(1).alias("seq"))
+    f = factors(spark, sf).select("code", C("dt").cast("string").alias("dt"), C("adj_factor").alias("value"), F.lit(1).alias("seq"))
     later = f.withColumns({"value": C("value") + F.when(F.day(C("dt").cast("date")) % 3 == 0, 0.01).otherwise(0.0), "seq": F.lit(2)})
     path, out = s.shared_path(spark, "revisions-in"), s.shared_path(spark, "revisions-out")
     f.unionByName(later).coalesce(2).write.parquet(path)

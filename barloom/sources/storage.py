@@ -14,9 +14,11 @@ DIRECTIONS = {"买入": "buy", "买": "buy", "buy": "buy", "卖出": "sell", "
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the driver and all executors share."""
+    """A fresh path in the folder that the driver and all executors share; only a local session may name none."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

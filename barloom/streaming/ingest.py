@@ -16,16 +16,25 @@ from pyspark.sql import functions as F
 from ..operators import validate as v
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, rules: Callable[[], Mapping[str, Column]], files_per_batch: int = 4) -> None:
-    """Streams all files of a folder that were not taken yet through the rules into the target's folders."""
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, rules: Callable[[], Mapping[str, Column]], files_per_batch: int = 4, most_rejected: float = 1.0) -> None:
+    """Streams all files of a folder that were not taken yet through the rules into the target's folders.
+
+    A batch is judged once, into one table that has the passed rows and the
+    payloads of the others by ``ok``; rows, rejects and the ledger are read from it.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         judged = v.judge(df, rules())
-        passed, rejected = v.split(judged)
+        bad = F.size("failed_rules") > 0
+        payload = F.when(bad, F.to_json(F.struct(*df.columns)))
+        at = f"{target}/judged/batch={number}"
+        kept = judged.select(*df.columns, payload.alias("payload"), "failed_rules", (~bad).alias("ok"))
+        kept.write.mode("overwrite").partitionBy("ok").parquet(at)
+        stored = spark.read.schema(kept.schema).parquet(at)
         folder = f"batch={number}"
-        passed.write.mode("overwrite").parquet(f"{target}/rows/{folder}")
-        rejected.select(F.to_json(F.struct(*df.columns)).alias("payload"), F.array_join("failed_rules", ",").alias("failed_rules")).write.mode("overwrite").parquet(f"{target}/rejected/{folder}")
-        counts = v.gate(judged, 1.0).withColumn("last", F.lit(None).cast("string"))
+        stored.where("ok").select(*df.columns).write.mode("overwrite").parquet(f"{target}/rows/{folder}")
+        stored.where("NOT ok").select("payload", F.array_join("failed_rules", ",").alias("failed_rules")).write.mode("overwrite").parquet(f"{target}/rejected/{folder}")
+        counts = v.gate(stored, most_rejected).withColumn("last", F.lit(None).cast("string"))
         counts.write.mode("overwrite").parquet(f"{target}/ledger/{folder}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -63,18 +72,43 @@ def late_days(changes: DataFrame, last_sync: Column, day: str = "dt") -> DataFra
 
 
 def track_revisions(stream: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Stateful revision numbers of (code, dt) keys on a stream: a changed value is a new revision."""
+    """Stateful revision numbers of (code, dt) keys on a stream: a changed value is a new revision.
+
+    A code's state holds the last value and number of each of its days, which
+    the number of trading days bounds.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        value, number = state.get if state.exists else (float("nan"), -1)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for x in rows["value"]:
+        days, values, numbers = state.get if state.exists else ([], [], [])
+        held = {d: (x, n) for d, x, n in zip(days, values, numbers, strict=True)}
+        rows, touched = pd.concat(list(batches)).sort_values("seq", kind="stable"), {}
+        for day, x in zip(rows["dt"], rows["value"], strict=True):
+            value, number = held.get(day, (float("nan"), -1))
             if not abs(x - value) <= tolerance:
                 value, number = float(x), number + 1
-        state.update((value, number))
-        yield pd.DataFrame({"code": [key[0]], "dt": [key[1]], "value": [value], "revision_no": [number]})
+            held[day] = touched[day] = (value, number)
+        state.update((list(held), [x for x, _ in held.values()], [n for _, n in held.values()]))
+        yield pd.DataFrame({"code": key[0], "dt": list(touched), "value": [x for x, _ in touched.values()], "revision_no": [n for _, n in touched.values()]})
+
+    return stream.groupBy("code").applyInPandasWithState(run, "code string, dt string, value double, revision_no long", "days array<string>, values array<double>, numbers array<long>", "update", "NoTimeout")
+
+
+def two_pass(spark: SparkSession, factors: str, prices: str, target: str, checkpoint: str, column: str = "close") -> None:
+    """First pass: every code's latest factor over the whole run.  Second pass: a stream of the price shards, adjusted by it.
+
+    A price whose code has no factor is an error, as anchors must cover the run.
+    """
+    anchors = spark.read.parquet(factors).groupBy("code").agg(F.max_by("adj_factor", "dt").alias("_anchor"))
+    anchors.write.parquet(f"{target}/anchors")
+    held = spark.read.parquet(f"{target}/anchors")
+    missing = F.raise_error(F.concat(F.lit("no factor for "), F.col("code"))).cast("double")
+
+    def batch(df: DataFrame, number: int) -> None:
+        met = df.join(held, "code", "left").withColumn(column, F.col(column) * F.when(F.col("_anchor").isNull(), missing).otherwise(F.col("_anchor")))
+        met.drop("_anchor").write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
 
-    return stream.groupBy("code", "dt").applyInPandasWithState(run, "code string, dt string, value double, revision_no long", "value double, number long", "update", "NoTimeout")
+    stream = spark.readStream.schema(spark.read.parquet(prices).schema).parquet(prices)
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def blocked_batches(ledger: DataFrame, by: str, order: str, most: float = 0.05, run: int = 3) -> DataFrame:
