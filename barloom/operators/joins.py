@@ -57,12 +57,26 @@ def member_at(intervals: DataFrame, at: Column, start: str = "from_day", end: st
     return intervals.where((F.col(start) <= at) & (F.col(end).isNull() | (F.col(end) >= at)))
 
 
-def overlaps(intervals: DataFrame, by: str, identity: str, label: str, start: str = "from_day", end: str = "to_day") -> DataFrame:
-    """Pairs in a group that overlap (kind positive) or share one day (touch), with whether their labels differ."""
+def overlaps(intervals: DataFrame, by: str, identity: str, label: str, start: str = "from_day", end: str = "to_day", days: int = 91) -> DataFrame:
+    """Pairs in a group that overlap (kind positive) or share one day (touch), with whether their labels differ.
+
+    The later of two that meet starts within the other, so intervals are dealt
+    to the buckets of ``days`` that they reach, up to the last start of all,
+    and meet those that start in the bucket; a group's rows are not all paired.
+    """
     far = F.lit("9999-12-31").cast("date")
-    a = intervals.select(by, F.col(identity).alias("id_a"), F.col(label).alias("label_a"), F.col(start).alias("fa"), F.coalesce(end, far).alias("ta"))
-    b = intervals.select(by, F.col(identity).alias("id_b"), F.col(label).alias("label_b"), F.col(start).alias("fb"), F.coalesce(end, far).alias("tb"))
-    pairs = a.join(b, by).where((F.col("id_a") < F.col("id_b")) & (F.greatest("fa", "fb") <= F.least("ta", "tb")))
+    bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / days)
+    whole = intervals.where(F.col(start).isNotNull())
+    last = whole.agg(F.max(start)).first()[0]
+    one = whole.select(by, F.col(identity).alias("id_o"), F.col(label).alias("label_o"), F.col(start).alias("fo"), F.coalesce(end, far).alias("to"))
+    two = whole.select(by, F.col(identity).alias("id_l"), F.col(label).alias("label_l"), F.col(start).alias("fl"), F.coalesce(end, far).alias("tl"), bucket(F.col(start)).alias("_bucket"))
+    reach = F.least("to", F.lit(last).cast("date"))
+    one = one.withColumn("_bucket", F.explode(F.when(reach >= F.col("fo"), F.sequence(bucket(F.col("fo")), bucket(reach)))))
+    later = (F.col("fo") < F.col("fl")) | ((F.col("fo") == F.col("fl")) & (F.col("id_o") < F.col("id_l")))
+    met = one.join(two, [by, "_bucket"]).where(later & (F.col("fl") <= F.least("to", "tl")))
+    swap = F.col("id_o") > F.col("id_l")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    pairs = met.select(by, pick("id_o", "id_l").alias("id_a"), pick("id_l", "id_o").alias("id_b"), pick("label_o", "label_l").alias("label_a"), pick("label_l", "label_o").alias("label_b"), F.col("fo").alias("fa"), F.col("to").alias("ta"), F.col("fl").alias("fb"), F.col("tl").alias("tb"))
     kind = F.when(F.greatest("fa", "fb") < F.least("ta", "tb"), "positive").otherwise("touch")
     return pairs.select(by, "id_a", "id_b", kind.alias("kind"), (F.col("label_a") != F.col("label_b")).alias("differs"))
 

@@ -66,12 +66,15 @@ def bad_side(columns: Sequence[str]) -> dict[str, Column]:
     return {"AdjustmentCompleteness": n.between(1, len(columns) - 1), "AdjustmentPositive": F.coalesce(F.least(*columns) <= 0, F.lit(False))}
 
 
-def inconsistent_ratios(adjusted: Sequence[str], raw: Sequence[str], most: float = 0.02) -> Column:
+def ratio_spread(adjusted: Sequence[str], raw: Sequence[str]) -> Column:
     """Largest relative distance of the ratios of adjusted to raw prices from their mean."""
     ratios = F.array(*[F.try_divide(F.col(a), F.col(r)) for a, r in zip(adjusted, raw, strict=True)])
     mean = F.aggregate(ratios, F.lit(0.0), lambda x, v: x + v) / len(raw)
-    spread = F.array_max(F.transform(ratios, lambda v: F.abs(F.try_divide(v, mean) - 1)))
-    return F.coalesce(spread > most, F.lit(False))
+    return F.array_max(F.transform(ratios, lambda v: F.abs(F.try_divide(v, mean) - 1)))
+
+
+def inconsistent_ratios(adjusted: Sequence[str], raw: Sequence[str], most: float = 0.02) -> Column:
+    return F.coalesce(ratio_spread(adjusted, raw) > most, F.lit(False))
 
 
 def bar_rules(now_ms: int = 4 * 10**12) -> dict[str, Column]:
@@ -147,7 +150,8 @@ def worst(rows: DataFrame, by: str, status: str, order: Sequence[str], out: str)
     return rows.groupBy(by).agg(F.element_at(F.array(*[F.lit(s) for s in order]), F.min(place).cast("int")).alias(out))
 
 
-def profile(tables: Mapping[str, DataFrame], times: Mapping[str, str]) -> DataFrame:
-    """Rows and bounds of the time column of each table."""
+def profile(tables: Mapping[str, DataFrame], times: Mapping[str, str], marks: DataFrame | None = None) -> DataFrame:
+    """Rows and bounds of the time column of each table, with its high-water mark (name, mark) where marks are given."""
     parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.min(times[name]).cast("string").alias("first"), F.max(times[name]).cast("string").alias("last")) for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows if marks is None else rows.join(F.broadcast(marks), "name", "left")  # one row per table

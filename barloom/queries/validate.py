@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins as j
+from ..operators import audit
 from ..operators import validate as v
 from ..operators.indicators import S
-from ..plans.views import bars, dirty_bars, factors, index_members, membership, minutes, oracle, status_events, trades, valuation
+from ..plans.views import bars, dirty_bars, factors, index_members, index_meta, membership, minutes, oracle, status_events, trades, valuation
 from .adjust import adj, fresh, o
 from .registry import lag, query, rnd, rsql, shown
 
@@ -103,10 +104,10 @@ def v0(spark, sf):
     return shown(rejected.withColumn("failed_rules", F.array_join("failed_rules", ",")), "copy", "failed_rules")
 
 
-@query("Q1_columns", oracle("SELECT 'bars' AS name, 10 AS columns, true AS complete FROM (SELECT count(*) FROM bars)", "bars"))
+@query("Q1_columns", oracle("SELECT 'bars' AS name, true AS present, (SELECT count(*) FROM bars) AS n, 'turnover' AS missing, 'warning' AS severity UNION ALL SELECT 'dirty_bars', true, (SELECT count(*) FROM dirty_bars), 'cash,turnover', 'error' UNION ALL SELECT 'nowhere', false, 0, 'code', 'error'", "bars", "dirty_bars"))
 def q1(spark, sf):
-    b = bars(spark, sf)
-    return b.agg(F.count("*")).select(F.lit("bars").alias("name"), F.lit(len(b.columns)).alias("columns"), F.lit({"code", "dt", "close"} <= set(b.columns)).alias("complete"))
+    required = {"bars": {"code": "error", "dt": "error", "turnover": "warning"}, "dirty_bars": {"cash": "error", "turnover": "warning"}, "nowhere": {"code": "warning"}}
+    return audit.required_columns(spark, {"bars": bars(spark, sf), "dirty_bars": dirty_bars(spark, sf)}, required)
 
 
 counted("Q2_stored_rules", "dirty_bars", dirty_bars, lambda: {"null": v.required("close"), "regex": v.bad_code(), "enum": v.not_in("data_source", ["alpha"]), "gt": v.below("close", 0, True), "ge": v.below("volume", 1)}, {"null": RULES_SQL["RequiredValueNull"], "regex": RULES_SQL["CodeFormat"], "enum": "data_source <> 'alpha'", "gt": "close <= 0", "ge": "volume < 1"})
@@ -120,10 +121,15 @@ def q3(spark, sf):
 counted("Q4_price_relation", "dirty_bars", dirty_bars, lambda: {"relation": v.bad_relation(), "negative_volume": v.below("volume", 0), "unit": v.bad_unit()}, {"relation": RULES_SQL["OHLCLogic"], "negative_volume": "volume < 0", "unit": RULES_SQL["UnitCheck"]})
 
 
-@query("Q5_factor_by_source", oracle("SELECT data_source, count(*) FILTER (f > CASE WHEN data_source = 'alpha' THEN 0.05 ELSE 0.02 END) AS off FROM (SELECT data_source, abs(open / nullif(close, 0) - 1) AS f FROM dirty_bars) GROUP BY 1", "dirty_bars"))
+Q5 = """SELECT data_source, count(*) AS n, count(*) FILTER (greatest(abs(a / m - 1), abs(b / m - 1)) > CASE WHEN data_source = 'beta' THEN 0.05 ELSE 0.02 END) AS off FROM (SELECT *, (a + b) / 2 AS m FROM (
+    SELECT CASE WHEN k % 3 = 0 THEN 'alpha' ELSE 'beta' END AS data_source, close_front / close AS a, open_front / open * CASE WHEN k % 13 = 0 THEN 1.2::DOUBLE WHEN k % 11 = 0 THEN 1.06::DOUBLE ELSE 1 END AS b FROM adj)) GROUP BY 1"""
+
+
+@query("Q5_factor_by_source", o("SELECT *, CASE WHEN off = 0 THEN 'ok' WHEN data_source = 'beta' THEN 'warning' ELSE 'error' END AS severity FROM (" + Q5 + ")", "adj"))
 def q5(spark, sf):
-    off = F.abs(F.try_divide("open", "close") - 1)
-    return dirty_bars(spark, sf).groupBy("data_source").agg(F.count_if(off > F.when(C("data_source") == "alpha", 0.05).otherwise(0.02)).alias("off"))
+    wrong = F.when(C("k") % 13 == 0, 1.2).when(C("k") % 11 == 0, 1.06).otherwise(1.0)
+    rows = adj(spark, sf).withColumns({"open_front": C("open_front") * wrong, "data_source": F.when(C("k") % 3 == 0, "alpha").otherwise("beta")})
+    return audit.factor_by_source(rows, ["close_front", "open_front"], ["close", "open"], "data_source", {"beta": (0.05, "warning")})
 
 
 @query("Q6_adjust_coverage", o("SELECT code, count(*) FILTER (close_front IS NULL) AS no_side FROM fresh GROUP BY code", "fresh"))
@@ -131,10 +137,10 @@ def q6(spark, sf):
     return fresh(spark, sf).groupBy("code").agg(F.count_if(C("close_front").isNull()).alias("no_side"))
 
 
-@query("Q7_adjust_anchor", o(f"SELECT code, {rsql('arg_max(close_front / close, dt)')} AS at_last, {rsql('arg_min(close_back / close, dt)')} AS at_first FROM adj WHERE close_front IS NOT NULL AND close > 0 GROUP BY code", "adj"))
+@query("Q7_adjust_anchor", o(f"SELECT code, {rsql('a')} AS at_first, {rsql('b')} AS at_last, abs(a - 1) > 0.02 AS first_off, abs(b - 1) > 0.02 AS last_off FROM (SELECT code, arg_min(close_back / close, dt) AS a, arg_max(close_front / close, dt) * CASE WHEN code::INTEGER % 4 = 0 THEN 1.1::DOUBLE ELSE 1 END AS b FROM adj WHERE close_front IS NOT NULL AND close > 0 GROUP BY code)", "adj"))
 def q7(spark, sf):
-    rows = adj(spark, sf).where("close_front IS NOT NULL AND close > 0")
-    return rows.groupBy("code").agg(rnd(F.max_by(C("close_front") / C("close"), "dt")).alias("at_last"), rnd(F.min_by(C("close_back") / C("close"), "dt")).alias("at_first"))
+    rows = adj(spark, sf).withColumn("close_front", C("close_front") * F.when(C("code").cast("int") % 4 == 0, 1.1).otherwise(1.0))
+    return audit.anchors_off(rows).select("code", rnd("at_first").alias("at_first"), rnd("at_last").alias("at_last"), "first_off", "last_off")
 
 
 @query("Q8_return_consistency", o(f"SELECT code, count(*) FILTER (abs(a - b) > 1) AS off FROM (SELECT code, (close_front / {lag('close_front')} - 1) * 100 AS a, (close / {lag('close')} - 1) * 100 AS b FROM adj) GROUP BY code", "adj"))
@@ -174,15 +180,23 @@ def ledger(spark, sf):
     return rows.withColumn("fixed", (C("batch_id").cast("int") % 4 == 0).cast("int"))
 
 
-@query("Q14_conservation", oracle("SELECT batch_id FROM l WHERE aligned <> passed + rejected + fixed OR written > passed", "bars", l=LEDGER))
+def quarantined(spark, sf):
+    """Rejected rows as they lie in quarantine; every seventh day's row has lost its rules, and every fifth day's is marked fixed."""
+    b = bars(spark, sf).where("k % 3 = 0 AND k % 35 <> 0")
+    return b.select(C("code").alias("batch_id"), F.lit("bars").alias("table"), C("dt").cast("string").alias("payload"), F.when(C("k") % 7 != 0, "UnitCheck").alias("failed_rules"), F.when(C("k") % 5 == 0, "fixed").otherwise("pending_repair").alias("status"))
+
+
+@query("Q14_conservation", oracle("""SELECT count(*) AS batches, count(*) FILTER (aligned <> passed + rejected + fixed) AS unbalanced, count(*) FILTER (written > passed) AS overwritten, count(*) FILTER (batch_id::INTEGER % 3 = 0 AND day >= DATE '1998-06-01') AS failed_recent,
+    count(*) FILTER (coalesce(n, 0) < rejected) AS not_in_quarantine FROM l LEFT JOIN (SELECT code AS batch_id, max(dt) AS day FROM bars GROUP BY 1) USING (batch_id) LEFT JOIN (SELECT code AS batch_id, count(*) AS n FROM bars WHERE k % 3 = 0 AND k % 35 <> 0 GROUP BY 1) USING (batch_id)""", "bars", l=LEDGER))
 def q14(spark, sf):
-    return v.conservation(ledger(spark, sf)).select("batch_id")
+    days = bars(spark, sf).groupBy(C("code").alias("batch_id")).agg(F.max("dt").alias("day"))
+    rows = ledger(spark, sf).join(days, "batch_id", "left").withColumn("status", F.when(C("batch_id").cast("int") % 3 == 0, "failed").otherwise("done"))
+    return audit.stage_audit(rows, quarantined(spark, sf), F.lit("1998-06-01").cast("date"))
 
 
-@query("Q15_quarantine", oracle("SELECT count(*) AS rows, count(*) FILTER (len(failed) > 1) AS several, count(*) FILTER (list_contains(failed, 'UnitCheck')) AS pending FROM j WHERE len(failed) > 0", "dirty_bars", j=JUDGED))
+@query("Q15_quarantine", oracle("SELECT count(*) AS rows, count(*) FILTER (k % 5 <> 0) AS pending, 0 AS null_batch_id, 0 AS null_payload, count(*) FILTER (k % 7 = 0) AS null_failed_rules FROM bars WHERE k % 3 = 0 AND k % 35 <> 0", "bars"))
 def q15(spark, sf):
-    _, rejected = v.split(v.judge(dirty_bars(spark, sf), v.bar_rules()))
-    return rejected.agg(F.count("*").alias("rows"), F.count_if(F.size("failed_rules") > 1).alias("several"), F.count_if(F.array_contains("failed_rules", "UnitCheck")).alias("pending"))
+    return audit.quarantine_audit(quarantined(spark, sf), ["batch_id", "payload", "failed_rules"])
 
 
 @query("Q16_queue_age", oracle("SELECT CASE WHEN age > 365 THEN 'dead' WHEN age > 90 THEN 'overdue' WHEN age > 30 THEN 'stale' ELSE 'fresh' END AS state, count(*) AS n FROM (SELECT DATE '2001-06-01' - dt AS age FROM status_events) GROUP BY 1", "status_events"))
@@ -191,11 +205,23 @@ def q16(spark, sf):
     return status_events(spark, sf).groupBy(F.when(age > 365, "dead").when(age > 90, "overdue").when(age > 30, "stale").otherwise("fresh").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("Q17_interactive", oracle(f"SELECT {SHOWN}, count(*) OVER () AS total FROM dirty_bars WHERE {RULES_SQL['UnitCheck']} ORDER BY code, dirty_bars.dt, copy LIMIT 20", "dirty_bars"))
+CHECKS = {
+    "ohlc": RULES_SQL["OHLCLogic"], "positive": "coalesce(close <= 0, false)", "unit": RULES_SQL["UnitCheck"], "negative": "coalesce(least(open, high, low, close, volume, amount) < 0, false)",
+    "duplicate": "same > 1", "pct": "coalesce(abs(pct) > 22, false)", "future": "dt > DATE '1998-06-01'", "st_null": "kind % 10 = 0", "code": "NOT regexp_matches(code, '^\\d{6}')",
+}
+CHECKED = f"""SELECT *, unnest(list_filter([{', '.join(f"CASE WHEN {e} THEN '{n}' END" for n, e in CHECKS.items())}], lambda x: x IS NOT NULL)) AS rule FROM (
+    SELECT *, count(*) OVER (PARTITION BY code, dt) AS same, (close / lag(close) OVER (PARTITION BY code ORDER BY dt, copy) - 1) * 100 AS pct FROM dirty_bars)"""
+
+
+@query("Q17_interactive", oracle("SELECT rule, code, dt::VARCHAR AS dt, copy, place, total, (SELECT count(*) FROM dirty_bars) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY code, dt, copy) AS place, count(*) OVER (PARTITION BY rule) AS total FROM c) WHERE place <= 20", "dirty_bars", c=CHECKED))
 def q17(spark, sf):
-    bad = dirty_bars(spark, sf).where(v.bad_unit())
-    total = bad.agg(F.count("*").alias("total"))
-    return shown(bad.orderBy("code", "dt", "copy").limit(20).crossJoin(F.broadcast(total)), "copy", "total")
+    w = Window.partitionBy("code").orderBy("dt", "copy")
+    rows = dirty_bars(spark, sf).withColumns({"same": F.count("*").over(Window.partitionBy("code", "dt")), "pct": (F.try_divide("close", F.lag("close").over(w)) - 1) * 100, "st": F.when(C("kind") % 10 != 0, False)})
+    rules = {
+        "ohlc": v.bad_relation(), "positive": v.below("close", 0, True), "unit": v.bad_unit(), "negative": F.coalesce(F.least("open", "high", "low", "close", "volume", "amount") < 0, F.lit(False)),
+        "duplicate": C("same") > 1, "pct": F.coalesce(F.abs("pct") > 22, F.lit(False)), "future": C("dt") > F.lit("1998-06-01").cast("date"), "st_null": C("st").isNull(), "code": v.bad_code(),
+    }
+    return audit.interactive(rows, rules, ["code", "dt", "copy"], 20).select("rule", "code", C("dt").cast("string").alias("dt"), "copy", "place", "total", "rows")
 
 
 @query("Q18_snapshot_status", oracle("SELECT index_code, month::VARCHAR AS month, count(DISTINCT code) AS n, CASE WHEN index_code::INTEGER % 5 = 4 THEN 'unknown' WHEN index_code::INTEGER % 5 = 3 THEN 'complete' WHEN count(DISTINCT code) >= 4 THEN 'complete' ELSE 'partial' END AS status FROM index_members GROUP BY 1, index_members.month", "index_members"))
@@ -206,19 +232,26 @@ def q18(spark, sf):
     return shown(v.snapshot_status(m, expected), "n", "status", keys=("index_code", "month"))
 
 
-@query("Q19_snapshot_quality", oracle(f"SELECT index_code, month::VARCHAR AS month, count(*) AS n, {rsql('sum(weight)')} AS weight FROM index_members GROUP BY 1, index_members.month", "index_members"))
+@query("Q19_snapshot_quality", oracle(f"SELECT index_code, m.month::VARCHAR AS month, status, n_constituents, expected_count, coalesce(n, 0) AS n, {rsql('weight')} AS weight FROM index_meta m LEFT JOIN (SELECT index_code, month, count(*) AS n, sum(weight) AS weight FROM index_members WHERE code::INTEGER % 7 > 0 GROUP BY 1, 2) USING (index_code, month)", "index_meta", "index_members"))
 def q19(spark, sf):
-    return index_members(spark, sf).groupBy("index_code", C("month").cast("string").alias("month")).agg(F.count("*").alias("n"), rnd(F.sum("weight")).alias("weight"))
+    got = audit.snapshot_quality(index_members(spark, sf).where(C("code").cast("int") % 7 > 0), index_meta(spark, sf))
+    return got.select("index_code", C("month").cast("string").alias("month"), "status", "n_constituents", "expected_count", "n", rnd("weight").alias("weight"))
+
 
+MEET = "SELECT CASE WHEN greatest(a.from_day, b.from_day) < least(coalesce(a.to_day, DATE '9999-12-31'), coalesce(b.to_day, DATE '9999-12-31')) THEN 'positive' ELSE 'touch' END AS kind FROM {0} a JOIN {0} b ON a.code = b.code AND a.row_id < b.row_id AND greatest(a.from_day, b.from_day) <= least(coalesce(a.to_day, DATE '9999-12-31'), coalesce(b.to_day, DATE '9999-12-31'))"
+QUALITY = """SELECT count(*) AS rows, count(DISTINCT code) AS codes, count(*) FILTER (from_day > to_day) AS bad_ranges, (SELECT count(*) FROM p WHERE kind = 'positive') AS overlaps, (SELECT count(*) FROM p WHERE kind = 'touch') AS touches,
+    (SELECT count(*) FROM (SELECT code FROM {0} WHERE to_day IS NULL GROUP BY 1 HAVING count(*) > 1)) AS multi_current, count(*) FILTER (industry = '5-LOW') AS orphans FROM {0}"""
 
-@query("Q20_interval_quality", oracle("""SELECT (SELECT count(*) FROM p WHERE kind = 'positive') AS overlaps, (SELECT count(*) FROM p WHERE kind = 'touch') AS touches, (SELECT count(*) FROM membership WHERE from_day > to_day) AS bad_ranges,
-    (SELECT count(*) FROM (SELECT code FROM membership WHERE to_day IS NULL GROUP BY 1 HAVING count(*) > 1)) AS multi_current""", "membership", p="SELECT CASE WHEN greatest(a.from_day, b.from_day) < least(coalesce(a.to_day, DATE '9999-12-31'), coalesce(b.to_day, DATE '9999-12-31')) THEN 'positive' ELSE 'touch' END AS kind FROM membership a JOIN membership b ON a.code = b.code AND a.row_id < b.row_id AND greatest(a.from_day, b.from_day) <= least(coalesce(a.to_day, DATE '9999-12-31'), coalesce(b.to_day, DATE '9999-12-31'))"))
+
+def known(spark, sf, but: str = "5-LOW"):
+    return membership(spark, sf).select("industry").distinct().where(C("industry") != but)
+
+
+@query("Q20_interval_quality", oracle("SELECT *, true AS complete, rows > 0 AND multi_current = 0 AND orphans = 0 AND bad_ranges = 0 AS ok FROM q UNION ALL SELECT * REPLACE (NULL AS orphans), false, false FROM q", "membership", p=MEET.format("membership"), q=QUALITY.format("membership")))
 def q20(spark, sf):
     m = membership(spark, sf)
-    pairs = j.overlaps(m, "code", "row_id", "industry").agg(F.count_if(C("kind") == "positive").alias("overlaps"), F.count_if(C("kind") == "touch").alias("touches"))
-    bad = m.agg(F.count_if(C("from_day") > C("to_day")).alias("bad_ranges"))
-    multi = m.where("to_day IS NULL").groupBy("code").agg(F.count("*").alias("n")).agg(F.count_if(C("n") > 1).alias("multi_current"))
-    return pairs.crossJoin(F.broadcast(bad)).crossJoin(F.broadcast(multi))
+    report = lambda k: audit.interval_quality(m, "code", "row_id", "industry", k)
+    return report(known(spark, sf)).unionByName(report(None))
 
 
 @query("Q21_interval_clean", oracle("SELECT count(*) AS raw, count(*) FILTER (to_day IS NULL OR from_day <= to_day) AS kept FROM membership", "membership"))
@@ -226,10 +259,28 @@ def q21(spark, sf):
     return membership(spark, sf).agg(F.count("*").alias("raw"), F.count_if(C("to_day").isNull() | (C("from_day") <= C("to_day"))).alias("kept"))
 
 
-@query("Q22_source_comparison", oracle(f"SELECT count(*) AS n, {rsql('avg(d)', 4)} AS mean, {rsql('median(d)', 4)} AS med, {rsql('quantile_cont(abs(d), 0.95)', 4)} AS p95 FROM (SELECT b.close - v.circ_mv / 1e6 AS d FROM bars b JOIN valuation v ON v.code = b.code AND v.dt = b.dt)", "bars", "valuation"))
+THREE = {
+    "a": "SELECT code, dt, close AS v FROM bars", "b": "SELECT code, dt, circ_mv / 1e6 AS v FROM valuation", "c": "SELECT code, dt, pe_ttm AS v FROM valuation",
+    "d": "SELECT 'close-value' AS pair, a.v - b.v AS d FROM a JOIN b USING (code, dt) UNION ALL SELECT 'close-earnings', a.v - c.v FROM a JOIN c USING (code, dt) UNION ALL SELECT 'value-earnings', b.v - c.v FROM b JOIN c USING (code, dt)",
+    "t": " UNION ALL ".join(f"(SELECT '{n}' AS source, code FROM {x} GROUP BY code ORDER BY max(v) DESC, code LIMIT 20)" for n, x in (("close", "a"), ("value", "b"), ("earnings", "c"))),
+}
+
+
+def three(spark, sf):
+    val = valuation(spark, sf)
+    return {"close": bars(spark, sf).select("code", "dt", C("close").alias("v")), "value": val.select("code", "dt", (C("circ_mv") / 1e6).alias("v")), "earnings": val.select("code", "dt", C("pe_ttm").alias("v"))}
+
+
+@query("Q22_source_comparison", oracle(f"SELECT pair, count(d) AS n, {rsql('avg(d)', 4)} AS mean, {rsql('median(d)', 4)} AS med, {rsql('median(abs(d))', 4)} AS abs_med, {rsql('quantile_cont(abs(d), 0.95)', 4)} AS p95 FROM (SELECT unnest(['close-value', 'close-earnings', 'value-earnings']) AS pair) LEFT JOIN d USING (pair) GROUP BY pair", "bars", "valuation", **THREE))
 def q22(spark, sf):
-    rows = bars(spark, sf).join(valuation(spark, sf).select("code", "dt", "circ_mv"), ["code", "dt"]).select((C("close") - C("circ_mv") / 1e6).alias("d"))
-    return rows.agg(F.count("*").alias("n"), rnd(F.avg("d"), 4).alias("mean"), rnd(F.median("d"), 4).alias("med"), rnd(F.percentile(F.abs("d"), F.lit(0.95)), 4).alias("p95"))
+    got = audit.source_differences(three(spark, sf), ["code", "dt"], "v")
+    return got.select("pair", "n", *[rnd(c, 4).alias(c) for c in ("mean", "med", "abs_med", "p95")])
+
+
+@query("Q22_rank_overlap", oracle(f"SELECT source, count(*) FILTER (code::INTEGER % 2 = 0) AS common, {rsql('count(*) FILTER (code::INTEGER % 2 = 0) / count(*)')} AS share FROM t GROUP BY source", "bars", "valuation", **THREE))
+def q22_rank(spark, sf):
+    picked = bars(spark, sf).select("code").unionByName(valuation(spark, sf).select("code")).where(C("code").cast("int") % 2 == 0)
+    return audit.rank_overlap(three(spark, sf), "code", "v", picked, 20).withColumn("share", rnd("share"))
 
 
 @query("Q23_coverage", oracle("SELECT code, min(dt)::VARCHAR AS first_day, max(dt)::VARCHAR AS last_day, count(DISTINCT dt) AS days FROM dirty_bars GROUP BY code", "dirty_bars"))
@@ -237,26 +288,40 @@ def q23(spark, sf):
     return dirty_bars(spark, sf).groupBy("code").agg(F.min("dt").cast("string").alias("first_day"), F.max("dt").cast("string").alias("last_day"), F.count_distinct("dt").alias("days"))
 
 
-@query("Q24_purge", oracle("SELECT count(*) AS kept, count(*) FILTER (data_source <> 'alpha') AS foreign_left FROM dirty_bars WHERE data_source = 'alpha'", "dirty_bars"))
+@query("Q24_purge", oracle("""SELECT 'same' AS due, count(*) AS before, count(*) FILTER (data_source = 'alpha') AS authority_rows, 0 AS lacking, 0 AS extra, true AS done, count(*) FILTER (data_source = 'alpha') AS rows_after, count(DISTINCT data_source) FILTER (data_source = 'alpha') AS sources_after FROM dirty_bars UNION ALL
+    SELECT 'fewer', count(*), count(*) FILTER (data_source = 'alpha'), 0, (SELECT count(*) FROM (SELECT DISTINCT code, dt FROM dirty_bars WHERE data_source = 'alpha' AND k % 2 = 1)), false, count(*), count(DISTINCT data_source) FROM dirty_bars""", "dirty_bars"))
 def q24(spark, sf):
-    return dirty_bars(spark, sf).where("data_source = 'alpha'").agg(F.count("*").alias("kept"), F.count_if(C("data_source") != "alpha").alias("foreign_left"))
+    d = dirty_bars(spark, sf)
+
+    def tried(name: str, due):
+        table, report = audit.purge(d, "data_source", "alpha", due, ["code", "dt"])
+        after = table.agg(F.count("*").alias("rows_after"), F.count_distinct("data_source").alias("sources_after"))
+        return report.crossJoin(F.broadcast(after)).withColumn("due", F.lit(name))
 
+    return tried("same", d.where("data_source = 'alpha'")).unionByName(tried("fewer", d.where("data_source = 'alpha' AND k % 2 <> 1")))
 
-@query("Q25_inventory", oracle("SELECT 'bars' AS name, count(*) AS n, min(dt)::VARCHAR AS first, max(dt)::VARCHAR AS last FROM bars UNION ALL SELECT 'valuation', count(*), min(dt)::VARCHAR, max(dt)::VARCHAR FROM valuation UNION ALL SELECT 'factors', count(*), min(dt)::VARCHAR, max(dt)::VARCHAR FROM factors", "bars", "valuation", "factors"))
+
+@query("Q25_inventory", oracle("SELECT 'bars' AS name, count(*) AS n, min(dt)::VARCHAR AS first, max(dt)::VARCHAR AS last, (SELECT max(time) FROM bars) AS mark FROM bars UNION ALL SELECT 'valuation', count(*), min(dt)::VARCHAR, max(dt)::VARCHAR, (SELECT max(time) FROM valuation) FROM valuation UNION ALL SELECT 'factors', count(*), min(dt)::VARCHAR, max(dt)::VARCHAR, NULL FROM factors", "bars", "valuation", "factors"))
 def q25(spark, sf):
-    return v.profile({"bars": bars(spark, sf), "valuation": valuation(spark, sf), "factors": factors(spark, sf)}, {"bars": "dt", "valuation": "dt", "factors": "dt"})
+    tables = {"bars": bars(spark, sf), "valuation": valuation(spark, sf), "factors": factors(spark, sf)}
+    marks = tables["bars"].agg(F.lit("bars").alias("name"), F.max("time").alias("mark")).unionByName(tables["valuation"].agg(F.lit("valuation").alias("name"), F.max("time").alias("mark")))
+    return v.profile(tables, dict.fromkeys(tables, "dt"), marks)
+
 
+DEVIATION = "SELECT code, unnest([abs((open - open_front) - (close - close_front)), abs((high - high_front) - (close - close_front)), abs((low - low_front) - (close - close_front))]) AS d, abs(close - close_front) AS gap, high - low AS range FROM adj"
 
-@query("Q26_additive_deviation", o(f"SELECT code, {rsql('avg((d > 0.01)::INTEGER)')} AS share, {rsql('quantile_cont(d, 0.99)', 4)} AS p99, {rsql('max(d)', 4)} AS most FROM (SELECT code, abs((open - open_front) - (close - close_front)) AS d FROM adj) WHERE d IS NOT NULL GROUP BY code", "adj"))
+
+@query("Q26_additive_deviation", o(f"SELECT code, count(*) AS n, {rsql('avg((d > 0.01)::INTEGER)')} AS share, {rsql('quantile_cont(d, 0.99)', 4)} AS p99, {rsql('max(d)', 4)} AS most, {rsql('avg(CASE WHEN gap > 1e-9 THEN d / gap END)', 4)} AS to_gap, {rsql('corr(d, gap)', 4)} AS with_gap, {rsql('corr(d, range)', 4)} AS with_range FROM x WHERE d IS NOT NULL GROUP BY ROLLUP (code)", "adj", x=DEVIATION))
 def q26(spark, sf):
-    rows = adj(spark, sf).withColumn("d", F.abs((C("open") - C("open_front")) - (C("close") - C("close_front")))).where("d IS NOT NULL")
-    return rows.groupBy("code").agg(rnd(F.avg((C("d") > 0.01).cast("int"))).alias("share"), rnd(F.percentile("d", F.lit(0.99)), 4).alias("p99"), rnd(F.max("d"), 4).alias("most"))
+    got = audit.additive_deviation(adj(spark, sf), ["open", "high", "low"])
+    return got.select("code", "n", rnd("share").alias("share"), *[rnd(c, 4).alias(c) for c in ("p99", "most", "to_gap", "with_gap", "with_range")])
 
 
-@query("Q27_tolerance", o(f"SELECT code, {rsql('max(greatest(d, 0))')} AS most, bool_and(d <= 0.01) AS within FROM (SELECT f.code, abs(f.close_front - a.close_front) AS d FROM fresh f JOIN adj a ON a.code = f.code AND a.dt = f.dt) WHERE d > 1e-6 GROUP BY code", "fresh"))
+@query("Q27_tolerance", o(f"SELECT code, year, {rsql('most')} AS most, {rsql('off')} AS off, most <= 0.01 AND off <= 0.02 AS within FROM (SELECT f.code, year(f.dt) AS year, count(*) FILTER ((f.close_front IS NULL) <> (a.close_front IS NULL)) AS gone, max(abs(f.close_front - a.close_front)) AS most, avg(coalesce(abs(f.close_front - a.close_front) > 1e-6, false)::INTEGER) AS off FROM fresh f JOIN adj a ON a.code = f.code AND a.dt = f.dt GROUP BY 1, 2) WHERE gone = 0 AND most > 1e-6", "fresh"))
 def q27(spark, sf):
-    rows = fresh(spark, sf).join(adj(spark, sf).select("code", "dt", C("close_front").alias("due")), ["code", "dt"]).withColumn("d", F.abs(C("close_front") - C("due")))
-    return rows.where("d > 1e-6").groupBy("code").agg(rnd(F.max(F.greatest(C("d"), F.lit(0.0)))).alias("most"), F.bool_and(C("d") <= 0.01).alias("within"))
+    rows = fresh(spark, sf).join(adj(spark, sf).select("code", "dt", C("close_front").alias("due")), ["code", "dt"]).withColumn("year", F.year("dt"))
+    got = audit.tolerance_review(rows, ["code", "year"], "due", "close_front", 0.01, 0.02)
+    return got.select("code", "year", rnd("most").alias("most"), rnd("off").alias("off"), "within")
 
 
 ORDER = ["download_failed", "price_mismatch", "missing_source_bars", "library_gap", "admissible"]
@@ -268,22 +333,52 @@ def q28(spark, sf):
     return v.worst(dirty_bars(spark, sf).withColumn("s", status), "code", "s", ORDER, "status")
 
 
-@query("Q29_staged_gate", oracle("SELECT count(*) AS rows, count(DISTINCT industry) AS industries, count(*) FILTER (from_day > to_day) AS bad_ranges, count(*) > 100 AND count(DISTINCT industry) = 5 AS ok FROM membership", "membership"))
+CLEAN = "SELECT code, industry, from_day, to_day - 2 AS to_day, row_id FROM membership WHERE to_day - 2 >= from_day"
+
+
+@query("Q29_staged_gate", oracle("SELECT 'staged' AS name, *, (SELECT count(*) FROM membership) AS rows_after FROM r UNION ALL SELECT 'clean', *, (SELECT count(*) FROM c) FROM k", "membership", c=CLEAN,
+    p=MEET.format("membership"), q=QUALITY.format("membership"), r="SELECT *, true AS complete, rows > 0 AND multi_current = 0 AND orphans = 0 AND bad_ranges = 0 AS ok, (SELECT count(DISTINCT industry) FROM membership) AS labels, false AS pass FROM q",
+    k="SELECT count(*) AS rows, count(DISTINCT code) AS codes, 0 AS bad_ranges, 0 AS overlaps, 0 AS touches, 0 AS multi_current, 0 AS orphans, true AS complete, true AS ok, count(DISTINCT industry) AS labels, true AS pass FROM c"))
 def q29(spark, sf):
-    return membership(spark, sf).agg(F.count("*").alias("rows"), F.count_distinct("industry").alias("industries"), F.count_if(C("from_day") > C("to_day")).alias("bad_ranges"), ((F.count("*") > 100) & (F.count_distinct("industry") == 5)).alias("ok"))
+    m = membership(spark, sf)
+    clean = m.withColumn("to_day", F.date_sub("to_day", 2)).where("to_day >= from_day")
+
+    def tried(name: str, staged, labels):
+        n, kinds = staged.agg(F.count("*"), F.count_distinct("industry")).first()
+        report, table = audit.staged_gate(staged, m, labels, "code", "row_id", "industry", n, kinds)
+        return report.crossJoin(F.broadcast(table.agg(F.count("*").alias("rows_after")))).withColumn("name", F.lit(name))
+
+    return tried("staged", m, known(spark, sf)).unionByName(tried("clean", clean, known(spark, sf, "")))
 
 
-@query("Q30_backfill_audit", oracle("SELECT index_code, count(DISTINCT month) AS months, count(*) AS rows, max(month)::VARCHAR AS last_month FROM index_members GROUP BY 1", "index_members"))
+Q30_DAYS = ("1995-06-15", "1996-12-31", "1998-02-01")
+
+
+@query("Q30_backfill_audit", oracle(f"""SELECT index_code, d.day::VARCHAR AS day, as_of::VARCHAR AS as_of, members, sources, complete, partial, 0 AS invalid, 0 AS unknown FROM (SELECT index_code, string_agg(DISTINCT s, ',' ORDER BY s) AS sources FROM x GROUP BY 1) JOIN s USING (index_code),
+    (SELECT unnest({list(Q30_DAYS)!r})::DATE AS day) d LEFT JOIN LATERAL (SELECT month AS as_of, count(DISTINCT code) AS members FROM x WHERE x.index_code = s.index_code AND x.month <= d.day GROUP BY month ORDER BY month DESC LIMIT 1) ON true""", "index_members",
+    x="SELECT *, CASE WHEN code::INTEGER % 3 = 0 THEN 'api' ELSE 'file' END AS s FROM index_members", s="SELECT index_code, count(*) FILTER (n >= 4) AS complete, count(*) FILTER (n < 4) AS partial FROM (SELECT index_code, month, count(DISTINCT code) AS n FROM index_members GROUP BY 1, 2) GROUP BY 1"))
 def q30(spark, sf):
-    return index_members(spark, sf).groupBy("index_code").agg(F.count_distinct("month").alias("months"), F.count("*").alias("rows"), F.max("month").cast("string").alias("last_month"))
+    members = index_members(spark, sf).withColumn("source", F.when(C("code").cast("int") % 3 == 0, "api").otherwise("file"))
+    status = v.snapshot_status(members, members.select("index_code").distinct().withColumn("expected", F.lit(4)))
+    got = audit.backfill_audit(members, status, "source", Q30_DAYS)
+    return got.select("index_code", C("day").cast("string").alias("day"), C("as_of").cast("string").alias("as_of"), "members", "sources", "complete", "partial", "invalid", "unknown")
 
 
-@query("Q31_pending_slots", oracle("SELECT count(*) AS pending, count(*) FILTER (b.code IS NULL) AS without_trigger, count(*) FILTER (b.volume > 25) AS other_payload FROM status_events s LEFT JOIN bars b ON b.code = s.code AND b.dt = s.dt", "bars", "status_events"))
+@query("Q31_pending_slots", oracle("""SELECT count(*) AS pending, count(*) FILTER (t = 0) AS without_trigger, count(*) FILTER (t <> 0 AND h % 7 = 0) AS other_origin, count(*) FILTER (t <> 0 AND h % 5 = 0) AS other_payload,
+    count(*) FILTER (t = 0 OR h % 7 = 0 OR h % 5 = 0) = 0 AS ok FROM (SELECT *, h % 11 AS t FROM (SELECT (code::INTEGER + day(dt)) AS h FROM status_events))""", "status_events"))
 def q31(spark, sf):
-    joined = status_events(spark, sf).select("code", "dt").join(bars(spark, sf).select("code", "dt", "volume"), ["code", "dt"], "left")
-    return joined.agg(F.count("*").alias("pending"), F.count_if(C("volume").isNull()).alias("without_trigger"), F.count_if(C("volume") > 25).alias("other_payload"))
+    e = status_events(spark, sf).select(F.concat_ws("|", "code", "dt").alias("slot"), (C("code").cast("int") + F.day("dt")).alias("h"))
+    pending = e.select("slot", F.lit("alpha").alias("price_source"), F.lit(3).alias("generation"), F.lit("c1").alias("cutover"), F.sha2("slot", 256).alias("payload_hash"), "h")
+    other = F.when(C("h") % 7 == 0, 4).otherwise(C("generation"))
+    triggers = pending.where("h % 11 <> 0").withColumns({"generation": other, "payload_hash": F.when(C("h") % 5 == 0, F.sha2("payload_hash", 256)).otherwise(C("payload_hash"))})
+    return audit.pending_audit(pending, triggers, "slot", ["price_source", "generation", "cutover"], "payload_hash")
+
+
+MONITOR = """SELECT *, (coalesce(n > most, false) OR overdue > 0) AS alarm FROM (SELECT 'trades' AS name, action AS status, count(*) AS n, count(*) FILTER (action = 'sell' AND DATE '1995-07-01' - dt > 90) AS overdue, CASE WHEN action = 'buy' THEN 10 END AS most FROM trades GROUP BY 2
+    UNION ALL SELECT 'events', status, count(*), count(*) FILTER (status = 'sell' AND DATE '1995-07-01' - dt > 90), CASE WHEN status = 'normal' THEN 1000000 END FROM status_events GROUP BY 2)"""
 
 
-@query("Q32_monitor", oracle("SELECT action AS status, count(*) AS n, count(*) FILTER (dt < DATE '1995-01-01') AS overdue FROM trades GROUP BY 1", "trades"))
+@query("Q32_monitor", oracle("SELECT name, status, n, overdue, alarm FROM m", "trades", "status_events", m=MONITOR))
 def q32(spark, sf):
-    return trades(spark, sf).groupBy(C("action").alias("status")).agg(F.count("*").alias("n"), F.count_if(C("dt") < F.lit("1995-01-01").cast("date")).alias("overdue"))
+    tables = {"trades": trades(spark, sf).select(C("action").alias("status"), C("dt").alias("day")), "events": status_events(spark, sf).select("status", C("dt").alias("day"))}
+    return audit.workflow_monitor(tables, F.lit("1995-07-01").cast("date"), 90, ["sell"], {("trades", "buy"): 10, ("events", "normal"): 1_000_000})
