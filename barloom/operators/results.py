@@ -172,3 +172,104 @@ def same(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: rows of one side that the other lacks, repeats counted."""
     a = left.exceptAll(right).agg(F.count("*").alias("left_only"))
     return a.crossJoin(F.broadcast(right.exceptAll(left).agg(F.count("*").alias("right_only")))).withColumn("equal", (F.col("left_only") == 0) & (F.col("right_only") == 0))
+
+
+def differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of either side with the side that has them: left_only, right_only or both."""
+    a = left.select(*keys).distinct().withColumn("_a", F.lit(True))
+    b = right.select(*keys).distinct().withColumn("_b", F.lit(True))
+    side = F.when(F.col("_a").isNull(), "right_only").when(F.col("_b").isNull(), "left_only").otherwise("both")
+    return a.join(b, list(keys), "full").select(*keys, side.alias("side"))
+
+
+def attribution(left: DataFrame, right: DataFrame, keys: Sequence[str], examples: int = 3) -> DataFrame:
+    """Counts of keys by side with the first few of them as examples."""
+    rows = differences(left, right, keys)
+    place = F.row_number().over(Window.partitionBy("side").orderBy(*keys))
+    shown = rows.withColumn("_n", place).where(F.col("_n") <= examples).groupBy("side").agg(F.array_sort(F.collect_list(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))).alias("examples"))
+    return rows.groupBy("side").agg(F.count("*").alias("n")).join(F.broadcast(shown), "side")  # three rows at most
+
+
+def match_rate(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: rows with equal keys on both sides, repeats counted, over the rows of the larger side."""
+    a, b = (x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((left, "a"), (right, "b")))
+    met = a.join(b, list(keys), "full")
+    return met.agg(F.try_divide(F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))), F.greatest(F.sum("a"), F.sum("b"))).alias("rate"))
+
+
+def holding_overlap(left: DataFrame, right: DataFrame, day: str = "dt", code: str = "code") -> DataFrame:
+    """One row: days, and the mean over days of the Jaccard index of the two sides' codes."""
+    daily = differences(left, right, [day, code]).groupBy(day).agg((F.count_if(F.col("side") == "both") / F.count("*")).alias("j"))
+    return daily.agg(F.count("*").alias("days"), F.avg("j").alias("overlap"))
+
+
+def gap_parts(returns: DataFrame, match: DataFrame, overlap: DataFrame) -> DataFrame:
+    """The gap of two total returns (left_return, right_return) in basis points, split by what trades and holdings do not share.
+
+    What unmatched trades explain comes first, of the rest what different
+    holdings explain, and what is left last.  Each frame has one row.
+    """
+    row = returns.crossJoin(F.broadcast(match.select("rate"))).crossJoin(F.broadcast(overlap.select("overlap")))
+    row = row.withColumn("total_bps", (F.col("left_return") - F.col("right_return")) * 10000)
+    row = row.withColumn("engine_bps", F.col("total_bps") * (1 - F.col("rate")))
+    row = row.withColumn("data_bps", (F.col("total_bps") - F.col("engine_bps")) * (1 - F.col("overlap")))
+    return row.withColumn("source_bps", F.col("total_bps") - F.col("engine_bps") - F.col("data_bps"))
+
+
+def performance_gap(both: DataFrame, left: str, right: str, limits: Sequence[float] = (0.02, 0.02, 0.2)) -> DataFrame:
+    """One row on the days of both curves, each counted from its first value: gaps of the end, the drawdown and the Sharpe ratio.
+
+    A gap below its limit is good; where not all are, one below twice its limit is a near miss.
+    """
+    w = Window.partitionBy(F.lit(1)).orderBy("dt")
+    whole = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    sides = {"l": left, "r": right}
+    rows = rows.withColumns({f"_{s}": F.col(c) / F.first(c).over(whole) for s, c in sides.items()})
+    rows = rows.withColumns({f"_{s}_{n}": e for s in sides for n, e in (("top", F.max(f"_{s}").over(whole)), ("ret", F.col(f"_{s}") / F.lag(f"_{s}").over(w) - 1))})
+    sharpe = lambda s: F.try_divide(F.avg(f"_{s}_ret"), F.stddev_samp(f"_{s}_ret")) * F.sqrt(F.lit(252.0))
+    down = lambda s: F.min(F.col(f"_{s}") / F.col(f"_{s}_top") - 1)
+    end = lambda s: F.max_by(f"_{s}", "dt")
+    names = ("end_gap", "drawdown_gap", "sharpe_gap")
+    out = rows.agg(F.count("*").alias("days"), *[F.abs(f("l") - f("r")).alias(n) for n, f in zip(names, (end, down, sharpe), strict=True)])
+    good = [F.coalesce(F.col(n) < limit, F.lit(False)) for n, limit in zip(names, limits, strict=True)]
+    near = [F.coalesce(F.col(n) < 2 * limit, F.lit(False)) for n, limit in zip(names, limits, strict=True)]
+    out = out.withColumn("ok", good[0] & good[1] & good[2])
+    return out.withColumn("near_miss", ~F.col("ok") & (near[0] | near[1] | near[2]))
+
+
+def curve_hash(curved: DataFrame, value: str = "nav", digits: int = 6) -> DataFrame:
+    """One row: a digest of the values of all days in order, in whole steps of the last digit.  A curve has one row per trading day."""
+    step = F.round(F.col(value) * 10**digits).cast("bigint").cast("string")
+    rows = F.array_sort(F.collect_list(F.struct(F.col("dt"), step.alias("v"))))
+    return curved.agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["v"]), ","), 256).alias("hash"))
+
+
+def run_profile(trades: DataFrame, daily: DataFrame) -> DataFrame:
+    """One row on a run: trades by side, bought symbols, value, buys per trading day; and from daily (dt, positions, market_value, cash, total) the most positions, and mean exposure and cash ratio from the first trade on."""
+    buy = F.col("action") == "buy"
+    made = trades.agg(
+        F.count_if(buy).alias("buys"), F.count_if(~buy).alias("sells"), F.count_distinct(F.when(buy, F.col("code"))).alias("symbols"), F.count_distinct("dt").alias("trade_days"),
+        F.sum("amount").alias("value"), F.try_divide(F.count_if(buy), F.count_distinct(F.when(buy, F.col("dt")))).alias("buys_per_day"), F.min("dt").alias("_first"),
+    )
+    days = daily.crossJoin(F.broadcast(made))
+    after = F.coalesce(F.col("dt") >= F.col("_first"), F.lit(True))
+    ratio = lambda c: F.avg(F.when(after, F.coalesce(F.try_divide(c, "total"), F.lit(0.0))))
+    own = [F.first(c).alias(c) for c in made.columns if c != "_first"]
+    return days.agg(*own, F.count("*").alias("days"), F.max("positions").alias("most_positions"), F.max(F.when(after, F.col("positions"))).alias("positions_after"), ratio("market_value").alias("exposure"), ratio("cash").alias("cash_ratio"), F.max_by("total", "dt").alias("final"))
+
+
+def result_gate(daily: DataFrame, trades: DataFrame, order: Sequence[str], final: float, tolerance: float, count: int, sequence: DataFrame, last_bought: str) -> DataFrame:
+    """One row: the last day's total within its tolerance, the number of trades, the sequence of (dt, code, action) place by place, and the code bought last.
+
+    Trades are in order by day, so places are compared within days and no task
+    holds all of them; ``sequence`` has its place within the day as ``place``.
+    """
+    own = trades.select("dt", "code", "action", F.row_number().over(Window.partitionBy("dt").orderBy(*order)).alias("place"))
+    met = own.join(sequence.select("dt", "place", F.col("code").alias("_code"), F.col("action").alias("_action")), ["dt", "place"], "full")
+    off = ~(F.col("code").eqNullSafe(F.col("_code")) & F.col("action").eqNullSafe(F.col("_action")))
+    end = daily.agg(F.max_by("total", "dt").alias("final"))
+    made = trades.agg(F.count("*").alias("trades"), F.max_by("code", F.when(F.col("action") == "buy", F.struct("dt", *order))).alias("last_bought"))
+    row = end.crossJoin(F.broadcast(made)).crossJoin(F.broadcast(met.agg(F.count_if(off).alias("sequence_off"))))
+    row = row.withColumns({"final_ok": F.abs(F.col("final") - final) <= tolerance, "count_ok": F.col("trades") == count, "last_ok": F.coalesce(F.col("last_bought") == last_bought, F.lit(False))})
+    return row.withColumn("pass", F.col("final_ok") & F.col("count_ok") & F.col("last_ok") & (F.col("sequence_off") == 0))

@@ -155,18 +155,25 @@ def m19(spark, sf):
     return r.agreement(a, b, ["dt", "code", "action"]).withColumn("jaccard", rnd("jaccard"))
 
 
-@query("M20_performance_gap", oracle(f"SELECT count(*) AS days, {rsql('abs(arg_max(nav, dt) - arg_max(bench, dt))')} AS end_gap, {rsql('abs(min(nav / tn - 1) - min(bench / tb - 1))')} AS drawdown_gap FROM (SELECT *, max(nav) OVER (ORDER BY dt) AS tn, max(bench) OVER (ORDER BY dt) AS tb FROM c)", "nav", c=CURVE))
+@query("M19_signal_details", oracle("SELECT dt::VARCHAR AS dt, code, action, CASE WHEN a IS NULL THEN 'right_only' ELSE 'left_only' END AS side FROM (SELECT DISTINCT dt, code, action, true AS a FROM l) FULL JOIN (SELECT DISTINCT dt, code, action, true AS b FROM r) USING (dt, code, action) WHERE a IS NULL OR b IS NULL", "trades", **LR))
+def m19_details(spark, sf):
+    got = r.differences(*runs(spark, sf), ["dt", "code", "action"]).where("side <> 'both'")
+    return got.select(C("dt").cast("string").alias("dt"), "code", "action", "side")
+
+
+GAPS = """SELECT count(*) AS days, abs(arg_max(l, dt) - arg_max(r, dt)) AS end_gap, abs(min(l / tl - 1) - min(r / tr - 1)) AS drawdown_gap, abs(avg(rl) / stddev_samp(rl) - avg(rr) / stddev_samp(rr)) * sqrt(252) AS sharpe_gap FROM (
+    SELECT *, max(l) OVER (ORDER BY dt) AS tl, max(r) OVER (ORDER BY dt) AS tr, l / lag(l) OVER (ORDER BY dt) - 1 AS rl, r / lag(r) OVER (ORDER BY dt) - 1 AS rr FROM (SELECT dt, nav / first_value(nav) OVER (ORDER BY dt) AS l, bench / first_value(bench) OVER (ORDER BY dt) AS r FROM nav))"""
+
+
+@query("M20_performance_gap", oracle(f"SELECT days, {rsql('end_gap')} AS end_gap, {rsql('drawdown_gap')} AS drawdown_gap, {rsql('sharpe_gap')} AS sharpe_gap, ok, NOT ok AND (end_gap < 0.04 OR drawdown_gap < 0.04 OR sharpe_gap < 0.4) AS near_miss FROM (SELECT *, end_gap < 0.02 AND drawdown_gap < 0.02 AND sharpe_gap < 0.2 AS ok FROM g)", "nav", g=GAPS))
 def m20(spark, sf):
-    w = Window.partitionBy(F.lit(1)).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    rows = curve(spark, sf).withColumns({"tn": F.max("nav").over(w), "tb": F.max("bench").over(w)})
-    return rows.agg(F.count("*").alias("days"), rnd(F.abs(F.max_by("nav", "dt") - F.max_by("bench", "dt"))).alias("end_gap"), rnd(F.abs(F.min(C("nav") / C("tn") - 1) - F.min(C("bench") / C("tb") - 1))).alias("drawdown_gap"))
+    got = r.performance_gap(nav(spark, sf), "nav", "bench")
+    return got.select("days", *[rnd(c).alias(c) for c in ("end_gap", "drawdown_gap", "sharpe_gap")], "ok", "near_miss")
 
 
 @query("M21_holding_overlap", oracle(f"SELECT count(*) AS days, {rsql('avg(j)')} AS overlap FROM (SELECT dt, count(*) FILTER (a AND b) / count(*) AS j FROM (SELECT DISTINCT dt, code, true AS a FROM l) FULL JOIN (SELECT DISTINCT dt, code, true AS b FROM r) USING (dt, code) GROUP BY dt)", "trades", **LR))
 def m21(spark, sf):
-    a, b = (x.select("dt", "code").distinct().withColumn(n, F.lit(True)) for x, n in zip(runs(spark, sf), "ab", strict=True))
-    day = a.join(b, ["dt", "code"], "full").groupBy("dt").agg((F.count_if(C("a").isNotNull() & C("b").isNotNull()) / F.count("*")).alias("j"))
-    return day.agg(F.count("*").alias("days"), rnd(F.avg("j")).alias("overlap"))
+    return r.holding_overlap(*runs(spark, sf)).withColumn("overlap", rnd("overlap"))
 
 
 @query("M22_cost_gap", oracle(f"SELECT code, {rsql('a.r', 8)} AS rate_l, {rsql('b.r', 8)} AS rate_r, {rsql('(b.r - a.r) / a.r')} AS gap FROM (SELECT code, sum(fee) / sum(amount) AS r FROM l GROUP BY 1) a JOIN (SELECT code, sum(fee) / sum(amount) AS r FROM r GROUP BY 1) b USING (code)", "trades", **LR))
@@ -175,27 +182,32 @@ def m22(spark, sf):
     return got.select("code", rnd("rate_l", 8).alias("rate_l"), rnd("rate_r", 8).alias("rate_r"), rnd("gap").alias("gap"))
 
 
-@query("M23_attribution", oracle("SELECT side, count(*) AS n, min(code) AS example FROM (SELECT CASE WHEN a IS NULL THEN 'right_only' WHEN b IS NULL THEN 'left_only' ELSE 'both' END AS side, code FROM (SELECT DISTINCT dt, code, action, true AS a FROM l) FULL JOIN (SELECT DISTINCT dt, code, action, true AS b FROM r) USING (dt, code, action)) GROUP BY side", "trades", **LR))
+@query("M23_attribution", oracle("SELECT side, count(*) AS n, array_to_string(list(dt::VARCHAR || '|' || code || '|' || action ORDER BY dt, code, action)[1:3], ' ') AS examples FROM (SELECT CASE WHEN a IS NULL THEN 'right_only' WHEN b IS NULL THEN 'left_only' ELSE 'both' END AS side, dt, code, action FROM (SELECT DISTINCT dt, code, action, true AS a FROM l) FULL JOIN (SELECT DISTINCT dt, code, action, true AS b FROM r) USING (dt, code, action)) GROUP BY side", "trades", **LR))
 def m23(spark, sf):
-    keys = ["dt", "code", "action"]
-    a, b = (x.select(*keys).distinct().withColumn(n, F.lit(True)) for x, n in zip(runs(spark, sf), "ab", strict=True))
-    side = F.when(C("a").isNull(), "right_only").when(C("b").isNull(), "left_only").otherwise("both")
-    return a.join(b, keys, "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"), F.min("code").alias("example"))
+    return r.attribution(*runs(spark, sf), ["dt", "code", "action"]).withColumn("examples", F.array_join("examples", " "))
+
 
+MATCH = "SELECT sum(least(a.n, b.n)) / greatest((SELECT count(*) FROM l), (SELECT count(*) FROM r)) AS rate FROM (SELECT dt, code, action, volume, count(*) AS n FROM l GROUP BY ALL) a JOIN (SELECT dt, code, action, volume, count(*) AS n FROM r GROUP BY ALL) b USING (dt, code, action, volume)"
 
-@query("M24_match_rate", oracle(f"SELECT {rsql('sum(least(a.n, b.n)) / greatest((SELECT count(*) FROM l), (SELECT count(*) FROM r))')} AS rate FROM (SELECT dt, code, action, volume, count(*) AS n FROM l GROUP BY ALL) a JOIN (SELECT dt, code, action, volume, count(*) AS n FROM r GROUP BY ALL) b USING (dt, code, action, volume)", "trades", **LR))
+
+@query("M24_match_rate", oracle(f"SELECT {rsql('rate')} AS rate FROM m", "trades", **LR, m=MATCH))
 def m24(spark, sf):
-    keys = ["dt", "code", "action", "volume"]
-    a, b = (x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in zip(runs(spark, sf), "ab", strict=True))
-    sizes = a.agg(F.sum("a").alias("na")).crossJoin(F.broadcast(b.agg(F.sum("b").alias("nb"))))
-    met = a.join(b, keys).agg(F.sum(F.least("a", "b")).alias("met"))
-    return met.crossJoin(F.broadcast(sizes)).select(rnd(C("met") / F.greatest("na", "nb")).alias("rate"))
+    return r.match_rate(*runs(spark, sf), ["dt", "code", "action", "volume"]).select(rnd("rate").alias("rate"))
+
 
+PARTS = {
+    **LR, "m": MATCH, "o": "SELECT avg(j) AS overlap FROM (SELECT dt, count(*) FILTER (a AND b) / count(*) AS j FROM (SELECT DISTINCT dt, code, true AS a FROM l) FULL JOIN (SELECT DISTINCT dt, code, true AS b FROM r) USING (dt, code) GROUP BY dt)",
+    "g": "SELECT (arg_max(nav, dt) / arg_min(nav, dt) - arg_max(bench, dt) / arg_min(bench, dt)) * 10000 AS total FROM nav",
+}
 
-@query("M25_gap_parts", oracle(f"SELECT {rsql('total - total_b')} AS gap, {rsql('(1 + total) * 0.9 - (1 + total)')} AS cost_part, {rsql('(1 + total) * 0.9 * 0.95 - (1 + total) * 0.9')} AS slip_part, {rsql('(1 + total_b) - (1 + total) * 0.9 * 0.95')} AS rest FROM s", "nav", c=CURVE, s=SUMS))
+
+@query("M25_gap_parts", oracle(f"SELECT {rsql('total', 3)} AS total_bps, {rsql('total * (1 - rate)', 3)} AS engine_bps, {rsql('total * rate * (1 - overlap)', 3)} AS data_bps, {rsql('total * rate * overlap', 3)} AS source_bps FROM g, m, o", "nav", "trades", **PARTS))
 def m25(spark, sf):
-    one, two = 1 + C("total"), 1 + C("total_b")
-    return r.summary(curve(spark, sf)).select(rnd(C("total") - C("total_b")).alias("gap"), rnd(one * 0.9 - one).alias("cost_part"), rnd(one * 0.9 * 0.95 - one * 0.9).alias("slip_part"), rnd(two - one * 0.9 * 0.95).alias("rest"))
+    first_last = lambda c: (F.max_by(c, "dt") / F.min_by(c, "dt") - 1)
+    returns = nav(spark, sf).agg(first_last("nav").alias("left_return"), first_last("bench").alias("right_return"))
+    a, b = runs(spark, sf)
+    got = r.gap_parts(returns, r.match_rate(a, b, ["dt", "code", "action", "volume"]), r.holding_overlap(a, b))
+    return got.select(*[rnd(c, 3).alias(c) for c in ("total_bps", "engine_bps", "data_bps", "source_bps")])
 
 
 @query("M26_correlation", oracle(f"SELECT count(*) AS n, {rsql('corr(nav, bench)')} AS corr FROM nav", "nav"))
@@ -203,17 +215,52 @@ def m26(spark, sf):
     return nav(spark, sf).agg(F.count("*").alias("n"), rnd(F.corr("nav", "bench")).alias("corr"))
 
 
-@query("M27_equality", oracle("SELECT (SELECT count(*) FROM (SELECT dt, code, action, volume FROM l EXCEPT ALL SELECT dt, code, action, volume FROM r)) AS left_only, (SELECT count(*) FROM (SELECT dt, code, action, volume FROM r EXCEPT ALL SELECT dt, code, action, volume FROM l)) AS right_only, false AS equal", "trades", **LR))
+EDGES = "SELECT dt, code, action, volume FROM {} EXCEPT ALL SELECT dt, code, action, volume FROM {}"
+
+
+@query("M27_equality", oracle(f"SELECT *, left_only = 0 AND right_only = 0 AS equal, x AS hash_l, y AS hash_r, x = y AS same_curve FROM (SELECT (SELECT count(*) FROM ({EDGES.format('l', 'r')})) AS left_only, (SELECT count(*) FROM ({EDGES.format('r', 'l')})) AS right_only), (SELECT sha256(string_agg(round(nav * 1000000)::BIGINT::VARCHAR, ',' ORDER BY dt)) AS x, sha256(string_agg(round(bench * 1000000)::BIGINT::VARCHAR, ',' ORDER BY dt)) AS y FROM nav)".replace("SELECT *, left_only", "SELECT left_only, right_only, left_only"), "nav", "trades", **LR))
 def m27(spark, sf):
-    return r.same(*[x.select("dt", "code", "action", "volume") for x in runs(spark, sf)])
+    rows = r.same(*[x.select("dt", "code", "action", "volume") for x in runs(spark, sf)])
+    n = nav(spark, sf)
+    hashes = r.curve_hash(n, "nav").withColumnRenamed("hash", "hash_l").crossJoin(F.broadcast(r.curve_hash(n, "bench").withColumnRenamed("hash", "hash_r")))
+    return rows.crossJoin(F.broadcast(hashes)).withColumn("same_curve", C("hash_l") == C("hash_r"))
+
+
+DAILY = "SELECT dt, count(*) FILTER (code::INTEGER % 2 = 0) AS positions, coalesce(sum(amount) FILTER (code::INTEGER % 2 = 0), 0) AS market_value, sum(amount) AS total FROM bars GROUP BY dt"
+
 
+def daily(spark, sf):
+    even = C("code").cast("int") % 2 == 0
+    rows = bars(spark, sf).groupBy("dt").agg(F.count_if(even).alias("positions"), F.coalesce(F.sum(F.when(even, C("amount"))), F.lit(0.0)).alias("market_value"), F.sum("amount").alias("total"))
+    return rows.withColumn("cash", C("total") - C("market_value"))
 
-@query("M28_run_profile", oracle(f"SELECT count(*) FILTER (action = 'buy') AS buys, count(*) FILTER (action = 'sell') AS sells, count(DISTINCT code) AS symbols, {rsql('sum(amount)', 2)} AS value, {rsql('count(*) FILTER (action = {}) / count(DISTINCT CASE WHEN action = {} THEN dt END)'.format(chr(39) + 'buy' + chr(39), chr(39) + 'buy' + chr(39)))} AS buys_per_day FROM c", "trades", c=COST))
+
+@query("M28_run_profile", oracle(f"""SELECT a.*, count(*) AS days, max(positions) AS most_positions, max(positions) FILTER (dt >= first) AS positions_after, {rsql('avg(market_value / total) FILTER (dt >= first)')} AS exposure, {rsql('avg((total - market_value) / total) FILTER (dt >= first)')} AS cash_ratio,
+    {rsql('arg_max(total, dt)', 2)} AS final FROM d, (SELECT count(*) FILTER (action = 'buy') AS buys, count(*) FILTER (action = 'sell') AS sells, count(DISTINCT code) FILTER (action = 'buy') AS symbols, count(DISTINCT dt) AS trade_days, {rsql('sum(amount)', 2)} AS value,
+    {rsql("count(*) FILTER (action = 'buy') / count(DISTINCT dt) FILTER (action = 'buy')")} AS buys_per_day FROM e) a, (SELECT min(dt) AS first FROM e) GROUP BY ALL""", "bars", "trades", c=COST, d=DAILY, e="SELECT * FROM c WHERE dt >= DATE '1996-01-01'"))
 def m28(spark, sf):
-    buy = C("action") == "buy"
-    return costed(spark, sf).agg(F.count_if(buy).alias("buys"), F.count_if(~buy).alias("sells"), F.count_distinct("code").alias("symbols"), rnd(F.sum("amount"), 2).alias("value"), rnd(F.count_if(buy) / F.count_distinct(F.when(buy, C("dt")))).alias("buys_per_day"))
+    got = r.run_profile(costed(spark, sf).where(C("dt") >= F.lit("1996-01-01").cast("date")), daily(spark, sf))
+    rounded = {"value": 2, "final": 2, "buys_per_day": 6, "exposure": 6, "cash_ratio": 6}
+    return got.select(*[rnd(c, rounded[c]).alias(c) if c in rounded else C(c) for c in got.columns])
+
 
+def gate_case(spark, sf, every: int):
+    """A run, and its expected sequence, of which one of every so many trades is turned round."""
+    t = costed(spark, sf).distinct()
+    place = F.row_number().over(Window.partitionBy("dt").orderBy(*ORDER))
+    turned = C("l_orderkey") % every == every - 1
+    due = t.withColumn("place", place).withColumn("action", F.when(turned, F.lit("held")).otherwise(C("action")))
+    return t, due.select("dt", "place", "code", "action")
 
-@query("M29_result_gate", oracle("SELECT count(*) > 1000 AS enough, abs(sum(amount) / 1e9) < 1e6 AS within, max(CASE WHEN action = 'buy' THEN dt END)::VARCHAR AS last_buy FROM c", "trades", c=COST))
+
+@query("M29_result_gate", oracle(f"""WITH x AS (SELECT DISTINCT * FROM c), f AS (SELECT arg_max(total, dt) AS final FROM d), n AS (SELECT count(*) AS trades, count(*) FILTER (l_orderkey % 97 = 96) AS turned FROM x),
+    b AS (SELECT code AS last_bought FROM x WHERE action = 'buy' ORDER BY dt DESC, {', '.join(f'{c} DESC' for c in TIE)} LIMIT 1)
+    SELECT name, {rsql('final', 2)} AS final, trades, last_bought, off AS sequence_off, abs(final - 100000) <= 1e9 AS final_ok, trades = due AS count_ok, last_bought = '000001' AS last_ok, abs(final - 100000) <= 1e9 AND trades = due AND last_bought = '000001' AND off = 0 AS pass
+    FROM f, n, b, (SELECT 'turned' AS name, turned AS off, 1 AS due FROM n UNION ALL SELECT 'same', 0, trades FROM n)""".replace("WITH x AS (", "SELECT * FROM (WITH x AS (") + ")", "bars", "trades", c=COST, d=DAILY))
 def m29(spark, sf):
-    return costed(spark, sf).agg((F.count("*") > 1000).alias("enough"), (F.abs(F.sum("amount") / 1e9) < 1e6).alias("within"), F.max(F.when(C("action") == "buy", C("dt"))).cast("string").alias("last_buy"))
+    def tried(name: str, every: int, count):
+        t, due = gate_case(spark, sf, every)
+        got = r.result_gate(daily(spark, sf), t, ORDER, 100_000.0, 1e9, count if count else t.count(), due, "000001")
+        return got.select(F.lit(name).alias("name"), rnd("final", 2).alias("final"), "trades", "last_bought", "sequence_off", "final_ok", "count_ok", "last_ok", "pass")
+
+    return tried("turned", 97, 1).unionByName(tried("same", 1 << 40, None))
