@@ -169,3 +169,84 @@ def split_ratio(bars: DataFrame, pre_close: str = "pre_close") -> DataFrame:
     r = F.col("ratio")
     kind = F.when((r < 0.99) & F.coalesce(near, F.lit(False)), "merge").when(r < 0.99, "unknown").when(r <= 1.01, "none").when(r < 1.10, "cash").otherwise("split")
     return out.withColumn("kind", kind).withColumn("applied", F.when(F.col("kind").isin("none", "cash", "unknown"), F.lit(1.0)).when(near, snap).otherwise(r))
+
+
+def scale_off(columns: Sequence[str] = ("open", "high", "low"), share: float = 1e-3, tick: float | None = None) -> Column:
+    """Whether a price is scaled otherwise than the close: by more than a share, and, where a tick is given, also moved by more than a tick otherwise."""
+    def off(c: str) -> Column:
+        raw, front = F.col(c), F.col(f"{c}_front")
+        wide = F.abs(F.try_divide(F.try_divide(front, raw), F.try_divide("close_front", "close")) - 1) > share
+        if tick is not None:
+            wide = wide & (F.abs((raw - front) - (F.col("close") - F.col("close_front"))) > tick)
+        return F.coalesce((raw > 0) & wide, F.lit(False))
+
+    return reduce(lambda a, b: a | b, [off(c) for c in columns])
+
+
+def staged_contract(rows: DataFrame, keys: Sequence[str] = ("code", "dt"), share: float = 1e-3, tick: float | None = None) -> DataFrame:
+    """One row on staged bars: missing columns, repeated keys, closes and other prices that are not finite and positive, scales that differ, and the verdict.
+
+    Both closes must be there; other prices may be missing.  Cash dividends
+    are taken off prices, so a tick may stand for a scale.
+    """
+    wanted = [*keys, *[f"{c}{side}" for c in PRICES for side in ("", "_front")]]
+    lacking = [c for c in wanted if c not in rows.columns]
+    if lacking:
+        return rows.agg(F.count("*").alias("n")).select("n", F.lit(",".join(lacking)).alias("missing"), *[F.lit(None).cast("long").alias(c) for c in ("repeated", "bad_close", "bad_value", "scale")], F.lit(False).alias("ok"))
+    good = lambda c: (F.col(c) > 0) & (F.col(c) < float("inf")) & ~F.isnan(c)
+    bad_close = ~F.coalesce(good("close") & good("close_front"), F.lit(False))
+    bad_value = reduce(lambda a, b: a | b, [F.coalesce(~good(f"{c}{side}"), F.lit(False)) for c in PRICES[:3] for side in ("", "_front")])
+    per = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(bad_close).alias("_c"), F.count_if(bad_value).alias("_v"), F.count_if(scale_off(share=share, tick=tick)).alias("_s"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = per.agg(total("_n").alias("n"), F.lit("").alias("missing"), total(F.col("_n") - 1).alias("repeated"), total("_c").alias("bad_close"), total("_v").alias("bad_value"), total("_s").alias("scale"))
+    return out.withColumn("ok", (F.col("n") > 0) & (F.col("repeated") == 0) & (F.col("bad_close") == 0) & (F.col("bad_value") == 0) & (F.col("scale") == 0))
+
+
+def post_checks(before: DataFrame, after: DataFrame, staged: DataFrame, calendar: DataFrame, last_minutes: DataFrame, share: float = 1e-3, tick: float = 0.01) -> DataFrame:
+    """One row on rewritten bars: counts of what is off after the rewrite, and the verdict.
+
+    Rows lost or gained; staged values not found again; adjusted returns that
+    differ from raw ones; rows without the bar of the trade day before (but for
+    a code's first day); scales; price relation; closes other than the day's
+    last minute's.  ``calendar`` has one row per trade day in ``day``.
+    """
+    keys = ["code", "dt"]
+    days = calendar.select(F.col("day").alias("dt"), F.lag("day").over(Window.partitionBy(F.lit(1)).orderBy("day")).alias("_before"))  # one row per trade day
+    rows = after.join(F.broadcast(days), "dt", "left").withColumns({"_last": F.lag("dt").over(Window.partitionBy("code").orderBy("dt")), "chain": F.col("close_front") / S.ref("close_front") - 1, "raw": F.col("close") / S.ref("close") - 1})
+    rows = rows.join(staged.select(*keys, F.col("close_front").alias("_staged")), keys, "left").join(last_minutes.select(*keys, F.col("close_front").alias("_minute")), keys, "left")
+    far = lambda a, b: F.coalesce(F.abs(F.try_divide(a, b) - 1) > share, F.lit(False))
+    out = rows.agg(
+        F.count("*").alias("n"), F.count_if(F.col("_staged").isNotNull() & ~F.col("_staged").eqNullSafe(F.col("close_front"))).alias("staged_off"),
+        F.count_if(F.coalesce(F.abs(F.col("chain") - F.col("raw")) > share, F.lit(False))).alias("chain_off"), F.count_if(F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(F.col("_before"))).alias("day_before_missing"),
+        F.count_if(scale_off(share=share, tick=tick)).alias("scale_off"), F.count_if(~F.coalesce(bar_relation(suffix="_front"), F.lit(True))).alias("relation_off"), F.count_if(far(F.col("_minute"), F.col("close_front"))).alias("minute_off"),
+    )
+    due = before.agg(F.count("*").alias("_due"))
+    out = out.crossJoin(F.broadcast(due)).withColumn("lost", F.col("_due") - F.col("n")).drop("_due")
+    checks = [c for c in out.columns if c not in ("n", "day_before_missing")]
+    return out.withColumn("ok", reduce(lambda a, b: a & b, [F.col(c) == 0 for c in checks]))
+
+
+def sample_days(segmented: DataFrame, ex_days: DataFrame, calendar: DataFrame, least: int = 3) -> DataFrame:
+    """(code, segment, dt, kind, enough): days by which a segment is checked: its first, middle and last, and each trade day before an ex-day in it.
+
+    A segment of fewer than ``least`` days is not enough to be checked.
+    """
+    by = Window.partitionBy("code", "segment")
+    placed = segmented.select("code", "segment", "dt").withColumns({"_i": F.row_number().over(by.orderBy("dt")), "_n": F.count("*").over(by)})
+    w = Window.partitionBy(F.lit(1)).orderBy("day")
+    gaps = calendar.select(F.col("day").alias("_prev"), F.lead("day").over(w).alias("_next")).where("_next IS NOT NULL")  # one row per trade day
+    before = gaps.select("_prev", F.explode(F.sequence(F.date_add("_prev", 1), F.col("_next"))).alias("ex_day"))
+    marks = ex_days.select("code", "ex_day").distinct().join(F.broadcast(before), "ex_day").select("code", F.col("_prev").alias("dt"), F.lit(True).alias("_ex")).distinct()
+    rows = placed.join(marks, ["code", "dt"], "left")
+    kind = F.when(F.col("_i") == 1, "head").when(F.col("_i") == F.col("_n"), "tail").when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, "middle").when(F.col("_ex"), "before_ex")
+    return rows.withColumn("kind", kind).where("kind IS NOT NULL").select("code", "segment", "dt", "kind", (F.col("_n") >= least).alias("enough"))
+
+
+def sample_bars(minutes: DataFrame, day: str, clock: str, time: str, continuous: Column, opening: int = 570, least: int = 5) -> DataFrame:
+    """(code, day, time, kind, enough): ``least`` bars of a day's continuous sessions at even places, and the opening auction's as an extra that never counts."""
+    by = Window.partitionBy("code", day)
+    inside = minutes.where(continuous).withColumns({"_i": F.row_number().over(by.orderBy(time)) - 1, "_n": F.count("*").over(by)})
+    places = F.transform(F.sequence(F.lit(0), F.lit(least - 1)), lambda q: F.bround(q * (F.col("_n") - 1) / (least - 1)).cast("int"))
+    picked = inside.where(F.array_contains(places, F.col("_i").cast("int"))).select("code", day, time, F.lit("even").alias("kind"), (F.col("_n") >= least).alias("enough"))
+    extra = minutes.where(F.col(clock) == opening).groupBy("code", day).agg(F.min(time).alias(time))
+    return picked.unionByName(extra.select("code", day, time, F.lit("opening").alias("kind"), F.lit(None).cast("boolean").alias("enough")))

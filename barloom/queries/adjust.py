@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -179,12 +181,24 @@ def a19(spark, sf):
     return out.agg(F.count("*").alias("stored"), F.count("met").alias("staged"), F.count_if(C("met").isNotNull() & C("now").isNotNull()).alias("matched"), F.count_if(C("now").isNull()).alias("still_null"))
 
 
-@query("A20_staged_contract", o("SELECT count(*) AS n, count(*) - count(DISTINCT (code, dt)) AS repeated, count(*) FILTER (NOT (close_front > 0)) AS not_positive, count(*) FILTER (NOT (low_front <= least(open_front, close_front) + 1e-9 AND greatest(open_front, close_front) <= high_front + 1e-9)) AS relation, count(*) FILTER (abs(open_front / open - close_front / close) > 1e-9) AS scale FROM adj", "adj"))
+STAGED = "SELECT code, CASE WHEN k % 97 = 0 THEN dt - 1 ELSE dt END AS dt, k, open, high, low, close, open_front, CASE WHEN k % 17 = 0 THEN high_front + 0.005 WHEN k % 19 = 0 THEN high_front + 50 ELSE high_front END AS high_front, CASE WHEN k % 23 = 0 THEN -1 ELSE low_front END AS low_front, CASE WHEN k % 29 = 0 THEN 'inf'::DOUBLE ELSE close_front END AS close_front FROM adj WHERE close_front IS NOT NULL"
+
+
+def contract_sql(name: str, wide: str) -> str:
+    off = " OR ".join(f"coalesce({x} > 0 AND abs(({x}_front / {x}) / nullif(close_front / close, 0) - 1) > 1e-3{wide.format(x)}, false)" for x in ("open", "high", "low"))
+    return f"""SELECT '{name}' AS name, count(*) AS n, '' AS missing, count(*) - count(DISTINCT (code, dt)) AS repeated, count(*) FILTER (NOT (close_front > 0 AND NOT isinf(close_front))) AS bad_close, count(*) FILTER (low_front <= 0) AS bad_value,
+        count(*) FILTER ({off}) AS scale, false AS ok FROM x"""
+
+
+@query("A20_staged_contract", o(contract_sql("ratio", "") + " UNION ALL " + contract_sql("tick", " AND abs(({0} - {0}_front) - (close - close_front)) > 0.01") + " UNION ALL SELECT 'short', count(*), 'low_front', NULL, NULL, NULL, NULL, false FROM x", "adj", x=STAGED))
 def a20(spark, sf):
-    return adj(spark, sf).agg(
-        F.count("*").alias("n"), (F.count("*") - F.count_distinct("code", "dt")).alias("repeated"), F.count_if(~(C("close_front") > 0)).alias("not_positive"), F.count_if(~a.bar_relation(suffix="_front")).alias("relation"),
-        F.count_if(F.abs(C("open_front") / C("open") - C("close_front") / C("close")) > 1e-9).alias("scale"),
-    )
+    k = lambda n: C("k") % n == 0
+    rows = adj(spark, sf).where("close_front IS NOT NULL").withColumns({
+        "dt": F.when(k(97), F.date_sub("dt", 1)).otherwise(C("dt")), "high_front": F.when(k(17), C("high_front") + 0.005).when(k(19), C("high_front") + 50).otherwise(C("high_front")),
+        "low_front": F.when(k(23), -1.0).otherwise(C("low_front")), "close_front": F.when(k(29), float("inf")).otherwise(C("close_front")),
+    })
+    made = {"ratio": a.staged_contract(rows), "tick": a.staged_contract(rows, tick=0.01), "short": a.staged_contract(rows.drop("low_front"))}
+    return reduce(lambda x, y: x.unionByName(y), [df.withColumn("name", F.lit(n)) for n, df in made.items()])
 
 
 @query("A21_raw_coverage", oracle("SELECT code, count(*) AS stored, count(f) AS covered, CASE WHEN count(f) = count(*) THEN 'full' ELSE 'partial' END AS coverage, count(*) FILTER (abs(f - close) > 1e-6) AS disagree FROM (SELECT *, CASE WHEN k % 59 <> 0 OR code::INTEGER % 2 = 0 THEN close + CASE WHEN k % 53 = 0 THEN 0.001 ELSE 0 END END AS f FROM bars) GROUP BY code", "bars"))
@@ -195,18 +209,37 @@ def a21(spark, sf):
     return joined.groupBy("code").agg(F.count("*").alias("stored"), F.count("f").alias("covered"), F.when(F.count("f") == F.count("*"), "full").otherwise("partial").alias("coverage"), F.count_if(F.abs(C("f") - C("close")) > 1e-6).alias("disagree"))
 
 
-@query("A22_post_checks", o(f"SELECT count(*) AS n, count(*) FILTER (abs(chain - raw) > 1e-3) AS chain_off, count(*) FILTER (low_front > high_front + 1e-9) AS relation_off, (SELECT count(*) FROM bars) - count(*) AS lost FROM (SELECT *, close_front / {lag('close_front')} - 1 AS chain, close / {lag('close')} - 1 AS raw FROM adj)", "adj"))
+AFTER = f"SELECT * REPLACE (CASE WHEN k % 31 = 0 THEN close_front + 0.5 ELSE close_front END AS close_front, CASE WHEN k % 37 = 0 THEN low_front + 60 ELSE low_front END AS low_front) FROM adj WHERE k % 61 <> 0"
+POST = f"""SELECT count(*) AS n, count(*) FILTER (k % 3 = 0 AND close_front IS NOT NULL AND k % 31 = 0) AS staged_off, count(*) FILTER (coalesce(abs(chain - raw) > 1e-3, false)) AS chain_off, count(*) FILTER (last IS NOT NULL AND last <> before) AS day_before_missing,
+    count(*) FILTER ({' OR '.join(f"coalesce({x} > 0 AND abs(({x}_front / {x}) / (close_front / close) - 1) > 1e-3 AND abs(({x} - {x}_front) - (close - close_front)) > 0.01, false)" for x in ('open', 'high', 'low'))}) AS scale_off,
+    count(*) FILTER (NOT coalesce(low_front <= least(open_front, close_front) + 1e-9 AND greatest(open_front, close_front) <= high_front + 1e-9, true)) AS relation_off, count(*) FILTER (coalesce(k % 10 = 0 AND abs(m / close_front - 1) > 1e-3, false)) AS minute_off,
+    (SELECT count(*) FROM bars) - count(*) AS lost, false AS ok
+    FROM (SELECT x.*, before, m, {lag('dt')} AS last, close_front / {lag('close_front')} - 1 AS chain, close / {lag('close')} - 1 AS raw
+    FROM x JOIN (SELECT dt AS day, lag(dt) OVER (ORDER BY dt) AS before FROM (SELECT DISTINCT dt FROM bars)) ON day = x.dt LEFT JOIN (SELECT code AS c, dt AS t, close_front * 1.002::DOUBLE AS m FROM adj) ON c = code AND t = x.dt)"""
+
+
+@query("A22_post_checks", o(POST, "adj", x=AFTER))
 def a22(spark, sf):
-    rows = adj(spark, sf).withColumns({"chain": C("close_front") / S.ref("close_front") - 1, "raw": C("close") / S.ref("close") - 1})
-    made = rows.agg(F.count("*").alias("n"), F.count_if(F.abs(C("chain") - C("raw")) > 1e-3).alias("chain_off"), F.count_if(C("low_front") > C("high_front") + 1e-9).alias("relation_off"))
-    return made.crossJoin(F.broadcast(bars(spark, sf).agg(F.count("*").alias("due")))).select("n", "chain_off", "relation_off", (C("due") - C("n")).alias("lost"))
+    k = lambda n: C("k") % n == 0
+    b, rows = bars(spark, sf), adj(spark, sf)
+    after = rows.where(~k(61)).withColumns({"close_front": F.when(k(31), C("close_front") + 0.5).otherwise(C("close_front")), "low_front": F.when(k(37), C("low_front") + 60).otherwise(C("low_front"))})
+    last = rows.where(k(10)).withColumn("close_front", C("close_front") * 1.002)
+    return a.post_checks(b, after, rows.where(k(3)), b.select(C("dt").alias("day")).distinct(), last)
 
 
-@query("A23_samples", o("SELECT code, segment, dt::VARCHAR AS dt FROM (SELECT code, segment, dt, row_number() OVER (PARTITION BY code, segment ORDER BY dt) AS i, count(*) OVER (PARTITION BY code, segment) AS n FROM r) WHERE i IN (1, n, (n + 1) // 2)", "noisy", recursive=True, **{k: v for k, v in SEG.items() if k != "ranges"}))
+@query("A23_samples", o("""SELECT code, segment, dt::VARCHAR AS dt, CASE WHEN i = 1 THEN 'head' WHEN i = n THEN 'tail' WHEN i = n // 2 + 1 THEN 'middle' ELSE 'before_ex' END AS kind, n >= 3 AS enough FROM (
+    SELECT code, segment, dt, row_number() OVER (PARTITION BY code, segment ORDER BY dt) AS i, count(*) OVER (PARTITION BY code, segment) AS n FROM r) s WHERE i IN (1, n, n // 2 + 1) OR EXISTS (SELECT 1 FROM pre WHERE pre.code = s.code AND pre.dt = s.dt)""", "noisy", views=("bars", "factors", "dividends"), recursive=True,
+    **{k: v for k, v in SEG.items() if k != "ranges"}, cal="SELECT dt AS day, lead(dt) OVER (ORDER BY dt) AS following FROM (SELECT DISTINCT dt FROM bars)", pre="SELECT DISTINCT d.code, c.day AS dt FROM dividends d JOIN cal c ON d.ex_day > c.day AND d.ex_day <= c.following"))
 def a23(spark, sf):
-    by = Window.partitionBy("code", "segment")
-    rows = a.segments(noisy(spark, sf)).withColumns({"i": F.row_number().over(by.orderBy("dt")), "n": F.count("*").over(by)})
-    return rows.where("i IN (1, n, (n + 1) div 2)").select("code", "segment", C("dt").cast("string").alias("dt"))
+    calendar = bars(spark, sf).select(C("dt").alias("day")).distinct()
+    return shown(a.sample_days(a.segments(noisy(spark, sf)), dividends(spark, sf), calendar), "segment", "kind", "enough")
+
+
+@query("A23_sample_bars", oracle("""SELECT code, day, time_ms, 'even' AS kind, n >= 5 AS enough FROM (SELECT *, row_number() OVER (PARTITION BY code, day ORDER BY time_ms) - 1 AS i, count(*) OVER (PARTITION BY code, day) AS n FROM d WHERE minute > 570 AND minute <= 900)
+    WHERE i IN (0, round_even((n - 1) / 4, 0), round_even((n - 1) / 2, 0), round_even(3 * (n - 1) / 4, 0), n - 1) UNION ALL SELECT code, day, min(time_ms), 'opening', NULL FROM d WHERE minute = 570 GROUP BY 1, 2""", "minutes", d="SELECT *, time_ms // 86400000 AS day FROM minutes"))
+def a23_bars(spark, sf):
+    rows = minutes(spark, sf).withColumn("day", F.expr("time_ms div 86400000"))
+    return a.sample_bars(rows, "day", "minute", "time_ms", (C("minute") > 570) & (C("minute") <= 900))
 
 
 HELD_SQL = "SELECT d.*, 1000.0::DOUBLE + code::INTEGER AS shares, 10.0::DOUBLE AS cost FROM dividends d"

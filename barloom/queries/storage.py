@@ -72,9 +72,13 @@ def halves(spark, sf):
 NEW = "CASE WHEN k % 3 > 0 THEN close + 1 ELSE close END"
 
 
-@query("S6_upsert", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql(NEW)} AS close FROM bars WHERE k % 3 < 2 OR k % 3 > 0", "bars"))
+@query("S6_upsert", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql('CASE WHEN k % 3 > 0 AND year(dt) > 1995 THEN close + 1 ELSE close END')} AS close FROM bars WHERE k % 3 < 2 OR year(dt) > 1995", "bars"))
 def s6(spark, sf):
-    return shown(s.upsert(*halves(spark, sf), ["code", "dt"], "k"), "close")
+    path = s.shared_path(spark, "by-year")
+    existing, incoming = (x.withColumn("year", F.year("dt")) for x in halves(spark, sf))
+    existing.write.partitionBy("year").parquet(path)
+    s.upsert_partitions(spark, path, incoming.where("year > 1995"), ["code", "dt"], "k", "year")
+    return shown(spark.read.parquet(path), "close")
 
 
 @query("S6_upsert_counts", oracle("SELECT count(*) FILTER (k % 3 = 2) AS new, count(*) FILTER (k % 3 = 1) AS updated FROM bars", "bars"))
@@ -139,10 +143,14 @@ def s14(spark, sf):
     return ledger(spark, sf).orderBy(F.desc("batch_id")).limit(5).select("batch_id", "aligned", "passed", "rejected")
 
 
-@query("S15_browser", oracle("SELECT count(*) AS n, min(time) AS first, max(time) AS last, 11 AS columns FROM bars WHERE code = '000001'".replace("11", "10"), "bars"))
+@query("S15_browser", oracle("SELECT code, count(*) AS n, min(time) AS first, max(time) AS last, 10 AS columns FROM bars GROUP BY code", "bars"))
 def s15(spark, sf):
-    b = bars(spark, sf)
-    return b.where("code = '000001'").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"), F.lit(len(b.columns)).alias("columns"))
+    return s.browse(bars(spark, sf), "code", "time")
+
+
+@query("S15_preview", oracle("SELECT code, dt::VARCHAR AS dt, volume FROM bars ORDER BY dt, code LIMIT 20", "bars"))
+def s15_preview(spark, sf):
+    return shown(s.preview(bars(spark, sf), ["dt", "code"], 20), "volume")
 
 
 @query("S16_windows", oracle("SELECT w.first::VARCHAR AS first, w.last::VARCHAR AS last, count(b.code) AS n FROM (SELECT greatest(g, DATE '1995-01-10') AS first, least((g + INTERVAL 29 DAY)::DATE, DATE '1996-03-05') AS last FROM (SELECT unnest(range(DATE '1970-01-01' + (9140 // 30 * 30), DATE '1996-03-06', INTERVAL 30 DAY))::DATE AS g)) w LEFT JOIN bars b ON b.dt BETWEEN w.first AND w.last GROUP BY 1, 2", "bars"))
@@ -230,7 +238,10 @@ def t5(spark, sf):
     group = C("code").cast("int") % 4
     candidates = real.select("code", C("real").alias("candidate"), group.alias("grp"))
     gates = real.select(group.alias("grp"), (group < 2).alias("ok"))
-    return t.commit_marks(stored, candidates, gates, ["code"])
+    marks_path, next_path = s.shared_path(spark, "marks"), s.shared_path(spark, "marks")
+    stored.write.parquet(marks_path)
+    t.commit(spark, marks_path, next_path, candidates, gates, ["code"])
+    return spark.read.parquet(next_path)
 
 
 @query("T6_start", oracle("SELECT code, (max(dt) + 1)::VARCHAR AS start FROM bars GROUP BY code", "bars"))

@@ -123,3 +123,21 @@ def windows(start: str, end: str, days: int, spark: SparkSession, grid: bool = F
     first = F.date_add(F.lit("1970-01-01").cast("date"), (F.floor(F.datediff(s, F.lit("1970-01-01").cast("date")) / days) * days).cast("int")) if grid else s
     starts = spark.range(1).select(F.explode(F.sequence(first, e, F.expr(f"INTERVAL {days} DAYS"))).alias("w"))
     return starts.select(F.greatest("w", s).alias("first"), F.least(F.date_add("w", days - 1), e).alias("last"))
+
+
+def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: str, partition: str) -> None:
+    """Upsert into a table stored by a partition column, which belongs to the key: only partitions that incoming rows touch are read and written again."""
+    existing = spark.read.parquet(path)
+    touched = incoming.select(partition).distinct()
+    merged = upsert(existing.join(touched, partition, "left_semi"), incoming, keys, order)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def browse(table: DataFrame, by: str, time: str) -> DataFrame:
+    """Per key: rows, first and last time, and the number of the table's columns."""
+    return table.groupBy(by).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), F.lit(len(table.columns)).alias("columns"))
+
+
+def preview(table: DataFrame, order: Sequence[str], n: int = 20) -> DataFrame:
+    """The first rows of a table."""
+    return table.orderBy(*order).limit(n)

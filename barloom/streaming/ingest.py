@@ -66,6 +66,11 @@ def commit_marks(marks: DataFrame, candidates: DataFrame, gates: DataFrame, keys
     return marks.join(moved, list(keys), "left").select(*keys, F.coalesce("candidate", "mark").alias("mark"))
 
 
+def commit(spark: SparkSession, current: str, target: str, candidates: DataFrame, gates: DataFrame, keys: Sequence[str]) -> None:
+    """Writes the next version of the marks table in one go: readers see all moved marks or none."""
+    commit_marks(spark.read.parquet(current), candidates, gates, keys).write.mode("overwrite").parquet(target)
+
+
 def late_days(changes: DataFrame, last_sync: Column, day: str = "dt") -> DataFrame:
     """Days with changes after the last synchronisation; without one there are none."""
     return changes.where(F.coalesce(F.col("updated") > last_sync, F.lit(False))).select(day).distinct()

@@ -135,3 +135,97 @@ def test_stream_takes_each_file_once_and_replays_to_the_same_table(spark, tmp_pa
     assert spark.read.parquet(f"{target}/rejected").count() == 1 and spark.read.parquet(f"{target}/rows").count() == 3
     ingest.compact(spark, target, ["code"], "copy", f"{tmp_path}/compact")
     assert ingest.read_table(spark, f"{tmp_path}/compact", ["code"], "copy").count() == 2
+
+
+def test_round_trips_equal_the_queue(spark):
+    rng = np.random.default_rng(1)
+    made = [(D(2024, 1, 1) + datetime.timedelta(int(d)), f"c{rng.integers(3)}", str(rng.choice(["buy", "sell"])), float(rng.integers(1, 50)), 100.0, i) for i, d in enumerate(np.sort(rng.integers(0, 90, 300)))]
+    queue, due = {}, []
+    for day, code, action, price, volume, _ in made:
+        if action == "buy":
+            queue.setdefault(code, []).append((day, price))
+        elif queue.get(code):
+            bought, paid = queue[code].pop(0)
+            due.append((code, bought, day, (price - paid) * volume))
+    t = spark.createDataFrame(made, "dt date, code string, action string, price double, volume double, i int")
+    got = results.round_trips(t, ["i"]).select("code", "buy_day", "sell_day", "profit")
+    assert sorted(rows(got)) == sorted(due)
+
+
+def test_costs_are_carried_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = [(D(2024, 1, 1 + i), c, "buy" if i % 3 < 2 else "sell", 10.0 + i, 100.0, i) for c in "ab" for i in range(20)]
+        t = spark.createDataFrame(made, "dt date, code string, action string, price double, volume double, i int")
+        assert sorted(rows(results.cost_position_wins(t, ["i"]))) == [("a", 6, 6), ("b", 6, 6)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("block", [128, 2])
+def test_covariance_equals_numpy_over_the_trimmed_series(spark, block):
+    rng = np.random.default_rng(2)
+    series = {f"c{i}": rng.normal(size=n) for i, n in enumerate((30, 25, 28, 40, 26))}
+    made = [(c, D(2024, 1, 1) + datetime.timedelta(i), float(x)) for c, v in series.items() for i, x in enumerate(v)]
+    got = factors.covariance(spark.createDataFrame(made, "code string, dt date, r double"), block).collect()
+    last = np.stack([v[-25:] for v in series.values()])
+    due = np.cov(last)
+    assert len(got) == 15
+    for r in got:
+        i, j = int(r.code_a[1]), int(r.code_b[1])
+        assert i <= j and r.n == 25 and abs(r.cov - due[i, j]) < 1e-12 and abs(r.mean_a - last[i].mean()) < 1e-12
+
+
+@pytest.mark.parametrize("days", [1, 7, 91])
+def test_overlaps_equal_all_pairs(spark, days):
+    rng = np.random.default_rng(3)
+    made = []
+    for i in range(120):
+        start = D(2024, 1, 1) + datetime.timedelta(int(rng.integers(0, 200)))
+        made.append((f"c{rng.integers(4)}", i, str(rng.integers(3)), start, None if rng.random() < 0.1 else start + datetime.timedelta(int(rng.integers(-3, 40)))))
+    got = joins.overlaps(spark.createDataFrame(made, "code string, id int, label string, from_day date, to_day date"), "code", "id", "label", days=days)
+    far, due = D(9999, 12, 31), []
+    for x in made:
+        for y in made:
+            if x[0] == y[0] and x[1] < y[1] and max(x[3], y[3]) <= min(x[4] or far, y[4] or far):
+                due.append((x[0], x[1], y[1], "positive" if max(x[3], y[3]) < min(x[4] or far, y[4] or far) else "touch", x[2] != y[2]))
+    assert sorted(rows(got)) == sorted(due)
+
+
+def test_stop_and_reverse_lines():
+    from barloom.operators import recursive
+
+    up = np.arange(1.0, 41)
+    line = recursive.parabolic(up + 1, up, 4)
+    assert np.isnan(line[:4]).all() and (line[4:] < up[4:]).all() and (np.diff(line[4:]) > 0).all()
+    both = np.concatenate([up, up[::-1]])
+    bounded = recursive.parabolic_bounded(both + 1, both)
+    assert (bounded[:40] <= both[:40]).all() and (bounded[-5:] > both[-5:]).all()
+    assert np.allclose(recursive.parabolic_bounded(-both, -both - 1)[1:], -recursive.parabolic_bounded(both + 1, both)[1:], atol=3) and len(recursive.parabolic(up[:3], up[:3])) == 3
+
+
+def test_purge_is_undone_where_keys_differ(spark):
+    from barloom.operators import audit
+
+    t = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("c", 1, "x")], "code string, dt int, src string")
+    due = spark.createDataFrame([("a", 1), ("c", 1)], "code string, dt int")
+    table, report = audit.purge(t, "src", "x", due, ["code", "dt"])
+    assert table.count() == 2 and report.first().done
+    table, report = audit.purge(t, "src", "x", due.where("code = 'a'"), ["code", "dt"])
+    assert table.count() == 3 and not report.first().done and report.first().extra == 1
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.createDataFrame([("a", 1, 0, 1995), ("b", 1, 0, 1996)], "code string, v int, i int, year int").write.partitionBy("year").parquet(path)
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / "year=1995").iterdir()}
+    storage.upsert_partitions(spark, path, spark.createDataFrame([("b", 2, 1, 1996), ("c", 3, 1, 1997)], "code string, v int, i int, year int"), ["code"], "i", "year")
+    assert sorted(rows(spark.read.parquet(path).select("code", "v"))) == [("a", 1), ("b", 2), ("c", 3)]
+    assert before == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / "year=1995").iterdir()}
+
+
+def test_a_price_without_factor_stops_the_second_pass(spark, tmp_path):
+    spark.createDataFrame([("a", D(2024, 1, 2), 2.0)], "code string, dt date, adj_factor double").write.parquet(f"{tmp_path}/f")
+    spark.createDataFrame([("a", 3.0), ("b", 1.0)], "code string, close double").write.parquet(f"{tmp_path}/p")
+    with pytest.raises(Exception, match="no factor"):
+        ingest.two_pass(spark, f"{tmp_path}/f", f"{tmp_path}/p", f"{tmp_path}/out", f"{tmp_path}/state")
