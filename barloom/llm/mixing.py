@@ -11,13 +11,15 @@ a null text has no tokens.  Cells without tokens keep the probability they
 have.  Named shares are scaled to the categories that occur; categories
 without a named share divide what is left over in proportion to their tokens.
 The probability depends on the cell and the decision on the id, so repeated
-rows are decided alike.  An empty table gives no rows.
+rows are decided alike.  Very long texts are counted whole.  ``sample`` keeps
+all columns, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,18 +119,32 @@ def mix(docs: DataFrame, targets: Mapping[str, Target], budget: float = 0.5, ite
     return joined.select("doc_id", "source", "lang", "topic", "tokens", F.round("p", 9).alias("probability"), (uniform(F.col("doc_id")) < F.col("p")).alias("sampled"))
 
 
+def margins(fitted: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
+    """(dim, category, wanted, expected) of raked cells: tokens wanted, and expected of the probabilities.
+
+    They differ where rounds were too few, or where even all of a category's
+    tokens (probability 1) are fewer than wanted.
+    """
+    parts = [fitted.groupBy(F.lit(d).alias("dim"), F.col(d).alias("category")).agg(F.max(f"want_{d}").alias("wanted"), F.sum(F.col("tokens") * F.col("p")).alias("expected")) for d in targets]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sample(docs: DataFrame, targets: Mapping[str, Target], budget: float = 0.5, iterations: int = 10) -> DataFrame:
-    """The rows of ``docs`` that the calibrated probabilities keep, with their own columns."""
+    """The rows of ``docs`` that the calibrated probabilities keep, with their own columns.
+
+    Topics and tokens are read from the texts once and stored with the rows.
+    """
     text = text_or_empty()
     names = {dim: spare_name(docs, dim) for dim in targets}
+    size, p = spare_name(docs, "tokens"), spare_name(docs, "p")
     made = {"source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "topic": topic_of(text)}
-    tagged = docs.withColumns({names[dim]: made[dim] for dim in targets})
-    cells = tagged.groupBy(*[F.col(names[dim]).alias(dim) for dim in targets]).agg(F.sum(tokens(text)).alias("tokens"))
-    fitted = materialise(rake(materialise(cells, "cells"), targets, budget, iterations).select(*[F.col(d).alias(names[d]) for d in targets], F.col("p").alias(spare_name(docs, "p"))), "fitted")
+    tagged = materialise(docs.withColumns({names[dim]: made[dim] for dim in targets} | {size: tokens(text)}), "mixing")
+    cells = tagged.groupBy(*[F.col(names[dim]).alias(dim) for dim in targets]).agg(F.sum(size).alias("tokens"))
+    fitted = materialise(rake(materialise(cells, "cells"), targets, budget, iterations).select(*[F.col(d).alias(names[d]) for d in targets], F.col("p").alias(p)), "fitted")
     if fitted.count() <= ONE_PARTITION_CELLS:
         fitted = F.broadcast(fitted)
     joined = tagged.join(fitted, list(names.values()))
-    return joined.where(uniform(F.col("doc_id")) < F.col(spare_name(docs, "p"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.where(uniform(F.col("doc_id")) < F.col(p)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(documents: str, targets: Mapping[str, Target], budget: float, iterations: int) -> str:

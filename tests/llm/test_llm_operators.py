@@ -132,6 +132,13 @@ def test_mixing_meets_its_targets(spark, odd, empty):
     assert mixing.sample(odd, queries.TARGETS).columns == odd.columns
 
 
+def test_margins_tell_what_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 100), ("b", "x", 10), ("b", "y", 10)], "source string, lang string, tokens long")
+    targets = {"source": mixing.Target({"a": 0.5, "b": 0.5}), "lang": mixing.Target({"x": 0.5, "y": 0.5})}
+    got = {(r.dim, r.category): (r.wanted, r.expected) for r in mixing.margins(mixing.rake(cells, targets, 0.5, 30), targets).collect()}
+    assert got["source", "b"] == pytest.approx((55, 20)) and got["source", "a"] == pytest.approx((55, 90), abs=36) and got["lang", "x"][0] == pytest.approx(55)
+
+
 def test_mixing_in_one_partition_equals_distributed(spark, sf, monkeypatch):
     one = sorted(rows(queries.op3_mixing(spark, sf)))
     monkeypatch.setattr(mixing, "ONE_PARTITION_CELLS", 0)
@@ -151,6 +158,28 @@ def test_machine_scores_by_the_identity():
     assert abs(m.margin(ids, x, np.array([0, 3, 4]))[0][0] - due) < 1e-4
 
 
+def test_quality_scores_equal_all_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two two three", "", None, "A | B !!\nx"])], "doc_id long, text string")
+    m = quality_fm.FactorisationMachine(quality_fm.FEATURES, 4)
+    m.bias, m.w = 0.2, np.random.default_rng(3).normal(0, 0.3, quality_fm.FEATURES).astype(np.float32)
+    monkeypatch.setattr(quality_fm, "train", lambda *_: m)
+    got = {r.doc_id: r for r in quality_fm.classify(docs, docs).collect()}
+    for r in docs.collect():
+        ids, x, _ = quality_fm.features([r.text or ""], quality_fm.HashedWords(quality_fm.WORD_BUCKETS))
+        z = m.bias + float((m.w[ids] * x).sum()) + sum(float(m.v[i] @ m.v[j]) * a * b for (i, a), (j, b) in itertools.combinations(list(zip(ids, x, strict=True)), 2))
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-5 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+
+
+def test_the_fit_learns_what_only_pairs_tell():
+    rng = np.random.default_rng(4)
+    y = rng.random(600) < 0.5
+    pairs = [(0, 2) if (t == (rng.random() < 2)) else (0, 3) for t in y]  # word 0 with 2 is good, with 3 bad; word 1 the other way round
+    pairs = [(p if rng.random() < 0.5 else (1, 5 - p[1])) for p in pairs]
+    ids, starts = np.array(pairs, np.int32).ravel(), np.arange(0, 1201, 2)
+    m = quality_fm.FactorisationMachine(4, 4).fit(ids, np.ones(1200, np.float32), starts, y.astype(np.float32), epochs=60, rate=0.2)
+    assert ((m.score(ids, np.ones(1200, np.float32), starts) > 0.5) == y).mean() > 0.95
+
+
 def test_quality_held_out(spark, odd, empty):
     got = queries.op4_quality_fm(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     right = [r.predicted == r.quality for r in got]
