@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, slices, text_or_empty
+from .shared import bound_batches, materialise, slices, text_or_empty
 
 UNIT = 64
 RATE = 8000
@@ -116,6 +116,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 raw = some.column("text").cast(pa.large_binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([to_wav(padded(r)) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, MEDIA)
 
 

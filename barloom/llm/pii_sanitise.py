@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed_join, materialise, slices, spare_name, text_or_empty
+from .shared import SALTS, Scratch, bound_batches, keyed_join, materialise, slices, spare_name, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LEAST_DOCS = 2
@@ -55,6 +55,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Every number match lies within such a run, and starts where it starts or later.
 _NUMBERS = re.compile(r"[+0-9][+0-9 ().\-]{6,}")
+#: What every text with a base span has.
+MAY_HOLD = r"@|[+0-9][+0-9 ().\-]{6,}"
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -126,8 +128,13 @@ def _lists(rows: list[list[tuple]], names: tuple[str, ...], kind: pa.DataType) -
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+def hashes(text: Column) -> tuple[Column, Column]:
+    """Two independent hashes that stand for a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """(number, doc_id, base, base_sha256, entities, terms) of every document; terms of those with entities."""
+    """(number, doc_id, one, two, base, base_sha256, entities, terms) of every document; terms of those with entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,14 +145,16 @@ def scan(docs: DataFrame) -> DataFrame:
                 terms = [terms_outside(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column("number"), some.column("doc_id"), _lists(spans, ("kind", "start", "end"), pa.string()), pa.array([digest(s) for s in spans], pa.string()),
+                        *[some.column(c) for c in ("number", "doc_id", "one", "two")], _lists(spans, ("kind", "start", "end"), pa.string()), pa.array([digest(s) for s in spans], pa.string()),
                         pa.array(entities, pa.list_(pa.string())), _lists(terms, ("term", "start", "end"), pa.string()),
                     ],
-                    names=["number", "doc_id", "base", "base_sha256", "entities", "terms"],
+                    names=["number", "doc_id", "one", "two", "base", "base_sha256", "entities", "terms"],
                 )
 
     places = "array<struct<{}:string,start:bigint,end:bigint>>"
-    return docs.mapInArrow(run, f"number long, doc_id long, base {places.format('kind')}, base_sha256 string, entities array<string>, terms {places.format('term')}")
+    one, two = hashes(F.col("text"))
+    rows = docs.select("number", "doc_id", one.alias("one"), two.alias("two"), "text")
+    return rows.mapInArrow(run, f"number long, doc_id long, one long, two long, base {places.format('kind')}, base_sha256 string, entities array<string>, terms {places.format('term')}")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -155,7 +164,7 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(terms).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("in_docs"))
 
 
-def protected(found: DataFrame, n_docs: int) -> DataFrame:
+def protected(found: DataFrame, n_docs: int, scratch: Scratch) -> DataFrame:
     """(number, e1, e2, of_entity, most): the classes of entities that a document holds, and of how many documents a telling term is at most.
 
     Entities of the same documents are one class, named by two hashes of these.
@@ -165,51 +174,54 @@ def protected(found: DataFrame, n_docs: int) -> DataFrame:
     entities = held.groupBy("entity").agg(F.count("*").alias("of_entity"), name(1).alias("e1"), name(2).alias("e2"))
     share = F.lit(float(n_docs)) / F.col("of_entity")
     entities = entities.where((F.col("of_entity") >= LEAST_DOCS) & (F.log2(share) >= LEAST_BITS)).withColumn("most", F.col("of_entity") * F.pow(share, F.lit(1 - GENERALISE)) * (1 + 1e-9))
-    met = keyed_join(held, materialise(entities, "entities"), ["entity"], "number")
-    return materialise(met.select("number", "e1", "e2", "of_entity", "most").distinct(), "entities")
+    met = keyed_join(held, scratch.keep(entities), ["entity"], "number")
+    return scratch.keep(met.select("number", "e1", "e2", "of_entity", "most").distinct())
 
 
-def disclosing(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
-    """(number, term, disclosure): the terms of a document that disclose at least GENERALISE of one of its entities."""
-    classes = protected(found, n_docs)
+def disclosing(docs: DataFrame, found: DataFrame, n_docs: int, scratch: Scratch) -> DataFrame:
+    """(number, term, disclosure): the terms of a document that disclose at least GENERALISE of one of its entities; they read from ``scratch``."""
+    classes = protected(found, n_docs, scratch)
     most = classes.groupBy("number").agg(F.max("most").alias("most"))
     own = found.join(most, "number").select("number", "most", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
-    own = materialise(own, "terms")
+    own = scratch.keep(own)
     rare = term_frequencies(docs).where(F.col("in_docs") >= LEAST_DOCS).join(own.groupBy("term").agg(F.max("most").alias("most")), "term")
-    rare = materialise(rare.where(F.col("in_docs") <= F.col("most")).select("term", "in_docs"), "terms")
-    telling = materialise(keyed_join(own, rare, ["term"], "number").where(F.col("in_docs") <= F.col("most")).select("number", "term", "in_docs"), "terms")
+    rare = scratch.keep(rare.where(F.col("in_docs") <= F.col("most")).select("term", "in_docs"))
+    telling = scratch.keep(keyed_join(own, rare, ["term"], "number").where(F.col("in_docs") <= F.col("most")).select("number", "term", "in_docs"))
 
-    sized = materialise(classes.join(telling.groupBy("number").agg(F.count("*").alias("n_terms")), "number"), "entities")
-    largest = materialise(sized.groupBy("e1", "e2").agg(F.max_by("number", F.struct("n_terms", "number")).alias("largest")), "entities")
+    sized = scratch.keep(classes.join(telling.groupBy("number").agg(F.count("*").alias("n_terms")), "number"))
+    largest = scratch.keep(sized.groupBy("e1", "e2").agg(F.max_by("number", F.struct("n_terms", "number")).alias("largest")))
     others = keyed_join(sized, largest, ["e1", "e2"], "number").where(F.col("number") != F.col("largest"))
-    pairs = materialise(others.join(telling, "number").where(F.col("in_docs") <= F.col("most")).select("number", "e1", "e2", "term", "in_docs", "of_entity", "largest"), "pairs")
+    pairs = scratch.keep(others.join(telling, "number").where(F.col("in_docs") <= F.col("most")).select("number", "e1", "e2", "term", "in_docs", "of_entity", "largest"))
     counted = pairs.groupBy("e1", "e2", "term").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("in_docs", "of_entity", "largest")])
     there = telling.select(F.col("number").alias("largest"), "term", F.lit(True).alias("there"))
     counted = counted.join(there, ["largest", "term"], "left").withColumn("both", F.col("n") + F.when(F.col("there"), 1).otherwise(0))
     n = F.lit(float(n_docs))
     share = F.log2(F.col("both") * n / (F.col("of_entity") * F.col("in_docs"))) / F.log2(n / F.col("of_entity"))
     strong = counted.where(F.col("both") >= LEAST_DOCS).withColumn("disclosure", share).where(F.col("disclosure") >= GENERALISE)
-    strong = materialise(strong.select("e1", "e2", "term", "disclosure", "largest", "there"), "strong")
+    strong = scratch.keep(strong.select("e1", "e2", "term", "disclosure", "largest", "there"))
 
     hits = keyed_join(pairs.select("number", "e1", "e2", "term"), strong.select("e1", "e2", "term", "disclosure"), ["e1", "e2", "term"], "number").select("number", "term", "disclosure")
     hits = hits.unionByName(strong.where("there").select(F.col("largest").alias("number"), "term", "disclosure"))
     return hits.groupBy("number", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def find(docs: DataFrame, numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The scan of all documents, and (number, terms) of those with disclosing terms."""
-    found = materialise(scan(numbered), "pii")
-    strong = disclosing(docs.select(text_or_empty().alias("text")), found, found.count())
+def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The scan of all documents, and (number, terms) of those with disclosing terms; both on shared storage.
+
+    Rows are numbered as they are scanned, and the numbers are stored.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    scratch = Scratch(spark, "pii")
+    found = materialise(scan(docs.withColumn("number", F.monotonically_increasing_id())), "pii")
+    strong = disclosing(docs, found, found.count(), scratch)
     places = found.where(F.size("entities") > 0).select("number", F.explode("terms").alias("t")).select("number", "t.*")
     hits = places.join(strong, ["number", "term"])
-    grouped = hits.groupBy("number").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
+    grouped = materialise(hits.groupBy("number").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms")), "pii")
+    scratch.drop()
     return found.drop("entities", "terms"), grouped
 
 
-def number_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-
-
 def spans_text(base: Column, terms: Column) -> Column:
     """All spans as kind:start:end, in order of start, then kind, comma-joined."""
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
@@ -222,7 +234,7 @@ def spans_text(base: Column, terms: Column) -> Column:
 
 def detect(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
-    found, grouped = find(docs, number_rows(docs))
+    found, grouped = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
     joined = found.join(grouped, "number", "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n_term = F.when(F.col("terms").isNull(), 0).otherwise(F.size("terms")).cast("long")
@@ -246,29 +258,32 @@ def cleaned(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int,
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with sanitised texts and their own columns; n_chars, where there is one, follows the text.
 
-    Texts without any span are left as they are, null ones too.
+    Equal texts have equal marks, so marks are found again by two hashes of
+    the text.  Only texts that may hold a base span are shuffled for that, and
+    the rows of one text are dealt to several tasks.
     """
-    number, spans = spare_name(docs, "number"), spare_name(docs, "spans")
-    whole = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
-    numbered = whole.select(F.col(number).alias("number"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    found, grouped = find(numbered, numbered)
-    grouped = materialise(grouped, "pii")
-    marked = found.where(F.size("base") > 0).join(grouped, "number", "left").select(F.col("number").alias(number), F.struct("base", "terms").alias(spans))
+    names = {n: spare_name(docs, n) for n in ("one", "two", "salt", "spans")}
+    text = text_or_empty(text_col)
+    found, grouped = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
+    marked = found.where(F.size("base") > 0).join(grouped, "number", "left").groupBy("one", "two").agg(F.max(F.struct("number", F.struct("base", "terms").alias("spans")))["spans"].alias(names["spans"]))
+    marked = marked.withColumn(names["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({n: names[n] for n in ("one", "two")})
 
     @F.pandas_udf("string")
     def clean(texts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
         for text, marks in texts:
             yield pd.Series(
                 [
-                    cleaned(t, [(s["kind"], s["start"], s["end"]) for s in b], [(s["start"], s["end"], s["disclosure"]) for s in (d if d is not None else [])])
+                    cleaned(t, [(s["kind"], s["start"], s["end"]) for s in b], [(s["start"], s["end"], s["disclosure"]) for s in (d if d is not None else [])]) if b is not None else t
                     for t, b, d in zip(text, marks["base"], marks["terms"], strict=True)
                 ],
                 dtype=object,
             )
 
-    joined = whole.join(marked, number, "left")
-    plain = joined.where(F.col(spans).isNull())
-    hidden = joined.where(F.col(spans).isNotNull()).withColumn(text_col, clean(text_or_empty(text_col), F.col(spans)))
+    able = text.rlike(MAY_HOLD)
+    asked = docs.where(able).withColumns({names["one"]: hashes(text)[0], names["two"]: hashes(text)[1], names["salt"]: F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
+    hidden = asked.join(marked, [names["one"], names["two"], names["salt"]], "left")
+    hidden = hidden.withColumn(text_col, F.when(F.col(names["spans"]).isNull(), F.col(text_col).cast("string")).otherwise(clean(text, F.col(names["spans"]))))
     if "n_chars" in docs.columns:
-        hidden = hidden.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(hidden).select(*[F.col(f"`{c}`") for c in docs.columns])
+        hidden = hidden.withColumn("n_chars", F.when(F.col(names["spans"]).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.where(~able).select(*own).unionByName(hidden.select(*own))

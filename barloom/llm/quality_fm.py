@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spare_name, text_or_empty
+from .shared import bound_batches, spare_name, text_or_empty
 from .words import BINS, STRUCTURES, HashedWords, structure
 
 WORD_BUCKETS = 1 << 17
@@ -126,6 +126,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FactorisationMachine | None:
     """A machine fitted on the bounded sample, None if there are no labels."""
+    bound_batches(docs.sparkSession)
     got = labelled_sample(docs, labels, "quality", rows)
     if not got.num_rows:
         return None

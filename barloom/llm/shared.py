@@ -55,6 +55,33 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables in a folder of their own on shared storage, deleted together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, fresh_path(spark, name), 0
+
+    def fresh(self) -> str:
+        self.n += 1
+        return f"{self.path}/{self.n}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return stored(df, self.fresh())
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+#: Bytes of a batch that Spark hands to Python; by rows alone, long texts would make batches of any size.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches of this session's Python stages by bytes, where the session does not do so itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: A side of a join is broadcast up to so many rows.
 BROADCAST_ROWS = 50_000
 SALTS = 8

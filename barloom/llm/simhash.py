@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialise, remove, salted_join, slices, spare_name, stored, text_or_empty
+from .shared import Scratch, bound_batches, fresh_path, materialise, remove, salted_join, slices, spare_name, stored, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                 made = np.array([fingerprint(t or b"", size) for t in some.column("text").cast(pa.large_binary()).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return materialise(rows.mapInArrow(run, "doc_id long, fp long"), "simhash")
 
@@ -147,8 +148,8 @@ def _sized(rows: DataFrame, both_sides: bool) -> DataFrame:
     return rows.join(sizes, "bucket")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a > b) among distinct fingerprints (fp), enough to connect all that are connected."""
+def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a > b) among distinct fingerprints (fp), enough to connect all that are connected; they read from ``scratch``."""
     variant = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("variant"))
     bit = F.col("variant") % 32
     half = F.when(F.col("variant") < 32, F.col("fp").bitwiseAND(F.lit(LOW_HALF))).otherwise(F.shiftrightunsigned("fp", 32))
@@ -157,7 +158,7 @@ def links(distinct: DataFrame) -> DataFrame:
     kept = half.bitwiseAND(F.bitwise_not(one))
     bucket = F.expr("shiftleft(CAST(variant AS BIGINT), 32)").bitwiseOR(kept)
     start = variant.select("fp", bit.alias("bit"), bucket.alias("bucket"), F.when(half.bitwiseAND(one) != 0, 1).otherwise(0).alias("side"))
-    met = materialise(_sized(start, True).select("fp", "bucket", "size"), "variants")
+    met = scratch.keep(_sized(start, True).select("fp", "bucket", "size"))
 
     parts = [met.where(F.col("size") <= BUCKET).select("fp", "bucket")]
     big = met.where(F.col("size") > BUCKET)
@@ -173,7 +174,7 @@ def links(distinct: DataFrame) -> DataFrame:
             value = f"(shiftrightunsigned(free, CAST({offset} AS INT)) & (shiftleft(1L, CAST({size} AS INT)) - 1))"
             rest = f"(shiftleft(shiftrightunsigned(free, CAST({offset} + {size} AS INT)), CAST({offset} AS INT)) | (free & (shiftleft(1L, CAST({offset} AS INT)) - 1)))"
             cut = piece.select("fp", F.expr(f"xxhash64(bucket, piece, {value})").alias("bucket"), F.expr(rest).alias("free"), F.expr(f"CAST(width - {size} AS INT)").alias("width"))
-            cut = materialise(_sized(cut, False), "variants")
+            cut = scratch.keep(_sized(cut, False))
             last = number == CUTS
             parts.append((cut if last else cut.where(F.col("size") <= BUCKET)).select("fp", "bucket"))
             rows = cut.where(F.col("size") > BUCKET).drop("size")
@@ -186,16 +187,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): the smallest node of each linked node's component, for nodes that are not the root.
 
     Alternates large-star and small-star steps until the edges stay the same.
     Every step replaces neighbours by a minimum found with a partial
     aggregate, and a hub's rows are dealt to several tasks.  Only the last
-    round's edges stay on shared storage.
+    round's edges stay on shared storage (in ``scratch``, if one is given).
     """
     spark = edges.sparkSession
-    path = fresh_path(spark, "edges")
+    fresh = scratch.fresh if scratch else lambda: fresh_path(spark, "edges")
+    path = fresh()
     edges, before = stored(edges.select("a", "b"), path), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -204,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_join(large, down, ["a"], "b")
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, path = path, fresh_path(spark, "edges")
+        last, path = path, fresh()
         edges = stored(moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), path)
         remove(spark, last)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -217,7 +219,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = fingerprints(docs, size)
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp")))
+    scratch = Scratch(docs.sparkSession, "variants")
+    found = components(links(nodes.select("fp"), scratch))
+    scratch.drop()
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(ids, "root").select("fp", "component_id")
@@ -292,13 +296,13 @@ def _overlap(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
-    """The pairs (a, b) that ``sets`` (key, n, shingles), whole or prefixes, do not rule out; on shared storage."""
+def compared(pairs: DataFrame, sets: DataFrame, whole: bool, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that ``sets`` (key, n, shingles), whole or prefixes, do not rule out; in ``scratch``."""
     of = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}"))
-    return materialise(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _overlap(batches, whole), "a long, b long"), "pairs")
+    return scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _overlap(batches, whole), "a long, b long"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of set keys that are similar, by the sets of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,11 +313,11 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 sizes = pa.array([len(x) for x in made], pa.int32())
                 yield pa.RecordBatch.from_arrays([keys, sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"])
 
-    ends = materialise(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "ends")
-    ids = materialise(nodes.join(ends, "key").select(F.col("least").alias("doc_id")).distinct(), "ends")
+    ends = scratch.keep(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    ids = scratch.keep(nodes.join(ends, "key").select(F.col("least").alias("doc_id")).distinct())
     texts = rows.join(ids, "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(run, "key long, n int, shingles binary").join(ends, "key", "left_semi").dropDuplicates(["key"])
-    return compared(pairs, materialise(sets, "sets"), True)
+    return compared(pairs, scratch.keep(sets), True, scratch)
 
 
 def _key(shingles: np.ndarray) -> int:
@@ -333,6 +337,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     this leaves unconnected ones, the next are, ever more of them, with those
     that nothing links to them yet, until all have had their turn.
     """
+    scratch = Scratch(docs.sparkSession, "near")
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     hot, rank = common_shingles(rows)
 
@@ -346,9 +352,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "key", "n", "shingles"],
                 )
 
-    made = materialise(rows.mapInArrow(run, "doc_id long, key long, n int, shingles binary"), "shingles")
-    nodes = materialise(made.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
-    prefixes = materialise(made.join(nodes, "key").where("doc_id = least").select("key", "n", "shingles").dropDuplicates(["key"]), "prefixes")
+    made = scratch.keep(rows.mapInArrow(run, "doc_id long, key long, n int, shingles binary"))
+    nodes = scratch.keep(made.groupBy("key").agg(F.min("doc_id").alias("least")))
+    prefixes = scratch.keep(made.join(nodes, "key").where("doc_id = least").select("key", "n", "shingles").dropDuplicates(["key"]))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -362,7 +368,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     spread = prefixes.mapInArrow(explode, "key long, n int, at int, shingle long")
     by = Window.partitionBy("shingle")
     met = spread.withColumns({"size": F.count("*").over(by), "turn": F.row_number().over(by.orderBy("key"))}).where("size > 1")
-    met = materialise(met, "met")
+    met = scratch.keep(met)
 
     edges = tried = None
     done, until = 0, PIVOTS
@@ -378,19 +384,21 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         able = (F.col("x.turn") < F.col("y.turn")) & (F.col("x.root") != F.col("y.root")) & (9 * shared >= 4 * (F.col("x.n") + F.col("y.n")))
         able = able & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
         pairs = one.join(two, F.col("x.shingle") == F.col("y.shingle")).where(able).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = verified(compared(pairs, prefixes, False), rows, nodes)
+        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = verified(compared(pairs, prefixes, False, scratch), rows, nodes, scratch)
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if met.where(F.col("size") > until + 1).isEmpty():
             break
-        labels = components(edges).select(F.col("node").alias("key"), "root")
+        labels = components(edges, scratch).select(F.col("node").alias("key"), "root")
         done, until = until, until * 8
 
     ends = edges.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
     between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
     equal = made.join(nodes, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    return components(between.unionByName(equal).distinct())
+    out = components(between.unionByName(equal).distinct())
+    scratch.drop()
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import bound_batches, text_or_empty
 
 MARK = "▁"
 #: Stands for a space mark in the text itself; no text that Spark holds has it.
@@ -186,6 +186,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                     names=["doc_id", "n_chars", "n_pieces", "ids", "ids_crc32", "round_trip"],
                 )
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
 

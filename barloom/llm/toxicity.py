@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import bound_batches, text_or_empty
 from .words import CACHE_WORDS
 
 BUCKETS = 1 << 18
@@ -141,6 +141,7 @@ class OrdinalRegression:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalRegression | None:
     """A regression fitted on at most ``rows`` labelled texts of each class."""
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     first = lambda kind: known.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = first(F.col("toxic") > 0).unionByName(first(F.col("toxic") <= 0))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import bsi_topk, media_wav, mixing, pii_sanitise, quality_fm, queries, simhash, sp_viterbi, token_orc, toxicity, url_filter
+from barloom.llm import bsi_topk, media_wav, mixing, pii_sanitise, quality_fm, queries, shared, simhash, sp_viterbi, token_orc, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", None, " ", "one", "two words", "a b c d e f", "a b c d e f", "x" * 5000, "word " * 3000, "É ñ ß 字 ▁ \x00 \n\t", "don't  stop", " lead", "trail "]
@@ -286,7 +286,7 @@ def test_fingerprints_and_components(spark, odd, empty, sf):
 
 
 def linked(spark, fps):
-    edges = simhash.links(spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long"))
+    edges = simhash.links(spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long"), shared.Scratch(spark, "links"))
     return {(int(np.int64(r.a).astype(np.uint64)), int(np.int64(r.b).astype(np.uint64))) for r in edges.collect()}
 
 
@@ -557,8 +557,6 @@ def brute_terms(texts):
 
 @pytest.mark.parametrize("broadcast", [50_000, 0])
 def test_term_spans_equal_brute_force(spark, monkeypatch, broadcast):
-    from barloom.llm import shared
-
     monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     rng = np.random.default_rng(11)
     texts = []
