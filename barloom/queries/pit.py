@@ -23,10 +23,10 @@ def number():
     return C("code").cast("int")
 
 
-def front(spark, sf):
-    """Bars with prices times the day's factor as front-adjusted prices; no factors for every seventh code."""
+def front(spark, sf, of=None):
+    """Bars (all, or those given) with prices times the day's factor as front-adjusted prices; no factors for every seventh code."""
     f = factors(spark, sf).where("cast(code AS int) % 7 > 0").select("code", "dt", "adj_factor")
-    b = bars(spark, sf).join(f, ["code", "dt"], "left")
+    b = (bars(spark, sf) if of is None else of).join(f, ["code", "dt"], "left")
     return b.withColumns({f"{c}_front": C(c) * C("adj_factor") for c in ("open", "high", "low", "close")})
 
 
@@ -36,7 +36,8 @@ VIEWED = "CASE WHEN max((close_front IS NOT NULL)::INTEGER) OVER (PARTITION BY c
 
 @query("P1_last_n_bars", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql(VIEWED)} AS close FROM (SELECT * FROM f WHERE dt <= DATE '{AT}' QUALIFY row_number() OVER (PARTITION BY code ORDER BY dt DESC) <= 70)", "bars", "factors", f=FRONT_SQL))
 def p1(spark, sf):
-    return shown(pit.price_view(pit.last_bars(front(spark, sf), 70, at_day()), "pre"), "close")
+    last = pit.last_bars(bars(spark, sf), 70, at_day())  # the factors of these days only are joined
+    return shown(pit.price_view(front(spark, sf, last), "pre"), "close")
 
 
 @query("P2_last_n_one_code", oracle(shown_sql("(SELECT * FROM bars WHERE code = '000007' ORDER BY dt DESC LIMIT 20)", "close"), "bars"))
