@@ -52,6 +52,23 @@ def factor_jumps(factors: DataFrame, high: float = 2.0, low: float = 0.5, gap: i
     return out.where((F.col("ratio") > high) | (F.col("ratio") < low) | (F.col("days") > gap))
 
 
+def factor_integrity(factors: DataFrame, official: DataFrame, high: float = 2.0, low: float = 0.5, gap: int = 1, share: float = 0.05, tolerance: float = 1e-6) -> DataFrame:
+    """(code, dt, kind, value): jumps and gaps of a code, days on which more than one code and more than a share of all codes change (code null), and values other than the official ones.
+
+    ``official`` has code, dt and value.  Gaps are in calendar days.
+    """
+    rows = factor_jumps(factors, high, low, gap)
+    jump = (F.col("ratio") > high) | (F.col("ratio") < low)
+    jumps = rows.where(jump).select("code", "dt", F.lit("jump").alias("kind"), F.col("ratio").alias("value"))
+    gaps = rows.where(F.col("days") > gap).select("code", "dt", F.lit("gap").alias("kind"), F.col("days").cast("double").alias("value"))
+    changed = factors.withColumn("_moved", F.col("adj_factor") != S.ref("adj_factor")).where("_moved").groupBy("dt").agg(F.count_distinct("code").alias("n"))
+    codes = factors.agg(F.greatest(F.lit(1), F.floor(F.count_distinct("code") * share)).alias("most"))
+    spikes = changed.crossJoin(F.broadcast(codes)).where(F.col("n") > F.col("most")).select(F.lit(None).cast("string").alias("code"), "dt", F.lit("spike").alias("kind"), F.col("n").cast("double").alias("value"))
+    met = factors.join(official.select("code", "dt", "value"), ["code", "dt"])
+    off = met.where(F.abs(F.col("adj_factor") - F.col("value")) > tolerance).select("code", "dt", F.lit("official").alias("kind"), (F.col("adj_factor") - F.col("value")).alias("value"))
+    return reduce(DataFrame.unionByName, [jumps, gaps, spikes, off])
+
+
 def revisions(observed: DataFrame, baseline: DataFrame, as_of: Column, eps: float = 1e-9) -> DataFrame:
     """Every observed key up to as_of with status new, unchanged or revision, and the relative change."""
     o = observed.where(F.col("dt") <= as_of).select("code", "dt", F.col("adj_factor").alias("now"))

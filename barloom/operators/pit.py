@@ -124,3 +124,20 @@ def get_price(bars: DataFrame, codes: Sequence[str], count: int | None = None, s
         got = got if until is None else got.where(F.col("dt") <= until)
     got = price_view(got, fq).withColumn("money", F.col("amount"))
     return got.select("code", "dt", *fields) if fields else got
+
+
+def placed(df: DataFrame, order: Sequence[Column], path: str, out: str = "place") -> DataFrame:
+    """All rows with their place (from 1) in a total order by many keys.
+
+    Rows are dealt by ranges of the keys and sorted in their partitions; the
+    sorted rows are stored under ``path`` with their place in the partition, to
+    which the rows of the partitions before are added (one number each).
+    """
+    part, own = "_part", "_own"
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(own, F.monotonically_increasing_id())
+    ordered.write.parquet(path)
+    stored = df.sparkSession.read.parquet(path).withColumn(part, F.shiftrightunsigned(own, 33))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy(part).agg(F.count("*").alias("_n")).select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row per partition
+    return stored.join(F.broadcast(sizes), part).withColumn(out, F.col("_before") + F.col(own).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(part, own, "_before")

@@ -94,9 +94,16 @@ def a7(spark, sf):
     return a.invariant(fresh(spark, sf))
 
 
-@query("A8_factor_integrity", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql('ratio')} AS ratio, days FROM (SELECT code, dt, adj_factor / {lag('adj_factor')} AS ratio, date_diff('day', {lag('dt')}, dt) AS days FROM factors) WHERE ratio > 1.05 OR ratio < 0.95 OR days > 5", "factors"))
+MOVES = f"SELECT code, dt, adj_factor, adj_factor / {lag('adj_factor')} AS ratio, date_diff('day', {lag('dt')}, dt) AS days FROM factors"
+
+
+@query("A8_factor_integrity", oracle(f"""SELECT code, dt::VARCHAR AS dt, 'jump' AS kind, {rsql('ratio')} AS value FROM m WHERE ratio > 1.05 OR ratio < 0.95 UNION ALL SELECT code, dt::VARCHAR, 'gap', {rsql('days::DOUBLE')} FROM m WHERE days > 5
+    UNION ALL SELECT NULL, dt::VARCHAR, 'spike', {rsql('n::DOUBLE')} FROM (SELECT dt, count(DISTINCT code) AS n FROM m WHERE ratio <> 1 GROUP BY dt) WHERE n > (SELECT greatest(1, floor(count(DISTINCT code) * 0.05)) FROM m)
+    UNION ALL SELECT code, dt::VARCHAR, 'official', {rsql('-0.01::DOUBLE')} FROM m WHERE day(dt) = 13""", "factors", m=MOVES))
 def a8(spark, sf):
-    return shown(a.factor_jumps(factors(spark, sf), 1.05, 0.95, 5), "ratio", "days")
+    f = factors(spark, sf)
+    official = f.where(F.day("dt") % 2 == 1).select("code", "dt", (C("adj_factor") + F.when(F.day("dt") == 13, 0.01).otherwise(0.0)).alias("value"))
+    return shown(a.factor_integrity(f, official, 1.05, 0.95, 5), "kind", "value")
 
 
 @query("A9_golden_rows", o("SELECT count(*) AS golden, count(*) FILTER (abs(close_front - due) > 1e-6) AS off FROM (SELECT fresh.*, close * adj_factor / latest AS due FROM fresh WHERE k % 53 = 0 OR k % 50 = 0)", "fresh"))

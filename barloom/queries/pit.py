@@ -9,6 +9,7 @@ from ..operators import pit
 from ..operators.indicators import S
 from ..operators.joins import asof, latest, member_at
 from ..plans.views import bars, factors, index_members, index_meta, membership, minutes, oracle, status_events, table, valuation
+from ..sources.storage import shared_path
 from .registry import query, rnd, rsql, shown, shown_sql
 
 C = F.col
@@ -311,9 +312,10 @@ def p40(spark, sf):
     return shown(pit.get_price(bars(spark, sf), ["000001", "000004"], count=15, end=AT, fields=["money"]), "money")
 
 
-@query("R1_nulls_last", oracle("SELECT code, dt::VARCHAR AS dt, prev FROM (SELECT code, dt, lag(volume) OVER (PARTITION BY code ORDER BY dt) AS prev FROM bars) ORDER BY prev NULLS LAST, code, dt LIMIT 200", "bars"))
+@query("R1_nulls_last", oracle("SELECT code, dt::VARCHAR AS dt, prev, row_number() OVER (ORDER BY prev NULLS LAST, code, dt) AS place FROM (SELECT code, dt, lag(volume) OVER (PARTITION BY code ORDER BY dt) AS prev FROM bars)", "bars"))
 def r1(spark, sf):
-    return shown(bars(spark, sf).withColumn("prev", S.ref("volume")).orderBy(C("prev").asc_nulls_last(), "code", "dt").limit(200), "prev")
+    rows = bars(spark, sf).withColumn("prev", S.ref("volume")).select("code", "dt", "prev")
+    return shown(pit.placed(rows, [C("prev").asc_nulls_last(), C("code").asc(), C("dt").asc()], shared_path(spark, "ordered")), "prev", "place")
 
 
 @query("R2_top_per_group", oracle(shown_sql("(SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY code ORDER BY volume DESC, dt) <= 3)", "volume"), "bars"))
