@@ -267,3 +267,18 @@ def sample_bars(minutes: DataFrame, day: str, clock: str, time: str, continuous:
     picked = inside.where(F.array_contains(places, F.col("_i").cast("int"))).select("code", day, time, F.lit("even").alias("kind"), (F.col("_n") >= least).alias("enough"))
     extra = minutes.where(F.col(clock) == opening).groupBy("code", day).agg(F.min(time).alias(time))
     return picked.unionByName(extra.select("code", day, time, F.lit("opening").alias("kind"), F.lit(None).cast("boolean").alias("enough")))
+
+
+def front_rewrite(stored: DataFrame, staged: DataFrame, column: str = "close_front", keys: Sequence[str] = ("code", "dt")) -> tuple[DataFrame, DataFrame]:
+    """Stored rows with staged values where there are any, and one row: stored, staged, staged that now have a value, and those still without one."""
+    met = staged.select(*keys, F.col(column).alias("_new"), F.lit(True).alias("_met"))
+    out = stored.join(met, list(keys), "left").withColumn(column, F.coalesce("_new", column))
+    report = out.agg(F.count("*").alias("stored"), F.count("_met").alias("staged"), F.count_if(F.col("_met") & F.col(column).isNotNull()).alias("matched"), F.count_if(F.col(column).isNull()).alias("still_null"))
+    return out.drop("_new", "_met"), report
+
+
+def raw_coverage(stored: DataFrame, fresh: DataFrame, column: str = "close", tolerance: float = 1e-6, keys: Sequence[str] = ("code", "dt")) -> DataFrame:
+    """Per code: stored rows, those that fresh ones cover, whether all are, and those that disagree."""
+    joined = stored.join(fresh.select(*keys, F.col(column).alias("_fresh")), list(keys), "left")
+    full = F.when(F.count("_fresh") == F.count("*"), "full").otherwise("partial")
+    return joined.groupBy("code").agg(F.count("*").alias("stored"), F.count("_fresh").alias("covered"), full.alias("coverage"), F.count_if(F.abs(F.col("_fresh") - F.col(column)) > tolerance).alias("disagree"))

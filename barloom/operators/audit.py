@@ -191,3 +191,41 @@ def workflow_monitor(tables: Mapping[str, DataFrame], today: Column, overdue_day
     rows = reduce(DataFrame.unionByName, parts)
     limit = reduce(lambda out, kv: F.when((F.col("name") == kv[0][0]) & (F.col("status") == kv[0][1]), F.lit(kv[1])).otherwise(out), alarms.items(), F.lit(None).cast("int"))
     return rows.select("name", "status", "n", "overdue", (F.coalesce(F.col("n") > limit, F.lit(False)) | (F.col("overdue") > 0)).alias("alarm"))
+
+
+def adjust_coverage(rows: DataFrame, side: str = "close_front") -> DataFrame:
+    """Per code: rows without an adjusted side."""
+    return rows.groupBy("code").agg(F.count_if(F.col(side).isNull()).alias("no_side"))
+
+
+def return_consistency(rows: DataFrame, most: float = 1.0, side: str = "close_front") -> DataFrame:
+    """Per code: days whose adjusted and raw returns differ by more than so many per cent."""
+    w = Window.partitionBy("code").orderBy("dt")
+    pct = lambda c: (F.col(c) / F.lag(c).over(w) - 1) * 100
+    return rows.withColumn("_off", F.abs(pct(side) - pct("close")) > most).groupBy("code").agg(F.count_if(F.col("_off")).alias("off"))
+
+
+def watermark_state(marks: DataFrame, last: DataFrame, key: str = "code") -> DataFrame:
+    """Whether each mark is ahead of, behind or equal to the last row."""
+    state = F.when(F.col("mark") > F.col("last"), "ahead").when(F.col("mark") < F.col("last"), "behind").otherwise("equal")
+    return marks.join(last, key).select(key, state.alias("state"))
+
+
+def dividend_checks(dividends: DataFrame) -> DataFrame:
+    """One row: negative cash, events not carried out yet, stock above cash, and whether all cash is missing."""
+    return dividends.agg(
+        F.count_if(F.col("cash") < 0).alias("negative"), F.count_if(F.col("proc") != "implemented").alias("planned"), F.count_if(F.col("stock") > F.col("cash")).alias("inverted"), (F.count("cash") == 0).alias("all_null")
+    )
+
+
+def queue_age(queue: DataFrame, today: Column, day: str = "dt", dead: int = 365, overdue: int = 90, stale: int = 30) -> DataFrame:
+    """Entries of a queue by how old they are in days."""
+    age = F.datediff(today, day)
+    state = F.when(age > dead, "dead").when(age > overdue, "overdue").when(age > stale, "stale").otherwise("fresh")
+    return queue.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def resolved_intervals(intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Intervals without those that end before they start (overlaps stay), and one row with the numbers before and after."""
+    good = F.col("to_day").isNull() | (F.col("from_day") <= F.col("to_day"))
+    return intervals.where(good), intervals.agg(F.count("*").alias("raw"), F.count_if(good).alias("kept"))

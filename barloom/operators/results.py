@@ -273,3 +273,15 @@ def result_gate(daily: DataFrame, trades: DataFrame, order: Sequence[str], final
     row = end.crossJoin(F.broadcast(made)).crossJoin(F.broadcast(met.agg(F.count_if(off).alias("sequence_off"))))
     row = row.withColumns({"final_ok": F.abs(F.col("final") - final) <= tolerance, "count_ok": F.col("trades") == count, "last_ok": F.coalesce(F.col("last_bought") == last_bought, F.lit(False))})
     return row.withColumn("pass", F.col("final_ok") & F.col("count_ok") & F.col("last_ok") & (F.col("sequence_off") == 0))
+
+
+def occupancy(traded: DataFrame, held: DataFrame, flag: Column, rate: float = COMMISSION, least: float = LEAST_COMMISSION) -> DataFrame:
+    """One row on days with trades (dt, amount) and holdings (dt, held): days, mean turnover, friction, and the share of days that a flag marks."""
+    day = traded.groupBy("dt").agg(F.sum("amount").alias("amount")).join(held.groupBy("dt").agg(F.sum("held").alias("held")), "dt")
+    return day.agg(F.count("*").alias("days"), F.avg(F.col("amount") / F.col("held")).alias("turnover"), F.sum(F.greatest(F.col("amount") * rate, F.lit(least))).alias("friction"), F.avg(flag.cast("int")).alias("occupied"))
+
+
+def correlation(both: DataFrame, left: str, right: str) -> DataFrame:
+    """One row: days that both curves have, and their Pearson correlation."""
+    common = both.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    return common.agg(F.count("*").alias("n"), F.corr(left, right).alias("corr"))

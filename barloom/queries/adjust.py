@@ -183,9 +183,8 @@ def a18(spark, sf):
 
 @query("A19_front_rewrite", o("SELECT count(*) AS stored, count(s.code) AS staged, count(*) FILTER (s.code IS NOT NULL AND coalesce(s.close_front, f.close_front) IS NOT NULL) AS matched, count(*) FILTER (coalesce(s.close_front, f.close_front) IS NULL) AS still_null FROM fresh f LEFT JOIN (SELECT code, dt, close_front FROM adj WHERE k % 59 = 0 OR k % 53 = 0) s ON s.code = f.code AND s.dt = f.dt", "fresh"))
 def a19(spark, sf):
-    staged = adj(spark, sf).where("k % 59 = 0 OR k % 53 = 0").select("code", "dt", C("close_front").alias("new"), F.lit(True).alias("met"))
-    out = fresh(spark, sf).join(staged, ["code", "dt"], "left").withColumn("now", F.coalesce("new", "close_front"))
-    return out.agg(F.count("*").alias("stored"), F.count("met").alias("staged"), F.count_if(C("met").isNotNull() & C("now").isNotNull()).alias("matched"), F.count_if(C("now").isNull()).alias("still_null"))
+    staged = adj(spark, sf).where("k % 59 = 0 OR k % 53 = 0")
+    return a.front_rewrite(fresh(spark, sf), staged)[1]
 
 
 STAGED = "SELECT code, CASE WHEN k % 97 = 0 THEN dt - 1 ELSE dt END AS dt, k, open, high, low, close, open_front, CASE WHEN k % 17 = 0 THEN high_front + 0.005 WHEN k % 19 = 0 THEN high_front + 50 ELSE high_front END AS high_front, CASE WHEN k % 23 = 0 THEN -1 ELSE low_front END AS low_front, CASE WHEN k % 29 = 0 THEN 'inf'::DOUBLE ELSE close_front END AS close_front FROM adj WHERE close_front IS NOT NULL"
@@ -211,9 +210,8 @@ def a20(spark, sf):
 @query("A21_raw_coverage", oracle("SELECT code, count(*) AS stored, count(f) AS covered, CASE WHEN count(f) = count(*) THEN 'full' ELSE 'partial' END AS coverage, count(*) FILTER (abs(f - close) > 1e-6) AS disagree FROM (SELECT *, CASE WHEN k % 59 <> 0 OR code::INTEGER % 2 = 0 THEN close + CASE WHEN k % 53 = 0 THEN 0.001 ELSE 0 END END AS f FROM bars) GROUP BY code", "bars"))
 def a21(spark, sf):
     b = bars(spark, sf)
-    new = b.where((C("k") % 59 != 0) | (number() % 2 == 0)).select("code", "dt", (C("close") + F.when(C("k") % 53 == 0, 0.001).otherwise(0.0)).alias("f"))
-    joined = b.join(new, ["code", "dt"], "left")
-    return joined.groupBy("code").agg(F.count("*").alias("stored"), F.count("f").alias("covered"), F.when(F.count("f") == F.count("*"), "full").otherwise("partial").alias("coverage"), F.count_if(F.abs(C("f") - C("close")) > 1e-6).alias("disagree"))
+    new = b.where((C("k") % 59 != 0) | (number() % 2 == 0)).withColumn("close", C("close") + F.when(C("k") % 53 == 0, 0.001).otherwise(0.0))
+    return a.raw_coverage(b, new)
 
 
 AFTER = f"SELECT * REPLACE (CASE WHEN k % 31 = 0 THEN close_front + 0.5 ELSE close_front END AS close_front, CASE WHEN k % 37 = 0 THEN low_front + 60 ELSE low_front END AS low_front) FROM adj WHERE k % 61 <> 0"

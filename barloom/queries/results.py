@@ -136,8 +136,8 @@ def m17(spark, sf):
 
 @query("M18_turnover", oracle(f"SELECT count(*) AS days, {rsql('avg(amount / held)')} AS turnover, {rsql('sum(greatest(amount * 0.00025, 5))', 2)} AS friction, {rsql('avg((held > 1e6)::INTEGER)')} AS occupied FROM (SELECT dt, sum(amount) AS amount FROM c GROUP BY 1) JOIN (SELECT dt, sum(amount) AS held FROM bars GROUP BY 1) USING (dt)", "bars", "trades", c=COST))
 def m18(spark, sf):
-    day = costed(spark, sf).groupBy("dt").agg(F.sum("amount").alias("amount")).join(bars(spark, sf).groupBy("dt").agg(F.sum("amount").alias("held")), "dt")
-    return day.agg(F.count("*").alias("days"), rnd(F.avg(C("amount") / C("held"))).alias("turnover"), rnd(F.sum(F.greatest(C("amount") * 0.00025, F.lit(5.0))), 2).alias("friction"), rnd(F.avg((C("held") > 1e6).cast("int"))).alias("occupied"))
+    got = r.occupancy(costed(spark, sf), bars(spark, sf).select("dt", C("amount").alias("held")), C("held") > 1e6)
+    return got.select("days", rnd("turnover").alias("turnover"), rnd("friction", 2).alias("friction"), rnd("occupied").alias("occupied"))
 
 
 def runs(spark, sf):
@@ -212,7 +212,7 @@ def m25(spark, sf):
 
 @query("M26_correlation", oracle(f"SELECT count(*) AS n, {rsql('corr(nav, bench)')} AS corr FROM nav", "nav"))
 def m26(spark, sf):
-    return nav(spark, sf).agg(F.count("*").alias("n"), rnd(F.corr("nav", "bench")).alias("corr"))
+    return r.correlation(nav(spark, sf), "nav", "bench").withColumn("corr", rnd("corr"))
 
 
 EDGES = "SELECT dt, code, action, volume FROM {} EXCEPT ALL SELECT dt, code, action, volume FROM {}"

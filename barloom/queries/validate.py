@@ -134,7 +134,7 @@ def q5(spark, sf):
 
 @query("Q6_adjust_coverage", o("SELECT code, count(*) FILTER (close_front IS NULL) AS no_side FROM fresh GROUP BY code", "fresh"))
 def q6(spark, sf):
-    return fresh(spark, sf).groupBy("code").agg(F.count_if(C("close_front").isNull()).alias("no_side"))
+    return audit.adjust_coverage(fresh(spark, sf))
 
 
 @query("Q7_adjust_anchor", o(f"SELECT code, {rsql('a')} AS at_first, {rsql('b')} AS at_last, abs(a - 1) > 0.02 AS first_off, abs(b - 1) > 0.02 AS last_off FROM (SELECT code, arg_min(close_back / close, dt) AS a, arg_max(close_front / close, dt) * CASE WHEN code::INTEGER % 4 = 0 THEN 1.1::DOUBLE ELSE 1 END AS b FROM adj WHERE close_front IS NOT NULL AND close > 0 GROUP BY code)", "adj"))
@@ -145,8 +145,7 @@ def q7(spark, sf):
 
 @query("Q8_return_consistency", o(f"SELECT code, count(*) FILTER (abs(a - b) > 1) AS off FROM (SELECT code, (close_front / {lag('close_front')} - 1) * 100 AS a, (close / {lag('close')} - 1) * 100 AS b FROM adj) GROUP BY code", "adj"))
 def q8(spark, sf):
-    rows = adj(spark, sf).withColumns({"a": (C("close_front") / S.ref("close_front") - 1) * 100, "b": (C("close") / S.ref("close") - 1) * 100})
-    return rows.groupBy("code").agg(F.count_if(F.abs(C("a") - C("b")) > 1).alias("off"))
+    return audit.return_consistency(adj(spark, sf))
 
 
 counted("Q9_minute_grid", "minutes", minutes, lambda: {"grid15": v.off_grid("time_ms", 15), "grid60": v.off_grid("time_ms", 60)}, {"grid15": "time_ms % 900000 <> 0", "grid60": "time_ms % 3600000 <> 0"})
@@ -157,8 +156,7 @@ counted("Q10_future", "valuation", valuation, lambda: {"future": C("dt") > F.lit
 def q11(spark, sf):
     last = bars(spark, sf).groupBy("code").agg(F.max("k").alias("last"))
     marks = last.select("code", (C("last") + C("code").cast("int") % 3 - 1).alias("mark"))
-    state = F.when(C("mark") > C("last"), "ahead").when(C("mark") < C("last"), "behind").otherwise("equal")
-    return marks.join(last, "code").select("code", state.alias("state"))
+    return audit.watermark_state(marks, last)
 
 
 counted("Q12_traceability", "dirty_bars", dirty_bars, lambda: {"no_source": C("data_source").isNull(), "not_authority": v.not_in("data_source", ["alpha"])}, {"no_source": "data_source IS NULL", "not_authority": "data_source <> 'alpha'"})
@@ -168,7 +166,7 @@ counted("Q12_traceability", "dirty_bars", dirty_bars, lambda: {"no_source": C("d
 def q13(spark, sf):
     from ..plans.views import dividends
 
-    return dividends(spark, sf).agg(F.count_if(C("cash") < 0).alias("negative"), F.count_if(C("proc") != "implemented").alias("planned"), F.count_if(C("stock") > C("cash")).alias("inverted"), (F.count("cash") == 0).alias("all_null"))
+    return audit.dividend_checks(dividends(spark, sf))
 
 
 LEDGER = "SELECT code AS batch_id, count(*) AS aligned, count(*) FILTER (k % 3 > 0) AS passed, count(*) FILTER (k % 3 = 0) AS rejected, (code::INTEGER % 4 = 0)::INTEGER AS fixed, count(*) FILTER (k % 3 > 0) AS written FROM bars GROUP BY code"
@@ -201,8 +199,7 @@ def q15(spark, sf):
 
 @query("Q16_queue_age", oracle("SELECT CASE WHEN age > 365 THEN 'dead' WHEN age > 90 THEN 'overdue' WHEN age > 30 THEN 'stale' ELSE 'fresh' END AS state, count(*) AS n FROM (SELECT DATE '2001-06-01' - dt AS age FROM status_events) GROUP BY 1", "status_events"))
 def q16(spark, sf):
-    age = F.datediff(F.lit("2001-06-01").cast("date"), "dt")
-    return status_events(spark, sf).groupBy(F.when(age > 365, "dead").when(age > 90, "overdue").when(age > 30, "stale").otherwise("fresh").alias("state")).agg(F.count("*").alias("n"))
+    return audit.queue_age(status_events(spark, sf), F.lit("2001-06-01").cast("date"))
 
 
 CHECKS = {
@@ -256,7 +253,7 @@ def q20(spark, sf):
 
 @query("Q21_interval_clean", oracle("SELECT count(*) AS raw, count(*) FILTER (to_day IS NULL OR from_day <= to_day) AS kept FROM membership", "membership"))
 def q21(spark, sf):
-    return membership(spark, sf).agg(F.count("*").alias("raw"), F.count_if(C("to_day").isNull() | (C("from_day") <= C("to_day"))).alias("kept"))
+    return audit.resolved_intervals(membership(spark, sf))[1]
 
 
 THREE = {
