@@ -114,6 +114,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield batch.slice(at, until - at)
         at = until
+    pa.default_memory_pool().release_unused()  # workers are used again and would keep what one batch took
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -35,7 +35,9 @@ MARK = "▁"
 #: Stands for a space mark in the text itself; no text that Spark holds has it.
 LITERAL_MARK = "\ud800"
 UNKNOWN = 10.0
-CACHE_WORDS = 500_000
+#: Words in each of the two generations that a worker remembers, of at most CACHE_LENGTH characters.
+CACHE_WORDS = 120_000
+CACHE_LENGTH = 48
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -123,27 +125,33 @@ class PieceModel:
             at -= size
         return out[::-1]
 
-    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """The young generation of remembered words, with all that is wanted.
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Adds all that is wanted to the young generation of remembered words, and tells which of it are too long to stay.
 
-        When it is full it becomes the old one, so frequent words stay and
-        memory is bounded.
+        When the generation is full it becomes the old one, so frequent words
+        stay and memory is bounded.
         """
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        new = wanted.difference(self.young)
-        for w in new & self.old.keys():
-            self.young[w] = self.old[w]
-        for w in new.difference(self.old):
-            bare = w.lstrip(" ")
-            self.young[w] = array("i", self.segment(MARK * (1 + len(w) - len(bare)) + bare.replace(MARK, LITERAL_MARK))).tobytes()
-        return self.young
+        young, old, long = self.young, self.old, []
+        for w in wanted.difference(young):
+            known = old.get(w)
+            if known is None:
+                bare = w.lstrip(" ")
+                known = array("i", self.segment(MARK * (1 + len(w) - len(bare)) + bare.replace(MARK, LITERAL_MARK))).tobytes()
+            young[w] = known
+            if len(w) > CACHE_LENGTH:
+                long.append(w)
+        return long
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit bytes."""
         cut = [words(t) for t in texts]
-        known = self._learn(set().union(*cut))
-        return [b"".join(map(known.__getitem__, part)) for part in cut]
+        long = self._learn(set().union(*cut))
+        made = [b"".join(map(self.young.__getitem__, part)) for part in cut]
+        for w in long:
+            del self.young[w]
+        return made
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 
 #: A word cache is emptied at this size, so that a worker's memory stays bounded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
