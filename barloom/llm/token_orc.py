@@ -41,8 +41,8 @@ END_ID = 2
 CACHE_PIECES = 400_000
 #: Longer pieces are not remembered.
 CACHE_LENGTH = 48
-#: Texts of about so many bytes are encoded at once.
-SLICE_BYTES = 6 << 20
+#: Texts of about so many bytes are encoded at once: what Spark hands over in a batch, with some room.
+SLICE_BYTES = 9 << 20
 ROW_STRIDE = 1000
 ROWS = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
