@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bsi_topk, media_wav, mixing, pii_sanitise, quality_fm, simhash, sp_viterbi, token_orc, toxicity, url_filter
+from . import bsi_topk, media_wav, mixing, pii_sanitise, prefix_trie, quality_fm, sharding, simhash, sp_viterbi, token_orc, toxicity, url_filter
+from .shared import crc32_sql
 from .url_filter import Rule
 
 RULES = (
@@ -25,6 +26,7 @@ TARGETS = {
     "topic": mixing.Target({"prose": 0.8, "tabular": 0.1, "contact": 0.05, "licence": 0.05}),
 }
 BUDGET, ITERATIONS = 0.5, 10
+SHARDS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_sanitise.detect(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.by_bytes(table(spark, sf_dir, "documents"), SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_url_filter, op2_bsi_topk, op3_mixing, op4_quality_fm, op5_toxicity, op6_simhash, op7_token_orc, op8_media_wav, op9_sentencepiece, op10_pii, pipeline)
+    made = (op1_url_filter, op2_bsi_topk, op3_mixing, op4_quality_fm, op5_toxicity, op6_simhash, op7_token_orc, op8_media_wav, op9_sentencepiece, op10_pii, op12_prefix_trie, op13_sharding, pipeline)
     return {f.__name__: f for f in made}
 
 
@@ -106,4 +117,7 @@ _OP2_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op2_bsi_topk": _OP2_SQL, "op3_mixing": mixing.oracle("documents", TARGETS, BUDGET, ITERATIONS)}
+    return {
+        "op1_url_filter": _op1_sql(), "op2_bsi_topk": _OP2_SQL, "op3_mixing": mixing.oracle("documents", TARGETS, BUDGET, ITERATIONS),
+        "op12_prefix_trie": prefix_trie.oracle(crc32_sql("SELECT conv_id, h FROM x")), "op13_sharding": sharding.oracle(SHARDS, crc32_sql("SELECT key, h FROM o")),
+    }

@@ -105,6 +105,29 @@ def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str)
     return salted.join(dealt, [*keys, "__salt"]).drop("__salt")
 
 
+def places(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` in order over all its rows, on shared storage: ``at`` is a row's place in its partition ``part``.
+
+    Rows are dealt by ranges of the whole order, so that rows with equal leading
+    columns are dealt to several tasks; partitions follow each other by ``part``.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return materialise(dealt.withColumns({"part": F.spark_partition_id(), "at": at}), "places")
+
+
+def crc32_sql(rows: str) -> str:
+    """DuckDB SQL that adds ``crc``, the unsigned CRC-32 of the bytes in the hex column ``h``, to the query ``rows``."""
+    step = "CASE WHEN {0} & 1 = 1 THEN xor(3988292384, {0} >> 1) ELSE {0} >> 1 END"
+    return f"""WITH RECURSIVE bits AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) r(i)
+            UNION ALL SELECT i, {step.format("v")}, k + 1 FROM bits WHERE k < 8),
+        crcs AS MATERIALIZED (SELECT list(v ORDER BY i) AS of FROM bits WHERE k = 8),
+        pairs AS MATERIALIZED (SELECT map(list(printf('%02X', CAST(i AS INTEGER))), list(CAST(i AS BIGINT))) AS of FROM range(256) r(i))
+        SELECT * EXCLUDE (at_, of_), xor(4294967295, list_reduce(list_transform(regexp_extract_all(h, '..'), lambda x: at_[x]),
+            lambda acc, b: xor(acc >> 8, of_[1 + (xor(acc, b) & 255)]), CAST(4294967295 AS BIGINT))) AS crc
+        FROM ({rows}) CROSS JOIN (SELECT of AS of_ FROM crcs) CROSS JOIN (SELECT of AS at_ FROM pairs)"""
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of one column; a larger value is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
