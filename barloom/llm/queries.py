@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bsi_topk, media_wav, mixing, pii_sanitise, prefix_trie, quality_fm, sharding, simhash, sp_viterbi, token_orc, toxicity, url_filter
+from . import bsi_topk, collocations, media_wav, mixing, pii_sanitise, prefix_trie, quality_fm, sharding, simhash, sp_viterbi, token_orc, toxicity, url_filter
 from .shared import crc32_sql
 from .url_filter import Rule
 
@@ -77,6 +77,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_sanitise.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, first=2000)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -93,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_url_filter, op2_bsi_topk, op3_mixing, op4_quality_fm, op5_toxicity, op6_simhash, op7_token_orc, op8_media_wav, op9_sentencepiece, op10_pii, op12_prefix_trie, op13_sharding, pipeline)
+    made = (op1_url_filter, op2_bsi_topk, op3_mixing, op4_quality_fm, op5_toxicity, op6_simhash, op7_token_orc, op8_media_wav, op9_sentencepiece, op10_pii, op11_collocations, op12_prefix_trie, op13_sharding, pipeline)
     return {f.__name__: f for f in made}
 
 
@@ -119,5 +123,5 @@ _OP2_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": _op1_sql(), "op2_bsi_topk": _OP2_SQL, "op3_mixing": mixing.oracle("documents", TARGETS, BUDGET, ITERATIONS),
-        "op12_prefix_trie": prefix_trie.oracle(crc32_sql("SELECT conv_id, h FROM x")), "op13_sharding": sharding.oracle(SHARDS, crc32_sql("SELECT key, h FROM o")),
+        "op11_collocations": collocations.ORACLE, "op12_prefix_trie": prefix_trie.oracle(crc32_sql("SELECT conv_id, h FROM x")), "op13_sharding": sharding.oracle(SHARDS, crc32_sql("SELECT key, h FROM o")),
     }
