@@ -31,10 +31,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, bound_batches, fresh_path, materialise, remove, salted_join, slices, spare_name, stored, text_or_empty
+from .shared import SALTS, Scratch, bound_batches, fresh_path, materialise, remove, salted_join, slices, spare_name, stored, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -43,8 +43,10 @@ BUCKET = 2048
 CUTS = 4
 #: Words of a shingle by which near copies are found.
 NEAR_WORDS = 5
-#: How many sets under one shingle are compared with all others in the first round.
-PIVOTS = 8
+#: Up to so many sets under one shingle are all compared; of more, about so many in the first round.
+SMALL, PIVOTS = 16, 8
+#: Size classes grow by this factor; the sizes of similar sets lie 1.25 apart at most, which is so many classes.
+STEP, STEPS = 1.03, 8
 #: Texts read, and shingles kept, to put common shingles last.
 SAMPLE_TEXTS = 20_000
 MOST_COMMON = 20_000
@@ -224,8 +226,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     scratch.drop()
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialise(salted_join(labelled, ids, ["root"], "fp").select("fp", "component_id"), "named")
+    return salted_join(prints, named, ["fp"], "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_set(raw: bytes, size: int = NEAR_WORDS) -> np.ndarray:
@@ -299,29 +301,131 @@ def _overlap(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
 def compared(pairs: DataFrame, sets: DataFrame, whole: bool, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that ``sets`` (key, n, shingles), whole or prefixes, do not rule out; in ``scratch``."""
     of = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}"))
-    return scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _overlap(batches, whole), "a long, b long"))
+    return scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _overlap(batches, whole), "a binary, b binary"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of set keys that are similar, by the sets of their texts."""
+def whole_sets(keys: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The whole sets (key, n, shingles) of some keys, from their texts; in ``scratch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text", SLICE_BYTES):
                 made = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
-                keys = pa.array([_key(x) for x in made], pa.int64())
                 sizes = pa.array([len(x) for x in made], pa.int32())
-                yield pa.RecordBatch.from_arrays([keys, sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in made], pa.binary()), sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"])
 
-    ends = scratch.keep(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
-    ids = scratch.keep(nodes.join(ends, "key").select(F.col("least").alias("doc_id")).distinct())
+    ids = scratch.keep(nodes.join(keys, "key").select(F.col("least").alias("doc_id")).distinct())
     texts = rows.join(ids, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(run, "key long, n int, shingles binary").join(ends, "key", "left_semi").dropDuplicates(["key"])
-    return compared(pairs, scratch.keep(sets), True, scratch)
+    return scratch.keep(texts.mapInArrow(run, "key binary, n int, shingles binary").join(keys, "key", "left_semi").dropDuplicates(["key"]))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of set keys that are similar, by the sets of their texts."""
+    ends = scratch.keep(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    return compared(pairs, whole_sets(ends, rows, nodes, scratch), True, scratch)
+
+
+def _key(shingles: np.ndarray) -> bytes:
+    """A set's key: 128 bits, so that other sets do not share it."""
+    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of (key, n, shingles): its place and itself."""
+    for whole in batches:
+        for batch in slices(whole, "shingles", SLICE_BYTES):
+            parts = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in parts], np.int64)
+            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]])
+            of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(of), batch.column("n").take(of), pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], names=["key", "n", "at", "shingle"])
+
+
+EXPLODED = "key binary, n int, at int, shingle long"
+
+
+def postings(spread: DataFrame) -> DataFrame:
+    """Shingles of several sets with the number of their sets (size), two hashes of these, and a first set with the shingle's place in it."""
+    sets = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("two"), F.min(F.struct("key", "at")).alias("head")]
+    return spread.groupBy("shingle").agg(*sets).where("size > 1")
 
 
-def _key(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
+def step(n: int) -> int:
+    """The size class of a set; similar sets are ``STEPS`` classes apart at most."""
+    i = int(np.log(max(1, n)) / np.log(STEP))
+    while int(np.ceil(STEP**i)) > n:
+        i -= 1
+    while int(np.ceil(STEP ** (i + 1))) <= n:
+        i += 1
+    return i
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set and each pair of size classes that it can be in, what similar sets of these classes have in common.
+
+    Two similar sets of n and m shingles share 4/9 (n + m) or more.  So what
+    weighs more than the larger one can miss is in both; and of what weighs over
+    a quarter of their difference at most three pieces differ, hence of four
+    hash classes of these one is equal in both.
+    """
+    for batch in batches:
+        out: list[tuple] = []
+        for key, n, kinds in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "kinds")), strict=True):
+            own = step(n)
+            kinds = sorted((k["one"], k["two"], k["weight"]) for k in kinds)
+            for low in range(own - STEPS, own + 1):
+                for high in [own] if low < own else range(own, own + STEPS + 1):
+                    least, most = max(1, int(np.ceil(STEP**low))), int(np.ceil(STEP ** (high + 1))) - 1
+                    must = [k[:2] for k in kinds if 9 * k[2] > 5 * most - 4 * least]
+                    some = [k[:2] for k in kinds if 18 * k[2] > most]
+                    role = 2 if low == high else int(own == high)
+                    for piece in range(4):
+                        told = repr((low, high, must, piece, [k for k in some if k[0] % 4 == piece])).encode()
+                        out.append((key, role, np.uint64(xxhash.xxh3_64_intdigest(told)).astype(np.int64)))
+        keys, roles, signs = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(roles, pa.int32()), pa.array(signs, pa.int64())], names=["key", "role", "sign"])
+
+
+def refined(left: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of large groups in groups by what the sets must have in common beyond the shingle under which they met.
+
+    Shingles that the same sets have (a passage's) are one kind, as heavy as
+    they are many; a set is described by its kinds of over a twentieth of it.
+    """
+    keys = scratch.keep(left.select("key").distinct())
+    spread = scratch.keep(whole_sets(keys, rows, nodes, scratch).mapInArrow(_explode, EXPLODED))
+    kinds = scratch.keep(postings(spread).select("shingle", "one", "two"))
+    weights = salted_join(spread, kinds, ["shingle"], "key").groupBy("key", "n", "one", "two").agg(F.count("*").alias("weight")).where("20 * weight > n")
+    described = weights.groupBy("key").agg(F.collect_list(F.struct("one", "two", "weight")).alias("kinds"))
+    all_ = left.select("key", "n").distinct().join(described, "key", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<struct<one:bigint,two:bigint,weight:bigint>>")))
+    signs = all_.mapInArrow(_signatures, "key binary, role int, sign long")
+    under = scratch.keep(left.select("key", "n", "at", "shingle").join(signs, "key").withColumn("group", F.xxhash64("shingle", "sign")).drop("sign", "shingle"))
+    sizes = under.groupBy("group").agg(F.count("*").alias("size"), F.min("role").alias("low"), F.max("role").alias("high")).where("size > 1 AND (high = 2 OR low < high)")
+    return scratch.keep(salted_join(under, sizes.select("group", "size"), ["group"], "key"))
+
+
+def meetings(groups: DataFrame, done: int, until: int) -> DataFrame:
+    """Pairs (a, b) that can be similar: of a small group all, of a larger one those of the sets whose turn it is with all whose turn comes later.
+
+    A row of ``groups`` is a set (key, n, root) in a group, at a place of its
+    order, in a role; a set's turn in a group of ``size`` is a hash below it.
+    """
+    turn = F.when(F.col("size") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("key", "group"), F.col("size")))
+    rows = groups.withColumn("turn", turn)
+    now = rows.where((F.col("turn") >= done) & (F.col("turn") < until))
+    found = None
+    for large in (False, True):
+        one, two = (x.where(F.col("size") > SMALL if large else F.col("size") <= SMALL) for x in (now, rows))
+        salts = SALTS if large else 1  # the rows of a large group are dealt to several tasks
+        one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("x")
+        two = two.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).alias("y")
+        x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
+        shared = 1 + F.least(x("n") - x("at") - 1, y("n") - y("at") - 1)
+        able = (F.struct(x("turn"), x("key")) < F.struct(y("turn"), y("key"))) & (x("root") != y("root")) & (9 * shared >= 4 * (x("n") + y("n")))
+        able = able & (5 * F.least(x("n"), y("n")) >= 4 * F.greatest(x("n"), y("n"))) & ((x("role") == 2) | (x("role") != y("role")))
+        pairs = one.join(two, (x("group") == y("group")) & (x("salt") == y("salt"))).where(able).select(F.greatest(x("key"), y("key")).alias("a"), F.least(x("key"), y("key")).alias("b"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -331,11 +435,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Jaccard similarity of 0.8 or more.  In an order of all shingles, two such
     sets share one of their first n - ceil(0.8 n) + 1; they meet under it, and
     each pair that meets is compared in full unless its sizes or the places
-    of the shingle rule it out.  Equal sets are folded first.
-
-    Of the sets under a shingle the first ``PIVOTS`` are compared with all; where
-    this leaves unconnected ones, the next are, ever more of them, with those
-    that nothing links to them yet, until all have had their turn.
+    of the shingle rule it out.  Equal sets are folded first, and of shingles
+    that the same sets have only the first is kept.
+
+    Of up to ``SMALL`` sets under a shingle all are compared.  Of more, some
+    ``PIVOTS`` are compared with all, which connects a group of copies.  What
+    stays unconnected (texts put together of the same passages) is grouped
+    anew by all that similar sets must have in common, see ``refined``; where
+    this leaves large groups, ever more sets have their turn, with those that
+    nothing links to them yet, until all have had it.
     """
     scratch = Scratch(docs.sparkSession, "near")
     bound_batches(docs.sparkSession)
@@ -348,54 +456,52 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 sets = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
                 first = [prefix(x, hot, rank).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary())],
+                    [some.column("doc_id"), pa.array([_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary())],
                     names=["doc_id", "key", "n", "shingles"],
                 )
 
-    made = scratch.keep(rows.mapInArrow(run, "doc_id long, key long, n int, shingles binary"))
-    nodes = scratch.keep(made.groupBy("key").agg(F.min("doc_id").alias("least")))
-    prefixes = scratch.keep(made.join(nodes, "key").where("doc_id = least").select("key", "n", "shingles").dropDuplicates(["key"]))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "shingles", SLICE_BYTES):
-                parts = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-                sizes = np.array([len(x) for x in parts], np.int64)
-                at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]])
-                own = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("key", "n")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], names=["key", "n", "at", "shingle"])
-
-    spread = prefixes.mapInArrow(explode, "key long, n int, at int, shingle long")
-    by = Window.partitionBy("shingle")
-    met = spread.withColumns({"size": F.count("*").over(by), "turn": F.row_number().over(by.orderBy("key"))}).where("size > 1")
-    met = scratch.keep(met)
-
-    edges = tried = None
-    done, until = 0, PIVOTS
-    while True:
-        left = met.where(F.col("size") > done + 1)
-        if done:
-            left = left.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        else:
-            left = left.withColumn("root", F.col("key"))
-        pivots = left.where((F.col("turn") > done) & (F.col("turn") <= until))
-        one, two = pivots.alias("x"), left.alias("y")
-        shared = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
-        able = (F.col("x.turn") < F.col("y.turn")) & (F.col("x.root") != F.col("y.root")) & (9 * shared >= 4 * (F.col("x.n") + F.col("y.n")))
-        able = able & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
-        pairs = one.join(two, F.col("x.shingle") == F.col("y.shingle")).where(able).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
+    made = scratch.keep(rows.mapInArrow(run, "doc_id long, key binary, n int, shingles binary"))
+    prefixes = scratch.keep(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    nodes = prefixes.select("key", "least")
+
+    spread = scratch.keep(prefixes.mapInArrow(_explode, EXPLODED))
+    alike = postings(spread).groupBy("size", "one", "two").agg(F.min_by("shingle", "head.at").alias("shingle"))
+    met = scratch.keep(salted_join(spread, scratch.keep(alike.select("shingle", "size")), ["shingle"], "key"))
+
+    edges, tried = None, None
+
+    def compare(groups: DataFrame, done: int, until: int) -> None:
+        nonlocal edges, tried
+        pairs = meetings(groups, done, until)
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verified(compared(pairs, prefixes, False, scratch), rows, nodes, scratch)
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if met.where(F.col("size") > until + 1).isEmpty():
-            break
+
+    def unconnected(groups: DataFrame, done: int) -> DataFrame:
+        """Rows of large groups that have sets left to compare and hold more than one component."""
         labels = components(edges, scratch).select(F.col("node").alias("key"), "root")
-        done, until = until, until * 8
+        left = groups.where((F.col("size") > SMALL) & (F.col("size") > done)).drop("root").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        left = scratch.keep(left)
+        several = left.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
+        return scratch.keep(salted_join(left, scratch.keep(several), ["group"], "key"))
+
+    groups = met.withColumns({"group": F.col("shingle"), "role": F.lit(2), "root": F.col("key")})
+    compare(groups, 0, PIVOTS)
+    left = unconnected(groups, PIVOTS)
+    if not left.isEmpty():
+        roots = left.select("key", "root").distinct()
+        groups, done, until = refined(left, rows, nodes, scratch).join(roots, "key"), 0, PIVOTS
+        while True:
+            compare(groups, done, until)
+            done, until = until, until * 8
+            groups = unconnected(groups, done)
+            if groups.isEmpty():
+                break
 
     ends = edges.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
     between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
-    equal = made.join(nodes, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    equal = salted_join(made.select("doc_id", "key"), nodes, ["key"], "doc_id").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     out = components(between.unionByName(equal).distinct())
     scratch.drop()
     return out

@@ -335,9 +335,10 @@ def brute_copies(texts):
     return label
 
 
-@pytest.mark.parametrize("pivots,common", [(8, 20_000), (1, 0)])
-def test_near_copies_are_those_of_similar_shingles(spark, monkeypatch, pivots, common):
+@pytest.mark.parametrize("pivots,common,small", [(8, 20_000, 16), (1, 0, 1)])
+def test_near_copies_are_those_of_similar_shingles(spark, monkeypatch, pivots, common, small):
     monkeypatch.setattr(simhash, "PIVOTS", pivots)
+    monkeypatch.setattr(simhash, "SMALL", small)
     monkeypatch.setattr(simhash, "MOST_COMMON", common)
     rng = np.random.default_rng(7)
     texts = ["a b c d e f g h", "h g f e d c b a", "a a b b c d e f g h", "", " ", "x y", "y x", "x  Y"]
@@ -356,6 +357,54 @@ def test_near_copies_are_those_of_similar_shingles(spark, monkeypatch, pivots, c
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(due))
 
 
+def passages(count, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{i}" for i in rng.integers(0, 3000, int(rng.integers(40, 80)))) for _ in range(count)]
+
+
+def test_near_copies_among_texts_of_common_passages(spark, monkeypatch):
+    """Groups by what similar sets must share lose no link, whatever the passages' number and size."""
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    monkeypatch.setattr(simhash, "SMALL", 1)
+    rng = np.random.default_rng(4)
+    texts = []
+    for parts, stock in ((5, passages(9, 1)), (9, passages(12, 2)), (20, [p[:60] for p in passages(24, 3)])):
+        for _ in range(25):
+            chosen = rng.choice(len(stock), parts, False)
+            texts.append(" ".join(stock[i] for i in chosen))
+            kind = rng.integers(0, 3)
+            if kind == 0:  # without one passage, or with one more
+                texts.append(" ".join(stock[i] for i in chosen[:-1]))
+            if kind == 1:  # in another order, with some words changed
+                words = " ".join(stock[i] for i in rng.permutation(chosen)).split()
+                words[:: max(20, len(words) // 8)] = [f"new{rng.integers(0, 9999)}"] * len(words[:: max(20, len(words) // 8)])
+                texts.append(" ".join(words))
+    due = brute_copies(texts)
+    assert 20 < len(texts) - len(set(due)) < len(texts) // 2
+    got = {r.node: r.root for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == due
+
+
+def test_pairs_that_meet_grow_with_the_texts(spark, monkeypatch):
+    """Texts of five of 14 passages, none similar to another: twice the texts, about twice the pairs."""
+    stock = passages(14, 5)
+    combos = list(itertools.combinations(range(14), 5))
+    np.random.default_rng(6).shuffle(combos)
+    real, counts = simhash.meetings, []
+    for n in (200, 400):
+        counts_of = []
+        monkeypatch.setattr(simhash, "meetings", lambda *a, c=counts_of: (c.append((d := real(*a)).count()), d)[1])
+        docs = spark.createDataFrame([(i, " ".join(stock[j] for j in c)) for i, c in enumerate(combos[:n])], "doc_id long, text string")
+        assert simhash.similar_documents(docs).count() == 0
+        counts.append(sum(counts_of))
+    assert counts[1] < 3 * counts[0] and counts[1] < 400 * 399 / 2 / 5
+
+
+def test_sizes_of_similar_sets_are_few_classes_apart():
+    for n in range(1, 3000):
+        assert simhash.step(n) <= simhash.step(n + 1) and simhash.step(5 * n // 4) - simhash.step(n) <= simhash.STEPS
+
+
 # 7
 
 
