@@ -1,7 +1,8 @@
 """Operator 11, phrase collocations by weighted acyclic automata.
 
-A shard (some millions of words of one task) counts its n-grams, sorts them and
-builds a count transducer incrementally: states are frozen as soon as the sorted
+Texts are stored once as shards (some millions of words of one task) of word
+numbers.  A shard's n-grams are counted and sorted, and a count transducer is
+built from them incrementally: states are frozen as soon as the sorted
 order has left them, and equal ones are shared.  Its labels are words, and the
 final weight of the state that a phrase leads to is the phrase's count.
 Transducers are cut by prefix range (of the hashed order of the first two words,
@@ -33,6 +34,7 @@ from itertools import chain, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +47,20 @@ SIGNS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
 #: Texts are split in chunks of about so many bytes, and counted in shards of so many words.
 CHUNK, SHARD_WORDS = 4 << 20, 3_000_000
 #: Words counted, or phrases looked up, in a prefix range.
-RANGE_WORDS, RANGE_PHRASES = 1_000_000, 100_000
+RANGE_WORDS, RANGE_PHRASES = 500_000, 100_000
 #: The sieve has 16 bits for each phrase in it, up to so many in all.
 SIEVE_BITS = 1 << 27
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def large(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 @dataclass
 class Transducer:
     """An acyclic automaton over words: the last state is the root; a phrase's count is its state's final weight."""
@@ -90,17 +100,21 @@ class Transducer:
         return Transducer(words, np.array([s[0] for s in states], np.int64), np.cumsum(sizes).astype(np.int32), flat[:, 0].copy(), flat[:, 1].copy())
 
     def pack(self) -> tuple[bytes, bytes]:
+        """Words and arrays, compressed; labels of a state ascend and are close, so they go as differences."""
         head = np.array([len(self.finals), len(self.labels)], np.int64)
-        return b"\n".join(self.words), b"".join(x.tobytes() for x in (head, self.finals, self.ends, self.labels, self.targets))
+        arrays = (head, self.finals, np.diff(self.ends, prepend=np.int32(0)), np.diff(self.labels, prepend=np.int32(0)), self.targets)
+        return small(b"\n".join(self.words)), small(b"".join(x.tobytes() for x in arrays))
 
     @staticmethod
     def unpack(words: bytes, raw: bytes) -> Transducer:
+        words, raw = large(words), large(raw)
         n, m = np.frombuffer(raw, np.int64, 2).tolist()
         at, parts = 16, []
         for kind, k in ((np.int64, n), (np.int32, n), (np.int32, m), (np.int32, m)):
             parts.append(np.frombuffer(raw, kind, k, at))
             at += parts[-1].nbytes
-        return Transducer(words.split(b"\n"), *parts)
+        finals, ends, labels, targets = parts
+        return Transducer(words.split(b"\n"), finals, np.cumsum(ends, dtype=np.int32), np.cumsum(labels, dtype=np.int32), targets)
 
     def steps(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All arcs out of ``states``: which of them each leaves, and the arc."""
@@ -219,85 +233,90 @@ def sieve_of(phrases: DataFrame, n: int) -> np.ndarray:
     return sieve
 
 
-def grams(ranks: np.ndarray, starts: np.ndarray, length: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct phrases of one length at ``starts``, in order, and their counts."""
-    code, size = ranks[starts].astype(np.int64), wide
+def grams(ids: np.ndarray, starts: np.ndarray, length: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct phrases of one length at ``starts``, in order, and their counts; ids are below ``wide``."""
+    if length == 1:
+        counts = np.bincount(ids[starts], minlength=wide)
+        found = np.flatnonzero(counts)
+        return found[:, None].astype(np.int32), counts[found]
+    code, size, firsts = ids[starts].astype(np.int64), wide, wide**length >= 1 << 62
     for k in range(1, length):
         if size * wide >= 1 << 62:
             known, code = np.unique(code, return_inverse=True)
             size = len(known)
-        code, size = code * wide + ranks[starts + k], size * wide
-    _, first, counts = np.unique(code, return_index=True, return_counts=True)
-    return ranks[starts[first][:, None] + np.arange(length)].astype(np.int32), counts.astype(np.int64)
-
-
-def shard(ids: np.ndarray, names: list[bytes], low: int, high: int, sieve: np.ndarray | None, ranges: int) -> Iterator[tuple[int, Transducer]]:
-    """The transducers of a shard's phrases of ``low`` to ``high`` words, by prefix range; number 0 is a break."""
-    used = np.unique(ids)
-    used, h = used[used > 0], np.zeros(len(names), np.uint64)
-    h[used] = hashes([names[i] for i in used])
-    if low == 2:  # the sieve has words
-        used = used[sifted(h[used], sieve)]
-    elif low > 2:  # the sieve has pairs
-        two = np.flatnonzero((ids[1:] > 0) & (ids[:-1] > 0))
+        code, size = code * wide + ids[starts + k], size * wide
+    if firsts:
+        _, first, counts = np.unique(code, return_index=True, return_counts=True)
+        return ids[starts[first][:, None] + np.arange(length)].astype(np.int32), counts.astype(np.int64)
+    code, counts = np.unique(code, return_counts=True)
+    keys = np.empty((len(code), length), np.int32)
+    for k in range(length - 1, -1, -1):
+        code, keys[:, k] = np.divmod(code, wide)
+    return keys, counts.astype(np.int64)
+
+
+def shard(ids: np.ndarray, words: list[bytes], low: int, high: int, sieve: np.ndarray | None, ranges: int) -> Iterator[tuple[int, Transducer]]:
+    """The transducers of a shard's phrases of ``low`` to ``high`` words, by prefix range.
+
+    Ids follow ``words``, which ascend; -1 is a break.
+    """
+    alive = ids >= 0
+    if low <= 2:
+        h = hashes(words)
+        if sieve is not None:  # it has words
+            alive[alive] = sifted(h, sieve)[ids[alive]]
+    else:  # it has pairs
+        h = hashes(words)
+        two = np.flatnonzero(alive[1:] & alive[:-1])
         two = two[sifted(mixed(h[ids[two]], h[ids[two + 1]]), sieve)]
         pair = np.zeros(len(ids), bool)
         pair[two] = True
-        used = np.unique([ids[two], ids[two + 1]])
-    used = np.array(sorted(used.tolist(), key=names.__getitem__), np.int64)
-    words, h = [names[i] for i in used], h[used]
-    rank = np.full(len(names), -1, np.int64)
-    rank[used] = np.arange(len(used))
-    ranks = rank[ids]
-    alive = ranks >= 0
-    some = []
+    good, some = alive, []
     for length in range(1, high + 1):
         if length > 1:
-            alive = alive[:-1] & (pair[length - 2 : len(ids) - 1] if low > 2 else ranks[length - 1 :] >= 0)
+            alive = alive[:-1] & (pair[length - 2 : len(ids) - 1] if low > 2 else good[length - 1 :])
         if length >= low:
-            some.append(grams(ranks, np.flatnonzero(alive), length, max(1, len(words))))
+            some.append(grams(ids, np.flatnonzero(alive), length, max(1, len(words))))
     keys, counts = padded(some)
     if not len(keys):
         return
-    second = h[keys[:, 1]] if keys.shape[1] > 1 else np.uint64(0)
-    place = ((mixed(h[keys[:, 0]], np.broadcast_to(second, len(keys))) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort([*keys.T[::-1], place])
+    second = h[keys[:, 1]] if keys.shape[1] > 1 else np.zeros(len(keys), np.uint64)
+    place = ((mixed(h[keys[:, 0]], second) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    if len(some) > 1:
+        order = np.lexsort([*keys.T[::-1], place])
+    else:  # phrases are in order already
+        order = np.argsort(place, kind="stable")
     keys, counts, place = keys[order], counts[order], place[order]
     cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
     for a, b in pairwise(cuts):
+        if high == 1:  # every phrase is a word of its own
+            yield int(place[a]), Transducer.build([words[i] for i in keys[a:b, 0].tolist()], np.arange(b - a, dtype=np.int32)[:, None], counts[a:b])
+            continue
         own = np.unique(keys[a:b])
         own = own[own >= 0]
         local = np.where(keys[a:b] >= 0, np.searchsorted(own, keys[a:b]), -1)
-        yield int(place[a]), Transducer.build([words[i] for i in own], local, counts[a:b])
+        yield int(place[a]), Transducer.build([words[i] for i in own.tolist()], local, counts[a:b])
 
 
-def counted(rows: DataFrame, low: int, high: int, least: int, ranges: int, sieve: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, size, f): phrases of ``low`` to ``high`` words that occur ``least`` times or more.
-
-    A further row of each language and range, without a phrase, has the sum of all its counts.  On shared storage.
-    """
-    told = rows.sparkSession.sparkContext.broadcast(sieve)
+def shards(rows: DataFrame) -> DataFrame:
+    """(lang, words, ids): the texts in shards, each with its words in order and the words' numbers, -1 between pieces; on shared storage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: defaultdict[bytes, int] = defaultdict()
+        known: dict[str, defaultdict[bytes, int]] = {}
         held: dict[str, list[np.ndarray]] = {}
 
-        def restart() -> None:
-            known.clear()
-            known.default_factory = known.__len__
-            _ = known[BREAK]
-            held.clear()
-
         def flush() -> Iterator[pa.RecordBatch]:
-            names = list(known)
             for lang, ids in held.items():
-                made = [(place, lang, *t.pack()) for place, t in shard(np.concatenate(ids), names, low, high, told.value, ranges)]
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["range", "lang", "words", "automaton"])
-            restart()
+                names = list(known[lang])  # BREAK is number 0
+                order = sorted(range(1, len(names)), key=names.__getitem__)
+                rank = np.full(len(names), -1, np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                words = small(b"\n".join([names[i] for i in order]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([words], pa.binary()), pa.array([small(rank[np.concatenate(ids)].tobytes())], pa.binary())], names=["lang", "words", "ids"])
+            known.clear()
+            held.clear()
             pa.default_memory_pool().release_unused()
 
-        restart()
         size = 0
         for batch in batches:
             for some in slices(batch, "text", CHUNK):
@@ -306,7 +325,11 @@ def counted(rows: DataFrame, low: int, high: int, least: int, ranges: int, sieve
                     texts.setdefault(lang, []).append(text)
                 for lang, own in texts.items():
                     for words in tokens(BREAK.join(own)):
-                        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+                        if lang not in known:
+                            known[lang] = defaultdict()
+                            known[lang].default_factory = known[lang].__len__
+                            _ = known[lang][BREAK]
+                        ids = np.fromiter(map(known[lang].__getitem__, words), np.int32, len(words))
                         held.setdefault(lang, []).append(np.append(ids, np.int32(0)))
                         size += len(ids)
                         if size >= SHARD_WORDS:
@@ -314,6 +337,27 @@ def counted(rows: DataFrame, low: int, high: int, least: int, ranges: int, sieve
                             size = 0
         yield from flush()
 
+    return materialise(rows.mapInArrow(run, "lang string, words binary, ids binary"), "shards")
+
+
+def counted(texts: DataFrame, low: int, high: int, least: int, ranges: int, sieve: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, size, f): phrases of ``low`` to ``high`` words in ``shards`` that occur ``least`` times or more.
+
+    A further row of each language and range, without a phrase, has the sum of all its counts.  On shared storage.
+    """
+    told = texts.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "ids")), strict=True):
+                names = large(words).split(b"\n")
+                if not names[0]:
+                    continue  # a shard without words
+                made = [(place, lang, *t.pack()) for place, t in shard(np.frombuffer(large(ids), np.int32), names, low, high, told.value, ranges)]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["range", "lang", "words", "automaton"])
+            pa.default_memory_pool().release_unused()
+
     def unite(table: pa.Table) -> pa.Table:
         parts = [Transducer.unpack(w, a) for w, a in zip(table.column("words").to_pylist(), table.column("automaton").to_pylist(), strict=True)]
         lang, out, total = table.column("lang")[0].as_py(), [], 0
@@ -326,8 +370,8 @@ def counted(rows: DataFrame, low: int, high: int, least: int, ranges: int, sieve
         phrase, size, f = zip(*out, strict=True)
         return pa.table({"lang": pa.array([lang] * len(out), pa.string()), "phrase": pa.array(phrase, pa.binary()), "size": pa.array(size, pa.int32()), "f": pa.array(f, pa.int64())})
 
-    shards = rows.mapInArrow(run, "range int, lang string, words binary, automaton binary")
-    return materialise(shards.groupBy("range", "lang").applyInArrow(unite, "lang string, phrase binary, size int, f long"), "counts")
+    blocks = texts.mapInArrow(run, "range int, lang string, words binary, automaton binary")
+    return materialise(blocks.groupBy("range", "lang").applyInArrow(unite, "lang string, phrase binary, size int, f long"), "counts")
 
 
 def looked_up(parts: DataFrame, counts: DataFrame, ranges: int) -> DataFrame:
@@ -361,7 +405,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_words: int = MOST_WORD
     """Phrases of 1 to ``most_words`` words that occur ``least`` times or more (lang, phrase, size, f), and all words of each language (lang, n)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
+    rows = shards(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text")))
     words = counted(rows, 1, 1, least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     totals = words.where("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where("phrase IS NOT NULL")
