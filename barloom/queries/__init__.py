@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("indicators", "joins", "pit", "adjust", "factors", "results", "normalize", "validate", "storage")
+MODULES = ("indicators", "joins", "pit", "adjust", "factors", "results", "normalize", "validate", "storage", "revisions")
 
 
 def load():

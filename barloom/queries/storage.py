@@ -11,6 +11,7 @@ from ..operators.joins import next_in_calendar
 from ..plans.views import bars, dirty_bars, factors, oracle, status_events, trades, valuation
 from ..sources import storage as s
 from ..streaming import ingest as t
+from ..streaming import revisions as r
 from .registry import W, lag, query, rnd, rsql, shown, shown_sql
 from .validate import JUDGED, LEDGER, ledger
 
@@ -264,17 +265,16 @@ def t8(spark, sf):
 
 @query("T9_revisions", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql('v')} AS value, n AS revision_no FROM (SELECT code, dt, adj_factor + CASE WHEN day(dt) % 3 = 0 THEN 0.01 ELSE 0 END AS v, (day(dt) % 3 = 0)::INTEGER AS n FROM factors)", "factors"))
 def t9(spark, sf):
-    f = factors(spark, sf).select("code", C("dt").cast("string").alias("dt"), C("adj_factor").alias("value"), F.lit(1).alias("seq"))
-    later = f.withColumns({"value": C("value") + F.when(F.day(C("dt").cast("date")) % 3 == 0, 0.01).otherwise(0.0), "seq": F.lit(2)})
+    f = factors(spark, sf).select("code", C("dt").cast("string").alias("dt"), F.lit(1).cast("long").alias("batch"), C("adj_factor").alias("value"))
+    later = f.withColumns({"value": C("value") + F.when(F.day(C("dt").cast("date")) % 3 == 0, 0.01).otherwise(0.0), "batch": F.lit(2).cast("long")})
     path, out = s.shared_path(spark, "revisions-in"), s.shared_path(spark, "revisions-out")
-    f.unionByName(later).coalesce(2).write.parquet(path)
-    stream = spark.readStream.schema("code string, dt string, value double, seq int").parquet(path)
-    made = t.track_revisions(stream)
-    sink = made.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", s.shared_path(spark, "revisions-state")).trigger(availableNow=True).start()
-    sink.awaitTermination()
-    w = Window.partitionBy("code", "dt").orderBy(F.desc("batch"))
-    last = spark.read.parquet(out).withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return last.select("code", "dt", rnd("value").alias("value"), "revision_no")
+    f.unionByName(later).write.parquet(path)
+    r.use_keyed_state(spark)
+    # both batches of a code come in one micro-batch, whatever files they lie in
+    stream = spark.readStream.schema("code string, dt string, batch long, value double").parquet(path)
+    r.track_revisions(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", s.shared_path(spark, "revisions-state")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(r.EVENT).parquet(out).groupBy("code", "dt").agg(F.max_by(F.struct("value", "revision_no"), "batch").alias("x"))
+    return last.select("code", "dt", rnd("x.value").alias("value"), (C("x.revision_no") - 1).alias("revision_no"))
 
 
 @query("T10_block", oracle(f"SELECT code, dt::VARCHAR AS dt, bad_run, (bad_run >= 3 OR coalesce(max(CASE WHEN severe THEN i END) OVER ({W}), 0) > coalesce(max(CASE WHEN NOT bad THEN i END) OVER ({W}), 0)) AS blocked FROM (SELECT *, i - coalesce(max(CASE WHEN NOT bad THEN i END) OVER ({W}), 0) AS bad_run FROM (SELECT code, dt, volume % 4 > 0 AS bad, (volume % 4) / 100 > 0.02 AS severe, row_number() OVER ({W}) AS i FROM bars))", "bars"))

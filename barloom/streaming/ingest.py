@@ -7,9 +7,8 @@ of each key, and ``compact`` folds the batches into one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,28 +75,6 @@ def late_days(changes: DataFrame, last_sync: Column, day: str = "dt") -> DataFra
     return changes.where(F.coalesce(F.col("updated") > last_sync, F.lit(False))).select(day).distinct()
 
 
-def track_revisions(stream: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Stateful revision numbers of (code, dt) keys on a stream: a changed value is a new revision.
-
-    A code's state holds the last value and number of each of its days, which
-    the number of trading days bounds.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        days, values, numbers = state.get if state.exists else ([], [], [])
-        held = {d: (x, n) for d, x, n in zip(days, values, numbers, strict=True)}
-        rows, touched = pd.concat(list(batches)).sort_values("seq", kind="stable"), {}
-        for day, x in zip(rows["dt"], rows["value"], strict=True):
-            value, number = held.get(day, (float("nan"), -1))
-            if not abs(x - value) <= tolerance:
-                value, number = float(x), number + 1
-            held[day] = touched[day] = (value, number)
-        state.update((list(held), [x for x, _ in held.values()], [n for _, n in held.values()]))
-        yield pd.DataFrame({"code": key[0], "dt": list(touched), "value": [x for x, _ in touched.values()], "revision_no": [n for _, n in touched.values()]})
-
-    return stream.groupBy("code").applyInPandasWithState(run, "code string, dt string, value double, revision_no long", "days array<string>, values array<double>, numbers array<long>", "update", "NoTimeout")
-
-
 def two_pass(spark: SparkSession, factors: str, prices: str, target: str, checkpoint: str, column: str = "close") -> None:
     """First pass: every code's latest factor over the whole run.  Second pass: a stream of the price shards, adjusted by it.
 
