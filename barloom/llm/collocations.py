@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, keyed_join, materialise, slices, text_or_empty
+from .shared import bit_sieve, bound_batches, keyed_join, materialise, sifted, slices, text_or_empty
 
 MOST_WORDS = 5
 #: All signs that end a piece become this one.
@@ -48,8 +48,6 @@ SIGNS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
 CHUNK, SHARD_WORDS = 4 << 20, 3_000_000
 #: Words counted, or phrases looked up, in a prefix range.
 RANGE_WORDS, RANGE_PHRASES = 500_000, 100_000
-#: The sieve has 16 bits for each phrase in it, up to so many in all.
-SIEVE_BITS = 1 << 27
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -204,19 +202,8 @@ def mixed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-
-def sifted(h: np.ndarray, sieve: np.ndarray) -> np.ndarray:
-    """Which hashes may be in the sieve, an array of 64-bit words."""
-    return np.all([(sieve[p >> 6] >> (p & 63)) & 1 for p in positions(h, 64 * len(sieve))], axis=0)
-
-
 def sieve_of(phrases: DataFrame, n: int) -> np.ndarray:
-    """The bit sieve of ``n`` frequent words or pairs (phrase); as large as SIEVE_BITS allows at most."""
-    bits = min(SIEVE_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    """The bit sieve of ``n`` frequent words or pairs (phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,13 +211,9 @@ def sieve_of(phrases: DataFrame, n: int) -> np.ndarray:
             h = hashes([s[0] for s in split])
             if split and len(split[0]) == 2:
                 h = mixed(h, hashes([s[1] for s in split]))
-            at = np.concatenate(positions(h, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=["slot", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    some = phrases.mapInArrow(run, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
-    sieve = np.zeros(bits // 64, np.int64)
-    sieve[some.column("slot").to_numpy()] = some.column("bits").to_numpy()
-    return sieve
+    return bit_sieve(phrases.mapInArrow(run, "h long"), n)
 
 
 def grams(ids: np.ndarray, starts: np.ndarray, length: int, wide: int) -> tuple[np.ndarray, np.ndarray]:

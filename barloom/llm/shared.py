@@ -82,6 +82,30 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: A sieve has 16 bits for each hash in it, up to so many in all.
+SIEVE_BITS = 1 << 27
+
+
+def positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(bits - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def sifted(h: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes may be in the sieve, an array of 64-bit words; those that are in it always may."""
+    return np.all([(sieve[p >> 6] >> (p & 63)) & 1 for p in positions(h, 64 * len(sieve))], axis=0)
+
+
+def bit_sieve(hashes: DataFrame, n: int) -> np.ndarray:
+    """The bit sieve of about ``n`` hashes (h, signed), two bits each; its size is bounded, whatever their number."""
+    bits = min(SIEVE_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    at = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1)))).alias("at"))
+    some = at.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
+    sieve = np.zeros(bits // 64, np.int64)
+    sieve[some.column("slot").to_numpy()] = some.column("bits").to_numpy()
+    return sieve
+
+
 #: A side of a join is broadcast up to so many rows.
 BROADCAST_ROWS = 50_000
 SALTS = 8

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SALTS, Scratch, bound_batches, fresh_path, materialise, remove, salted_join, slices, spare_name, stored, text_or_empty
+from .shared import SALTS, Scratch, bit_sieve, bound_batches, fresh_path, materialise, remove, salted_join, sifted, slices, spare_name, stored, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -301,10 +301,10 @@ def _overlap(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
 def compared(pairs: DataFrame, sets: DataFrame, whole: bool, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that ``sets`` (key, n, shingles), whole or prefixes, do not rule out; in ``scratch``."""
     of = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}"))
-    return scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _overlap(batches, whole), "a binary, b binary"))
+    return scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _overlap(batches, whole), "a long, b long"))
 
 
-def whole_sets(keys: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def whole_sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """The whole sets (key, n, shingles) of some keys, from their texts; in ``scratch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,11 +312,12 @@ def whole_sets(keys: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scra
             for some in slices(batch, "text", SLICE_BYTES):
                 made = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
                 sizes = pa.array([len(x) for x in made], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in made], pa.binary()), sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in made], pa.binary()), sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["name", "n", "shingles"])
 
-    ids = scratch.keep(nodes.join(keys, "key").select(F.col("least").alias("doc_id")).distinct())
-    texts = rows.join(ids, "doc_id", "left_semi").select("text")
-    return scratch.keep(texts.mapInArrow(run, "key binary, n int, shingles binary").join(keys, "key", "left_semi").dropDuplicates(["key"]))
+    named = scratch.keep(nodes.join(wanted, "key"))
+    texts = rows.join(named.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(run, "name binary, n int, shingles binary").join(named.select("name", "key"), "name")
+    return scratch.keep(sets.select("key", "n", "shingles").dropDuplicates(["key"]))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -325,29 +326,42 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scrat
     return compared(pairs, whole_sets(ends, rows, nodes, scratch), True, scratch)
 
 
-def _key(shingles: np.ndarray) -> bytes:
-    """A set's key: 128 bits, so that other sets do not share it."""
+def _name(shingles: np.ndarray) -> bytes:
+    """A set's name: 128 bits, so that other sets do not share it."""
     return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per shingle of (key, n, shingles): its place and itself."""
-    for whole in batches:
-        for batch in slices(whole, "shingles", SLICE_BYTES):
-            parts = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-            sizes = np.array([len(x) for x in parts], np.int64)
-            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]])
-            of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(of), batch.column("n").take(of), pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], names=["key", "n", "at", "shingle"])
+def exploded(sets: DataFrame, sieve: np.ndarray | None = None) -> DataFrame:
+    """A row per shingle of (key, n, shingles): its place and itself; with a sieve, of those that pass it."""
+    told = sets.sparkSession.sparkContext.broadcast(sieve)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "shingles", SLICE_BYTES):
+                parts = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+                sizes = np.array([len(x) for x in parts], np.int64)
+                of = np.repeat(np.arange(batch.num_rows), sizes)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                every = np.concatenate([np.zeros(0, np.uint64), *parts])
+                if told.value is not None:
+                    good = np.flatnonzero(sifted(every, told.value))
+                    of, at, every = of[good], at[good], every[good]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), batch.column("n").take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(every.view(np.int64))], names=["key", "n", "at", "shingle"])
 
-EXPLODED = "key binary, n int, at int, shingle long"
+    return sets.mapInArrow(run, "key long, n int, at int, shingle long")
 
 
 def postings(spread: DataFrame) -> DataFrame:
-    """Shingles of several sets with the number of their sets (size), two hashes of these, and a first set with the shingle's place in it."""
-    sets = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("two"), F.min(F.struct("key", "at")).alias("head")]
-    return spread.groupBy("shingle").agg(*sets).where("size > 1")
+    """Shingles that several sets have, with two hashes of these (one, two): shingles that share both are of the same sets."""
+    h = F.xxhash64("key")
+    return spread.groupBy("shingle").agg(F.bit_xor(h).alias("one"), F.min(h).alias("two")).where("one <> two")
+
+
+def shared_rows(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of (key, n, shingles): the shingles that several sets have (shingle, one, two), and the rows of all sets with them."""
+    several = scratch.keep(postings(exploded(sets)))
+    sieve = bit_sieve(several.select(F.col("shingle").alias("h")), several.count())
+    return several, salted_join(exploded(sets, sieve), several, ["shingle"], "key")
 
 
 def step(n: int) -> int:
@@ -383,7 +397,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         told = repr((low, high, must, piece, [k for k in some if k[0] % 4 == piece])).encode()
                         out.append((key, role, np.uint64(xxhash.xxh3_64_intdigest(told)).astype(np.int64)))
         keys, roles, signs = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(roles, pa.int32()), pa.array(signs, pa.int64())], names=["key", "role", "sign"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int32()), pa.array(signs, pa.int64())], names=["key", "role", "sign"])
 
 
 def refined(left: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -393,13 +407,12 @@ def refined(left: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch
     they are many; a set is described by its kinds of over a twentieth of it.
     """
     keys = scratch.keep(left.select("key").distinct())
-    spread = scratch.keep(whole_sets(keys, rows, nodes, scratch).mapInArrow(_explode, EXPLODED))
-    kinds = scratch.keep(postings(spread).select("shingle", "one", "two"))
-    weights = salted_join(spread, kinds, ["shingle"], "key").groupBy("key", "n", "one", "two").agg(F.count("*").alias("weight")).where("20 * weight > n")
+    _, common = shared_rows(whole_sets(keys, rows, nodes, scratch), scratch)
+    weights = common.groupBy("key", "n", "one", "two").agg(F.count("*").alias("weight")).where("20 * weight > n")
     described = weights.groupBy("key").agg(F.collect_list(F.struct("one", "two", "weight")).alias("kinds"))
     all_ = left.select("key", "n").distinct().join(described, "key", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<struct<one:bigint,two:bigint,weight:bigint>>")))
-    signs = all_.mapInArrow(_signatures, "key binary, role int, sign long")
-    under = scratch.keep(left.select("key", "n", "at", "shingle").join(signs, "key").withColumn("group", F.xxhash64("shingle", "sign")).drop("sign", "shingle"))
+    signs = all_.mapInArrow(_signatures, "key long, role int, sign long")
+    under = scratch.keep(left.select("key", "n", "at", F.col("group").alias("under")).join(signs, "key").withColumn("group", F.xxhash64("under", "sign")).drop("sign", "under"))
     sizes = under.groupBy("group").agg(F.count("*").alias("size"), F.min("role").alias("low"), F.max("role").alias("high")).where("size > 1 AND (high = 2 OR low < high)")
     return scratch.keep(salted_join(under, sizes.select("group", "size"), ["group"], "key"))
 
@@ -456,17 +469,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 sets = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
                 first = [prefix(x, hot, rank).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary())],
-                    names=["doc_id", "key", "n", "shingles"],
+                    [some.column("doc_id"), pa.array([_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary())],
+                    names=["doc_id", "name", "n", "shingles"],
                 )
 
-    made = scratch.keep(rows.mapInArrow(run, "doc_id long, key binary, n int, shingles binary"))
-    prefixes = scratch.keep(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-    nodes = prefixes.select("key", "least")
+    made = scratch.keep(rows.mapInArrow(run, "doc_id long, name binary, n int, shingles binary"))
+    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    prefixes = scratch.keep(folded.withColumn("key", F.monotonically_increasing_id()))
+    nodes = prefixes.select("key", "name", "least")
 
-    spread = scratch.keep(prefixes.mapInArrow(_explode, EXPLODED))
-    alike = postings(spread).groupBy("size", "one", "two").agg(F.min_by("shingle", "head.at").alias("shingle"))
-    met = scratch.keep(salted_join(spread, scratch.keep(alike.select("shingle", "size")), ["shingle"], "key"))
+    _, common = shared_rows(prefixes.select("key", "n", "shingles"), scratch)
+    # shingles of the same sets are one group, at the place of their first
+    met = scratch.keep(common.groupBy("key", "n", F.xxhash64("one", "two").alias("group")).agg(F.min("at").alias("at")))
+    sizes = met.groupBy("group").agg(F.count("*").alias("size"))
+    met = scratch.keep(salted_join(met, sizes, ["group"], "key"))
 
     edges, tried = None, None
 
@@ -486,7 +502,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         several = left.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
         return scratch.keep(salted_join(left, scratch.keep(several), ["group"], "key"))
 
-    groups = met.withColumns({"group": F.col("shingle"), "role": F.lit(2), "root": F.col("key")})
+    groups = met.withColumns({"role": F.lit(2), "root": F.col("key")})
     compare(groups, 0, PIVOTS)
     left = unconnected(groups, PIVOTS)
     if not left.isEmpty():
@@ -501,7 +517,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     ends = edges.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
     between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
-    equal = salted_join(made.select("doc_id", "key"), nodes, ["key"], "doc_id").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    equal = salted_join(made.select("doc_id", "name"), nodes, ["name"], "doc_id").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     out = components(between.unionByName(equal).distinct())
     scratch.drop()
     return out

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import collocations, prefix_trie, queries, sharding
+from barloom.llm import collocations, prefix_trie, queries, sharding, shared
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string"
@@ -89,7 +89,7 @@ def test_collocations_in_small_shards(spark, monkeypatch):
     whole = sorted(rows(collocations.collocations(docs, least=20)))
     monkeypatch.setattr(collocations, "RANGE_WORDS", 5_000)
     monkeypatch.setattr(collocations, "RANGE_PHRASES", 50)
-    monkeypatch.setattr(collocations, "SIEVE_BITS", 1 << 6)  # so full that it lets nearly all through: the result stays
+    monkeypatch.setattr(shared, "SIEVE_BITS", 1 << 6)  # so full that it lets nearly all through: the result stays
     again = sorted(rows(collocations.collocations(docs, least=20)))
     assert whole == again == brute_collocations(rows(docs.select("lang", "text")), 20, 2000) and len(whole) > 5
 
