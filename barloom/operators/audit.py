@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins, validate
+from .quantiles import quantiles
 
 FAR = "9999-12-31"
 
@@ -116,7 +117,10 @@ def source_differences(sources: Mapping[str, DataFrame], keys: Sequence[str], va
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             met = sources[a].select(*keys, F.col(value).alias("_a")).join(sources[b].select(*keys, F.col(value).alias("_b")), list(keys)).withColumn("d", F.col("_a") - F.col("_b"))
-            parts.append(met.agg(F.lit(f"{a}-{b}").alias("pair"), F.count("d").alias("n"), F.avg("d").alias("mean"), F.median("d").alias("med"), F.median(F.abs("d")).alias("abs_med"), F.percentile(F.abs("d"), F.lit(0.95)).alias("p95")))
+            (med,) = quantiles(met, "d", [0.5])
+            abs_med, p95 = quantiles(met.select(F.abs("d").alias("d")), "d", [0.5, 0.95])
+            exact = [F.lit(x).cast("double").alias(name) for name, x in (("med", med), ("abs_med", abs_med), ("p95", p95))]
+            parts.append(met.agg(F.lit(f"{a}-{b}").alias("pair"), F.count("d").alias("n"), F.avg("d").alias("mean")).select("*", *exact))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -150,10 +154,13 @@ def additive_deviation(rows: DataFrame, columns: Sequence[str], eps: float = 1e-
     gap = F.col("close") - F.col("close_front")
     parts = F.array(*[F.abs((F.col(c) - F.col(f"{c}_front")) - gap) for c in columns])
     base = rows.select("code", F.explode(parts).alias("d"), F.abs(gap).alias("gap"), (F.col("high") - F.col("low")).alias("range")).where("d IS NOT NULL")
-    return base.rollup("code").agg(
-        F.count("*").alias("n"), F.avg((F.col("d") > notable).cast("int")).alias("share"), F.percentile("d", F.lit(0.99)).alias("p99"), F.max("d").alias("most"),
+    told = [
+        F.count("*").alias("n"), F.avg((F.col("d") > notable).cast("int")).alias("share"), F.max("d").alias("most"),
         F.avg(F.when(F.col("gap") > eps, F.col("d") / F.col("gap"))).alias("to_gap"), F.corr("d", "gap").alias("with_gap"), F.corr("d", "range").alias("with_range"),
-    )
+    ]
+    per = base.groupBy("code").agg(*told, F.percentile("d", F.lit(0.99)).alias("p99"))  # a code's days are bounded
+    (p99,) = quantiles(base, "d", [0.99])
+    return per.unionByName(base.agg(*told).select(F.lit(None).cast("string").alias("code"), "*", F.lit(p99).cast("double").alias("p99")))
 
 
 def tolerance_review(rows: DataFrame, segment: Sequence[str], stored: str, fresh: str, most: float, share: float, exact: float = 1e-6) -> DataFrame:
