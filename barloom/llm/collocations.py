@@ -45,14 +45,14 @@ MOST_WORDS = 5
 BREAK = b"."
 SIGNS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
 #: Texts are split in chunks of about so many bytes, and counted in shards of so many words.
-CHUNK, SHARD_WORDS = 4 << 20, 3_000_000
+CHUNK, SHARD_WORDS = 4 << 20, 6_000_000
 #: Words counted, or phrases looked up, in a prefix range.
-RANGE_WORDS, RANGE_PHRASES = 500_000, 100_000
+RANGE_WORDS, RANGE_PHRASES = 4_000_000, 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def small(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def large(raw: bytes) -> bytes:
