@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import validate as v
 from ..operators.indicators import S
 from ..operators.joins import next_in_calendar
 from ..plans.views import bars, dirty_bars, factors, oracle, status_events, trades, valuation
+from ..sources import manifest as m
 from ..sources import storage as s
 from ..streaming import ingest as t
 from ..streaming import revisions as r
+from ..streaming import runs
 from .registry import W, lag, query, rnd, rsql, shown, shown_sql
 from .validate import JUDGED, LEDGER, ledger
 
@@ -87,6 +90,24 @@ def s6c(spark, sf):
     return s.upsert_counts(*halves(spark, sf), ["code", "dt"])
 
 
+@query("S6_tables_together", oracle(f"SELECT 0 AS version, 'bars' AS name, count(*) AS n, {rsql('sum(close)', 2)} AS total FROM bars WHERE k % 3 < 2 UNION ALL SELECT 0, 'caps', count(*), {rsql('sum(circ_mv) / 1e6', 2)} FROM valuation WHERE day(dt) < 15"
+    f" UNION ALL SELECT 1, 'bars', count(*), {rsql(f'sum({NEW})', 2)} FROM bars UNION ALL SELECT 1, 'caps', count(*), {rsql('sum(circ_mv) / 1e6', 2)} FROM valuation", "bars", "valuation"))
+def s6_together(spark, sf):
+    """Two tables changed by one commit, read at the version before and after it."""
+    root = s.shared_path(spark, "tables")
+    existing, incoming = (x.select("code", "dt", "k", "close") for x in halves(spark, sf))
+    caps = valuation(spark, sf).select("code", "dt", C("circ_mv").alias("cap")).withColumn("k", F.lit(0))
+    change = lambda rows: m.Change(rows, ["code", "dt"], "k", "dt")
+    m.upsert(spark, root, {"bars": change(existing), "caps": change(caps.where(F.day("dt") < 15))})
+    m.upsert(spark, root, {"bars": change(incoming), "caps": change(caps.where(F.day("dt") >= 15))})
+    parts = []
+    for version in (0, 1):
+        for name, rows, x in (("bars", existing, C("close")), ("caps", caps, C("cap") / 1e6)):
+            got = m.read(spark, root, name, rows.schema, version=version)
+            parts.append(got.agg(F.lit(version).alias("version"), F.lit(name).alias("name"), F.count("*").alias("n"), rnd(F.sum(x), 2).alias("total")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("S7_replace", oracle("SELECT code, count(*) AS n FROM bars WHERE k % 2 = 0 GROUP BY code", "bars"))
 def s7(spark, sf):
     path = shards(spark, sf)
@@ -207,6 +228,37 @@ def t1(spark, sf):
     return shown(t.read_table(spark, streamed(spark, sf), ["code", "dt"], "copy"), "close")
 
 
+RUN = "SELECT {0} AS limit, count(*) AS raw, count(*) FILTER (len(failed) > 0) AS rejected, CASE WHEN {1} THEN count(*) FILTER (len(failed) = 0) ELSE 0 END AS written, '{2}' AS status, CASE WHEN {1} THEN count(DISTINCT code) FILTER (len(failed) = 0) ELSE 0 END AS marks, CASE WHEN {1} THEN (SELECT count(*) FROM (SELECT DISTINCT code, dt FROM j WHERE len(failed) = 0)) ELSE 0 END AS shown FROM j"
+
+
+@query("T1_run_gate", oracle(" UNION ALL ".join([RUN.format("'strict'", "false", "failed"), RUN.format("'loose'", "true", "success"), RUN.format("'released'", "true", "failed").replace("THEN count(*) FILTER (len(failed) = 0) ELSE 0 END AS written", "THEN 0 END AS written")]), "dirty_bars", j=JUDGED))
+def t1_gate(spark, sf):
+    """A run beyond its limit shows no row and moves no mark until it is released; a run within it shows all at once."""
+    path = shards(spark, sf, lambda sp, d: dirty_bars(sp, d).selectExpr(*[f"CAST({x.split()[0]} AS {x.split()[1]}) AS {x.split()[0]}" for x in SCHEMA.split(", ")]), "run-in")
+
+    def told(root, limit, row):
+        shown_rows = runs.rows(spark, root, "bars", SCHEMA, ["code", "dt"], "copy", "dt").count()
+        marked = runs.marks(spark, root, "bars", "code string, mark date").count()
+        return (limit, row.raw, row.rejected, row.written, row.status, marked, shown_rows)
+
+    out = []
+    for limit, most in (("strict", 0.0001), ("loose", 1.0)):
+        root = s.shared_path(spark, "run-tables")
+        row = runs.run(spark, path, SCHEMA, root, "bars", s.shared_path(spark, "run-state"), v.bar_rules, ["code", "dt"], "copy", "dt", ["code"], most_rejected=most).first()
+        out.append(told(root, limit, row))
+        if limit == "strict":
+            runs.release(spark, root, "bars", ["code"], "dt")
+            out.append(told(root, "released", row))
+    return spark.createDataFrame(out, "limit string, raw long, rejected long, written long, status string, marks long, shown long")
+
+
+@query("T1_run_rows", oracle(PASSED, "dirty_bars", j=JUDGED))
+def t1_rows(spark, sf):
+    path, root, state = shards(spark, sf, lambda sp, d: dirty_bars(sp, d).selectExpr(*[f"CAST({x.split()[0]} AS {x.split()[1]}) AS {x.split()[0]}" for x in SCHEMA.split(", ")]), "run-in"), s.shared_path(spark, "run-tables"), s.shared_path(spark, "run-state")
+    runs.run(spark, path, SCHEMA, root, "bars", state, v.bar_rules, ["code", "dt"], "copy", "dt", ["code"], most_rejected=1.0)
+    return shown(runs.rows(spark, root, "bars", SCHEMA, ["code", "dt"], "copy", "dt"), "close")
+
+
 @query("T2_two_pass", oracle(f"SELECT b.code, b.dt::VARCHAR AS dt, {rsql('b.close * a.f')} AS close FROM bars b JOIN (SELECT code, arg_max(adj_factor, dt) AS f FROM factors GROUP BY 1) a USING (code)", "bars", "factors"))
 def t2(spark, sf):
     out = s.shared_path(spark, "adjusted")

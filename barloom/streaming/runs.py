@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import validate as v
@@ -28,7 +28,7 @@ def passes(raw: int, rejected: int, most: float) -> bool:
 def run(spark: SparkSession, source: str, schema: str, root: str, table: str, checkpoint: str, rules: Callable[[], Mapping[str, Column]], keys: Sequence[str], order: str, by: str, mark: Sequence[str], most_rejected: float = 0.0001, files_per_batch: int = 4) -> DataFrame:
     """Takes all files that came since the last run; returns the run's row of the ledger.
 
-    ``mark`` names the key of the marks; a mark is the largest ``by`` of its rows.
+    ``mark`` names the key of the marks; a mark is the largest ``by`` of its rows.  ``by`` belongs to the keys.
     """
     name, counts = uuid.uuid4().hex, {}
 
@@ -38,8 +38,11 @@ def run(spark: SparkSession, source: str, schema: str, root: str, table: str, ch
         ok = F.size("failed_rules") == 0
         kept = judged.select(*df.columns, F.when(~ok, F.to_json(F.struct(*df.columns))).alias("payload"), "failed_rules", ok.alias("ok"))
         # one write: readers take the rows and the rejects from their folders; files are ranges, so that few meet each other
-        dealt = kept.repartitionByRange("ok", by).sortWithinPartitions("ok", by)
+        dealt = kept.repartitionByRange("ok", by)
         told = dealt.observe(seen, F.count("*").alias("raw"), F.count_if(~F.col("ok")).alias("rejected"))  # behind the exchange, which reads its input twice
+        # of a batch the last row of each key: the ranges have all rows of a key together, so this needs no further exchange
+        last = F.row_number().over(Window.partitionBy("ok", *keys).orderBy(F.desc(order)))
+        told = told.withColumn("_n", last).where("_n = 1 OR NOT ok").drop("_n").sortWithinPartitions("ok", by)
         told.write.mode("overwrite").partitionBy("ok").parquet(f"{root}/{table}/run={name}/batch={number}")
         counts[number] = seen.get
 
