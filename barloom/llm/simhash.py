@@ -43,8 +43,10 @@ BUCKET = 2048
 CUTS = 4
 #: Words of a shingle by which near copies are found.
 NEAR_WORDS = 5
-#: Up to so many sets under one shingle are all compared; of more, about so many in the first round.
-SMALL, PIVOTS = 16, 8
+#: About so many sets under one shingle are compared with all first; then, of up to SMALL all, of more about PIVOTS.
+FIRST, SMALL, PIVOTS = 2, 40, 8
+#: Bytes of a set's sketch, counts of its shingles by their lowest byte.
+SKETCH = 256
 #: Size classes grow by this factor; the sizes of similar sets lie 1.25 apart at most, which is so many classes.
 STEP, STEPS = 1.03, 8
 #: Texts read, and shingles kept, to put common shingles last.
@@ -258,6 +260,11 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarra
     return shingles[np.argsort(place, kind="stable")][: n - (4 * n + 4) // 5 + 1 if n else 0]
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Counts of the shingles in SKETCH classes, up to 255: the counts of two sets differ by no more than the sets do."""
+    return np.minimum(np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that stand in several texts of a sample, ascending, and their ranks, the most common last.
 
@@ -279,45 +286,43 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hot[order], (len(hot) - np.arange(len(hot)))[order]
 
 
-def _overlap(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets have a similarity of 0.8 or more; of prefixes, those whose sets may have it.
+def _alike(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets have a similarity of 0.8 or more, by whole sets; by sketches those that may have it.
 
-    Sets that share s shingles share, of prefixes longer by k than what is left
-    without s, at least k; and beyond the last shared one no more than what follows it.
+    Such sets of n and m shingles share 4/9 (n + m) or more, and so differ in
+    (n + m) / 9 or fewer, as many as the counts in their sketches at least.
     """
     for batch in batches:
-        keep = []
-        for one, two, n, m in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b", "n_a", "n_b")), strict=True):
-            x, y, least = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), (4 * (n + m) + 8) // 9
-            if whole:
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= least)
-                continue
-            _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-            needed = min(len(x) - (n - least), len(y) - (m - least))
-            keep.append(len(at) > 0 and len(at) >= needed and len(at) + min(n - at.max(), m - to.max()) - 1 >= least)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+        n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+        one, two = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
+        if whole:
+            met = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(one, two, strict=True)]
+            keep = np.array(met, np.int64) >= (4 * (n + m) + 8) // 9
+        else:
+            x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, SKETCH).astype(np.int16) for z in (one, two))
+            keep = 9 * np.abs(x - y).sum(axis=1, dtype=np.int64) <= n + m
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame, whole: bool, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that ``sets`` (key, n, shingles), whole or prefixes, do not rule out; in ``scratch``."""
+    """The pairs (a, b) that ``sets`` (key, n, shingles), whole ones or sketches, do not rule out; in ``scratch``."""
     of = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}"))
-    return scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _overlap(batches, whole), "a long, b long"))
+    return scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _alike(batches, whole), "a long, b long"))
 
 
 def whole_sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The whole sets (key, n, shingles) of some keys, from their texts; in ``scratch``."""
+    """The whole sets (key, n, shingles) of some keys, dealt by key, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text", SLICE_BYTES):
                 made = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
+                own = pa.array([_name(x) == name for x, name in zip(made, some.column("name").to_pylist(), strict=True)], pa.bool_())  # an id may have several texts
                 sizes = pa.array([len(x) for x in made], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in made], pa.binary()), sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["name", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column("key"), sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"]).filter(own)
 
-    named = scratch.keep(nodes.join(wanted, "key"))
-    texts = rows.join(named.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(run, "name binary, n int, shingles binary").join(named.select("name", "key"), "name")
-    return scratch.keep(sets.select("key", "n", "shingles").dropDuplicates(["key"]))
+    named = scratch.keep(nodes.join(wanted, "key").select("key", "name", F.col("least").alias("doc_id")))
+    return salted_join(rows, named, ["doc_id"], "text").select("key", "name", "text").mapInArrow(run, "key long, n int, shingles binary").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -417,15 +422,15 @@ def refined(left: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch
     return scratch.keep(salted_join(under, sizes.select("group", "size"), ["group"], "key"))
 
 
-def meetings(groups: DataFrame, done: int, until: int) -> DataFrame:
-    """Pairs (a, b) that can be similar: of a small group all, of a larger one those of the sets whose turn it is with all whose turn comes later.
+def meetings(groups: DataFrame, done: int, until: int, small: int = 0) -> DataFrame:
+    """Pairs (a, b) that can be similar: in each group those of the sets whose turn it is with all whose turn comes later.
 
     A row of ``groups`` is a set (key, n, root) in a group, at a place of its
     order, in a role; a set's turn in a group of ``size`` is a hash below it.
+    In groups of up to ``small`` it is every set's turn.
     """
-    turn = F.when(F.col("size") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("key", "group"), F.col("size")))
-    rows = groups.withColumn("turn", turn)
-    now = rows.where((F.col("turn") >= done) & (F.col("turn") < until))
+    rows = groups.withColumn("turn", F.pmod(F.xxhash64("key", "group"), F.col("size")))
+    now = rows.where((F.col("turn") >= done) & (F.col("turn") < until) | (F.col("size") <= small))
     found = None
     for large in (False, True):
         one, two = (x.where(F.col("size") > SMALL if large else F.col("size") <= SMALL) for x in (now, rows))
@@ -451,12 +456,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     of the shingle rule it out.  Equal sets are folded first, and of shingles
     that the same sets have only the first is kept.
 
-    Of up to ``SMALL`` sets under a shingle all are compared.  Of more, some
-    ``PIVOTS`` are compared with all, which connects a group of copies.  What
-    stays unconnected (texts put together of the same passages) is grouped
-    anew by all that similar sets must have in common, see ``refined``; where
-    this leaves large groups, ever more sets have their turn, with those that
-    nothing links to them yet, until all have had it.
+    Under each shingle ``FIRST`` sets are compared with all, which connects most
+    copies.  Where several components are left, of up to ``SMALL`` sets all are
+    compared, of more some ``PIVOTS`` with all.  What still stays unconnected
+    (texts put together of the same passages) is grouped anew by all that
+    similar sets must have in common, see ``refined``; where this leaves large
+    groups, ever more sets have their turn, with those that nothing links to
+    them yet, until all have had it.  Pairs are compared by sketches, and what
+    these let through by whole sets.
     """
     scratch = Scratch(docs.sparkSession, "near")
     bound_batches(docs.sparkSession)
@@ -469,14 +476,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 sets = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
                 first = [prefix(x, hot, rank).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary())],
-                    names=["doc_id", "name", "n", "shingles"],
+                    [some.column("doc_id"), pa.array([_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())],
+                    names=["doc_id", "name", "n", "shingles", "sketch"],
                 )
 
-    made = scratch.keep(rows.mapInArrow(run, "doc_id long, name binary, n int, shingles binary"))
-    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    at = scratch.fresh()
+    made = stored(rows.mapInArrow(run, "doc_id long, name binary, n int, shingles binary, sketch binary"), at)
+    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
     prefixes = scratch.keep(folded.withColumn("key", F.monotonically_increasing_id()))
-    nodes = prefixes.select("key", "name", "least")
+    made = scratch.keep(made.select("doc_id", "name"))
+    remove(docs.sparkSession, at)
+    nodes, sketches = prefixes.select("key", "name", "least"), prefixes.select("key", "n", F.col("sketch").alias("shingles"))
 
     _, common = shared_rows(prefixes.select("key", "n", "shingles"), scratch)
     # shingles of the same sets are one group, at the place of their first
@@ -486,34 +496,36 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     edges, tried = None, None
 
-    def compare(groups: DataFrame, done: int, until: int) -> None:
+    def compare(groups: DataFrame, done: int, until: int, small: int = 0) -> None:
         nonlocal edges, tried
-        pairs = meetings(groups, done, until)
+        pairs = meetings(groups, done, until, small)
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = verified(compared(pairs, prefixes, False, scratch), rows, nodes, scratch)
+        found = verified(compared(pairs, sketches, False, scratch), rows, nodes, scratch)
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
 
-    def unconnected(groups: DataFrame, done: int) -> DataFrame:
-        """Rows of large groups that have sets left to compare and hold more than one component."""
+    def unconnected(groups: DataFrame, most: int) -> DataFrame:
+        """Rows of groups of over ``most`` sets that hold more than one component."""
         labels = components(edges, scratch).select(F.col("node").alias("key"), "root")
-        left = groups.where((F.col("size") > SMALL) & (F.col("size") > done)).drop("root").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        left = groups.where(F.col("size") > most).drop("root").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
         left = scratch.keep(left)
         several = left.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
         return scratch.keep(salted_join(left, scratch.keep(several), ["group"], "key"))
 
-    groups = met.withColumns({"role": F.lit(2), "root": F.col("key")})
-    compare(groups, 0, PIVOTS)
-    left = unconnected(groups, PIVOTS)
-    if not left.isEmpty():
-        roots = left.select("key", "root").distinct()
-        groups, done, until = refined(left, rows, nodes, scratch).join(roots, "key"), 0, PIVOTS
+    compare(met.withColumns({"role": F.lit(2), "root": F.col("key")}), 0, FIRST)
+    groups = unconnected(met.withColumn("role", F.lit(2)), FIRST)
+    if not groups.isEmpty():
+        compare(groups, FIRST, PIVOTS, SMALL)
+        groups = unconnected(groups, max(SMALL, PIVOTS))
+    if not groups.isEmpty():
+        roots = groups.select("key", "root").distinct()
+        groups, done, until, small = refined(groups, rows, nodes, scratch).join(roots, "key"), 0, PIVOTS, SMALL
         while True:
-            compare(groups, done, until)
-            done, until = until, until * 8
-            groups = unconnected(groups, done)
+            compare(groups, done, until, small)
+            groups = unconnected(groups, max(SMALL, until))
             if groups.isEmpty():
                 break
+            done, until, small = until, until * 8, 0
 
     ends = edges.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
     between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
