@@ -9,11 +9,12 @@ Transducers are cut by prefix range (of the hashed order of the first two words,
 so that what follows one hot word is spread), and those of a range are united
 with their weights summed.
 
-Counting goes by length: words, then pairs of frequent words, then longer
-phrases of frequent pairs, as no part of a phrase is rarer than the phrase.  The
-frequent ones are told to the next pass by a bit sieve of bounded size; a false
-hit in it is counted like any phrase and drops out by its exact count, so the
-sieve's size sets the work and never the result.
+Words and pairs are counted first, then longer phrases of frequent pairs, as no
+part of a phrase is rarer than the phrase.  (Leaving out pairs of rare words as
+well would only help small corpora: of a large one nearly all words are
+frequent.)  The frequent pairs are told to the second pass by a bit sieve of
+bounded size; a false hit in it is counted like any phrase and drops out by its
+exact count, so the sieve's size sets the work and never the result.
 
 Parts of candidates are looked up by composing the acceptor of all parts in a
 prefix range with the range's counts.  Scores are whole-number quotients of
@@ -202,18 +203,16 @@ def mixed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sieve_of(phrases: DataFrame, n: int) -> np.ndarray:
-    """The bit sieve of ``n`` frequent words or pairs (phrase)."""
+def sieve_of(pairs: DataFrame, n: int) -> np.ndarray:
+    """The bit sieve of ``n`` frequent pairs (phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = [p.split(b" ") for p in batch.column("phrase").to_pylist()]
-            h = hashes([s[0] for s in split])
-            if split and len(split[0]) == 2:
-                h = mixed(h, hashes([s[1] for s in split]))
+            h = mixed(hashes([s[0] for s in split]), hashes([s[1] for s in split]))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    return bit_sieve(phrases.mapInArrow(run, "h long"), n)
+    return bit_sieve(pairs.mapInArrow(run, "h long"), n)
 
 
 def grams(ids: np.ndarray, starts: np.ndarray, length: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,17 +238,12 @@ def grams(ids: np.ndarray, starts: np.ndarray, length: int, wide: int) -> tuple[
 
 
 def shard(ids: np.ndarray, words: list[bytes], low: int, high: int, sieve: np.ndarray | None, ranges: int) -> Iterator[tuple[int, Transducer]]:
-    """The transducers of a shard's phrases of ``low`` to ``high`` words, by prefix range.
+    """The transducers of a shard's phrases of ``low`` to ``high`` words, by prefix range; with a sieve, of its pairs only.
 
     Ids follow ``words``, which ascend; -1 is a break.
     """
-    alive = ids >= 0
-    if low <= 2:
-        h = hashes(words)
-        if sieve is not None:  # it has words
-            alive[alive] = sifted(h, sieve)[ids[alive]]
-    else:  # it has pairs
-        h = hashes(words)
+    alive, h = ids >= 0, hashes(words)
+    if sieve is not None:  # of pairs
         two = np.flatnonzero(alive[1:] & alive[:-1])
         two = two[sifted(mixed(h[ids[two]], h[ids[two + 1]]), sieve)]
         pair = np.zeros(len(ids), bool)
@@ -257,13 +251,13 @@ def shard(ids: np.ndarray, words: list[bytes], low: int, high: int, sieve: np.nd
     good, some = alive, []
     for length in range(1, high + 1):
         if length > 1:
-            alive = alive[:-1] & (pair[length - 2 : len(ids) - 1] if low > 2 else good[length - 1 :])
+            alive = alive[:-1] & (good[length - 1 :] if sieve is None else pair[length - 2 : len(ids) - 1])
         if length >= low:
             some.append(grams(ids, np.flatnonzero(alive), length, max(1, len(words))))
     keys, counts = padded(some)
     if not len(keys):
         return
-    second = h[keys[:, 1]] if keys.shape[1] > 1 else np.zeros(len(keys), np.uint64)
+    second = np.where(keys[:, 1] >= 0, h[keys[:, 1]], np.uint64(0))
     place = ((mixed(h[keys[:, 0]], second) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     if len(some) > 1:
         order = np.lexsort([*keys.T[::-1], place])
@@ -272,9 +266,6 @@ def shard(ids: np.ndarray, words: list[bytes], low: int, high: int, sieve: np.nd
     keys, counts, place = keys[order], counts[order], place[order]
     cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
     for a, b in pairwise(cuts):
-        if high == 1:  # every phrase is a word of its own
-            yield int(place[a]), Transducer.build([words[i] for i in keys[a:b, 0].tolist()], np.arange(b - a, dtype=np.int32)[:, None], counts[a:b])
-            continue
         own = np.unique(keys[a:b])
         own = own[own >= 0]
         local = np.where(keys[a:b] >= 0, np.searchsorted(own, keys[a:b]), -1)
@@ -326,7 +317,7 @@ def shards(rows: DataFrame) -> DataFrame:
 def counted(texts: DataFrame, low: int, high: int, least: int, ranges: int, sieve: np.ndarray | None = None) -> DataFrame:
     """(lang, phrase, size, f): phrases of ``low`` to ``high`` words in ``shards`` that occur ``least`` times or more.
 
-    A further row of each language and range, without a phrase, has the sum of all its counts.  On shared storage.
+    A further row of each language and range, without a phrase, has the number of its words.  On shared storage.
     """
     told = texts.sparkSession.sparkContext.broadcast(sieve)
 
@@ -346,7 +337,7 @@ def counted(texts: DataFrame, low: int, high: int, least: int, ranges: int, siev
         lang, out, total = table.column("lang")[0].as_py(), [], 0
         words, by = Transducer.union(parts)
         for keys, counts in by:
-            total += int(counts.sum())
+            total += int(counts.sum()) if keys.shape[1] == 1 else 0
             often = counts >= least
             out += [(b" ".join([words[i] for i in key]), len(key), f) for key, f in zip(keys[often].tolist(), counts[often].tolist(), strict=True)]
         out.append((None, low, total))
@@ -389,15 +380,13 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_words: int = MOST_WORD
     spark = docs.sparkSession
     bound_batches(spark)
     rows = shards(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text")))
-    words = counted(rows, 1, 1, least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    totals = words.where("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = words.where("phrase IS NOT NULL")
-    n, occurrences = frequent.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
-    ranges = 1 + occurrences // RANGE_WORDS
-    pairs = counted(rows, 2, 2, least, ranges, sieve_of(frequent, n)).where("phrase IS NOT NULL")
+    first = counted(rows, 1, 2, least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    totals = first.where("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = first.where("phrase IS NOT NULL")
+    pairs = frequent.where("size = 2")
     n, occurrences = pairs.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
     longer = counted(rows, 3, most_words, least, 1 + occurrences // RANGE_WORDS, sieve_of(pairs, n)).where("phrase IS NOT NULL")
-    return frequent.unionByName(pairs).unionByName(longer), totals
+    return frequent.unionByName(longer), totals
 
 
 def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: int = 100) -> DataFrame:
