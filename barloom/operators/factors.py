@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .affine import ema
 from .indicators import S, ratio
 
 
@@ -126,6 +127,7 @@ def steps(value: Column, edges: Sequence[tuple[float, float]], otherwise: float
 #: Declarative names of generic steps.
 GENERIC = {
     "ma": lambda df, x, n, out: df.withColumn(out, S.ma(x, n)),
+    "ema": lambda df, x, n, out: ema(df, x, n, out),
     "pct_change": lambda df, x, n, out: df.withColumn(out, ratio(F.col(x), S.ref(x, n)) - 1),
     "rolling_amplitude": lambda df, x, n, out: df.withColumn(out, ratio(S.hhv("high", n), S.llv("low", n)) - 1),
     "cross": lambda df, x, y, out: df.withColumn(out, S.cross(F.col(x) > F.col(y))),

@@ -203,6 +203,33 @@ def holding_overlap(left: DataFrame, right: DataFrame, day: str = "dt", code: st
     return daily.agg(F.count("*").alias("days"), F.avg("j").alias("overlap"))
 
 
+def holding_changes(trades: DataFrame, order: Sequence[str], side: str, day: str = "dt", code: str = "code") -> DataFrame:
+    """(code, day, held, side): whether a code is held after each of its days with trades, by the last of them."""
+    last = F.max_by("action", F.struct(*[F.col(o) for o in order]))
+    return trades.groupBy(code, day).agg((last == "buy").alias("held")).withColumn("side", F.lit(side))
+
+
+def carried_overlap(left: DataFrame, right: DataFrame, order: Sequence[str], day: str = "dt", code: str = "code") -> DataFrame:
+    """Per day on which the left side trades: codes that both sides hold (common), that any holds (either), and their share.
+
+    Holdings are carried from the trades: a code is held from a buy to its next
+    sell.  Per code, the days on which either side changes give intervals in
+    which both, or any, hold it; their starts and ends are summed by day, so no
+    code has a row for every day.  Days before the right side's first trade,
+    and days on which nobody holds anything, are left out.
+    """
+    changes = holding_changes(left, order, "l", day, code).unionByName(holding_changes(right, order, "r", day, code))
+    state = lambda s: F.coalesce(F.last(F.when(F.col("side") == s, F.col("held")), True).over(Window.partitionBy(code).orderBy(day).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False))
+    now = changes.select(code, day, (state("l") & state("r")).cast("int").alias("both"), (state("l") | state("r")).cast("int").alias("any")).distinct()
+    by = Window.partitionBy(code).orderBy(day)
+    step = lambda c: F.col(c) - F.coalesce(F.lag(c).over(by), F.lit(0))
+    deltas = now.select(day, step("both").alias("both"), step("any").alias("any")).groupBy(day).agg(F.sum("both").alias("both"), F.sum("any").alias("any"))
+    upto = Window.orderBy(day)  # a row per trading day
+    sums = deltas.select(day, F.sum("both").over(upto).alias("common"), F.sum("any").over(upto).alias("either"))
+    days = left.select(day).distinct().crossJoin(F.broadcast(right.agg(F.min(day).alias("_since")))).where(F.col(day) >= F.col("_since")).select(day)
+    return sums.join(days, day).where("either > 0").withColumn("overlap", F.col("common") / F.col("either"))
+
+
 def gap_parts(returns: DataFrame, match: DataFrame, overlap: DataFrame) -> DataFrame:
     """The gap of two total returns (left_return, right_return) in basis points, split by what trades and holdings do not share.
 

@@ -80,7 +80,7 @@ def inconsistent_ratios(adjusted: Sequence[str], raw: Sequence[str], most: float
 def bar_rules(now_ms: int = 4 * 10**12) -> dict[str, Column]:
     """The rules of a daily bar, by name."""
     return {
-        "RequiredValueNull": required("close"), "CodeFormat": bad_code(), "DateValid": F.coalesce((F.col("time") > now_ms), F.lit(True)), "OHLCLogic": bad_relation(),
+        "RequiredValueNull": required("close"), "CodeFormat": bad_code(), "DateValid": F.coalesce((F.col("time") <= 0) | (F.col("time") > now_ms), F.lit(True)), "OHLCLogic": bad_relation(),
         "UnitCheck": bad_unit(), "PositiveNumeric": below("close", 0, True), "InfCheck": infinite("volume"), "EnumCheck": not_in("data_source", ["alpha", "beta"]),
     }
 

@@ -116,7 +116,8 @@ def dirty_bars(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).withColumn("kind", (F.col("code").cast("int") * 31 + F.col("k")) % 97)
     kind, inf = F.col("kind"), F.lit(float("inf"))
     broken = b.select(
-        F.when(kind == 2, F.concat(F.substring("code", 1, 5), F.lit("X"))).otherwise(F.col("code")).alias("code"), "dt", "k", "time", "open",
+        F.when(kind == 2, F.concat(F.substring("code", 1, 5), F.lit("X"))).otherwise(F.col("code")).alias("code"), "dt", "k",
+        F.when(kind == 7, -F.col("time")).when(kind == 8, F.lit(0).cast("long")).when(kind == 9, F.col("time") * 1000).when(kind == 10, F.lit(None).cast("long")).otherwise(F.col("time")).alias("time"), "open",
         F.when(kind == 0, F.col("low") - 1).otherwise(F.col("high")).alias("high"), "low",
         F.when(kind == 1, -F.col("close")).when(kind == 3, F.lit(None).cast("double")).otherwise(F.col("close")).alias("close"),
         F.when(kind == 5, inf).otherwise(F.col("volume")).alias("volume"), F.when(kind == 4, F.col("amount") * 100).otherwise(F.col("amount")).alias("amount"),
@@ -148,7 +149,7 @@ SQL = {
     "per_day": "SELECT dt, avg(close) AS a, avg(CASE WHEN code <= '000050' THEN close END) AS b FROM bars GROUP BY dt",
     "minutes": """SELECT *, CAST(time_ms // 60000 % 1440 AS INTEGER) AS minute FROM (SELECT lpad(user_id::VARCHAR, 6, '0') AS code, epoch_ms(ts) // 60000 * 60000 AS time_ms, arg_min(value, event_id) AS open, max(value) AS high,
         min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2)""",
-    "broken": """SELECT CASE WHEN kind = 2 THEN substr(code, 1, 5) || 'X' ELSE code END AS code, dt, k, time, open, CASE WHEN kind = 0 THEN low - 1 ELSE high END AS high, low,
+    "broken": """SELECT CASE WHEN kind = 2 THEN substr(code, 1, 5) || 'X' ELSE code END AS code, dt, k, CASE kind WHEN 7 THEN -time WHEN 8 THEN 0 WHEN 9 THEN time * 1000 WHEN 10 THEN NULL ELSE time END AS time, open, CASE WHEN kind = 0 THEN low - 1 ELSE high END AS high, low,
         CASE WHEN kind = 1 THEN -close WHEN kind = 3 THEN NULL ELSE close END AS close, CASE WHEN kind = 5 THEN 'inf'::DOUBLE ELSE volume END AS volume, CASE WHEN kind = 4 THEN amount * 100 ELSE amount END AS amount,
         CASE WHEN k % 3 = 0 THEN 'alpha' ELSE 'beta' END AS data_source, kind, 0 AS copy FROM (SELECT *, (code::INTEGER * 31 + k) % 97 AS kind FROM bars)""",
     "dirty_bars": "SELECT * FROM broken UNION ALL SELECT * REPLACE (close + 1 AS close, 1 AS copy) FROM broken WHERE kind = 6",

@@ -181,6 +181,14 @@ def f32(spark, sf):
     return shown(f.generic(bars(spark, sf), plan), "chg", "joint", "place")
 
 
+EMAS = recursion({"fast": "close", "slow": "close"}, {"fast": mix("b.close", "r.fast", 2 / 13), "slow": mix("b.close", "r.slow", 2 / 27)})
+
+
+@query("F32_ema", oracle(shown_sql("r", "fast", "slow"), "bars", recursive=True, **EMAS))
+def f32_ema(spark, sf):
+    return shown(f.generic(bars(spark, sf), [("ema", "close", 12, "fast"), ("ema", "close", 26, "slow")]), "fast", "slow")
+
+
 E1, E2 = mix("b.close", "r.e12", 2 / 13), mix("b.close", "r.e26", 2 / 27)
 BULL = recursion({"e12": "close", "e26": "close", "dea": "0.0::DOUBLE"}, {"e12": E1, "e26": E2, "dea": mix(f"({E1}) - ({E2})", "r.dea", 0.2)})
 

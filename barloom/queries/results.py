@@ -45,14 +45,14 @@ m("M7_information", "information", "win_rate", sql={"information": "excess / nul
 
 TIES = ", ".join(TIE)
 SO_FAR = f"OVER (PARTITION BY code ORDER BY dt, {TIES} ROWS UNBOUNDED PRECEDING)"
+#: One window gives the running counts; a sell that finds nothing open is left out, and the others take buys in order.
 TRIPS = {
     "t": "SELECT DISTINCT * FROM trades",
     "s": f"SELECT *, sum(CASE WHEN action = 'buy' THEN 1 ELSE -1 END) {SO_FAR} AS open, sum((action = 'buy')::INTEGER) {SO_FAR} AS buys, sum((action = 'sell')::INTEGER) {SO_FAR} AS sells FROM t",
-    "u": f"SELECT *, greatest(0, -min(open) {SO_FAR}) AS missed FROM s",
-    "n": f"SELECT *, missed > coalesce(lag(missed) OVER (PARTITION BY code ORDER BY dt, {TIES}), 0) AS lost FROM u",
-    "p": "SELECT code, k::BIGINT AS k, b.dt AS buy_day, s.dt AS sell_day, (s.price - b.price) * s.volume AS profit FROM (SELECT *, buys AS k FROM n WHERE action = 'buy') b JOIN (SELECT *, sells - missed AS k FROM n WHERE action = 'sell' AND NOT lost) s USING (code, k)",
+    "n": f"SELECT *, greatest(0, -min(open) {SO_FAR}) AS missed, greatest(0, -coalesce(min(open) OVER (PARTITION BY code ORDER BY dt, {TIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM s",
+    "p": "SELECT code, k::BIGINT AS k, b.dt AS buy_day, s.dt AS sell_day, (s.price - b.price) * s.volume AS profit FROM (SELECT *, buys AS k FROM n WHERE action = 'buy') b JOIN (SELECT *, sells - missed AS k FROM n WHERE action = 'sell' AND missed <= before) s USING (code, k)",
 }
-HOLD = ("t", "n")
+HOLD = ("t", "s", "n", "p")
 COST_SQL = {
     "b": f"SELECT *, row_number() OVER (PARTITION BY code ORDER BY dt, {TIES}) AS rn FROM t",
     "r": """SELECT code, rn, CASE WHEN action = 'buy' THEN volume ELSE 0 END::DOUBLE AS held, CASE WHEN action = 'buy' THEN price ELSE 0 END::DOUBLE AS cost, 0 AS sells, 0 AS wins FROM b WHERE rn = 1 UNION ALL
@@ -176,6 +176,21 @@ def m21(spark, sf):
     return r.holding_overlap(*runs(spark, sf)).withColumn("overlap", rnd("overlap"))
 
 
+#: Sets held at the end of each day with trades on the left, once the right has traded: the last action of a code up to the day decides.
+CARRIED = {
+    "dy": "SELECT DISTINCT dt FROM l WHERE dt >= (SELECT min(dt) FROM r)",
+    "la": f"SELECT dt, code, arg_max(action, row(dt, {TIES})) = 'buy' AS held, 'l' AS side FROM l GROUP BY dt, code UNION ALL SELECT dt, code, arg_max(action, row(dt, {TIES})) = 'buy', 'r' FROM r GROUP BY dt, code",
+    "ho": "SELECT d.dt, x.side, x.code, arg_max(x.held, x.dt) AS held FROM dy d JOIN la x ON x.dt <= d.dt GROUP BY 1, 2, 3",
+    "jd": "SELECT dt, count(*) FILTER (n = 2) AS common, count(*) AS either FROM (SELECT dt, code, count(*) AS n FROM ho WHERE held GROUP BY 1, 2) GROUP BY dt",
+}
+
+
+@query("M21_carried_holdings", oracle(f"SELECT dt::VARCHAR AS dt, common, either, {rsql('common / either')} AS overlap FROM jd", "trades", **LR, **CARRIED))
+def m21_carried(spark, sf):
+    got = r.carried_overlap(*runs(spark, sf), ORDER)
+    return got.select(C("dt").cast("string").alias("dt"), "common", "either", rnd("overlap").alias("overlap"))
+
+
 @query("M22_cost_gap", oracle(f"SELECT code, {rsql('a.r', 8)} AS rate_l, {rsql('b.r', 8)} AS rate_r, {rsql('(b.r - a.r) / a.r')} AS gap FROM (SELECT code, sum(fee) / sum(amount) AS r FROM l GROUP BY 1) a JOIN (SELECT code, sum(fee) / sum(amount) AS r FROM r GROUP BY 1) b USING (code)", "trades", **LR))
 def m22(spark, sf):
     got = r.cost_gap(*runs(spark, sf), ["code"])

@@ -15,7 +15,7 @@ from .registry import lag, query, rnd, rsql, shown
 C = F.col
 SHOWN = "code, dt::VARCHAR AS dt, copy"
 RULES_SQL = {
-    "RequiredValueNull": "close IS NULL", "CodeFormat": "NOT regexp_matches(code, '^\\d{6}')", "DateValid": "time > 4000000000000",
+    "RequiredValueNull": "close IS NULL", "CodeFormat": "NOT regexp_matches(code, '^\\d{6}')", "DateValid": "coalesce(time <= 0 OR time > 4000000000000, true)",
     "OHLCLogic": "close IS NOT NULL AND (high < greatest(close, open, low) - 1e-9 OR low > least(close, open, high) + 1e-9)",
     "UnitCheck": "coalesce(amount > 0 AND close > 0 AND volume > 0 AND NOT isinf(volume) AND NOT (amount / (close * volume) BETWEEN 0.5 AND 2.0), false)",
     "PositiveNumeric": "coalesce(close <= 0, false)", "InfCheck": "isinf(volume)", "EnumCheck": "data_source NOT IN ('alpha', 'beta')",
@@ -49,7 +49,7 @@ def v1(spark, sf):
 
 rule("V2_required_null", lambda: v.required("close"), RULES_SQL["RequiredValueNull"])
 rule("V3_code_format", v.bad_code, RULES_SQL["CodeFormat"])
-rule("V4_date_valid", v.bad_time, "time <= 0 OR time > 4000000000000")
+rule("V4_date_valid", v.bad_time, RULES_SQL["DateValid"])
 rule("V5_st_null", lambda: F.when(C("kind") % 10 == 0, None).otherwise(C("copy")).isNull(), "kind % 10 = 0")
 rule("V6_ohlc", v.bad_relation, RULES_SQL["OHLCLogic"])
 rule("V7_unit", v.bad_unit, RULES_SQL["UnitCheck"])
@@ -98,9 +98,7 @@ def v19(spark, sf):
 
 @query("V0_rejected_rows", oracle(f"SELECT {SHOWN}, array_to_string(failed, ',') AS failed_rules FROM j WHERE len(failed) > 0", "dirty_bars", j=JUDGED))
 def v0(spark, sf):
-    rules = v.bar_rules()
-    rules["DateValid"] = F.coalesce(C("time") > 4 * 10**12, F.lit(True))
-    _, rejected = v.split(v.judge(dirty_bars(spark, sf), rules, {"CodeFormat": "code", "PositiveNumeric": "close"}))
+    _, rejected = v.split(v.judge(dirty_bars(spark, sf), v.bar_rules(), {"CodeFormat": "code", "PositiveNumeric": "close"}))
     return shown(rejected.withColumn("failed_rules", F.array_join("failed_rules", ",")), "copy", "failed_rules")
 
 
