@@ -11,6 +11,7 @@ from ..operators.indicators import S
 from ..operators.joins import next_in_calendar
 from ..plans.views import bars, dirty_bars, factors, oracle, status_events, trades, valuation
 from ..sources import manifest as m
+from ..sources import quarantine
 from ..sources import storage as s
 from ..streaming import ingest as t
 from ..streaming import revisions as r
@@ -60,6 +61,25 @@ def s4(spark, sf):
     return out.select("code", C("event_date").cast("string").alias("event_date"), "status", C("effective").cast("string").alias("effective"))
 
 
+@query("S4_replaced_events", oracle("SELECT 'kept' AS event_type, code, dt::VARCHAR AS event_date, rank() OVER (ORDER BY code, dt, status, event_id) - 1 AS source_row_id, status AS signal FROM (SELECT *, 0 AS event_id FROM status_events WHERE status = 'ST')"
+    " UNION ALL SELECT 'renewed', code, dt::VARCHAR, n, status FROM (SELECT *, row_number() OVER (ORDER BY code, dt, status) - 1 AS n FROM status_events WHERE status <> 'ST') WHERE day(dt) <> 13", "status_events"))
+def s4_replaced(spark, sf):
+    """Two types are imported; one of them is then imported again from another file, in whose order its rows are numbered."""
+    target = s.shared_path(spark, "event-table")
+    ev = status_events(spark, sf).select("code", "dt", "status")
+
+    def put(rows, kind):
+        path = s.shared_path(spark, "event-files")
+        day = F.when(F.day("dt") == 13, "soon").otherwise(C("dt").cast("string")) if kind == "renewed" else C("dt").cast("string")
+        rows.coalesce(1).sortWithinPartitions("code", "dt", "status").select(day.alias("Date"), C("code").alias("Security"), C("status").alias("Signal")).write.option("header", "true").csv(path)
+        s.replace_events(spark, path, {"event_date": "Date", "code": "Security", "signal": "Signal"}, kind, target)
+
+    put(ev.where("status = 'ST'"), "kept")
+    put(ev.where("status = 'ST'"), "renewed")
+    put(ev.where("status <> 'ST'"), "renewed")
+    return spark.read.parquet(target).select("event_type", "code", C("event_date").cast("string").alias("event_date"), "source_row_id", "signal")
+
+
 @query("S5_log_lines", oracle("SELECT dt::VARCHAR AS day, code FROM bars", "bars"))
 def s5(spark, sf):
     path = s.shared_path(spark, "log")
@@ -153,6 +173,27 @@ def s12(spark, sf):
     return spark.read.parquet(path).groupBy("failed_rules", "status").agg(F.count("*").alias("n"))
 
 
+SINKS = "SELECT 'b{0}' AS batch_id, count(*) AS offered, CASE WHEN {1} THEN count(*) ELSE 0 END AS written, (SELECT coalesce(sum(1), 0) FROM j WHERE len(failed) > 0 AND kind % 3 IN ({2})) AS archived, (SELECT count(*) FROM j WHERE len(failed) > 0 AND kind % 3 IN ({3})) AS pending FROM j WHERE len(failed) > 0 AND kind % 3 = {0}"
+
+
+@query("S12_capacity", oracle(" UNION ALL ".join([SINKS.format(0, "true", "-1", "0"), SINKS.format(1, "false", "-1", "0"), SINKS.format(2, "true", "0", "2")]), "dirty_bars", j=JUDGED))
+def s12_capacity(spark, sf):
+    """The second batch of a day finds the sink full; nine days later the first one is archived, and the third batch is taken."""
+    root, out = s.shared_path(spark, "sink"), []
+    bad = rejected(spark, sf)
+    for k, day in ((0, "2020-01-01"), (1, "2020-01-01"), (2, "2020-01-10")):
+        rows = quarantine.sink_rows(bad.where(C("kind") % 3 == k), f"b{k}", "bars", "alpha", day)
+        out.append(quarantine.admit(spark, root, rows, f"b{k}", day, capacity=1))
+    return spark.createDataFrame([tuple(r.values()) for r in out], "batch_id string, offered long, written long, archived long, pending long")
+
+
+@query("S12_alerts", oracle("SELECT '2020-01-01' AS day, array_to_string(list_sort(failed), ',') AS failed_rules, count(*) AS n FROM j WHERE len(failed) > 0 GROUP BY 2 HAVING count(*) >= 60", "dirty_bars", j=JUDGED))
+def s12_alerts(spark, sf):
+    root = s.shared_path(spark, "sink")
+    quarantine.admit(spark, root, quarantine.sink_rows(rejected(spark, sf), "b0", "bars", "alpha", "2020-01-01"), "b0", "2020-01-01")
+    return quarantine.alerts(quarantine.waiting(spark, root), 60)
+
+
 @query("S13_quarantine_lifecycle", oracle("SELECT CASE WHEN list_contains(failed, 'UnitCheck') THEN 'fixed' ELSE 'pending_repair' END AS status, count(*) AS n FROM j WHERE len(failed) > 0 GROUP BY 1", "dirty_bars", j=JUDGED))
 def s13(spark, sf):
     sink = s.quarantine(rejected(spark, sf), "bars", "b1")

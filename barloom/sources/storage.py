@@ -62,6 +62,43 @@ def import_events(spark: SparkSession, path: str, columns: Mapping[str, str], ev
     return named.withColumn("source_key", key).withColumn("event_date", day).withColumn("event_type", F.lit(event_type)).where("event_date IS NOT NULL")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of CSV files with a header, as text, and ``source_row_id``: a row's place in its file, from 0.
+
+    A large file is read in splits by several tasks.  A row's place is its place
+    in its split and the rows of the file's splits before it; rows are stored
+    once, so that both are of the same reading.
+    """
+    raw = spark.read.option("header", "true").csv(path)
+    at = shared_path(spark, "lines")
+    raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")).write.parquet(at)
+    rows = spark.read.parquet(at)
+    splits = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))  # a row per split
+    return rows.join(F.broadcast(splits), ["_file", "_block"]).withColumn("source_row_id", F.col("_id") + F.col("_shift")).select(*raw.columns, "source_row_id")
+
+
+def replace_events(spark: SparkSession, path: str, columns: Mapping[str, str], event_type: str, target: str) -> None:
+    """Imports a CSV file's events in place of all stored ones of their type; the other types' files are not touched.
+
+    A row whose date cannot be read is dropped, but counts for the places of
+    the others.  The key is a digest of type, fields and place, so equal rows
+    are events of their own; the payload is the whole row.
+    """
+    rows = numbered_lines(spark, path)
+    lacking = sorted(set(columns.values()) - set(rows.columns)) + sorted({"event_date", "code"} - set(columns))
+    if lacking:
+        raise ValueError(f"columns are missing: {lacking}")
+    payload = F.to_json(F.struct(*[c for c in rows.columns if c != "source_row_id"]))
+    named = rows.select(*[F.col(source).alias(name) for name, source in columns.items()], "source_row_id", payload.alias("payload"))
+    named = named.withColumn("code", F.lpad(F.regexp_extract(F.trim("code"), r"^(\d+)", 1), 6, "0"))
+    key = F.sha2(F.to_json(F.struct(F.lit(event_type).alias("event_type"), *sorted(columns), "source_row_id", "payload")), 256)
+    made = named.withColumn("source_key", key).withColumn("event_date", F.try_to_date(F.substring("event_date", 1, 10), "yyyy-MM-dd")).where("event_date IS NOT NULL")
+    made = made.withColumn("event_type", F.lit(event_type))
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_type").parquet(target)
+
+
 def extract_log(lines: DataFrame, marker: str = "buy_stocks") -> DataFrame:
     """(day, code) of log lines with a day and a list of codes behind the marker; suffixes are cut."""
     inside = F.regexp_extract("value", marker + r":\s*\[([^\]]*)\]", 1)
@@ -106,11 +143,6 @@ def quarantine(rejected: DataFrame, table: str, batch: str) -> DataFrame:
     return rejected.select(F.lit(batch).alias("batch_id"), F.lit(table).alias("table"), F.to_json(F.struct(*fields)).alias("payload"), F.array_join("failed_rules", ",").alias("failed_rules"), F.lit("pending_repair").alias("status"))
 
 
-def capped(existing: int, rows: DataFrame, most: int, order: Sequence[str]) -> DataFrame:
-    """New quarantine rows as far as the sink's declared capacity goes; the rest is refused by the sink."""
-    return rows.orderBy(*order).limit(max(0, most - existing))
-
-
 def marked(sink: DataFrame, fixed: DataFrame, keys: Sequence[str], status: str) -> DataFrame:
     """The sink with the status of some rows changed."""
     joined = sink.join(fixed.select(*keys).distinct().withColumn("_hit", F.lit(True)), list(keys), "left")
