@@ -23,6 +23,27 @@ def last_bars(bars: DataFrame, n: int, before: Column | None = None, time: str =
     return known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def last_bars_by_table(tables: Mapping[str, DataFrame], codes: DataFrame, n: int, at: Column, columns: Sequence[str], proxies: Mapping[str, str] | None = None, proxy_table: str = "", time: str = "dt") -> DataFrame:
+    """The last n bars of each code (code) at or before a time, from the first table that has any.
+
+    Tables take precedence in their order.  A code that none of them has gets
+    the bars of its proxy in ``proxy_table`` under its own name.  ``table`` tells
+    where the bars are from.  Order within a code is table, then latest time, so
+    one exchange serves both choices and each group is limited before it.
+    """
+    wanted = codes.select("code").distinct()
+    parts = [df.select(*columns).withColumns({"table": F.lit(name), "_rank": F.lit(i)}) for i, (name, df) in enumerate(tables.items())]
+    if proxies:
+        names = F.explode(F.filter(F.array(*[F.struct(F.lit(own).alias("own"), F.lit(proxy).alias("proxy")) for own, proxy in sorted(proxies.items())]), lambda p: p["proxy"] == F.col("code")))
+        under = tables[proxy_table].where(F.col("code").isin(*sorted(set(proxies.values())))).select(*columns, names.alias("_p")).withColumn("code", F.col("_p.own")).drop("_p")
+        parts.append(under.withColumns({"table": F.lit(f"{proxy_table} as proxy"), "_rank": F.lit(len(tables))}))
+    known = reduce(DataFrame.unionByName, parts).where(F.col(time) <= at).join(wanted, "code", "left_semi")
+    w = Window.partitionBy("code").orderBy("_rank", F.desc(time))
+    top = known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    first = F.min("_rank").over(Window.partitionBy("code"))
+    return top.withColumn("_first", first).where("_rank = _first").select(*columns, "table")
+
+
 def price_view(bars: DataFrame, fq: str, columns: Sequence[str] = ("open", "high", "low", "close"), by: str = "code") -> DataFrame:
     """Raw, front- or back-adjusted prices under the plain names.
 
@@ -48,6 +69,39 @@ def session_minutes(minutes: DataFrame, cutoff: int | None = None, exclusive: in
     return out if cutoff is None else out.where(F.col("minute") <= cutoff - exclusive)
 
 
+#: What a request for minute bars may lack.  Fixed values.
+NO_TABLE, NO_ROWS, NO_FREQUENCY = "TABLE_MISSING", "TABLE_EMPTY", "FREQ_NOT_IN_TABLE"
+
+
+def frequency_gaps(minutes: DataFrame, requests: DataFrame, freq: str) -> DataFrame:
+    """(code, table, error, available) of requests (code, table) that have no bars of a frequency.
+
+    A request without a table has the error that there is none; one without
+    any bars, that it is empty; one with bars of other frequencies lists these.
+    """
+    label = FREQUENCIES[freq]
+    held = minutes.groupBy("code").agg(F.array_sort(F.collect_set("freq")).alias("available"))
+    got = requests.join(held, "code", "left")
+    error = F.when(F.col("table").isNull(), NO_TABLE).when(F.col("available").isNull(), NO_ROWS).when(~F.array_contains("available", label), NO_FREQUENCY)
+    listed = F.when(error == NO_FREQUENCY, F.array_join("available", ","))
+    return got.select("code", "table", error.alias("error"), listed.alias("available")).where("error IS NOT NULL")
+
+
+def minute_range(minutes: DataFrame, requests: DataFrame, freq: str, days: DataFrame, start: Column, end: Column, cutoff: int | None = None, fq: str = "none", columns: Sequence[str] = ("open", "high", "low", "close")) -> DataFrame:
+    """Bars of one stored frequency, inside the sessions of the calendar's days (dt) from start to end, up to a minute of the last day.
+
+    Requests (code, table) without a table have no bars; see ``frequency_gaps``
+    for these.  Prices are those of the view ``fq``.
+    """
+    inside = in_session(F.col("minute")) & F.col("dt").between(start, end) & (F.col("freq") == FREQUENCIES[freq])
+    if cutoff is not None:
+        inside = inside & ((F.col("dt") < end) | (F.col("minute") <= cutoff))
+    wanted = requests.where("table IS NOT NULL").select("code").distinct()
+    open_ = days.where(F.col("dt").between(start, end)).select("dt").distinct()
+    found = minutes.where(inside).join(F.broadcast(open_), "dt", "left_semi").join(wanted, "code", "left_semi")  # a row per trading day of the range
+    return price_view(found, fq, columns)
+
+
 def expected_minutes(days: DataFrame, day: str = "dt") -> DataFrame:
     """241 expected times of each day: 09:30 and the two sessions."""
     times = F.concat(F.array(F.lit(570)), F.sequence(F.lit(MORNING[0]), F.lit(MORNING[1])), F.sequence(F.lit(AFTERNOON[0]), F.lit(AFTERNOON[1])))

@@ -41,6 +41,32 @@ def p1(spark, sf):
     return shown(pit.price_view(front(spark, sf, last), "pre"), "close")
 
 
+#: Which codes the tables have, what they add to a close, and which code stands in for which.
+HELD = {"stock": ("code::INTEGER % 3 = 0", 0), "fund": ("code::INTEGER % 3 < 2", 1), "index": ("code::INTEGER % 5 < 3", 2)}
+PROXIES = {f"{c:06d}": f"{c % 10 + 1:06d}" for c in range(101) if c % 3 == 2 and c % 5 >= 3}
+BY_TABLE = " UNION ALL ".join(f"SELECT code, dt, close + {add} AS close, CASE WHEN code::INTEGER % 7 > 0 AND k % 13 > 0 THEN (close + {add}) * 2 END AS close_front, '{name}' AS \"table\", {i} AS r FROM bars WHERE {where}" for i, (name, (where, add)) in enumerate(HELD.items()))
+STAND_IN = " UNION ALL ".join(f"SELECT '{own}' AS own, '{proxy}' AS proxy" for own, proxy in PROXIES.items())
+PRECEDENCE = {
+    "pt": BY_TABLE,
+    "px": STAND_IN,
+    "pa": "SELECT * FROM pt UNION ALL SELECT own, dt, close, close_front, 'fund as proxy', 3 FROM pt JOIN px ON code = proxy WHERE r = 1 AND own IN (SELECT code FROM bars)",
+    "pw": f"SELECT *, min(r) OVER (PARTITION BY code) AS best FROM pa WHERE dt <= DATE '{AT}'",
+    "pn": "SELECT * FROM pw WHERE r = best QUALIFY row_number() OVER (PARTITION BY code ORDER BY dt DESC) <= 30",
+}
+
+
+@query("P1_precedence", oracle(f"SELECT code, dt::VARCHAR AS dt, {rsql(VIEWED)} AS close, \"table\" FROM pn", "bars", **PRECEDENCE))
+def p1_precedence(spark, sf):
+    """The first of three tables that has a code by the day, a stand-in for codes that none has, and front-adjusted prices."""
+    tables = {}
+    for name, (where, add) in HELD.items():
+        front_ = F.when((number() % 7 > 0) & (C("k") % 13 > 0), (C("close") + add) * 2)
+        tables[name] = bars(spark, sf).where(where.replace("code::INTEGER", "cast(code AS int)")).select("code", "dt", (C("close") + add).alias("close"), front_.alias("close_front"))
+    codes = bars(spark, sf).select("code").distinct()
+    last = pit.last_bars_by_table(tables, codes, 30, at_day(), ["code", "dt", "close", "close_front"], PROXIES, "fund")
+    return shown(pit.price_view(last, "pre", ["close"]), "close", "table")
+
+
 @query("P2_last_n_one_code", oracle(shown_sql("(SELECT * FROM bars WHERE code = '000007' ORDER BY dt DESC LIMIT 20)", "close"), "bars"))
 def p2(spark, sf):
     return shown(pit.last_bars(bars(spark, sf).where("code = '000007'"), 20), "close")
@@ -72,6 +98,37 @@ def p6(spark, sf):
     return pit.session_minutes(minutes(spark, sf), 840).select("code", "time_ms", rnd("close").alias("close"))
 
 
+#: Stored frequencies, and the tables of the requested codes.
+FREQ_SQL = "SELECT *, make_timestamp(time_ms * 1000)::DATE AS dt, CASE WHEN code::INTEGER % 4 = 0 THEN '5min' ELSE '1min' END AS freq, CASE WHEN code::INTEGER % 6 > 0 THEN close * 2 END AS close_front FROM minutes WHERE code::INTEGER % 9 <> 4"
+ASKED_SQL = "SELECT DISTINCT code, CASE WHEN code::INTEGER % 10 = 7 THEN NULL WHEN code::INTEGER % 2 = 0 THEN 'stock' ELSE 'fund' END AS \"table\" FROM minutes"
+
+
+def framed(spark, sf):
+    m = minutes(spark, sf)
+    own = C("code").cast("int")
+    asked = m.select("code", F.when(own % 10 == 7, None).when(own % 2 == 0, "stock").otherwise("fund").alias("table")).distinct()
+    rows = m.where(own % 9 != 4).withColumns({"dt": F.timestamp_millis("time_ms").cast("date"), "freq": F.when(own % 4 == 0, "5min").otherwise("1min"), "close_front": F.when(own % 6 > 0, C("close") * 2)})
+    return rows, asked
+
+
+@query("P6_frequency_gaps", oracle("SELECT a.code, a.\"table\", CASE WHEN a.\"table\" IS NULL THEN 'TABLE_MISSING' WHEN h.f IS NULL THEN 'TABLE_EMPTY' ELSE 'FREQ_NOT_IN_TABLE' END AS error, CASE WHEN a.\"table\" IS NOT NULL AND h.f IS NOT NULL THEN h.f END AS available"
+    " FROM a LEFT JOIN (SELECT code, min(freq) AS f FROM fm GROUP BY code) h USING (code) WHERE a.\"table\" IS NULL OR h.f IS NULL OR h.f <> '1min'", "minutes", fm=FREQ_SQL, a=ASKED_SQL))
+def p6_gaps(spark, sf):
+    return pit.frequency_gaps(*framed(spark, sf), "1m")
+
+
+MINUTE_DAYS = "SELECT DISTINCT dt FROM fm WHERE day(dt) % 5 <> 0"
+
+
+@query("P6_minute_view", oracle(f"SELECT code, time_ms, {rsql(VIEWED)} AS close FROM (SELECT fm.* FROM fm JOIN a USING (code) JOIN (SELECT min(dt) + 2 AS s, max(dt) - 3 AS e FROM fm) ON dt BETWEEN s AND e WHERE {SESSION} AND freq = '1min' AND a.\"table\" IS NOT NULL AND dt IN (SELECT dt FROM dd) AND (dt < e OR minute <= 800))", "minutes", fm=FREQ_SQL, a=ASKED_SQL, dd=MINUTE_DAYS))
+def p6_view(spark, sf):
+    rows, asked = framed(spark, sf)
+    days = rows.where(F.day("dt") % 5 != 0).select("dt").distinct()
+    first, last = rows.agg(F.date_add(F.min("dt"), 2), F.date_sub(F.max("dt"), 3)).first()
+    got = pit.minute_range(rows, asked, "1m", days, F.lit(first), F.lit(last), 800, "pre", ["close"])
+    return got.select("code", "time_ms", rnd("close").alias("close"))
+
+
 @query("P7_last_n_minutes", oracle(f"SELECT code, time_ms, {rsql('close')} AS close FROM minutes WHERE {SESSION} QUALIFY row_number() OVER (PARTITION BY code ORDER BY time_ms DESC) <= 5", "minutes"))
 def p7(spark, sf):
     return pit.last_bars(pit.session_minutes(minutes(spark, sf)), 5, time="time_ms").select("code", "time_ms", rnd("close").alias("close"))
