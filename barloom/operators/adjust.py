@@ -20,10 +20,17 @@ def anchors(factors: DataFrame) -> DataFrame:
     return factors.groupBy("code").agg(F.max_by("adj_factor", "dt").alias("latest"), F.min_by("adj_factor", "dt").alias("earliest"))
 
 
-def adjust(bars: DataFrame, factors: DataFrame, columns: Sequence[str] = PRICES) -> DataFrame:
-    """Front- and back-adjusted prices; a row without a factor has none."""
+def adjust(bars: DataFrame, factors: DataFrame, columns: Sequence[str] = PRICES, strict: bool = False) -> DataFrame:
+    """Front- and back-adjusted prices; a row without a factor has none.
+
+    With ``strict``, a row of a code without any factor is an error when it is
+    read; ``lacking_anchors`` lists such codes beforehand.
+    """
     day = factors.groupBy("code", "dt").agg(F.max_by("adj_factor", "time").alias("adj_factor"))
     joined = bars.join(day, ["code", "dt"], "left").join(anchors(factors), "code", "left")
+    if strict:
+        told = F.raise_error(F.concat(F.lit("no factor at all for "), F.col("code"))).cast("double")
+        joined = joined.withColumn("latest", F.when(F.col("latest").isNull(), told).otherwise(F.col("latest")))
     sides = {f"{c}_front": F.col(c) * F.col("adj_factor") / F.col("latest") for c in columns} | {f"{c}_back": F.col(c) * F.col("adj_factor") / F.col("earliest") for c in columns}
     return joined.withColumns(sides)
 
@@ -129,6 +136,39 @@ def segment_ranges(segmented: DataFrame) -> DataFrame:
     return per.withColumn("end_day", F.lead("start_day").over(Window.partitionBy("code").orderBy("segment")))
 
 
+def segment_refusals(stored: DataFrame, staged: DataFrame, value: str = "value", tolerance: float = 5e-4, several: bool = False) -> DataFrame:
+    """(code, reason): codes whose ratios of staged to stored values must not be applied, with the first reason that holds.
+
+    ``gap``: a stored day between the first and last common day is not staged.
+    ``bad_value``: a value of a common day is missing, not finite or not
+    positive.  ``dispersion``: the ratios of a segment lie further apart than
+    the tolerance.  ``several``: more than one segment changes anything, unless
+    that is allowed.  Codes without a common day have no ratios and no refusal.
+    """
+    a, b = (df.select("code", "dt", F.col(value).cast("double").alias(n), F.lit(True).alias(f"_{n}")) for df, n in ((stored, "old"), (staged, "new")))
+    both = a.join(b, ["code", "dt"], "full")
+    common = F.col("_old") & F.col("_new")
+    span = both.groupBy("code").agg(F.min(F.when(common, F.col("dt"))).alias("_from"), F.max(F.when(common, F.col("dt"))).alias("_to"))
+    good = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")) & ~F.isnan(c), F.lit(False))
+    inside = both.join(span.where("_from IS NOT NULL"), "code").where(F.col("dt").between(F.col("_from"), F.col("_to")))
+    marks = inside.groupBy("code").agg(F.count_if(F.col("_old") & F.col("_new").isNull()).alias("gaps"), F.count_if(F.coalesce(common, F.lit(False)) & ~(good("old") & good("new"))).alias("bad"))
+    ratios = inside.where(common & good("old") & good("new")).select("code", "dt", (F.col("new") / F.col("old")).alias("ratio"))
+    per = segment_ranges(segments(ratios, tolerance)).groupBy("code").agg(F.max("dispersion").alias("wide"), F.count_if(F.abs(F.col("ratio") - 1) > tolerance).alias("changing"))
+    reason = F.when(F.col("gaps") > 0, "gap").when(F.col("bad") > 0, "bad_value").when(F.col("wide") > tolerance, "dispersion")
+    if not several:
+        reason = reason.when(F.col("changing") > 1, "several")
+    return marks.join(per, "code", "left").select("code", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def lacking_anchors(bars: DataFrame, factors: DataFrame) -> DataFrame:
+    """(code, reason): codes with bars that have no factor, or none on some of their days, so that their adjusted sides cannot be made."""
+    f = factors.where("adj_factor IS NOT NULL").select("code", "dt", F.lit(True).alias("_f"))
+    per = bars.select("code", "dt").join(f, ["code", "dt"], "left").groupBy("code").agg(F.count("_f").alias("_with"), F.count("*").alias("_all"))
+    known = f.select("code").distinct().withColumn("_any", F.lit(True))
+    reason = F.when(F.col("_any").isNull(), "no_anchor").when(F.col("_with") < F.col("_all"), "no_factor")
+    return per.join(known, "code", "left").select("code", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def apply_segments(rows: DataFrame, ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Multiplies columns by the ratio of the segment a row falls in; a missing value stays missing."""
     r = ranges.select("code", F.col("start_day"), F.struct("ratio", "end_day").alias("s"))

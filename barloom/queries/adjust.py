@@ -169,6 +169,32 @@ def a16(spark, sf):
     return made.select("code", "segment", C("start_day").cast("string").alias("start_day"), rnd("ratio").alias("ratio"), rnd("dispersion", 8).alias("dispersion"), "n")
 
 
+#: Staged values by kind of code: a missing day, a bad value, ratios too far apart, two changes, one change, none.
+STAGED = """SELECT code, dt, CASE n6 WHEN 1 THEN CASE WHEN day(dt) = 5 THEN 'NaN'::DOUBLE WHEN day(dt) = 6 THEN -f WHEN day(dt) = 7 THEN NULL ELSE f END WHEN 2 THEN f * CASE WHEN rn = 1 THEN 1 WHEN rn % 2 = 0 THEN 1.0004 ELSE 0.9996 END
+    WHEN 3 THEN f * CASE WHEN rn * 2 <= n THEN 1.2 ELSE 1.5 END WHEN 4 THEN f * 1.3 ELSE f END AS v FROM (SELECT code, dt, adj_factor AS f, code::INTEGER % 6 AS n6, row_number() OVER (PARTITION BY code ORDER BY dt) AS rn, count(*) OVER (PARTITION BY code) AS n FROM factors) WHERE n6 > 0 OR day(dt) <> 9"""
+SEGMENT_REFUSALS = """SELECT code, CASE WHEN gaps > 0 THEN 'gap' WHEN bad > 0 THEN 'bad_value' WHEN wide > 0.05 THEN 'several' ELSE 'dispersion' END AS reason FROM (
+    SELECT f.code, count(*) FILTER (g.code IS NULL AND f.dt BETWEEN s.a AND s.z) AS gaps, count(*) FILTER (g.code IS NOT NULL AND NOT coalesce(g.v > 0 AND NOT isnan(g.v), false)) AS bad,
+    max(g.v / f.adj_factor) FILTER (g.v > 0 AND NOT isnan(g.v)) / min(g.v / f.adj_factor) FILTER (g.v > 0 AND NOT isnan(g.v)) - 1 AS wide
+    FROM factors f LEFT JOIN st g ON g.code = f.code AND g.dt = f.dt JOIN (SELECT code, min(dt) AS a, max(dt) AS z FROM st GROUP BY code) s ON s.code = f.code GROUP BY f.code) WHERE gaps > 0 OR bad > 0 OR wide > 5e-4"""
+
+
+@query("A16_refusals", oracle(SEGMENT_REFUSALS, "factors", st=STAGED))
+def a16_refusals(spark, sf):
+    f = factors(spark, sf).select("code", "dt", C("adj_factor").alias("value"))
+    kind, w = number() % 6, Window.partitionBy("code")
+    rn, n, day = F.row_number().over(w.orderBy("dt")), F.count("*").over(w), F.day("dt")
+    bad = F.when(day == 5, float("nan")).when(day == 6, -C("value")).when(day == 7, None).otherwise(C("value"))
+    wide = C("value") * F.when(rn == 1, 1.0).when(rn % 2 == 0, 1.0004).otherwise(0.9996)
+    two = C("value") * F.when(rn * 2 <= n, 1.2).otherwise(1.5)
+    staged = f.withColumn("value", F.when(kind == 1, bad).when(kind == 2, wide).when(kind == 3, two).when(kind == 4, C("value") * 1.3).otherwise(C("value")))
+    return a.segment_refusals(f, staged.where((kind > 0) | (day != 9)))
+
+
+@query("A2_refusals", oracle("SELECT code, CASE WHEN n = 0 THEN 'no_anchor' ELSE 'no_factor' END AS reason FROM (SELECT b.code, count(f.dt) AS n, count(*) AS m FROM bars b LEFT JOIN (SELECT * FROM factors WHERE code::INTEGER % 4 > 0) f ON f.code = b.code AND f.dt = b.dt GROUP BY 1) f WHERE n < m", "bars", "factors"))
+def a2_refusals(spark, sf):
+    return a.lacking_anchors(bars(spark, sf), factors(spark, sf).where(number() % 4 > 0))
+
+
 @query("A17_unexplained", o("SELECT code, start_day::VARCHAR AS start_day FROM ranges WHERE segment > 0 AND NOT EXISTS (SELECT 1 FROM dividends d WHERE d.code = ranges.code AND d.ex_day = start_day)", "noisy", views=("bars", "factors", "dividends"), recursive=True, **SEG))
 def a17(spark, sf):
     made = a.segment_ranges(a.segments(noisy(spark, sf))).where("segment > 0").select("code", "start_day")

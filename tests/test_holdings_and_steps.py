@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barloom.operators import affine, results
+from barloom.operators import adjust, affine, results
 from barloom.operators import validate as v
 
 
@@ -49,3 +49,23 @@ def test_averages_in_two_levels(spark, n):
 def test_a_day_before_all_days_is_no_date(spark):
     rows = spark.createDataFrame([(-5,), (0,), (1,), (5 * 10**12,), (None,)], "time long")
     assert [r.bad for r in rows.select(v.bar_rules()["DateValid"].alias("bad")).collect()] == [True, True, False, True, True]
+
+
+def test_ratios_that_must_not_be_applied(spark):
+    days = [f"2020-01-{d:02d}" for d in range(1, 11)]
+    stored = {c: [1.0] * 10 for c in "ABCDEFG"}
+    staged = {"A": [1.0] * 10, "B": [1.0] * 4 + [None] + [1.0] * 5, "C": [1.2] * 5 + [1.5] * 5, "D": [1.0, 1.0004, 0.9996] + [1.0] * 7, "E": [1.2] * 10, "F": [float("nan")] + [1.0] * 9, "G": []}
+    rows = lambda of: spark.createDataFrame([(c, d, v) for c, vs in of.items() for d, v in zip(days, vs, strict=False)], "code string, dt string, value double").selectExpr("code", "CAST(dt AS date) AS dt", "value")
+    new = rows(staged).where("NOT (code = 'A' AND dt = '2020-01-05')")  # a gap within the span; days after it are none
+    got = {r.code: r.reason for r in adjust.segment_refusals(rows(stored), new).collect()}
+    assert got == {"A": "gap", "B": "bad_value", "C": "several", "D": "dispersion", "F": "bad_value"}
+    assert {r.code for r in adjust.segment_refusals(rows(stored), new, several=True).collect()} == {"A", "B", "D", "F"}
+
+
+def test_no_factor_at_all_is_an_error_in_strict_mode(spark):
+    bars = spark.createDataFrame([("A", 1, 2.0), ("B", 1, 2.0), ("A", 2, 2.0)], "code string, dt int, close double")
+    factors = spark.createDataFrame([("A", 1, 1, 1.5)], "code string, dt int, time int, adj_factor double")
+    assert {(r.code, r.reason) for r in adjust.lacking_anchors(bars, factors).collect()} == {("A", "no_factor"), ("B", "no_anchor")}
+    assert adjust.adjust(bars, factors, ["close"]).where("close_front IS NULL").count() == 2
+    with pytest.raises(Exception, match="no factor at all for B"):
+        adjust.adjust(bars, factors, ["close"], strict=True).collect()
