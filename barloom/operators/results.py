@@ -51,16 +51,32 @@ def stamp_rate(day: Column) -> Column:
     return F.when(day >= F.lit(STAMP_CHANGE).cast("date"), STAMP_AFTER).otherwise(STAMP_BEFORE)
 
 
-def trade_cost(price: Column, volume: Column, action: Column, day: Column, slip: float = 0.002) -> dict[str, Column]:
-    """Filled price with half the slip to either side, rounded to cents, and the fees on it."""
+def trade_cost(price: Column, volume: Column, action: Column, day: Column, slip: float = 0.002, ticks: int | None = None, tick: float = 0.01, decimals: int = 2) -> dict[str, Column]:
+    """Filled price and the fees on it.
+
+    The price moves against the trade by half the slip, or by a number of ticks
+    where one is given, and is rounded.
+    """
     buy = action == "buy"
-    filled = F.round(price * F.when(buy, 1 + slip / 2).otherwise(1 - slip / 2) + 1e-9, 2)
+    moved = price * F.when(buy, 1 + slip / 2).otherwise(1 - slip / 2) if ticks is None else price + F.when(buy, ticks * tick).otherwise(-ticks * tick)
+    filled = F.round(moved + 1e-9, decimals)
     notional = filled * volume
     commission = F.greatest(notional * COMMISSION, F.lit(LEAST_COMMISSION))
     stamp = F.when(buy, 0.0).otherwise(notional * stamp_rate(day))
     return {"filled": filled, "fee": commission + stamp + notional * TRANSFER}
 
 
+def trade_table(trades: DataFrame) -> DataFrame:
+    """Trades as they are handed out: amount is price times volume."""
+    return trades.withColumn("amount", F.col("price") * F.col("volume"))
+
+
+def daily_table(curve: DataFrame, value: str, day: str = "dt", by: Sequence[str] = ()) -> DataFrame:
+    """Values with their daily return, 0 on the first day (of each key): a row per day."""
+    w = Window.partitionBy(*by).orderBy(day)
+    return curve.select(*by, day, value).withColumn("daily_return", F.coalesce(F.col(value) / F.lag(value).over(w) - 1, F.lit(0.0)))
+
+
 def round_trips(trades: DataFrame, order: Sequence[str]) -> DataFrame:
     """Each sell with its code's earliest buy that is open then; order tells the sequence within a day.
 

@@ -60,6 +60,39 @@ def off_grid(time: str, minutes: int) -> Column:
     return F.coalesce(F.pmod(F.col(time), F.lit(minutes * 60000)) != 0, F.lit(False))
 
 
+#: Stored frequencies of minute tables with their minutes.  Fixed values.
+MINUTE_LABELS = {"1min": 1, "5min": 5, "15min": 15, "30min": 30, "60min": 60}
+
+
+def frequency_rules(columns: Sequence[str], freq: str = "freq", time: str = "time", expected: str | None = None) -> dict[str, Column]:
+    """Rules of a minute row's frequency: its column is missing, its label is none, it is another than expected, its time is off its own grid."""
+    if freq not in columns:
+        return {"FrequencyMissing": F.lit(True)}
+    minutes = F.lit(None).cast("int")
+    for label, n in MINUTE_LABELS.items():
+        minutes = F.when(F.col(freq) == label, n).otherwise(minutes)
+    rules = {"FrequencyInvalid": minutes.isNull()}
+    if expected is not None:
+        rules["FrequencyMismatch"] = minutes.isNotNull() & (F.col(freq) != expected)
+    if time in columns:
+        rules["FrequencyGrid"] = F.coalesce(F.pmod(F.col(time).try_cast("bigint"), minutes.cast("long") * 60000) != 0, F.lit(False))
+    return rules
+
+
+def side_rules(side: str, columns: Sequence[str]) -> dict[str, Column]:
+    """Rules of one adjusted side of a bar (open, high, low, close with the side's suffix); a column that is not there has no values.
+
+    Incomplete: one to three of the four have a value.  Of complete ones: not
+    positive, or else the bar's relation is broken.
+    """
+    o, h, low, c = (F.col(f"{n}_{side}") if f"{n}_{side}" in columns else F.lit(None).cast("double") for n in ("open", "high", "low", "close"))
+    have = reduce(lambda a, b: a + b, [(x.isNotNull() & ~F.isnan(x)).cast("int") for x in (o, h, low, c)])
+    full = have == 4
+    positive = F.least(o, h, low, c) > 0
+    broken = (h < F.greatest(o, low, c) - 1e-9) | (low > F.least(o, h, c) + 1e-9)
+    return {"AdjustmentCompleteness": have.between(1, 3), "AdjustmentPositive": full & ~positive, "AdjustmentOHLC": full & positive & broken}
+
+
 def bad_side(columns: Sequence[str]) -> dict[str, Column]:
     """Rules of one adjusted side: incomplete, not positive."""
     n = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns])
@@ -144,10 +177,11 @@ def conservation(ledger: DataFrame) -> DataFrame:
     return ledger.where((F.col("aligned") != F.col("passed") + F.col("rejected") + F.col("fixed")) | (F.col("written") > F.col("passed")))
 
 
-def worst(rows: DataFrame, by: str, status: str, order: Sequence[str], out: str) -> DataFrame:
-    """The worst status of each key, the first of the order being the worst."""
+def worst(rows: DataFrame, by: str, status: str, order: Sequence[str], out: str, keys: DataFrame | None = None, none: str = "no_data") -> DataFrame:
+    """The worst status of each key, the first of the order being the worst; of given keys those without any row have ``none``."""
     place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(status))
-    return rows.groupBy(by).agg(F.element_at(F.array(*[F.lit(s) for s in order]), F.min(place).cast("int")).alias(out))
+    got = rows.groupBy(by).agg(F.element_at(F.array(*[F.lit(s) for s in order]), F.min(place).cast("int")).alias(out))
+    return got if keys is None else keys.select(by).distinct().join(got, by, "left").withColumn(out, F.coalesce(out, F.lit(none)))
 
 
 def profile(tables: Mapping[str, DataFrame], times: Mapping[str, str], marks: DataFrame | None = None) -> DataFrame:

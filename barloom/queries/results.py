@@ -123,6 +123,14 @@ def m15(spark, sf):
     return costed(spark, sf).groupBy("code", "action").agg(F.count("*").alias("n"), rnd(F.sum("fee"), 2).alias("fee"), rnd(F.sum("amount"), 2).alias("amount"))
 
 
+@query("M15_tick_slip", oracle(f"SELECT code, action, count(*) AS n, {rsql('sum(filled)', 2)} AS filled, {rsql('sum(greatest(filled * volume * 0.00025, 5) + filled * volume * 0.00001)', 2)} AS fee_without_stamp FROM (SELECT *, round(price + CASE WHEN action = 'buy' THEN 0.03 ELSE -0.03 END::DOUBLE + 1e-9, 2) AS filled FROM trades) GROUP BY 1, 2", "trades"))
+def m15_ticks(spark, sf):
+    t = trades(spark, sf)
+    made = r.trade_cost(C("price"), C("volume"), C("action"), C("dt"), ticks=3)
+    t = t.withColumns(made).withColumn("free", C("fee") - F.when(C("action") == "buy", 0.0).otherwise(C("filled") * C("volume") * r.stamp_rate(C("dt"))))
+    return t.groupBy("code", "action").agg(F.count("*").alias("n"), rnd(F.sum("filled"), 2).alias("filled"), rnd(F.sum("free"), 2).alias("fee_without_stamp"))
+
+
 @query("M16_stamp_rate", oracle("SELECT dt::VARCHAR AS dt, CASE WHEN dt + 10000 >= DATE '2023-08-28' THEN 0.0005::DOUBLE ELSE 0.001::DOUBLE END AS rate FROM (SELECT DISTINCT dt FROM bars)", "bars"))
 def m16(spark, sf):
     return bars(spark, sf).select("dt").distinct().select(C("dt").cast("string").alias("dt"), r.stamp_rate(F.date_add("dt", 10000)).alias("rate"))

@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import results
 from ..operators import validate as v
 from ..operators.indicators import S
 from ..operators.joins import next_in_calendar
-from ..plans.views import bars, dirty_bars, factors, oracle, status_events, trades, valuation
+from ..plans.views import bars, dirty_bars, factors, nav, oracle, status_events, trades, valuation
 from ..sources import manifest as m
 from ..sources import quarantine
 from ..sources import storage as s
@@ -162,6 +163,23 @@ def s11(spark, sf):
     return shown(spark.read.schema("code string, dt date, daily_return double").option("header", "true").csv(path), "daily_return")
 
 
+@query("S11_trades_out", oracle(f"SELECT code, dt::VARCHAR AS dt, action, count(*) AS n, {rsql('sum(price * volume)', 2)} AS amount FROM trades GROUP BY 1, 2, 3", "trades"))
+def s11_trades(spark, sf):
+    path = s.shared_path(spark, "results")
+    made = results.trade_table(trades(spark, sf).select("code", "dt", "action", "price", "volume"))
+    made.write.option("header", "true").csv(path)
+    got = spark.read.schema("code string, dt string, action string, price double, volume double, amount double").option("header", "true").csv(path)
+    return got.groupBy("code", "dt", "action").agg(F.count("*").alias("n"), rnd(F.sum("amount"), 2).alias("amount"))
+
+
+@query("S11_benchmark_out", oracle(f"SELECT dt::VARCHAR AS dt, {rsql('bench')} AS bench, {rsql('coalesce(bench / lag(bench) OVER (ORDER BY dt) - 1, 0)')} AS daily_return FROM nav", "nav"))
+def s11_benchmark(spark, sf):
+    path = s.shared_path(spark, "results")
+    results.daily_table(nav(spark, sf), "bench").write.option("header", "true").csv(path)
+    got = spark.read.schema("dt string, bench double, daily_return double").option("header", "true").csv(path)
+    return got.select("dt", rnd("bench").alias("bench"), rnd("daily_return").alias("daily_return"))
+
+
 def rejected(spark, sf):
     return v.split(v.judge(dirty_bars(spark, sf), v.bar_rules()))[1]
 

@@ -58,6 +58,41 @@ rule("V9_enum_range", lambda: v.not_in("data_source", ["beta"]) & v.below("volum
 counted("V10_frequency", "minutes", minutes, lambda: {"grid1": v.off_grid("time_ms", 1), "grid5": v.off_grid("time_ms", 5), "grid30": v.off_grid("time_ms", 30)}, {"grid1": "time_ms % 60000 <> 0", "grid5": "time_ms % 300000 <> 0", "grid30": "time_ms % 1800000 <> 0"})
 
 
+#: Labels by code: one that is none, another than expected, and expected ones, of which some times are off the grid.
+LABELLED = "SELECT *, CASE code::INTEGER % 5 WHEN 0 THEN '7min' WHEN 1 THEN NULL WHEN 2 THEN '1min' ELSE '5min' END AS freq FROM minutes"
+
+
+@query("V10_frequency_labels", oracle("SELECT count(*) AS missing, count(*) FILTER (freq IS NULL OR freq = '7min') AS invalid, count(*) FILTER (freq = '1min') AS mismatch, count(*) FILTER (time_ms % CASE freq WHEN '1min' THEN 60000 WHEN '5min' THEN 300000 END <> 0) AS grid FROM lb", "minutes", lb=LABELLED))
+def v10_labels(spark, sf):
+    own = C("code").cast("int") % 5
+    rows = minutes(spark, sf).withColumn("freq", F.when(own == 0, "7min").when(own == 1, None).when(own == 2, "1min").otherwise("5min"))
+    rules = v.frequency_rules(rows.columns, "freq", "time_ms", "5min")
+    without = v.frequency_rules(["code", "time_ms"])["FrequencyMissing"]
+    return rows.agg(F.count_if(without).alias("missing"), *[F.count_if(rules[f"Frequency{k.capitalize()}"]).alias(k) for k in ("invalid", "mismatch", "grid")])
+
+
+#: Adjusted sides with each kind of fault by day.
+SIDED = """SELECT CASE WHEN d = 5 THEN NULL ELSE open END AS open_front, CASE WHEN d = 6 THEN low - 1 ELSE high END AS high_front, CASE WHEN d = 7 THEN -low ELSE low END AS low_front, CASE WHEN d = 8 THEN NULL ELSE close END AS close_front,
+    CASE WHEN d IN (8, 9) THEN NULL ELSE open END AS open_back, CASE WHEN d IN (8, 9) THEN NULL ELSE high END AS high_back, CASE WHEN d = 9 THEN NULL WHEN d = 8 THEN NULL WHEN d = 10 THEN high + 1 ELSE low END AS low_back, CASE WHEN d = 8 THEN NULL ELSE close END AS close_back
+    FROM (SELECT *, day(dt) AS d FROM bars)"""
+SIDE_SQL = " UNION ALL ".join(f"SELECT '{s}' AS side, count(*) FILTER (n BETWEEN 1 AND 3) AS incomplete, count(*) FILTER (n = 4 AND least(o, h, l, c) <= 0) AS not_positive, count(*) FILTER (n = 4 AND least(o, h, l, c) > 0 AND (h < greatest(o, l, c) - 1e-9 OR l > least(o, h, c) + 1e-9)) AS relation FROM (SELECT open_{s} AS o, high_{s} AS h, low_{s} AS l, close_{s} AS c, (open_{s} IS NOT NULL)::INTEGER + (high_{s} IS NOT NULL)::INTEGER + (low_{s} IS NOT NULL)::INTEGER + (close_{s} IS NOT NULL)::INTEGER AS n FROM sd)" for s in ("front", "back"))
+
+
+@query("V11_side_rules", oracle(SIDE_SQL, "bars", sd=SIDED))
+def v11_sides(spark, sf):
+    d = F.day("dt")
+    none = lambda days, x: F.when(d.isin(*days), None).otherwise(x)
+    rows = bars(spark, sf).select(
+        none([5], C("open")).alias("open_front"), F.when(d == 6, C("low") - 1).otherwise(C("high")).alias("high_front"), F.when(d == 7, -C("low")).otherwise(C("low")).alias("low_front"), none([8], C("close")).alias("close_front"),
+        none([8, 9], C("open")).alias("open_back"), none([8, 9], C("high")).alias("high_back"), none([8, 9], F.when(d == 10, C("high") + 1).otherwise(C("low"))).alias("low_back"), none([8], C("close")).alias("close_back"),
+    )
+    parts = []
+    for side in ("front", "back"):
+        rules = v.side_rules(side, rows.columns)
+        parts.append(rows.agg(F.lit(side).alias("side"), *[F.count_if(F.coalesce(rules[f"Adjustment{k}"], F.lit(False))).alias(n) for k, n in (("Completeness", "incomplete"), ("Positive", "not_positive"), ("OHLC", "relation"))]))
+    return parts[0].unionByName(parts[1])
+
+
 @query("V11_adjusted_side", o("SELECT count(*) FILTER ((close_front IS NOT NULL)::INTEGER + (o IS NOT NULL)::INTEGER BETWEEN 1 AND 1) AS incomplete, count(*) FILTER (least(close_front, o) <= 0) AS not_positive FROM (SELECT f.close_front, a.open_front AS o FROM fresh f JOIN adj a ON a.code = f.code AND a.dt = f.dt)", "fresh"))
 def v11(spark, sf):
     rules = v.bad_side(["close_front", "open_front"])
@@ -328,6 +363,12 @@ def q28(spark, sf):
     return v.worst(dirty_bars(spark, sf).withColumn("s", status), "code", "s", ORDER, "status")
 
 
+@query("Q28_no_data", oracle("SELECT code, coalesce(status, 'no_data') AS status FROM (SELECT DISTINCT code FROM bars) LEFT JOIN (SELECT code, CASE WHEN bool_or(kind = 5) THEN 'download_failed' WHEN bool_or(kind = 1) THEN 'price_mismatch' ELSE 'admissible' END AS status FROM dirty_bars WHERE code < '000050' GROUP BY code) USING (code)", "bars", "dirty_bars"))
+def q28_none(spark, sf):
+    status = F.when(C("kind") == 5, ORDER[0]).when(C("kind") == 1, ORDER[1]).otherwise(ORDER[4])
+    return v.worst(dirty_bars(spark, sf).where("code < '000050'").withColumn("s", status), "code", "s", ORDER, "status", bars(spark, sf))
+
+
 CLEAN = "SELECT code, industry, from_day, to_day - 2 AS to_day, row_id FROM membership WHERE to_day - 2 >= from_day"
 
 
