@@ -19,7 +19,8 @@ Defined results: vectors that are null or hold a null, a NaN or an infinity take
 no part, nor do rows whose id is null.  A vector whose scores might not fit a
 long (scaled squares that add up to 2**62 or more) is refused with an error.  Shorter vectors count as padded with
 zeros, so an empty vector scores 0 with all.  A repeated row is a candidate of
-its own: only the query's own row is left out.  An empty table gives no rows.
+its own: only the query's own row is left out.  Further columns are not read,
+whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ inputs of a score.
 Defined results: null texts count as empty, and an empty text gets the score
 of its structure.  Without any labelled rows every score is 1.0, as nothing
 speaks against a text.  Rows with a null id are scored and count as not held
-out.  Equal texts get equal scores.  An empty table gives no rows.
+out.  Very long texts are scored whole.  Equal texts get equal scores, and
+repeated rows a row each.  Further columns are not read (``keep_good`` returns
+them), whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ No piece has a space mark behind another character, so all segmentations cut
 before each word; words are segmented one by one and a bounded cache remembers
 them.  Tokenizers are not trained: the model is a parameter.
 
-Defined results: a null text is empty and has no pieces.  Repeated rows each
-get a row.  An empty table gives no rows.
+Defined results: a null text is empty and has no pieces.  Very long texts are
+encoded whole.  Repeated rows each get a row, null ids too.  Further columns
+are not read, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

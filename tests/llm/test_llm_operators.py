@@ -655,6 +655,24 @@ def test_pipeline_stages(spark, sf):
 def test_pipeline_stages_on_odd_input(spark, odd, empty, sf):
     import corpus_pipeline as p
 
-    for _, stage in p.STAGES:
-        assert stage(spark, odd, sf).count() <= odd.count()
+    stages, whole = dict(p.STAGES), sorted(map(str, odd.collect()))
+    for stage in stages.values():
         assert stage(spark, empty, sf).count() == 0
+    texts = {i: t for i, t in enumerate(ODD)}
+    good = {r.doc_id: r.score for r in quality_fm.classify(odd, spark.read.parquet(f"{sf}/labels.parquet")).where("doc_id IS NOT NULL").collect()}
+    kept = stages["quality"](spark, odd, sf)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()} == {i for i, score in good.items() if score >= quality_fm.THRESHOLD}
+
+    due = brute_copies([texts[i] for i in sorted(texts)])
+    kept = stages["near_dedup"](spark, odd, sf)
+    of = [r.doc_id for r in kept.collect()]
+    assert kept.columns == odd.columns and set(of) == set(due) | {None} and of.count(3) == 2 * (3 in due) and of.count(None) == 1
+
+    cleaned = stages["pii"](spark, odd, sf)
+    assert cleaned.columns == odd.columns and sorted(r.doc_id or -1 for r in cleaned.collect()) == sorted(r.doc_id or -1 for r in odd.collect())
+    assert {(r.doc_id, r.text) for r in cleaned.collect()} == {(r.doc_id, r.text) for r in odd.collect()}  # nothing personal in them
+
+    mixed = sorted(map(str, stages["mixing"](spark, odd, sf).collect()))
+    assert all(mixed.count(r) <= whole.count(r) for r in mixed)
+    encoded = stages["sentencepiece"](spark, odd, sf).collect()
+    assert len(encoded) == len(whole) and all(r.round_trip for r in encoded)
