@@ -83,7 +83,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 #: A sieve has 16 bits for each hash in it, up to so many in all.
-SIEVE_BITS = 1 << 27
+SIEVE_BITS = 1 << 24
 
 
 def positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -382,10 +382,8 @@ def step(n: int) -> int:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each set and each pair of size classes that it can be in, what similar sets of these classes have in common.
 
-    Two similar sets of n and m shingles share 4/9 (n + m) or more.  So what
-    weighs more than the larger one can miss is in both; and of what weighs over
-    a quarter of their difference at most three pieces differ, hence of four
-    hash classes of these one is equal in both.
+    Two similar sets of n and m shingles share 4/9 (n + m) or more, so what
+    weighs more than the larger one can miss is in both.
     """
     for batch in batches:
         out: list[tuple] = []
@@ -396,11 +394,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for high in [own] if low < own else range(own, own + STEPS + 1):
                     least, most = max(1, int(np.ceil(STEP**low))), int(np.ceil(STEP ** (high + 1))) - 1
                     must = [k[:2] for k in kinds if 9 * k[2] > 5 * most - 4 * least]
-                    some = [k[:2] for k in kinds if 18 * k[2] > most]
                     role = 2 if low == high else int(own == high)
-                    for piece in range(4):
-                        told = repr((low, high, must, piece, [k for k in some if k[0] % 4 == piece])).encode()
-                        out.append((key, role, np.uint64(xxhash.xxh3_64_intdigest(told)).astype(np.int64)))
+                    out.append((key, role, np.uint64(xxhash.xxh3_64_intdigest(repr((low, high, must)).encode())).astype(np.int64)))
         keys, roles, signs = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int32()), pa.array(signs, pa.int64())], names=["key", "role", "sign"])
 
@@ -409,11 +404,11 @@ def refined(left: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch
     """The rows of large groups in groups by what the sets must have in common beyond the shingle under which they met.
 
     Shingles that the same sets have (a passage's) are one kind, as heavy as
-    they are many; a set is described by its kinds of over a twentieth of it.
+    they are many; a set is described by its kinds of over a tenth of it.
     """
     keys = scratch.keep(left.select("key").distinct())
     _, common = shared_rows(whole_sets(keys, rows, nodes, scratch), scratch)
-    weights = common.groupBy("key", "n", "one", "two").agg(F.count("*").alias("weight")).where("20 * weight > n")
+    weights = common.groupBy("key", "n", "one", "two").agg(F.count("*").alias("weight")).where("10 * weight > n")
     described = weights.groupBy("key").agg(F.collect_list(F.struct("one", "two", "weight")).alias("kinds"))
     all_ = left.select("key", "n").distinct().join(described, "key", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<struct<one:bigint,two:bigint,weight:bigint>>")))
     signs = all_.mapInArrow(_signatures, "key long, role int, sign long")
@@ -510,7 +505,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         left = groups.where(F.col("size") > most).drop("root").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
         left = scratch.keep(left)
         several = left.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
-        return scratch.keep(salted_join(left, scratch.keep(several), ["group"], "key"))
+        return scratch.keep(salted_join(left, several, ["group"], "key"))
 
     compare(met.withColumns({"role": F.lit(2), "root": F.col("key")}), 0, FIRST)
     groups = unconnected(met.withColumn("role", F.lit(2)), FIRST)
