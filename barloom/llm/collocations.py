@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bit_sieve, bound_batches, keyed_join, materialise, sifted, slices, text_or_empty
@@ -412,7 +412,7 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: i
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     scored = cuts.withColumns({"over": F.lit(1000).cast("decimal(4,0)") * (wide("a") * wide("n")), "under": wide("l") * wide("r")}).withColumn("score", F.expr("over div under"))
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("x")).select("lang", "phrase", "x.*")
-    by: Column = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= first)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
