@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SALTS, Scratch, bit_sieve, bound_batches, fresh_path, materialise, remove, salted_join, sifted, slices, spare_name, stored, text_or_empty
+from .shared import SALTS, Scratch, bit_sieve, bound_batches, fresh_path, materialise, release, remove, salted_join, sifted, slices, spare_name, stored, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -488,6 +488,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     met = scratch.keep(common.groupBy("key", "n", F.xxhash64("one", "two").alias("group")).agg(F.min("at").alias("at")))
     sizes = met.groupBy("group").agg(F.count("*").alias("size"))
     met = scratch.keep(salted_join(met, sizes, ["group"], "key"))
+    release(docs.sparkSession)
 
     edges, tried = None, None
 
@@ -498,6 +499,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         found = verified(compared(pairs, sketches, False, scratch), rows, nodes, scratch)
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
+        release(docs.sparkSession)  # each round's shuffles would else stay until the driver happens to collect its garbage
 
     def unconnected(groups: DataFrame, most: int) -> DataFrame:
         """Rows of groups of over ``most`` sets that hold more than one component."""
