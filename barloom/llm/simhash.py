@@ -49,6 +49,10 @@ FIRST, SMALL, PIVOTS = 2, 40, 8
 SKETCH = 256
 #: Size classes grow by this factor; the sizes of similar sets lie 1.25 apart at most, which is so many classes.
 STEP, STEPS = 1.03, 8
+#: Wider classes of sizes, a little over 1.25 apart, so that those of similar sets are neighbours at most.
+WIDE = 1.26
+#: What is left of groups is compared at once where the groups have so many sets in the mean, else in rounds.
+AT_ONCE = 256
 #: Texts read, and shingles kept, to put common shingles last.
 SAMPLE_TEXTS = 20_000
 MOST_COMMON = 20_000
@@ -71,10 +75,14 @@ def fingerprint(raw: bytes, size: int = SHINGLE_WORDS) -> int:
         starts = np.concatenate([[0], ends[:-1]])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(text[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
-    n = len(hashes)
-    columns = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes; of none, none."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS_OF_BYTE for i in range(8)])
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -191,9 +199,12 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 0) -> DataFrame:
     """(node, root): the smallest node of each linked node's component, for nodes that are not the root.
 
+    With ``rounds`` it stops after so many: nodes with one root are connected
+    then, but not all that are connected have one root yet.
+
     Alternates large-star and small-star steps until the edges stay the same.
     Every step replaces neighbours by a minimum found with a partial
     aggregate, and a hub's rows are dealt to several tasks.  Only the last
@@ -213,6 +224,11 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         last, path = path, fresh()
         edges = stored(moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), path)
         remove(spark, last)
+        if rounds:
+            rounds -= 1
+            if not rounds:
+                return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+            continue
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -321,13 +337,13 @@ def whole_sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Sc
                 sizes = pa.array([len(x) for x in made], pa.int32())
                 yield pa.RecordBatch.from_arrays([some.column("key"), sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"]).filter(own)
 
-    named = scratch.keep(nodes.join(wanted, "key").select("key", "name", F.col("least").alias("doc_id")))
+    named = scratch.keep(nodes.join(wanted.distinct(), "key").select("key", "name", F.col("least").alias("doc_id")))
     return salted_join(rows, named, ["doc_id"], "text").select("key", "name", "text").mapInArrow(run, "key long, n int, shingles binary").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of set keys that are similar, by the sets of their texts."""
-    ends = scratch.keep(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
     return compared(pairs, whole_sets(ends, rows, nodes, scratch), True, scratch)
 
 
@@ -406,17 +422,30 @@ def refined(left: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch
     Shingles that the same sets have (a passage's) are one kind, as heavy as
     they are many; a set is described by its kinds of over a tenth of it.
     """
-    keys = scratch.keep(left.select("key").distinct())
-    _, common = shared_rows(whole_sets(keys, rows, nodes, scratch), scratch)
+    left = scratch.keep(left.select("key", "n", "at", "under").distinct())
+    _, common = shared_rows(whole_sets(left.select("key"), rows, nodes, scratch), scratch)
     weights = common.groupBy("key", "n", "one", "two").agg(F.count("*").alias("weight")).where("10 * weight > n")
     described = weights.groupBy("key").agg(F.collect_list(F.struct("one", "two", "weight")).alias("kinds"))
     all_ = left.select("key", "n").distinct().join(described, "key", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<struct<one:bigint,two:bigint,weight:bigint>>")))
     signs = all_.mapInArrow(_signatures, "key long, role int, sign long")
-    under = scratch.keep(left.select("key", "n", "at", F.col("group").alias("under")).join(signs, "key").withColumn("group", F.xxhash64("under", "sign")).drop("sign", "under"))
+    under = scratch.keep(left.join(signs, "key").withColumn("group", F.xxhash64("under", "sign")).drop("sign", "under"))
     sizes = under.groupBy("group").agg(F.count("*").alias("size"), F.min("role").alias("low"), F.max("role").alias("high")).where("size > 1 AND (high = 2 OR low < high)")
     return scratch.keep(salted_join(under, sizes.select("group", "size"), ["group"], "key"))
 
 
+def by_size(groups: DataFrame) -> DataFrame:
+    """The rows of groups in groups of two neighbouring classes of sizes, each as wide as the sizes of similar sets are apart.
+
+    A set is the lower of the two in one group (role 2) and the upper in another
+    (role 1); of the upper ones pairs are met in the other group.
+    """
+    wide = F.floor(F.log("n") / F.lit(float(np.log(WIDE)))).cast("int")
+    split = groups.withColumn("at_size", F.explode(F.array(wide, wide - 1))).withColumn("role", F.when(F.col("at_size") == wide, 2).otherwise(1))
+    split = split.withColumn("group", F.xxhash64("group", "at_size")).drop("at_size", "size")
+    sizes = split.groupBy("group").agg(F.count("*").alias("size"), F.max("role").alias("high")).where("size > 1 AND high = 2").drop("high")
+    return salted_join(split, sizes, ["group"], "key")
+
+
 def meetings(groups: DataFrame, done: int, until: int, small: int = 0) -> DataFrame:
     """Pairs (a, b) that can be similar: in each group those of the sets whose turn it is with all whose turn comes later.
 
@@ -441,6 +470,20 @@ def meetings(groups: DataFrame, done: int, until: int, small: int = 0) -> DataFr
     return found.distinct()
 
 
+def linked_prints(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets (key, fp) whose fingerprints are equal or linked, enough to connect all such."""
+    folded = scratch.keep(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    variants = Scratch(prints.sparkSession, "variants")
+    near = links(folded.select("fp"), variants)
+    of = lambda end: folded.select(F.col("fp").alias(end), F.col("least").alias(f"key_{end}"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b"))
+    equal = salted_join(prints, folded, ["fp"], "key").where("key > least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    pairs = scratch.keep(near.unionByName(equal))
+    variants.drop()
+    release(prints.sparkSession)
+    return pairs
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(node, root) over document ids: near copies with the smallest id of their group, for documents that are not it.
 
@@ -451,14 +494,16 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     of the shingle rule it out.  Equal sets are folded first, and of shingles
     that the same sets have only the first is kept.
 
-    Under each shingle ``FIRST`` sets are compared with all, which connects most
-    copies.  Where several components are left, of up to ``SMALL`` sets all are
-    compared, of more some ``PIVOTS`` with all.  What still stays unconnected
-    (texts put together of the same passages) is grouped anew by all that
-    similar sets must have in common, see ``refined``; where this leaves large
-    groups, ever more sets have their turn, with those that nothing links to
-    them yet, until all have had it.  Pairs are compared by sketches, and what
-    these let through by whole sets.
+    The first links are those of fingerprints of the sets, found as in this
+    operator (``linked_prints``) and compared in full.  Where several components
+    are left under a shingle, ``FIRST`` sets are compared with all.  Where several
+    are left then, of up to ``SMALL`` sets all are compared; larger groups are
+    split ``by_size``, and of those still larger some ``PIVOTS`` are compared with
+    all.  What stays unconnected even so (texts put together of the same
+    passages) is grouped anew by all that similar sets must have in common, see
+    ``refined``; where this leaves large groups, ever more sets have their turn,
+    with those that nothing links to them yet, until all have had it.  Pairs are
+    compared by sketches, and what these let through by whole sets.
     """
     scratch = Scratch(docs.sparkSession, "near")
     bound_batches(docs.sparkSession)
@@ -471,13 +516,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 sets = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
                 first = [prefix(x, hot, rank).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())],
-                    names=["doc_id", "name", "n", "shingles", "sketch"],
+                    [some.column("doc_id"), pa.array([_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary()), pa.array([sketch(x) for x in sets], pa.binary()), pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))],
+                    names=["doc_id", "name", "n", "shingles", "sketch", "fp"],
                 )
 
     at = scratch.fresh()
-    made = stored(rows.mapInArrow(run, "doc_id long, name binary, n int, shingles binary, sketch binary"), at)
-    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    made = stored(rows.mapInArrow(run, "doc_id long, name binary, n int, shingles binary, sketch binary, fp long"), at)
+    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
     prefixes = scratch.keep(folded.withColumn("key", F.monotonically_increasing_id()))
     made = scratch.keep(made.select("doc_id", "name"))
     remove(docs.sparkSession, at)
@@ -492,9 +537,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     edges, tried = None, None
 
-    def compare(groups: DataFrame, done: int, until: int, small: int = 0) -> None:
+    def compare(pairs: DataFrame) -> None:
         nonlocal edges, tried
-        pairs = meetings(groups, done, until, small)
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verified(compared(pairs, sketches, False, scratch), rows, nodes, scratch)
         edges = found if edges is None else edges.unionByName(found)
@@ -503,26 +547,34 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     def unconnected(groups: DataFrame, most: int) -> DataFrame:
         """Rows of groups of over ``most`` sets that hold more than one component."""
-        labels = components(edges, scratch).select(F.col("node").alias("key"), "root")
+        labels = components(edges, scratch, 2).select(F.col("node").alias("key"), "root")
         left = groups.where(F.col("size") > most).drop("root").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
         left = scratch.keep(left)
         several = left.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
         return scratch.keep(salted_join(left, several, ["group"], "key"))
 
-    compare(met.withColumns({"role": F.lit(2), "root": F.col("key")}), 0, FIRST)
-    groups = unconnected(met.withColumn("role", F.lit(2)), FIRST)
+    compare(linked_prints(prefixes.select("key", "fp"), scratch))
+    groups = unconnected(met.withColumns({"role": F.lit(2), "under": F.col("group")}), 1)
+    compare(meetings(groups, 0, FIRST))
+    groups = unconnected(groups, FIRST)
     if not groups.isEmpty():
-        compare(groups, FIRST, PIVOTS, SMALL)
+        small = groups.where(F.col("size") <= SMALL)
+        groups = scratch.keep(small.unionByName(by_size(groups.where(F.col("size") > SMALL))))
+        compare(meetings(groups, 0, PIVOTS, SMALL))
         groups = unconnected(groups, max(SMALL, PIVOTS))
     if not groups.isEmpty():
         roots = groups.select("key", "root").distinct()
         groups, done, until, small = refined(groups, rows, nodes, scratch).join(roots, "key"), 0, PIVOTS, SMALL
         while True:
-            compare(groups, done, until, small)
+            compare(meetings(groups, done, until, small))
             groups = unconnected(groups, max(SMALL, until))
-            if groups.isEmpty():
+            mean, most = groups.agg(F.avg("size"), F.max("size")).first()
+            if most is None:
+                break
+            done, until, small = until, until * 8 if mean > AT_ONCE else most, 0
+            if until >= most:
+                compare(meetings(groups, done, until))
                 break
-            done, until, small = until, until * 8, 0
 
     ends = edges.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
     between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))

@@ -402,6 +402,33 @@ def test_pairs_that_meet_grow_with_the_texts(spark, monkeypatch):
     assert counts[1] < 2.5 * counts[0] and counts[1] < 800 * 799 / 2 / 8
 
 
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    """The first pairs that are compared are those of equal and linked fingerprints of the sets."""
+    rng = np.random.default_rng(3)
+    texts = ["", "x y", "x Y", *passages(6, 8)]
+    for _ in range(6):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 1500)]
+        texts += [" ".join(words), " ".join([*words[:-1], "new"]), " ".join(words[: len(words) // 2])]
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    real, seen = simhash.linked_prints, []
+    monkeypatch.setattr(simhash, "linked_prints", lambda *a: (d := real(*a), seen.extend((r.key, r.fp) for r in a[0].collect()), seen.append({(r.a, r.b) for r in d.collect()}))[0])
+    got = {r.node: r.root for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == brute_copies(texts)
+    pairs, prints = seen.pop(), dict(seen)
+    assert sorted(np.uint64(np.int64(p)) if p >= 0 else int(p) + 2**64 for p in prints.values()) == sorted(simhash.majority(x) for x in {x.tobytes(): x for x in sets}.values())
+    near = {(a, b) for a, b in itertools.permutations(prints, 2) if a > b and bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 3}
+    assert len(pairs) >= 5 and pairs <= near
+
+
+def test_groups_split_by_size_meet_the_same_pairs(spark):
+    sizes = [int(1.013**i) + 1 for i in range(500)]
+    groups = spark.createDataFrame([(i, n, 0, 7, 7, i, 2, len(sizes)) for i, n in enumerate(sizes)], "key long, n int, at int, group long, under long, root long, role int, size long")
+    split = simhash.by_size(groups)
+    due = {(b, a) for a, b in itertools.combinations(range(len(sizes)), 2) if 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b])}
+    assert {(r.a, r.b) for r in simhash.meetings(split, 0, 1 << 30).collect()} == due
+    assert split.count() <= 2 * len(sizes) and max(r.size for r in split.collect()) < len(sizes) / 5
+
+
 def test_sizes_of_similar_sets_are_few_classes_apart():
     for n in range(1, 3000):
         assert simhash.step(n) <= simhash.step(n + 1) and simhash.step(5 * n // 4) - simhash.step(n) <= simhash.STEPS
