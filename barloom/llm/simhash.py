@@ -51,8 +51,8 @@ SKETCH = 256
 STEP, STEPS = 1.03, 8
 #: Wider classes of sizes, a little over 1.25 apart, so that those of similar sets are neighbours at most.
 WIDE = 1.26
-#: What is left of groups is compared at once where the groups have so many sets in the mean, else in rounds.
-AT_ONCE = 256
+#: Of groups by what sets must share, those of up to so many are compared at once, larger ones in rounds of so many times more turns.
+AT_ONCE, MORE = 256, 64
 #: Texts read, and shingles kept, to put common shingles last.
 SAMPLE_TEXTS = 20_000
 MOST_COMMON = 20_000
@@ -199,36 +199,38 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 0) -> DataFrame:
-    """(node, root): the smallest node of each linked node's component, for nodes that are not the root.
+def star(edges: DataFrame) -> DataFrame:
+    """The edges (a > b) after one large-star and one small-star step, which connect what was connected before.
+
+    Every step replaces neighbours by a minimum found with a partial aggregate,
+    and a hub's rows are dealt to several tasks.  Only minima that a neighbour
+    is moved to are dealt: in large-star those of nodes with a greater
+    neighbour, in small-star those of nodes with several smaller ones.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most")).where("most > a").select("a", F.least("a", "m").alias("m"))
+    large = salted_join(both.where("b > a"), least, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    down = large.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"))
+    small = salted_join(large, down.where("most > m").drop("most"), ["a"], "b")
+    moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
 
-    With ``rounds`` it stops after so many: nodes with one root are connected
-    then, but not all that are connected have one root yet.
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, root): the smallest node of each linked node's component, for nodes that are not the root.
 
     Alternates large-star and small-star steps until the edges stay the same.
-    Every step replaces neighbours by a minimum found with a partial
-    aggregate, and a hub's rows are dealt to several tasks.  Only the last
-    round's edges stay on shared storage (in ``scratch``, if one is given).
+    Only the last round's edges stay on shared storage (in ``scratch``, if one
+    is given).
     """
     spark = edges.sparkSession
     fresh = scratch.fresh if scratch else lambda: fresh_path(spark, "edges")
     path = fresh()
     edges, before = stored(edges.select("a", "b"), path), None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = salted_join(both, least, ["a"], "b").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted_join(large, down, ["a"], "b")
-        moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, path = path, fresh()
-        edges = stored(moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), path)
+        edges = stored(star(edges), path)
         remove(spark, last)
-        if rounds:
-            rounds -= 1
-            if not rounds:
-                return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-            continue
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -454,20 +456,16 @@ def meetings(groups: DataFrame, done: int, until: int, small: int = 0) -> DataFr
     In groups of up to ``small`` it is every set's turn.
     """
     rows = groups.withColumn("turn", F.pmod(F.xxhash64("key", "group"), F.col("size")))
+    salts = F.when(F.col("size") > SMALL, SALTS).otherwise(1)  # the rows of a large group are dealt to several tasks
     now = rows.where((F.col("turn") >= done) & (F.col("turn") < until) | (F.col("size") <= small))
-    found = None
-    for large in (False, True):
-        one, two = (x.where(F.col("size") > SMALL if large else F.col("size") <= SMALL) for x in (now, rows))
-        salts = SALTS if large else 1  # the rows of a large group are dealt to several tasks
-        one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("x")
-        two = two.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).alias("y")
-        x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
-        shared = 1 + F.least(x("n") - x("at") - 1, y("n") - y("at") - 1)
-        able = (F.struct(x("turn"), x("key")) < F.struct(y("turn"), y("key"))) & (x("root") != y("root")) & (9 * shared >= 4 * (x("n") + y("n")))
-        able = able & (5 * F.least(x("n"), y("n")) >= 4 * F.greatest(x("n"), y("n"))) & ((x("role") == 2) | (x("role") != y("role")))
-        pairs = one.join(two, (x("group") == y("group")) & (x("salt") == y("salt"))).where(able).select(F.greatest(x("key"), y("key")).alias("a"), F.least(x("key"), y("key")).alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    one = now.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("x")
+    two = rows.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int")).alias("y")
+    x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
+    shared = 1 + F.least(x("n") - x("at") - 1, y("n") - y("at") - 1)
+    able = (F.struct(x("turn"), x("key")) < F.struct(y("turn"), y("key"))) & (x("root") != y("root")) & (9 * shared >= 4 * (x("n") + y("n")))
+    able = able & (5 * F.least(x("n"), y("n")) >= 4 * F.greatest(x("n"), y("n"))) & ((x("role") == 2) | (x("role") != y("role")))
+    pairs = one.join(two, (x("group") == y("group")) & (x("salt") == y("salt"))).where(able)
+    return pairs.select(F.greatest(x("key"), y("key")).alias("a"), F.least(x("key"), y("key")).alias("b")).distinct()
 
 
 def linked_prints(prints: DataFrame, scratch: Scratch) -> DataFrame:
@@ -494,16 +492,16 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     of the shingle rule it out.  Equal sets are folded first, and of shingles
     that the same sets have only the first is kept.
 
-    The first links are those of fingerprints of the sets, found as in this
-    operator (``linked_prints``) and compared in full.  Where several components
-    are left under a shingle, ``FIRST`` sets are compared with all.  Where several
-    are left then, of up to ``SMALL`` sets all are compared; larger groups are
-    split ``by_size``, and of those still larger some ``PIVOTS`` are compared with
-    all.  What stays unconnected even so (texts put together of the same
-    passages) is grouped anew by all that similar sets must have in common, see
-    ``refined``; where this leaves large groups, ever more sets have their turn,
-    with those that nothing links to them yet, until all have had it.  Pairs are
-    compared by sketches, and what these let through by whole sets.
+    The first pairs are those of linked fingerprints of the sets, found as in
+    this operator (``linked_prints``), and under each shingle ``FIRST`` sets with
+    all.  Where several components are left, of up to ``SMALL`` sets all are
+    compared; larger groups are split ``by_size``, and of those still larger some
+    ``PIVOTS`` are compared with all.  What stays unconnected even so (texts put
+    together of the same passages) is grouped anew by all that similar sets must
+    have in common, see ``refined``; where this leaves groups of over ``AT_ONCE``,
+    ever more sets have their turn, with those that nothing links to them yet,
+    until all have had it.  Pairs are compared by sketches, and what these let
+    through by whole sets; the links are kept as a forest that grows flatter.
     """
     scratch = Scratch(docs.sparkSession, "near")
     bound_batches(docs.sparkSession)
@@ -522,7 +520,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     at = scratch.fresh()
     made = stored(rows.mapInArrow(run, "doc_id long, name binary, n int, shingles binary, sketch binary, fp long"), at)
-    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
+    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.count("*").alias("copies"))
     prefixes = scratch.keep(folded.withColumn("key", F.monotonically_increasing_id()))
     made = scratch.keep(made.select("doc_id", "name"))
     remove(docs.sparkSession, at)
@@ -535,50 +533,43 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     met = scratch.keep(salted_join(met, sizes, ["group"], "key"))
     release(docs.sparkSession)
 
-    edges, tried = None, None
+    forest = None
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal edges, tried
-        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = verified(compared(pairs, sketches, False, scratch), rows, nodes, scratch)
-        edges = found if edges is None else edges.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        """Adds the pairs that are similar to the forest, which one step makes flatter and keeps small."""
+        nonlocal forest
+        found = verified(compared(scratch.keep(pairs), sketches, False, scratch), rows, nodes, scratch)
+        forest = scratch.keep(star(found if forest is None else forest.unionByName(found)))
         release(docs.sparkSession)  # each round's shuffles would else stay until the driver happens to collect its garbage
 
     def unconnected(groups: DataFrame, most: int) -> DataFrame:
-        """Rows of groups of over ``most`` sets that hold more than one component."""
-        labels = components(edges, scratch, 2).select(F.col("node").alias("key"), "root")
+        """Rows of groups of over ``most`` sets that the forest shows more than one component of."""
+        labels = forest.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("root"))
         left = groups.where(F.col("size") > most).drop("root").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        left = scratch.keep(left)
         several = left.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
         return scratch.keep(salted_join(left, several, ["group"], "key"))
 
-    compare(linked_prints(prefixes.select("key", "fp"), scratch))
-    groups = unconnected(met.withColumns({"role": F.lit(2), "under": F.col("group")}), 1)
-    compare(meetings(groups, 0, FIRST))
+    groups = met.withColumns({"role": F.lit(2), "under": F.col("group"), "root": F.col("key")})
+    compare(linked_prints(prefixes.select("key", "fp"), scratch).unionByName(meetings(groups, 0, FIRST)).distinct())
     groups = unconnected(groups, FIRST)
-    if not groups.isEmpty():
-        small = groups.where(F.col("size") <= SMALL)
-        groups = scratch.keep(small.unionByName(by_size(groups.where(F.col("size") > SMALL))))
-        compare(meetings(groups, 0, PIVOTS, SMALL))
-        groups = unconnected(groups, max(SMALL, PIVOTS))
+    small = groups.where(F.col("size") <= SMALL)
+    groups = scratch.keep(small.unionByName(by_size(groups.where(F.col("size") > SMALL))))
+    compare(meetings(groups, 0, PIVOTS, SMALL))
+    groups = unconnected(groups, max(SMALL, PIVOTS))
     if not groups.isEmpty():
         roots = groups.select("key", "root").distinct()
-        groups, done, until, small = refined(groups, rows, nodes, scratch).join(roots, "key"), 0, PIVOTS, SMALL
+        groups, done, until, small = refined(groups, rows, nodes, scratch).join(roots, "key"), 0, PIVOTS, AT_ONCE
         while True:
             compare(meetings(groups, done, until, small))
-            groups = unconnected(groups, max(SMALL, until))
-            mean, most = groups.agg(F.avg("size"), F.max("size")).first()
-            if most is None:
-                break
-            done, until, small = until, until * 8 if mean > AT_ONCE else most, 0
-            if until >= most:
-                compare(meetings(groups, done, until))
+            groups = unconnected(groups, max(small, until))
+            if groups.isEmpty():
                 break
+            done, until, small = until, until * MORE, 0
 
-    ends = edges.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
+    ends = forest.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
     between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
-    equal = salted_join(made.select("doc_id", "name"), nodes, ["name"], "doc_id").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    repeated = prefixes.where("copies > 1").select("name", "least")
+    equal = salted_join(made.select("doc_id", "name"), repeated, ["name"], "doc_id").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     out = components(between.unionByName(equal).distinct())
     scratch.drop()
     return out

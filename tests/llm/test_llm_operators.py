@@ -420,6 +420,31 @@ def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
     assert len(pairs) >= 5 and pairs <= near
 
 
+def test_large_groups_by_what_sets_share_are_met_in_rounds(spark, monkeypatch):
+    """Every set has its turn in the end; a round stores seven tables, not twelve."""
+    for name, value in (("PIVOTS", 1), ("SMALL", 1), ("FIRST", 0), ("AT_ONCE", 2), ("MORE", 8)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(12)
+    stock = [" ".join(p.split()[:30]) for p in passages(20, 9)]
+    texts = [" ".join(stock[i] for i in rng.choice(20, 10, False)) for _ in range(40)]
+    texts += [t.rsplit(" ", 9)[0] for t in texts[::5]]
+    met, kept, real, keep = [], [], simhash.meetings, shared.Scratch.keep
+    monkeypatch.setattr(simhash, "meetings", lambda *a: (met.append(a[1:]), real(*a))[1])
+    monkeypatch.setattr(shared.Scratch, "keep", lambda *a: (kept.append(1), keep(*a))[1])
+    got = {r.node: r.root for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == brute_copies(texts)
+    assert len(met) >= 4 and met[3] == (1, 8, 0) and len(kept) <= 14 + 7 * len(met)
+
+
+def test_only_minima_that_a_neighbour_is_moved_to_are_dealt(spark, monkeypatch):
+    """Of stars that are flat already no leaf is copied for the salts, and nothing in small-star."""
+    dealt, real = [], simhash.salted_join
+    monkeypatch.setattr(simhash, "salted_join", lambda rows, keyed, *a: (dealt.append(keyed.count()), real(rows, keyed, *a))[1])
+    edges = [(100 * i + j, 100 * i) for i in range(30) for j in range(1, 21)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict(edges) and dealt == [30, 0] * 2
+
+
 def test_groups_split_by_size_meet_the_same_pairs(spark):
     sizes = [int(1.013**i) + 1 for i in range(500)]
     groups = spark.createDataFrame([(i, n, 0, 7, 7, i, 2, len(sizes)) for i, n in enumerate(sizes)], "key long, n int, at int, group long, under long, root long, role int, size long")
