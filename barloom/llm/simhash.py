@@ -25,7 +25,9 @@ them all.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SALTS, Scratch, bit_sieve, bound_batches, fresh_path, materialise, release, remove, salted_join, sifted, slices, spare_name, stored, text_or_empty
+from .shared import BROADCAST_ROWS, SALTS, Scratch, bit_sieve, bound_batches, fresh_path, materialise, release, remove, salted_join, sifted, slices, spare_name, stored, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -47,6 +49,11 @@ NEAR_WORDS = 5
 FIRST, SMALL, PIVOTS = 2, 40, 8
 #: Bytes of a set's sketch, counts of its shingles by their lowest byte.
 SKETCH = 256
+#: Parities of a set's shingles by the bits above the lowest byte, in longs that go with its rows to where pairs meet.
+PARITIES = 512
+PARITY = [f"parity{i}" for i in range(PARITIES // 64)]
+#: Links of near copies up to so many are united in one task, more by star steps.
+ONE_TASK = BROADCAST_ROWS
 #: Size classes grow by this factor; the sizes of similar sets lie 1.25 apart at most, which is so many classes.
 STEP, STEPS = 1.03, 8
 #: Wider classes of sizes, a little over 1.25 apart, so that those of similar sets are neighbours at most.
@@ -216,6 +223,29 @@ def star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each linked node with the smallest of its component, but for the smallest, from all the edges (a, b) in one task."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True):
+            one, two = top(a), top(b)
+            above[max(one, two)] = min(one, two)
+    nodes = [x for x in above if top(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+
+def united(edges: DataFrame) -> DataFrame | None:
+    """The components of stored edges as edges (a, b) to their smallest nodes, or none where these are too many for one task."""
+    return edges.repartition(1).mapInArrow(_united, "a long, b long") if edges.count() <= ONE_TASK else None
+
+
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): the smallest node of each linked node's component, for nodes that are not the root.
 
@@ -283,6 +313,12 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the shingles in each of PARITIES classes are odd in number, as bits of signed longs: those of two sets differ in no more bits than the sets do."""
+    at = (shingles >> np.uint64(8)) % np.uint64(PARITIES)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that stand in several texts of a sample, ascending, and their ranks, the most common last.
 
@@ -453,7 +489,9 @@ def meetings(groups: DataFrame, done: int, until: int, small: int = 0) -> DataFr
 
     A row of ``groups`` is a set (key, n, root) in a group, at a place of its
     order, in a role; a set's turn in a group of ``size`` is a hash below it.
-    In groups of up to ``small`` it is every set's turn.
+    In groups of up to ``small`` it is every set's turn.  Where rows have their
+    sets' parities, pairs whose parities differ in more bits than similar sets
+    can do not leave the join.
     """
     rows = groups.withColumn("turn", F.pmod(F.xxhash64("key", "group"), F.col("size")))
     salts = F.when(F.col("size") > SMALL, SALTS).otherwise(1)  # the rows of a large group are dealt to several tasks
@@ -464,6 +502,8 @@ def meetings(groups: DataFrame, done: int, until: int, small: int = 0) -> DataFr
     shared = 1 + F.least(x("n") - x("at") - 1, y("n") - y("at") - 1)
     able = (F.struct(x("turn"), x("key")) < F.struct(y("turn"), y("key"))) & (x("root") != y("root")) & (9 * shared >= 4 * (x("n") + y("n")))
     able = able & (5 * F.least(x("n"), y("n")) >= 4 * F.greatest(x("n"), y("n"))) & ((x("role") == 2) | (x("role") != y("role")))
+    if apart := [F.bit_count(x(c).bitwiseXOR(y(c))) for c in PARITY if c in groups.columns]:
+        able = able & (9 * reduce(operator.add, apart) <= x("n") + y("n"))
     pairs = one.join(two, (x("group") == y("group")) & (x("salt") == y("salt"))).where(able)
     return pairs.select(F.greatest(x("key"), y("key")).alias("a"), F.least(x("key"), y("key")).alias("b")).distinct()
 
@@ -500,8 +540,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     together of the same passages) is grouped anew by all that similar sets must
     have in common, see ``refined``; where this leaves groups of over ``AT_ONCE``,
     ever more sets have their turn, with those that nothing links to them yet,
-    until all have had it.  Pairs are compared by sketches, and what these let
-    through by whole sets; the links are kept as a forest that grows flatter.
+    until all have had it.  Pairs whose parities allow it leave the join, are
+    compared by sketches, and what these let through by whole sets.  The links
+    are kept as a forest: flat while they are ``ONE_TASK`` or fewer, else one that
+    grows flatter by star steps.
     """
     scratch = Scratch(docs.sparkSession, "near")
     bound_batches(docs.sparkSession)
@@ -513,14 +555,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             for some in slices(batch, "text", SLICE_BYTES):
                 sets = [shingle_set(t or b"") for t in some.column("text").cast(pa.large_binary()).to_pylist()]
                 first = [prefix(x, hot, rank).tobytes() for x in sets]
+                odd = np.array([parities(x) for x in sets], np.int64).reshape(-1, len(PARITY))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary()), pa.array([sketch(x) for x in sets], pa.binary()), pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))],
-                    names=["doc_id", "name", "n", "shingles", "sketch", "fp"],
+                    [some.column("doc_id"), pa.array([_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary()), pa.array([sketch(x) for x in sets], pa.binary()), pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64)), *(pa.array(x) for x in odd.T)],
+                    names=["doc_id", "name", "n", "shingles", "sketch", "fp", *PARITY],
                 )
 
     at = scratch.fresh()
-    made = stored(rows.mapInArrow(run, "doc_id long, name binary, n int, shingles binary, sketch binary, fp long"), at)
-    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.count("*").alias("copies"))
+    made = stored(rows.mapInArrow(run, "doc_id long, name binary, n int, shingles binary, sketch binary, fp long, " + ", ".join(f"{c} long" for c in PARITY)), at)
+    folded = made.groupBy("name").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "shingles", "sketch", "fp", *PARITY)), F.count("*").alias("copies"))
     prefixes = scratch.keep(folded.withColumn("key", F.monotonically_increasing_id()))
     made = scratch.keep(made.select("doc_id", "name"))
     remove(docs.sparkSession, at)
@@ -530,16 +573,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # shingles of the same sets are one group, at the place of their first
     met = scratch.keep(common.groupBy("key", "n", F.xxhash64("one", "two").alias("group")).agg(F.min("at").alias("at")))
     sizes = met.groupBy("group").agg(F.count("*").alias("size"))
-    met = scratch.keep(salted_join(met, sizes, ["group"], "key"))
+    met = scratch.keep(salted_join(met.join(prefixes.select("key", *PARITY), "key"), sizes, ["group"], "key"))
     release(docs.sparkSession)
 
     forest = None
 
     def compare(pairs: DataFrame) -> None:
-        """Adds the pairs that are similar to the forest, which one step makes flatter and keeps small."""
+        """Adds the pairs that are similar to the forest, which is made flat, or flatter by one step, and kept small."""
         nonlocal forest
         found = verified(compared(scratch.keep(pairs), sketches, False, scratch), rows, nodes, scratch)
-        forest = scratch.keep(star(found if forest is None else forest.unionByName(found)))
+        edges = found if forest is None else forest.unionByName(found)
+        forest = scratch.keep(star(edges) if (flat := united(edges)) is None else flat)
         release(docs.sparkSession)  # each round's shuffles would else stay until the driver happens to collect its garbage
 
     def unconnected(groups: DataFrame, most: int) -> DataFrame:
@@ -557,7 +601,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     compare(meetings(groups, 0, PIVOTS, SMALL))
     groups = unconnected(groups, max(SMALL, PIVOTS))
     if not groups.isEmpty():
-        roots = groups.select("key", "root").distinct()
+        roots = groups.select("key", "root", *PARITY).distinct()
         groups, done, until, small = refined(groups, rows, nodes, scratch).join(roots, "key"), 0, PIVOTS, AT_ONCE
         while True:
             compare(meetings(groups, done, until, small))
@@ -570,7 +614,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
     repeated = prefixes.where("copies > 1").select("name", "least")
     equal = salted_join(made.select("doc_id", "name"), repeated, ["name"], "doc_id").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    out = components(between.unionByName(equal).distinct())
+    edges = scratch.keep(between.unionByName(equal))
+    flat = united(edges)
+    out = components(edges.distinct()) if flat is None else materialise(flat.toDF("node", "root"), "copies")
     scratch.drop()
     return out
 

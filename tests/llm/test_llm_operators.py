@@ -445,6 +445,43 @@ def test_only_minima_that_a_neighbour_is_moved_to_are_dealt(spark, monkeypatch):
     assert got == dict(edges) and dealt == [30, 0] * 2
 
 
+def test_unlike_texts_with_a_passage_in_common_do_not_meet(spark, monkeypatch):
+    """Of 36 texts with one passage only near copies leave the join; every pair of sets of the same sizes did."""
+    rng = np.random.default_rng(21)
+    own = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join([*passages(1, 30), *rng.choice(own, 300)]) for _ in range(36)]
+    texts += [t.rsplit(" ", 20)[0] for t in texts[:3]]
+    met, real = [], simhash.meetings
+    monkeypatch.setattr(simhash, "meetings", lambda *a: (d := real(*a), met.append(d.count()))[0])
+    got = {r.node: r.root for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    due = brute_copies(texts)
+    assert [got.get(i, i) for i in range(len(texts))] == due and len(set(due)) == 36
+    assert sum(met) <= 6
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(22)
+    for n in (0, 1, 5, 300, 5000):
+        one = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for lost in (0, 1, n // 10, n):
+            two = np.unique(np.concatenate([one[: len(one) - lost], rng.integers(0, 2**64, lost, np.uint64)]))
+            assert np.bitwise_count(simhash.parities(one) ^ simhash.parities(two)).sum() <= len(np.setxor1d(one, two))
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_few_links_are_united_without_star_steps(spark, monkeypatch, most):
+    """Chains, copies and an id with two texts; the same result where star steps are taken."""
+    monkeypatch.setattr(simhash, "ONE_TASK", most)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 200]) for i in range(0, 120, 12)]  # each is similar to the next only
+    docs = [*enumerate(texts), (20, texts[4]), (21, "a b"), (22, "A  B"), (22, texts[9]), (23, "c"), (24, "d")]
+    steps, real = [], simhash.star
+    monkeypatch.setattr(simhash, "star", lambda e: (steps.append(1), real(e))[1])
+    got = {r.node: r.root for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in [*range(1, 10), 20, 21, 22]}
+    assert bool(steps) == (most == 0)
+
+
 def test_groups_split_by_size_meet_the_same_pairs(spark):
     sizes = [int(1.013**i) + 1 for i in range(500)]
     groups = spark.createDataFrame([(i, n, 0, 7, 7, i, 2, len(sizes)) for i, n in enumerate(sizes)], "key long, n int, at int, group long, under long, root long, role int, size long")
