@@ -30,6 +30,11 @@ def line(i, supplier, day, price=100.0):
     return (i, i, supplier, 1, 2.0, price, 0.0, 0.0, "N", "O", datetime.datetime(1997, 1, 1) + datetime.timedelta(day))
 
 
+def test_codes_from_900_have_bars(spark, tmp_path):
+    con = tables(tmp_path, lineitem=[line(i, c, i % 3) for i, c in enumerate([1, 2, 3, 4, 7, 900, 901, 903, 904] * 3)])
+    agree(spark, tmp_path, con, "J18_proxy")
+
+
 @pytest.mark.parametrize("name", ["A23_sample_bars", "N5_cloud_time", "P6_minute_range", "P6_minute_view", "P7_last_n_minutes", "Q9_minute_grid", "V10_frequency", "V10_frequency_labels", "N22_session", "P8_exclusive_cutoff", "A6_daily_factor"])
 def test_minutes_before_1970_and_without_values(spark, tmp_path, name):
     pick = random.Random(3)
