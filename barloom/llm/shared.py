@@ -130,11 +130,20 @@ def keyed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str)
     return salted_join(rows, keyed, keys, spread)
 
 
+def dealt(side: DataFrame) -> DataFrame:
+    """A side of a join that has no bound: both sides are shuffled.
+
+    Spark's estimate would have it broadcast where it is the size of a small
+    file, though it is compressed there, or made of more rows by an explode.
+    """
+    return side.hint("merge")
+
+
 def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str) -> DataFrame:
     """Inner join with ``keyed``, which has one row for each key at most; the rows of a key are dealt to several tasks."""
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    dealt = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(dealt, [*keys, "__salt"]).drop("__salt")
+    every = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(dealt(every), [*keys, "__salt"]).drop("__salt")
 
 
 def places(df: DataFrame, *order: Column | str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, SALTS, Scratch, bit_sieve, bound_batches, fresh_path, materialise, release, remove, salted_join, sifted, slices, spare_name, stored, text_or_empty
+from .shared import BROADCAST_ROWS, SALTS, Scratch, bit_sieve, bound_batches, dealt, fresh_path, materialise, release, remove, salted_join, sifted, slices, spare_name, stored, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -164,7 +164,7 @@ def _sized(rows: DataFrame, both_sides: bool) -> DataFrame:
     sizes = rows.groupBy("bucket").agg(*counts).where(F.col("size") > 1)
     if both_sides:
         sizes = sizes.where((F.col("least") == 0) | (F.col("sides") > 0)).drop("sides", "least")
-    return rows.join(sizes, "bucket")
+    return rows.join(dealt(sizes), "bucket")
 
 
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "variants")
     found = components(links(nodes.select("fp"), scratch))
     scratch.drop()
-    labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = nodes.join(dealt(found), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(salted_join(labelled, ids, ["root"], "fp").select("fp", "component_id"), "named")
     return salted_join(prints, named, ["fp"], "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -361,7 +361,7 @@ def _alike(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Record
 def compared(pairs: DataFrame, sets: DataFrame, whole: bool, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that ``sets`` (key, n, shingles), whole ones or sketches, do not rule out; in ``scratch``."""
     of = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}"))
-    return scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda batches: _alike(batches, whole), "a long, b long"))
+    return scratch.keep(pairs.join(dealt(of("a")), "a").join(dealt(of("b")), "b").mapInArrow(lambda batches: _alike(batches, whole), "a long, b long"))
 
 
 def whole_sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -375,7 +375,7 @@ def whole_sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Sc
                 sizes = pa.array([len(x) for x in made], pa.int32())
                 yield pa.RecordBatch.from_arrays([some.column("key"), sizes, pa.array([x.tobytes() for x in made], pa.binary())], names=["key", "n", "shingles"]).filter(own)
 
-    named = scratch.keep(nodes.join(wanted.distinct(), "key").select("key", "name", F.col("least").alias("doc_id")))
+    named = scratch.keep(nodes.join(dealt(wanted.distinct()), "key").select("key", "name", F.col("least").alias("doc_id")))
     return salted_join(rows, named, ["doc_id"], "text").select("key", "name", "text").mapInArrow(run, "key long, n int, shingles binary").dropDuplicates(["key"])
 
 
@@ -464,9 +464,9 @@ def refined(left: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch
     _, common = shared_rows(whole_sets(left.select("key"), rows, nodes, scratch), scratch)
     weights = common.groupBy("key", "n", "one", "two").agg(F.count("*").alias("weight")).where("10 * weight > n")
     described = weights.groupBy("key").agg(F.collect_list(F.struct("one", "two", "weight")).alias("kinds"))
-    all_ = left.select("key", "n").distinct().join(described, "key", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<struct<one:bigint,two:bigint,weight:bigint>>")))
+    all_ = left.select("key", "n").distinct().join(dealt(described), "key", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<struct<one:bigint,two:bigint,weight:bigint>>")))
     signs = all_.mapInArrow(_signatures, "key long, role int, sign long")
-    under = scratch.keep(left.join(signs, "key").withColumn("group", F.xxhash64("under", "sign")).drop("sign", "under"))
+    under = scratch.keep(left.join(dealt(signs), "key").withColumn("group", F.xxhash64("under", "sign")).drop("sign", "under"))
     sizes = under.groupBy("group").agg(F.count("*").alias("size"), F.min("role").alias("low"), F.max("role").alias("high")).where("size > 1 AND (high = 2 OR low < high)")
     return scratch.keep(salted_join(under, sizes.select("group", "size"), ["group"], "key"))
 
@@ -504,7 +504,7 @@ def meetings(groups: DataFrame, done: int, until: int, small: int = 0) -> DataFr
     able = able & (5 * F.least(x("n"), y("n")) >= 4 * F.greatest(x("n"), y("n"))) & ((x("role") == 2) | (x("role") != y("role")))
     if apart := [F.bit_count(x(c).bitwiseXOR(y(c))) for c in PARITY if c in groups.columns]:
         able = able & (9 * reduce(operator.add, apart) <= x("n") + y("n"))
-    pairs = one.join(two, (x("group") == y("group")) & (x("salt") == y("salt"))).where(able)
+    pairs = one.join(dealt(two), (x("group") == y("group")) & (x("salt") == y("salt"))).where(able)
     return pairs.select(F.greatest(x("key"), y("key")).alias("a"), F.least(x("key"), y("key")).alias("b")).distinct()
 
 
@@ -514,7 +514,7 @@ def linked_prints(prints: DataFrame, scratch: Scratch) -> DataFrame:
     variants = Scratch(prints.sparkSession, "variants")
     near = links(folded.select("fp"), variants)
     of = lambda end: folded.select(F.col("fp").alias(end), F.col("least").alias(f"key_{end}"))
-    near = near.join(of("a"), "a").join(of("b"), "b").select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b"))
+    near = near.join(dealt(of("a")), "a").join(dealt(of("b")), "b").select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b"))
     equal = salted_join(prints, folded, ["fp"], "key").where("key > least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     pairs = scratch.keep(near.unionByName(equal))
     variants.drop()
@@ -573,7 +573,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # shingles of the same sets are one group, at the place of their first
     met = scratch.keep(common.groupBy("key", "n", F.xxhash64("one", "two").alias("group")).agg(F.min("at").alias("at")))
     sizes = met.groupBy("group").agg(F.count("*").alias("size"))
-    met = scratch.keep(salted_join(met.join(prefixes.select("key", *PARITY), "key"), sizes, ["group"], "key"))
+    met = scratch.keep(salted_join(met.join(dealt(prefixes.select("key", *PARITY)), "key"), sizes, ["group"], "key"))
     release(docs.sparkSession)
 
     forest = None
@@ -589,7 +589,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     def unconnected(groups: DataFrame, most: int) -> DataFrame:
         """Rows of groups of over ``most`` sets that the forest shows more than one component of."""
         labels = forest.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("root"))
-        left = groups.where(F.col("size") > most).drop("root").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        left = groups.where(F.col("size") > most).drop("root").join(dealt(labels), "key", "left").withColumn("root", F.coalesce("root", "key"))
         several = left.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
         return scratch.keep(salted_join(left, several, ["group"], "key"))
 
@@ -602,7 +602,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = unconnected(groups, max(SMALL, PIVOTS))
     if not groups.isEmpty():
         roots = groups.select("key", "root", *PARITY).distinct()
-        groups, done, until, small = refined(groups, rows, nodes, scratch).join(roots, "key"), 0, PIVOTS, AT_ONCE
+        groups, done, until, small = refined(groups, rows, nodes, scratch).join(dealt(roots), "key"), 0, PIVOTS, AT_ONCE
         while True:
             compare(meetings(groups, done, until, small))
             groups = unconnected(groups, max(small, until))
@@ -610,7 +610,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 break
             done, until, small = until, until * MORE, 0
 
-    ends = forest.join(nodes.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b")
+    ends = forest.join(dealt(nodes.select(F.col("key").alias("a"), F.col("least").alias("la"))), "a").join(dealt(nodes.select(F.col("key").alias("b"), F.col("least").alias("lb"))), "b")
     between = ends.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
     repeated = prefixes.where("copies > 1").select("name", "least")
     equal = salted_join(made.select("doc_id", "name"), repeated, ["name"], "doc_id").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
