@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bit_sieve, bound_batches, keyed_join, materialise, sifted, slices, text_or_empty
+from .shared import bit_sieve, bound_batches, dealt, keyed_join, materialise, sifted, slices, text_or_empty
 
 MOST_WORDS = 5
 #: All signs that end a piece become this one.
@@ -401,7 +401,7 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: i
 
     subs = F.expr(f"flatten(transform(sequence(2, size - 1), m -> transform(sequence(1, size - m + 1), s -> {joined('s', 'm')})))")
     longer = candidates.where("size > 2").select("lang", F.explode(subs).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = candidates.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True)))
+    kept = candidates.join(dealt(longer), ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True)))
     cuts = kept.withColumn("k", F.explode(F.expr("sequence(1, size - 1)"))).select("lang", "phrase", "a", "k", F.expr(joined("1", "k")).alias("head"), F.expr(joined("k + 1", "size - k")).alias("tail"))
     cuts = materialise(cuts, "cuts")
     parts = cuts.select("lang", F.explode(F.array("head", "tail")).alias("part")).distinct().withColumn("part", F.col("part").cast("binary"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from barloom.llm import simhash
+from barloom.llm import collocations, simhash
 from barloom.llm.shared import materialise, salted_join
 
 
@@ -27,3 +27,12 @@ def test_meetings_are_shuffled(spark):
     rows = [(k, 10, k % 5, 0, 400, 2, k) for k in range(2_000)]
     groups = materialise(spark.createDataFrame(rows, "key long, n int, group long, at int, size long, role int, root long"), "groups")
     assert "BroadcastHashJoin" not in plan(simhash.meetings(groups, 0, 2))
+
+
+def test_longer_phrases_are_shuffled(spark, monkeypatch):
+    plans = []
+    real = collocations.materialise
+    monkeypatch.setattr(collocations, "materialise", lambda df, name: (plans.append(plan(df)) if name == "cuts" else None, real(df, name))[1])
+    docs = spark.createDataFrame([(i, "en", "one two three four") for i in range(30)], "doc_id long, lang string, text string")
+    assert collocations.collocations(docs, 10, 5, 100).count() == 1
+    assert plans and all("BroadcastHashJoin" not in p for p in plans)
