@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SALTS, Scratch, bound_batches, keyed_join, materialise, slices, spare_name, text_or_empty
+from .shared import SALTS, Scratch, bound_batches, dealt, keyed_join, materialise, slices, spare_name, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LEAST_DOCS = 2
@@ -184,17 +184,17 @@ def disclosing(docs: DataFrame, found: DataFrame, n_docs: int, scratch: Scratch)
     most = classes.groupBy("number").agg(F.max("most").alias("most"))
     own = found.join(most, "number").select("number", "most", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
     own = scratch.keep(own)
-    rare = term_frequencies(docs).where(F.col("in_docs") >= LEAST_DOCS).join(own.groupBy("term").agg(F.max("most").alias("most")), "term")
+    rare = term_frequencies(docs).where(F.col("in_docs") >= LEAST_DOCS).join(dealt(own.groupBy("term").agg(F.max("most").alias("most"))), "term")
     rare = scratch.keep(rare.where(F.col("in_docs") <= F.col("most")).select("term", "in_docs"))
     telling = scratch.keep(keyed_join(own, rare, ["term"], "number").where(F.col("in_docs") <= F.col("most")).select("number", "term", "in_docs"))
 
     sized = scratch.keep(classes.join(telling.groupBy("number").agg(F.count("*").alias("n_terms")), "number"))
     largest = scratch.keep(sized.groupBy("e1", "e2").agg(F.max_by("number", F.struct("n_terms", "number")).alias("largest")))
     others = keyed_join(sized, largest, ["e1", "e2"], "number").where(F.col("number") != F.col("largest"))
-    pairs = scratch.keep(others.join(telling, "number").where(F.col("in_docs") <= F.col("most")).select("number", "e1", "e2", "term", "in_docs", "of_entity", "largest"))
+    pairs = scratch.keep(others.join(dealt(telling), "number").where(F.col("in_docs") <= F.col("most")).select("number", "e1", "e2", "term", "in_docs", "of_entity", "largest"))
     counted = pairs.groupBy("e1", "e2", "term").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("in_docs", "of_entity", "largest")])
     there = telling.select(F.col("number").alias("largest"), "term", F.lit(True).alias("there"))
-    counted = counted.join(there, ["largest", "term"], "left").withColumn("both", F.col("n") + F.when(F.col("there"), 1).otherwise(0))
+    counted = counted.join(dealt(there), ["largest", "term"], "left").withColumn("both", F.col("n") + F.when(F.col("there"), 1).otherwise(0))
     n = F.lit(float(n_docs))
     share = F.log2(F.col("both") * n / (F.col("of_entity") * F.col("in_docs"))) / F.log2(n / F.col("of_entity"))
     strong = counted.where(F.col("both") >= LEAST_DOCS).withColumn("disclosure", share).where(F.col("disclosure") >= GENERALISE)
@@ -216,7 +216,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(scan(docs.withColumn("number", F.monotonically_increasing_id())), "pii")
     strong = disclosing(docs, found, found.count(), scratch)
     places = found.where(F.size("entities") > 0).select("number", F.explode("terms").alias("t")).select("number", "t.*")
-    hits = places.join(strong, ["number", "term"])
+    hits = places.join(dealt(strong), ["number", "term"])
     grouped = materialise(hits.groupBy("number").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms")), "pii")
     scratch.drop()
     return found.drop("entities", "terms"), grouped

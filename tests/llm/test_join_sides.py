@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from barloom.llm import collocations, simhash
-from barloom.llm.shared import materialise, salted_join
+from barloom.llm import collocations, pii_sanitise, simhash
+from barloom.llm.shared import Scratch, materialise, salted_join
 
 
 def plan(df):
@@ -36,3 +36,14 @@ def test_longer_phrases_are_shuffled(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "en", "one two three four") for i in range(30)], "doc_id long, lang string, text string")
     assert collocations.collocations(docs, 10, 5, 100).count() == 1
     assert plans and all("BroadcastHashJoin" not in p for p in plans)
+
+
+def test_terms_are_shuffled(spark, monkeypatch):
+    kept = []
+    real = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: (kept.append((df.columns, plan(df))), real(self, df))[1])
+    text = lambda i: f"mail a{i % 3}@b.org secret{i % 3} word{i} common"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(200)], "doc_id long, text string")
+    pii_sanitise.detect(docs).count()
+    rare = [p for columns, p in kept if columns == ["term", "in_docs"]]
+    assert rare and "BroadcastHashJoin" not in rare[0]
