@@ -132,9 +132,13 @@ def stamped(df: DataFrame, source: str, label: str | None = None) -> DataFrame:
 
 
 def export_by_code(bars: DataFrame, path: str, freq: str = "daily") -> None:
-    """Parquet by market, frequency and code; the market follows from the first digit."""
+    """Parquet by market, frequency and code; the market follows from the first digit.
+
+    Rows are dealt by code before, so that a code is not one small file of every
+    task; Spark splits a partition that a large code makes too large.
+    """
     market = F.when(F.substring("code", 1, 1).isin("5", "6", "9"), "SH").otherwise("SZ")
-    bars.withColumns({"market": market, "freq": F.lit(freq)}).write.partitionBy("market", "freq", "code").parquet(path)
+    bars.withColumns({"market": market, "freq": F.lit(freq)}).hint("rebalance", "code").write.partitionBy("market", "freq", "code").parquet(path)
 
 
 def quarantine(rejected: DataFrame, table: str, batch: str) -> DataFrame:

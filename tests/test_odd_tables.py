@@ -56,3 +56,12 @@ def test_quarantine_is_marked_as_it_was_stored(spark, monkeypatch):
     digit = F.udf(lambda _: random.SystemRandom().random(), T.DoubleType()).asNondeterministic()
     monkeypatch.setattr(storage, "rejected", lambda spark, sf: spark.range(40).select(digit("id").alias("amount"), F.array(F.when(F.col("id") % 2 == 0, "UnitCheck").otherwise("InfCheck")).alias("failed_rules")))
     assert {r["status"]: r["n"] for r in storage.s13(spark, "").collect()} == {"fixed": 20, "pending_repair": 20}
+
+
+def test_a_code_is_one_file_of_an_export(spark, tmp_path):
+    from barloom.sources import storage
+
+    rows = spark.range(0, 400, 1, 8).select(F.concat(F.lit("00000"), F.col("id") % 5).alias("code"), "id")
+    storage.export_by_code(rows, f"{tmp_path}/out")
+    assert len(list(tmp_path.glob("out/*/*/*/*.parquet"))) == 5
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(400))
