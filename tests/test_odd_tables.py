@@ -65,3 +65,21 @@ def test_a_code_is_one_file_of_an_export(spark, tmp_path):
     storage.export_by_code(rows, f"{tmp_path}/out")
     assert len(list(tmp_path.glob("out/*/*/*/*.parquet"))) == 5
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(400))
+
+
+def test_observations_are_not_shuffled_by_batch(spark):
+    import re
+
+    from barloom.operators import revisions
+
+    rows = [(f"c{i % 3}", f"2024-01-{1 + i % 28:02}", i // 28, 1.0 + i % 5) for i in range(84)]
+    plan = revisions.observe(spark.createDataFrame(rows, "code string, dt string, batch long, value double"))._jdf.queryExecution().executedPlan().toString()
+    assert {re.sub(r"#\d+", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)} <= {"code", "code, dt"}
+
+
+def test_factors_are_read_once_for_all_batches(spark, tmp_path):
+    from barloom.queries import revisions
+
+    tables(tmp_path, lineitem=[line(i, i % 3, i % 40) for i in range(60)])
+    plan = revisions.observed(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
